@@ -32,13 +32,20 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, scores
+
+    docs = table(spark, sf_dir, "documents")
+    return scores(docs, learn(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
     return shard(table(spark, sf_dir, "documents"), weights=[1.0] * 24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash_dedup, op4_secret_scan, op8_rendezvous_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash_dedup, op4_secret_scan, op5_toxicity, op8_rendezvous_sharding)}
 
 #: DuckDB SQL where it can express the operator on whole tables.
 ORACLE: dict[str, str] = {}
