@@ -45,7 +45,23 @@ def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), weights=[1.0] * 24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash_dedup, op4_secret_scan, op5_toxicity, op8_rendezvous_sharding)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contained
+
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8, width=5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash_dedup, op4_secret_scan, op5_toxicity, op8_rendezvous_sharding, op10_decontamination)}
+
+_CONTAINMENT = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+i AS (SELECT item_id, least(5, len(w)) AS width, unnest(list_distinct([array_to_string(w[k : k + least(5, len(w)) - 1], ' ') FOR k IN range(1, len(w) - least(5, len(w)) + 2)])) AS s FROM b WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
+widths AS (SELECT DISTINCT width FROM i),
+s AS (SELECT doc_id, width, unnest(list_distinct([array_to_string(w[k : k + width - 1], ' ') FOR k IN range(1, len(w) - width + 2)])) AS s FROM d, widths WHERE len(w) >= width)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(n_shingles)::BIGINT AS n_shingles, count(*) / any_value(n_shingles)::DOUBLE AS containment
+FROM s JOIN i USING (width, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles)"""
 
 #: DuckDB SQL where it can express the operator on whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_decontamination": _CONTAINMENT}

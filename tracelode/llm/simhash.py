@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_chunks, durable, texts_of
@@ -57,17 +57,19 @@ def majority(hashes: np.ndarray, counts: list[int]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a (signed) long."""
+def fingerprints(docs: DataFrame, width: int = 3, key: Column | None = None) -> DataFrame:
+    """doc_id and its fingerprint as a (signed) long; with ``key``, that as a column (long) too."""
+    extra = [] if key is None else [key.alias("key")]
+    names = ["key"] * len(extra)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_chunks(batches, "text"):
             each = [shingle_hashes(t, width) for t in texts_of(batch)]
             flat = np.array([h for hs in each for h in hs], dtype=np.uint64)
             prints = majority(flat, [len(hs) for hs in each]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), *(batch.column(c) for c in names)], names=["doc_id", "print", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, print long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra).mapInArrow(work, "doc_id long, print long" + ", key long" * len(extra))
 
 
 def linked(prints: DataFrame) -> DataFrame:
@@ -83,13 +85,34 @@ def linked(prints: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _named(prints: DataFrame) -> DataFrame:
+    """print, first (its least doc_id), root of its component."""
+    distinct = durable(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    roots = connected(linked(distinct.select("print")))
+    return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def components(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, print (long), component_id (the smallest doc_id reachable)."""
     prints = durable(fingerprints(docs, width), "simhash")
-    distinct = durable(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = connected(linked(distinct.select("print")))
-    named = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    named = _named(prints)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    # only fingerprints outside their own trivial component take part in this join
-    moved = named.join(smallest, "root").select("print", "component_id")
-    return prints.join(moved, "print").select("doc_id", "print", "component_id")
+    return prints.join(named.join(smallest, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+
+
+def first_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row, with all columns, of each component: that of the smallest doc_id.
+
+    Rows that share doc_id and text are one record, of which any one stays.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("text").isNull())
+    prints = durable(fingerprints(docs, width, key), "simhash")
+    records = prints.groupBy("print", "doc_id", "key").agg(F.count("*").alias("n"))
+    ranked = records.join(_named(prints).select("print", "root"), "print")
+    # a null doc_id comes after every other
+    winner = ranked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "print")).alias("w"))
+    kept = winner.select("w.doc_id", "w.key", "w.print").join(records.withColumnsRenamed({"doc_id": "d", "key": "k", "print": "p"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("print") == F.col("p"))).select(F.col("d").alias("_kept_id"), F.col("k").alias("_kept_key"), F.col("n").alias("_kept_n"))
+    rows = docs.withColumn("_text_key", key).join(kept, F.col("_text_key") == F.col("_kept_key")).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")))
+    once = rows.filter("_kept_n = 1")
+    repeated = rows.filter("_kept_n > 1").dropDuplicates(["_kept_id", "_kept_key"])
+    return once.unionByName(repeated).select(*docs.columns)
