@@ -45,13 +45,19 @@ def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), weights=[1.0] * 24)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contained
 
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8, width=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash_dedup, op4_secret_scan, op5_toxicity, op8_rendezvous_sharding, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash_dedup, op4_secret_scan, op5_toxicity, op8_rendezvous_sharding, op9_html_extraction, op10_decontamination)}
 
 _CONTAINMENT = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
