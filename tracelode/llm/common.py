@@ -30,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/tracelode/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read back.
 
@@ -37,9 +44,8 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     whole job; the files survive any executor and go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracelode/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
