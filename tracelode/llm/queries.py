@@ -45,6 +45,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, learn(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"), span=200).drop("kept")
+
+
 def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import scratch
     from .idfiles import read, write
@@ -72,7 +78,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8, width=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index_ann, op2_best_fit_packing, op3_simhash_dedup, op4_secret_scan, op5_toxicity, op7_token_id_files, op8_rendezvous_sharding, op9_html_extraction, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index_ann, op2_best_fit_packing, op3_simhash_dedup, op4_secret_scan, op5_toxicity, op6_suffix_dedup, op7_token_id_files, op8_rendezvous_sharding, op9_html_extraction, op10_decontamination)}
 
 _CONTAINMENT = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
