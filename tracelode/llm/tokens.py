@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
 #: Chunks that one worker keeps; beyond it the cache starts anew, which changes no id.
@@ -30,6 +33,26 @@ class ChunkedEncoder:
         self.drops_space = self._drops_space(shape)
         self.keeps_space = shape.get("normalizer") is None and (shape.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and shape["pre_tokenizer"].get("use_regex") and not shape["pre_tokenizer"].get("add_prefix_space")
         self.cache: dict[str, bytes] = {}
+        self.specials = [t["content"] for t in shape.get("added_tokens", [])]
+        self.merger = self._byte_merger(shape) if self.keeps_space else None
+
+    def _byte_merger(self, shape: dict) -> tiktoken.Encoding | None:
+        """The same vocabulary in the faster merger, where merge order and ids agree; it serves chunks not seen before."""
+        letters = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        byte_of = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in letters)}
+        vocabulary = {token: n for token, n in shape["model"]["vocab"].items() if token not in self.specials}
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in shape["model"]["merges"]]
+        numbers = [vocabulary.get(m, -1) for m in merged]
+        if numbers != sorted(set(numbers)) or len(merged) + 256 != len(vocabulary) or not all(c in byte_of for token in vocabulary for c in token):
+            return None
+        ranks = {bytes(byte_of[c] for c in token): n for token, n in vocabulary.items()}
+        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        if self.merger is None:
+            return self._whole(chunks)
+        encode = self.merger.encode_ordinary
+        return [array("I", encode(c)).tobytes() for c in chunks]
 
     @staticmethod
     def _drops_space(shape: dict) -> bool:
@@ -46,7 +69,7 @@ class ChunkedEncoder:
             parts = [t.replace("\n", " ").split(" ") for t in texts]
         elif self.keeps_space:
             # every chunk but a text's first is looked up with the space before it
-            parts = [None if _UNEVEN_SPACE.search(t) or t[-1:].isspace() or t[:1].isspace() else t.split(" ") for t in texts]
+            parts = [None if _UNEVEN_SPACE.search(t) or t[-1:].isspace() or t[:1].isspace() or any(s in t for s in self.specials) else t.split(" ") for t in texts]
             return self._encode_spaced(texts, parts)
         else:
             return self._whole(texts)
@@ -69,9 +92,10 @@ class ChunkedEncoder:
                 cache.clear()
                 missing = needed
             order = list(missing)
-            cache.update(zip(order, self._whole([" " + w for w in order]), strict=True))
-        whole = iter(self._whole([t if p is None else p[0] for t, p in zip(texts, parts, strict=True)]))
-        return [next(whole) + b"".join(map(cache.__getitem__, b)) for b in bodies]
+            cache.update(zip(order, self._chunks([" " + w for w in order]), strict=True))
+        firsts = iter(self._chunks([p[0] for p in parts if p is not None]))
+        wholes = iter(self._whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        return [next(wholes) if p is None else next(firsts) + b"".join(map(cache.__getitem__, b)) for p, b in zip(parts, bodies, strict=True)]
 
 
 @lru_cache(maxsize=4)
