@@ -36,6 +36,8 @@ from .common import byte_chunks, texts_of
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 _BREAKS = frozenset(".!?\n")
 BITS = 18
+#: Training sentences without a toxic token, about.
+SENTENCES = 20_000
 SLOTS = 10
 #: A marginal from which a token belongs to an offending span.
 SPAN_AT = 0.5
@@ -148,30 +150,41 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
     y = np.array(toxic, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(crf.Model(np.zeros((1 << BITS) + 1)), None)
-    lists = [tokens(t) for t in texts]
-    counts = (Counter(), Counter())
-    for found, label in zip(lists, toxic, strict=True):
-        counts[label].update({a for w in set(found) - _BREAKS for a in affixes(w)[:-1]})
-    # ten times likelier in toxic documents than in clean ones, in three at least
-    clean, foul = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    marks = {a for a, n in counts[1].items() if n >= 3 and n / foul >= 10 * (counts[0][a] + 0.5) / clean}
-    # a mark must explain tokens by itself: rare words of long toxic documents don't
-    marks = {a for a in marks if counts[1][a] >= max(3, 0.01 * foul)}
-    words, owner, chains = as_chains(lists)
-    labels = np.fromiter((toxic[o] and not marks.isdisjoint(affixes(w)) for w, o in zip(words, owner.tolist(), strict=True)), dtype=np.int64, count=len(words))
-    # chains with a toxic token, and about twenty times as many of the others, spread evenly
-    has = np.add.reduceat(labels, chains.starts) > 0 if len(chains.starts) else np.zeros(0, dtype=bool)
-    rest = np.flatnonzero(~has)
-    rest = rest[:: max(1, len(rest) // max(2000, 20 * int(has.sum())))]
-    picked = np.sort(np.concatenate([np.flatnonzero(has), rest]))
-    take = np.concatenate([np.arange(s, s + n) for s, n in zip(chains.starts[picked], chains.lengths[picked], strict=True)]) if len(picked) else np.zeros(0, dtype=np.int64)
-    lengths = chains.lengths[picked]
+    clean, foul = int((y == 0).sum()), int((y == 1).sum())
+    # ten times likelier in toxic documents than in clean ones, in four and one in fifty at least
+    often = Counter()
+    for text, label in zip(texts, toxic, strict=True):
+        if label:
+            often.update({a for w in set(tokens(text)) - _BREAKS for a in affixes(w)[:-1]})
+    often = Counter({a: n for a, n in often.items() if n >= max(4, 0.02 * foul)})
+    rare = Counter()
+    for text, label in zip(texts, toxic, strict=True):
+        if not label:
+            rare.update({a for w in set(tokens(text)) - _BREAKS for a in affixes(w)[:-1] if a in often})
+    marks = {a for a, n in often.items() if n / foul >= 10 * (rare[a] + 0.5) / clean}
+    # sentences with a toxic token, and of the others every so many, spread evenly
+    every = max(1, sum(t.count(".") + 1 for t in texts) // SENTENCES)
+    chosen: list[list[str]] = []
+    seen = 0
+    for text, label in zip(texts, toxic, strict=True):
+        words, _, chains = as_chains([tokens(text)])
+        for s, n in zip(chains.starts.tolist(), chains.lengths.tolist(), strict=True):
+            sentence = words[s : s + n]
+            seen += 1
+            if seen % every == 0 or (label and any(not marks.isdisjoint(affixes(w)) for w in sentence)):
+                chosen.append([*sentence, "\1" if label else "\0"])
     known: dict[str, list[int]] = {}
-    matrix = np.array([known.get(w) or known.setdefault(w, feature_numbers(w)) for w in (words[i] for i in take)], dtype=np.int64).reshape(-1, SLOTS)
-    field = crf.fit(matrix, labels[take], crf.Chains(np.cumsum(lengths) - lengths, lengths), 1 << BITS)
+    lengths = np.array([len(c) - 1 for c in chosen], dtype=np.int64)
+    flat = [(w, c[-1] == "\1") for c in chosen for w in c[:-1]]
+    labels = np.fromiter((foul_text and not marks.isdisjoint(affixes(w)) for w, foul_text in flat), dtype=np.int64, count=len(flat))
+    matrix = np.array([known.get(w) or known.setdefault(w, feature_numbers(w)) for w, _ in flat], dtype=np.int64).reshape(-1, SLOTS)
+    field = crf.fit(matrix, labels, crf.Chains(np.cumsum(lengths) - lengths, lengths), 1 << BITS)
     model = ToxicityModel(field, None)
-    p = field.marginals(model.deltas(words, {}), chains)
-    model.head = logistic(summary(p, owner, len(texts)), y.astype(np.float64))
+    rows, cache = [], {}
+    for at in range(0, len(texts), 200):
+        words, owner, chains = as_chains([tokens(t) for t in texts[at : at + 200]])
+        rows.append(summary(field.marginals(model.deltas(words, cache), chains), owner, len(texts[at : at + 200])))
+    model.head = logistic(np.concatenate(rows), y.astype(np.float64))
     return model
 
 
@@ -179,7 +192,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> ToxicityModel:
     """Fits on at most ``sample`` labelled documents that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
