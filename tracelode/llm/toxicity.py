@@ -151,12 +151,12 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
     if not len(y) or y.min() == y.max():
         return ToxicityModel(crf.Model(np.zeros((1 << BITS) + 1)), None)
     clean, foul = int((y == 0).sum()), int((y == 1).sum())
-    # ten times likelier in toxic documents than in clean ones, in four and one in fifty at least
+    # ten times likelier in toxic documents than in clean ones, in four and one in a hundred at least
     often = Counter()
     for text, label in zip(texts, toxic, strict=True):
         if label:
             often.update({a for w in set(tokens(text)) - _BREAKS for a in affixes(w)[:-1]})
-    often = Counter({a: n for a, n in often.items() if n >= max(4, 0.02 * foul)})
+    often = Counter({a: n for a, n in often.items() if n >= max(4, 0.01 * foul)})
     rare = Counter()
     for text, label in zip(texts, toxic, strict=True):
         if not label:
