@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, durable, partitions_for, release, scratch
+from .common import byte_chunks, discard, durable, partitions_for, release, scratch
 
 GRAM = 32
 #: Bytes that multikey quicksort looks at before blind tries take over.
@@ -247,13 +247,16 @@ def deduplicate(docs: DataFrame, span: int = 200) -> DataFrame:
     texts = spark.table(name)
     release(spark)
     marks = durable(_anchor_rows(texts, span), "anchors")
-    crowds = marks.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", F.ceil(F.col("c") / CROWD).cast("int").alias("tasks"))
+    # written first, so that the join below has plain shuffles on both sides and a crowded hash can be split
+    crowds = durable(marks.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", F.ceil(F.col("c") / CROWD).cast("int").alias("tasks")), "crowds")
     found = marks.join(crowds, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "first", "n", "tasks")).alias("found"))
     segments = durable(_segment_rows(texts.join(found.hint("shuffle_hash"), "rid").select("rid", "body", "found"), span), "segments")
+    discard(marks, crowds)
     release(spark)
     tasks = partitions_for(spark, segments.count(), SEGMENTS_PER_TASK)
     dealt = segments.repartition(tasks, "h", F.pmod(F.xxhash64("rid"), F.col("tasks")))
     runs = durable(_sorted_rows(dealt, span), "runs")
+    discard(segments)
     release(spark)
     singles = runs.filter("digest IS NOT NULL")
     across = singles.groupBy("digest").agg(F.count("*").alias("c")).filter("c > 1").select("digest")
