@@ -112,7 +112,7 @@ def settle(found: DataFrame, n: int, edges: Edges, cap: int = 500) -> DataFrame:
         best = F.array_min(F.array(*(F.struct(_gain(F.col("t"), v, edges).alias("d"), F.lit(v).alias("v")) for v in range(n))))
         moved = out.withColumn("b", best).withColumn("going", F.col("going") & (F.col("b.d") < 0))
         mask = F.element_at(F.array(*(F.lit(1 << i).cast("long") for i in range(n))), F.col("b.v") + 1)
-        out = _held(moved.select("x", F.when("going", F.col("t").bitwiseXOR(mask)).otherwise(F.col("t")).alias("t"), "going"))
+        out = _held(moved.select("x", F.when(F.col("going"), F.col("t").bitwiseXOR(mask)).otherwise(F.col("t")).alias("t"), "going"))
         if not out.filter("going").limit(1).count():
             break
     return out.select("x", "t")

@@ -70,7 +70,7 @@ def prefix_ledger(runs: DataFrame, labels: Column, ok: Column, group: str = "age
 
 def statuses(found: DataFrame, finalised: Column) -> DataFrame:
     """Adds status: LIVE, TRANSIENT, or UNKNOWN while ``finalised`` does not hold and no success was seen."""
-    return found.withColumn("status", F.when("live", F.lit("LIVE")).when(finalised, F.lit("TRANSIENT")).otherwise(F.lit("UNKNOWN")))
+    return found.withColumn("status", F.when(F.col("live"), F.lit("LIVE")).when(finalised, F.lit("TRANSIENT")).otherwise(F.lit("UNKNOWN")))
 
 
 def live_never_falls(book: DataFrame, group: str = "agent") -> DataFrame:
@@ -114,9 +114,9 @@ def lookup(payloads: DataFrame, queries: DataFrame, equivalent: Column, max_leve
     ``payloads``: level, prefix, payload, profile.  ``queries``: query_id, labels.  ``equivalent`` is over both.
     """
     depth = F.size("labels") if max_level is None else F.least(F.size("labels"), F.lit(max_level))
-    steps = queries.select("query_id", "labels", F.explode(F.sequence(F.lit(1), depth)).alias("level")).withColumn("prefix", F.slice("labels", F.lit(1), F.col("level")))
+    steps = queries.select("*", F.explode(F.sequence(F.lit(1), depth)).alias("level")).withColumn("prefix", F.slice("labels", F.lit(1), F.col("level")))
     met = steps.join(payloads, ["level", "prefix"], "left").withColumn("_hit", F.coalesce(equivalent & F.col("payload").isNotNull(), F.lit(False)))
-    return met.groupBy("query_id").agg(F.min(F.when("_hit", F.col("level"))).alias("level"), F.min_by("payload", F.when("_hit", F.col("level"))).alias("payload"), F.max(F.when(F.col("payload").isNotNull(), F.col("level"))).alias("reached"))
+    return met.groupBy("query_id").agg(F.min(F.when(F.col("_hit"), F.col("level"))).alias("level"), F.min_by("payload", F.when(F.col("_hit"), F.col("level"))).alias("payload"), F.max(F.when(F.col("payload").isNotNull(), F.col("level"))).alias("reached"))
 
 
 def groups_of(runs: DataFrame, key: str) -> DataFrame:

@@ -662,7 +662,7 @@ def charpoly(spark, sf_dir):
     return graphs.characteristic_polynomials(_graph_family(spark)).withColumn("coefficients", F.array_join("coefficients", ","))
 
 
-@query("SELECT doc_id, array_to_string(list_transform(range(0, 5), k -> list_sum(list_transform(range(0, k + 1), i -> coalesce(([1, doc_id % 5, 2])[i + 1], 0) * coalesce(([doc_id % 3, 1, 4])[k - i + 1], 0)))::BIGINT), ',') AS product FROM documents")
+@query("SELECT doc_id, array_to_string(list_transform(range(0, 5), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: coalesce(([1, doc_id % 5, 2])[i + 1], 0) * coalesce(([doc_id % 3, 1, 4])[k - i + 1], 0)))::BIGINT), ',') AS product FROM documents")
 def polynomial_products(spark, sf_dir):
     p = F.array(F.lit(1).cast("long"), F.col("doc_id") % 5, F.lit(2).cast("long"))
     q = F.array(F.col("doc_id") % 3, F.lit(1).cast("long"), F.lit(4).cast("long"))
@@ -682,10 +682,10 @@ def payload_prefix_lookup(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT user_id, ts, event_type, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-SELECT user_id, epoch(min(ts))::BIGINT AS started, count(*) AS events FROM s GROUP BY user_id, sid""")
+SELECT user_id, (epoch_us(min(ts)) // 1000000)::BIGINT AS started, count(*) AS events FROM s GROUP BY user_id, sid""")
 def events_session_window(spark, sf_dir):
     e = views.table(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").cast("long").alias("started"), "events")
+    return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("events")).select("user_id", F.unix_timestamp(F.col("w.start").cast("timestamp")).alias("started"), "events")
 
 
 @query("SELECT x, y FROM (SELECT c_nationkey::INT AS x, 'c' AS y FROM customer INTERSECT SELECT s_nationkey, 'c' FROM supplier)")
