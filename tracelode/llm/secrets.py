@@ -17,6 +17,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +45,12 @@ ALLOWED = (
     re.compile(r"^[A-Za-z]+[-_/][0-9./_-]+$"),  # a word with a version or date
     re.compile(r"^(?:[0-9]+[-/_])+[0-9]+$"),  # dates, phone and order numbers
 )
-_PLOGP = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+
+
+@lru_cache(maxsize=8)
+def _plogp(window: int) -> list[float]:
+    """n log2 n for every count that a window meets; one more than its size while a character comes before another goes."""
+    return [0.0] + [n * math.log2(n) for n in range(1, window + 2)]
 
 
 def character_class(counts: dict[str, int]) -> str:
@@ -58,17 +64,18 @@ def character_class(counts: dict[str, int]) -> str:
 def hot_windows(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
     """Merged (start, end) of the windows whose entropy reaches their class's threshold."""
     counts: dict[str, int] = {}
+    table = _plogp(window)
     total, runs = 0.0, []
     digits = upper = lower = other = 0
     for i, c in enumerate(s):
         n = counts.get(c, 0)
-        total += _PLOGP[n + 1] - _PLOGP[n]
+        total += table[n + 1] - table[n]
         counts[c] = n + 1
         digits, upper, lower, other = digits + c.isdigit(), upper + c.isupper(), lower + c.islower(), other + (not c.isalnum())
         if i >= window:
             gone = s[i - window]
             n = counts[gone]
-            total += _PLOGP[n - 1] - _PLOGP[n]
+            total += table[n - 1] - table[n]
             counts[gone] = n - 1
             digits, upper, lower, other = digits - gone.isdigit(), upper - gone.isupper(), lower - gone.islower(), other - (not gone.isalnum())
         if i >= window - 1 and digits and (upper or lower):
