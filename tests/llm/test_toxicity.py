@@ -42,12 +42,13 @@ def test_fit_raises_the_likelihood_and_learns_transitions():
     chains = crf.Chains(np.cumsum(lengths) - lengths, lengths)
     model = crf.fit(features, labels, chains, 2)
     assert model.moves[0, 0] + model.moves[1, 1] > model.moves[0, 1] + model.moves[1, 0]
-    right = (model.viterbi(model.weights[features].sum(axis=1), chains) == labels).mean()
-    assert right > 0.88 > 0.83 >= (features[:, 0] == labels).mean()
+    # neighbours help: better than what each position tells by itself
+    right = ((model.marginals(model.weights[features].sum(axis=1), chains) > 0.5) == labels).mean()
+    assert right > (features[:, 0] == labels).mean() + 0.02
 
 
 def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = op5_toxicity(spark, sf).toPandas()
     assert list(got.columns[:4]) == ["doc_id", "held_out", "score", "predicted"]
     assert got["held_out"].tolist() == [zlib.crc32(str(d).encode()) % 4 == 2 for d in got["doc_id"]]
@@ -56,7 +57,7 @@ def test_held_out_accuracy(spark):
     test = labels[labels["held_out"]]
     caught = test[(test["toxic"] == 1)]["predicted"].mean()
     wrong = test[(test["toxic"] == 0)]["predicted"].mean()
-    assert caught >= 0.7 and wrong <= 0.05
+    assert caught >= 0.85 and wrong <= 0.02
 
 
 def test_labels_of_held_out_rows_are_never_learnt(spark, sf, documents):

@@ -204,7 +204,7 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[list[tuple[str, int]]]:
             head = prose(1) if rng.random() < 0.5 else words(2, 10)
             wrap = rng.random() < 0.15
             out += [("<header>", 0)] * wrap + [(f"<h1>{head}</h1>", 1)] + [("</header>", 0)] * wrap
-        for _ in range(rng.randint(0, 12)):
+        for _ in range(rng.randint(0 if out else 1, rng.choice([2, 12]))):
             kind = rng.random()
             if kind < 0.62:
                 text = prose(6) if rng.random() < 0.8 else words(1, 2).capitalize() + "."
@@ -226,8 +226,9 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[list[tuple[str, int]]]:
         return out
 
     for _ in range(n):
-        before = [boilerplate(k) for k in ("menu", "header", "advert", "notice", "form", "share") if rng.random() < 0.45]
-        after = [boilerplate(k) for k in ("footer", "sidebar", "comments", "share", "advert", "form", "menu", "notice") if rng.random() < 0.4]
+        clutter = rng.choice([0.0, 0.2, 0.45, 0.45, 0.6])
+        before = [boilerplate(k) for k in ("menu", "header", "advert", "notice", "form", "share") if rng.random() < clutter]
+        after = [boilerplate(k) for k in ("footer", "sidebar", "comments", "share", "advert", "form", "menu", "notice") if rng.random() < clutter]
         rng.shuffle(before)
         rng.shuffle(after)
         tag, at = rng.choice([("article", "")] * 6 + [("main", "")] * 3 + [("div", ' class="content"'), ("div", ' id="post"'), ("div", ' class="entry-content"'), ("div", ' class="article-body"'), ("div", ' class="story"'), ("section", ' class="text"'), ("td", ""), ("", ""), ("div", "")])
