@@ -108,9 +108,10 @@ def first_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("text").isNull())
     prints = durable(fingerprints(docs, width, key), "simhash")
     records = prints.groupBy("print", "doc_id", "key").agg(F.count("*").alias("n"))
-    ranked = records.join(_named(prints).select("print", "root"), "print")
-    # a null doc_id comes after every other
-    winner = ranked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "print")).alias("w"))
+    # a null doc_id comes after every other; a fingerprint that many rows share is one row before it meets its root
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "print")).alias("w")
+    each = durable(records.groupBy("print").agg(least), "simhash-least")
+    winner = each.join(_named(prints).select("print", "root"), "print").groupBy("root").agg(F.min("w").alias("w"))
     kept = winner.select("w.doc_id", "w.key", "w.print").join(records.withColumnsRenamed({"doc_id": "d", "key": "k", "print": "p"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("print") == F.col("p"))).select(F.col("d").alias("_kept_id"), F.col("k").alias("_kept_key"), F.col("n").alias("_kept_n"))
     rows = docs.withColumn("_text_key", key).join(kept, F.col("_text_key") == F.col("_kept_key")).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")))
     once = rows.filter("_kept_n = 1")
