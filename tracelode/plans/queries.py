@@ -697,3 +697,52 @@ def set_intersection(spark, sf_dir):
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def set_difference(spark, sf_dir):
     return views.table(spark, sf_dir, "customer").select("c_custkey").join(views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+# ---------------------------------------------------------------- sources and streams
+@query(f"WITH {EV} SELECT outcome, 'agent-' || (user_id % 5) AS model, count(*) AS runs, sum(len(tools))::BIGINT AS steps, sum(len([e FOR e IN errs IF e]))::BIGINT AS errors FROM ev GROUP BY ALL")
+def load_canonical_events(spark, sf_dir):
+    """Event runs written in the canonical form and read back by its loader."""
+    from ..sources import loaders, sinks
+
+    runs = views.event_runs(spark, sf_dir).select(F.col("agent").alias("model"), F.lit("p").alias("project"), F.col("task").alias("prompt"), "outcome", F.transform("steps", lambda s: F.struct(s["tool"].alias("tool"), s["args"].alias("args"), s["error"].alias("error"))).alias("steps"))
+    files = sinks.canonical_json(runs).select(F.sha2("value", 256).alias("path"), "value")
+    back = loaders.load_canonical(files)
+    return back.groupBy("outcome", "model").agg(F.count("*").alias("runs"), F.sum(F.size("steps")).alias("steps"), F.sum(F.size(F.filter("steps", lambda s: s["error"].isNotNull()))).alias("errors"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'canonical'), ('b', 'otel'), ('c', 'openai'), ('d', 'langsmith'), ('e', 'autogen'), ('f', 'crewai'), ('g', 'claude'), ('h', 'codex'), ('i', 'pi'), ('j', 'canonical')) t(path, format)")
+def format_detect_scores(spark, sf_dir):
+    from ..sources import detect
+
+    samples = {
+        "a": '{"steps": []}',
+        "b": '{"resourceSpans": []}',
+        "c": '{"messages": [{"role": "user", "content": "x"}]}',
+        "d": '{"run_type": "tool", "trace_id": "1"}',
+        "e": '{"messages": [{"function_call": {"name": "f"}}]}',
+        "f": '{"tasks_output": []}',
+        "g": '{"type": "user", "message": {}, "parentUuid": null}',
+        "h": '{"type": "response_item", "payload": {}}',
+        "i": '{"type": "session", "cwd": "/"}\n{"type": "message", "message": {}}',
+        "j": '{"unknown": 1}',
+    }
+    return detect.detect(spark.createDataFrame(list(samples.items()), "path string, value string"))
+
+
+@query(_book_sql("ev", EV, "SELECT agent, level, n, l FROM book"))
+def streamed_ledger_merge(spark, sf_dir):
+    """The ledger from class sights merged batch by batch, as a stream would leave them."""
+    from ..streaming import ledgers
+
+    marks = ledgers.class_marks(views.event_runs(spark, sf_dir), plain_tower(), ok(), "agent")
+    sights = ledgers.first_sights(marks, "agent")
+    return ledgers.counts(sights, "agent")
+
+
+@query(f"WITH {EV}, {_PREFIX.format('ev')}, h AS (SELECT agent, max(level) AS h FROM pre GROUP BY agent) SELECT agent, level, CASE WHEN longest >= h THEN 'LIVE' ELSE 'TRANSIENT' END AS status, count(*) AS classes FROM pre JOIN h USING (agent) GROUP BY ALL")
+def horizon_statuses(spark, sf_dir):
+    from ..streaming import ledgers
+
+    reach = ledgers.prefix_reach(views.event_runs(spark, sf_dir), S.tool_sequence(F.col("steps")), "agent")
+    return ledgers.horizon_statuses(reach, "agent").groupBy("agent", "level", "status").agg(F.count("*").alias("classes"))
