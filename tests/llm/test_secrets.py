@@ -1,11 +1,14 @@
 import hashlib
 import re
+import subprocess
+import sys
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracelode.llm import secrets
 from tracelode.llm.queries import op4_secret_scan
+from tests.conftest import ROOT
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -72,3 +75,14 @@ def test_odd_rows_and_redaction(spark, odd, none):
     row = secrets.redact(spark.createDataFrame([(1, text, len(text)), (2, None, 7)], "doc_id long, text string, n_chars long")).orderBy("doc_id").collect()
     assert row[0]["n_chars"] == len("x [SECRET] and [SECRET] end") and row[1]["text"] is None and row[1]["n_chars"] == 7
     assert secrets.redact(none).count() == 0
+
+
+def test_long_rulers_that_end_in_a_digit():
+    """In a process of its own, as a pattern that backtracks cannot be stopped from within."""
+    code = """
+from tracelode.llm import secrets
+for mark in "-=_/+":
+    for line in ("Total" + mark * 40 + "2024", "x" + (mark * 4000 + "a") * 5 + "1"):
+        assert secrets.entropy_spans(line) == [], line[:20]
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, timeout=60, check=True)

@@ -40,7 +40,7 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 THRESHOLDS = {"hex": 2.6, "alnum": 3.5, "base64": 3.7}
 ALLOWED = (
     re.compile(r"^[0-9]+$"),  # numbers
-    re.compile(r"^[A-Za-z]+([_/=+-]+[A-Za-z]*)*$"),  # words, paths and snake case without a digit
+    re.compile(r"^[A-Za-z][A-Za-z_/=+-]*$"),  # words, paths and snake case without a digit; no nested repeats, so a long run of separators is read once
     re.compile(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),  # UUIDs
     re.compile(r"^[A-Za-z]+[-_/][0-9./_-]+$"),  # a word with a version or date
     re.compile(r"^(?:[0-9]+[-/_])+[0-9]+$"),  # dates, phone and order numbers
