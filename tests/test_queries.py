@@ -64,3 +64,25 @@ def test_more_success_changes_l_only(spark):
     base = ledger.ledger(runs, queries.plain_tower(), queries.ok()).toPandas().set_index(["agent", "level"])
     full = ledger.ledger(runs, queries.plain_tower(), F.lit(True)).toPandas().set_index(["agent", "level"])
     assert (base.n == full.n.reindex(base.index)).all() and (base.l <= base.n).all() and (full.l == full.n).all()
+
+
+def test_lookup_goes_down_whole_paths(spark):
+    """Each event run against every stored prefix, in plain Python; some are longer than four steps."""
+    from pyspark.sql import functions as F
+
+    from tracelode.functions import steps as S
+    from tracelode.plans import queries, views
+
+    runs = views.event_runs(spark, SF).select("ordinal", S.tool_sequence(F.col("steps")).alias("labels"), "cost", queries.ok().alias("ok")).collect()
+    paid = {}
+    for r in runs:
+        for k in range(1, len(r["labels"]) + 1 if r["ok"] else 0):
+            p = tuple(r["labels"][:k])
+            paid[p] = min(paid.get(p, r["cost"]), r["cost"])
+    want = {}
+    for r in runs:
+        met = [(k, paid[p]) for k in range(1, len(r["labels"]) + 1) if (p := tuple(r["labels"][:k])) in paid]
+        hit = next(((k, round(v, 6)) for k, v in met if v <= r["cost"]), (None, None))
+        want[r["ordinal"]] = (*hit, max((k for k, _ in met), default=None))
+    got = {r["query_id"]: (r["level"], r["payload"] and round(r["payload"], 6), r["reached"]) for r in queries.payload_lookup_whole_path(spark, SF).collect()}
+    assert got == want and max(x[2] or 0 for x in got.values()) > 4

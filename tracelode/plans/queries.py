@@ -670,15 +670,28 @@ def polynomial_products(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- cache lookup, windows
+def _payload_lookup(spark, sf_dir, max_level: int | None = None) -> DataFrame:
+    runs = views.event_runs(spark, sf_dir)
+    labels = S.tool_sequence(F.col("steps"))
+    deepest = F.size("labels") if max_level is None else F.least(F.size("labels"), F.lit(max_level))
+    stored = runs.filter(ok()).select("cost", labels.alias("labels")).select("cost", "labels", F.explode(F.sequence(F.lit(1), deepest)).alias("level")).groupBy("level", F.slice("labels", F.lit(1), F.col("level")).alias("prefix")).agg(F.min("cost").alias("payload"))
+    asked = runs.select(F.col("ordinal").alias("query_id"), labels.alias("labels"), "cost")
+    return ledger.lookup(stored, asked, F.col("payload") <= F.col("cost"), max_level).withColumn("payload", F.round("payload", 6))
+
+
 @query(f"""WITH {EV}, pay AS (SELECT level::INT AS level, tools[1:level] AS p, min(cost) AS payload FROM (SELECT tools, cost FROM ev WHERE outcome = 'stop') t, range(1, 5) r(level) WHERE level <= len(tools) GROUP BY ALL),
 q AS (SELECT ordinal AS query_id, tools, cost, level::INT AS level FROM ev, range(1, 5) r(level) WHERE level <= len(tools)), m AS (SELECT q.query_id, q.level, pay.payload, pay.payload IS NOT NULL AND pay.payload <= q.cost AS hit FROM q LEFT JOIN pay ON pay.level = q.level AND pay.p = q.tools[1:q.level])
 SELECT query_id, min(level) FILTER (hit) AS level, round(arg_min(payload, level) FILTER (hit), 6) AS payload, max(level) FILTER (payload IS NOT NULL) AS reached FROM m GROUP BY query_id""")
 def payload_prefix_lookup(spark, sf_dir):
-    runs = views.event_runs(spark, sf_dir)
-    labels = S.tool_sequence(F.col("steps"))
-    stored = runs.filter(ok()).select("cost", labels.alias("labels")).select("cost", "labels", F.explode(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(4)))).alias("level")).groupBy("level", F.slice("labels", F.lit(1), F.col("level")).alias("prefix")).agg(F.min("cost").alias("payload"))
-    asked = runs.select(F.col("ordinal").alias("query_id"), labels.alias("labels"), "cost")
-    return ledger.lookup(stored, asked, F.col("payload") <= F.col("cost"), 4).withColumn("payload", F.round("payload", 6))
+    return _payload_lookup(spark, sf_dir, 4)
+
+
+@query(f"""WITH {EV}, pay AS (SELECT level::INT AS level, tools[1:level] AS p, min(cost) AS payload FROM (SELECT tools, cost FROM ev WHERE outcome = 'stop') t, unnest(range(1, len(tools) + 1)) r(level) GROUP BY ALL),
+q AS (SELECT ordinal AS query_id, tools, cost, level::INT AS level FROM ev, unnest(range(1, len(tools) + 1)) r(level)), m AS (SELECT q.query_id, q.level, pay.payload, pay.payload IS NOT NULL AND pay.payload <= q.cost AS hit FROM q LEFT JOIN pay ON pay.level = q.level AND pay.p = q.tools[1:q.level])
+SELECT query_id, min(level) FILTER (hit) AS level, round(arg_min(payload, level) FILTER (hit), 6) AS payload, max(level) FILTER (payload IS NOT NULL) AS reached FROM m GROUP BY query_id""")
+def payload_lookup_whole_path(spark, sf_dir):
+    """payload_prefix_lookup over whole paths, of any length."""
+    return _payload_lookup(spark, sf_dir)
 
 
 @query("""WITH g AS (SELECT user_id, ts, event_type, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
