@@ -86,3 +86,19 @@ def test_lookup_goes_down_whole_paths(spark):
         want[r["ordinal"]] = (*hit, max((k for k, _ in met), default=None))
     got = {r["query_id"]: (r["level"], r["payload"] and round(r["payload"], 6), r["reached"]) for r in queries.payload_lookup_whole_path(spark, SF).collect()}
     assert got == want and max(x[2] or 0 for x in got.values()) > 4
+
+
+def test_region_tree_has_every_customer(spark):
+    from tracelode.plans import queries, views
+
+    kids = {}
+    for r in views.table(spark, SF, "nation").collect():
+        kids.setdefault(r["n_regionkey"], {})[r["n_nationkey"]] = 0
+    region = {n: r for r, of in kids.items() for n in of}
+    customers = views.table(spark, SF, "customer").collect()
+    for c in customers:
+        kids[region[c["c_nationkey"]]][c["c_nationkey"]] += 1
+    names = {r["r_regionkey"]: r["r_name"] for r in views.table(spark, SF, "region").collect()}
+    want = {names[r]: "(" + "".join(sorted("(" + "()" * n + ")" for n in of.values())) + ")" for r, of in kids.items()}
+    got = {r["agent"]: r["shape"] for r in queries.ahu_tree_all_customers(spark, SF).collect()}
+    assert got == want and sum(s.count("(") for s in got.values()) == len(customers) + len(region) + len(names)

@@ -94,7 +94,7 @@ def leaves(found: DataFrame, group: str = "agent") -> DataFrame:
 def canonical_trees(found: DataFrame, depth: int, group: str = "agent") -> DataFrame:
     """group, shape: the tree of prefixes as nested parentheses with children in order; equal iff isomorphic.
 
-    One aggregation for each level, from the deepest up.
+    Two aggregations for each level, from the deepest up: equal children are counted before a node lists its shapes.
     """
     nodes = found.select(group, "level", "prefix")
     shapes = None
@@ -103,7 +103,9 @@ def canonical_trees(found: DataFrame, depth: int, group: str = "agent") -> DataF
         if shapes is None:
             shapes = here.withColumn("shape", F.lit("()"))
             continue
-        up = shapes.groupBy(group, F.slice("prefix", F.lit(1), F.lit(level)).alias("prefix")).agg(F.concat(F.lit("("), F.array_join(F.sort_array(F.collect_list("shape")), ""), F.lit(")")).alias("shape"))
+        equal = shapes.groupBy(group, F.slice("prefix", F.lit(1), F.lit(level)).alias("prefix"), "shape").agg(F.count("*").cast("int").alias("n"))
+        kids = F.transform(F.sort_array(F.collect_list(F.struct("shape", "n"))), lambda k: F.repeat(k["shape"], k["n"]))
+        up = equal.groupBy(group, "prefix").agg(F.concat(F.lit("("), F.array_join(kids, ""), F.lit(")")).alias("shape"))
         shapes = here.join(up, [group, "prefix"], "left").withColumn("shape", F.coalesce("shape", F.lit("()")))
     return shapes.select(group, "shape")
 

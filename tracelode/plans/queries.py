@@ -146,16 +146,27 @@ def leaf_counts(spark, sf_dir):
     return ledger.leaves(found).groupBy("agent", "level").agg(F.count("*").alias("leaves"))
 
 
-@query("""WITH c AS (SELECT r_name AS agent, n_nationkey, count(*) FILTER (c_custkey IS NOT NULL AND c_custkey % 300 = 0) AS kids FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
-s AS (SELECT agent, '(' || repeat('()', kids::BIGINT) || ')' AS shape FROM c) SELECT agent, '(' || string_agg(shape, '' ORDER BY shape) || ')' AS shape FROM s GROUP BY agent""")
-def ahu_region_tree(spark, sf_dir):
+def _region_tree(spark, sf_dir, customers: DataFrame) -> DataFrame:
     nation = views.table(spark, sf_dir, "nation").join(views.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    kids = views.table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 300 == 0).select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").cast("string").alias("leaf"))
+    kids = customers.select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").cast("string").alias("leaf"))
     paths = nation.join(kids, "n_nationkey", "left").select(F.col("r_name").alias("agent"), F.when(F.col("leaf").isNull(), F.array(F.col("n_name"))).otherwise(F.array("n_name", "leaf")).alias("labels"))
     found = ledger.prefixes(paths, F.col("labels"), F.lit(True))
     return ledger.canonical_trees(found, 2)
 
 
+@query("""WITH c AS (SELECT r_name AS agent, n_nationkey, count(*) FILTER (c_custkey IS NOT NULL AND c_custkey % 300 = 0) AS kids FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+s AS (SELECT agent, '(' || repeat('()', kids::BIGINT) || ')' AS shape FROM c) SELECT agent, '(' || string_agg(shape, '' ORDER BY shape) || ')' AS shape FROM s GROUP BY agent""")
+def ahu_region_tree(spark, sf_dir):
+    return _region_tree(spark, sf_dir, views.table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 300 == 0))
+
+
+@query("""WITH c AS (SELECT r_name AS agent, n_nationkey, count(c_custkey) AS kids FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+s AS (SELECT agent, '(' || repeat('()', kids::BIGINT) || ')' AS shape FROM c) SELECT agent, '(' || string_agg(shape, '' ORDER BY shape) || ')' AS shape FROM s GROUP BY agent""")
+def ahu_tree_all_customers(spark, sf_dir):
+    """ahu_region_tree over every customer."""
+    return _region_tree(spark, sf_dir, views.table(spark, sf_dir, "customer"))
+
+
 _R = "r AS (SELECT agent, level, ln(n) / (level * 0.6931471805599453) AS s, CASE WHEN l > 0 THEN ln(l) / (level * 0.6931471805599453) END AS d FROM book)"
 _E = """e AS (SELECT agent, coalesce(max(s) FILTER (s > 0), 0) AS s, coalesce(max(d) FILTER (d > 0), 0) AS d, max(level) AS horizon FROM r GROUP BY agent),
 x AS (SELECT e.agent, e.s, coalesce(min(r.level) FILTER (r.s = e.s AND e.s > 0), 0)::INT AS s_at, e.d, coalesce(min(r.level) FILTER (r.d = e.d AND e.d > 0), 0)::INT AS d_at, e.s - e.d AS delta, e.horizon FROM e JOIN r USING (agent) GROUP BY e.agent, e.s, e.d, e.horizon)"""
