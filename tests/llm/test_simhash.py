@@ -90,3 +90,45 @@ def test_one_of_each_stays(spark, odd, none, documents):
     assert simhash.first_of_each(none).count() == 0
     clash = simhash.first_of_each(odd.withColumn("w", F.lit(1)))
     assert clash.count() == rest.count()
+
+
+def similar(rows, least=0.8):
+    """Kept ids by brute force: five-word shingles, exact Jaccard similarity, least id of each component; also the pairs."""
+    sets = []
+    for _, text in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", low)
+        sets.append({" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)} - {""})
+    root = list(range(len(rows)))
+    pairs = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if both >= least * (len(a) + len(b) - both):
+                pairs += rows[i][1] != rows[j][1]
+                root = [root[j] if r == root[i] else r for r in root] if root[i] != root[j] else root
+    ids = {}
+    for r, (doc_id, _) in zip(root, rows, strict=True):
+        ids.setdefault(r, []).append(doc_id)
+    return sorted(min(v) for v in ids.values()), pairs
+
+
+def test_near_copies_fall_by_jaccard(spark, documents):
+    """The given documents, with copies that lose, gain or change words down to a similarity of 0.8 and below."""
+    rng = np.random.default_rng(5)
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    for n, (_, text) in enumerate(rows[:60]):
+        words = text.split()
+        for place in rng.choice(len(words), max(1, len(words) * (n % 5) // 100), replace=False):
+            words[place] = f"changed{place}"
+        rows.append((10_000 + n, " ".join(words)))
+    want, pairs = similar(rows)
+    got = simhash.first_of_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want and pairs > 30
+
+
+def test_odd_rows_by_jaccard(spark, odd, none):
+    rest = simhash.first_of_similar(odd)
+    ids = [r["doc_id"] for r in rest.collect()]
+    assert rest.columns == odd.columns and sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8] and ids.count(None) == 1
+    assert simhash.first_of_similar(none).count() == 0

@@ -10,16 +10,23 @@ Defined cases: null and blank texts have fingerprint zero, linked like any other
 words than the shingle width give one shingle of all words; repeated rows each get a row;
 a null doc_id gets a fingerprint and counts as larger than any other in a component;
 an empty table gives an empty result; columns other than doc_id and text are not read.
+
+``first_of_similar`` links by similarity: texts whose sets of word shingles have a Jaccard
+similarity of ``least`` or more.  Such sets differ in some 15 % of their fingerprint's bits,
+too many for balls around two halves, so it takes fingerprints of 256 bits and many tables
+of a few bits each, enough for one to agree with a probability of ``RECALL``; what meets
+and is near by 64 bits is verified by the exact similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_chunks, durable, texts_of
@@ -100,6 +107,14 @@ def components(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(named.join(smallest, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
+def _rows_of(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names by id and text key, each once."""
+    rows = docs.withColumn("_text_key", key).join(kept, F.col("_text_key") == F.col("_kept_key")).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")))
+    once = rows.filter("_kept_n = 1")
+    repeated = rows.filter("_kept_n > 1").dropDuplicates(["_kept_id", "_kept_key"])
+    return once.unionByName(repeated).select(*docs.columns)
+
+
 def first_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row, with all columns, of each component: that of the smallest doc_id.
 
@@ -113,7 +128,147 @@ def first_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
     each = durable(records.groupBy("print").agg(least), "simhash-least")
     winner = each.join(_named(prints).select("print", "root"), "print").groupBy("root").agg(F.min("w").alias("w"))
     kept = winner.select("w.doc_id", "w.key", "w.print").join(records.withColumnsRenamed({"doc_id": "d", "key": "k", "print": "p"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("print") == F.col("p"))).select(F.col("d").alias("_kept_id"), F.col("k").alias("_kept_key"), F.col("n").alias("_kept_n"))
-    rows = docs.withColumn("_text_key", key).join(kept, F.col("_text_key") == F.col("_kept_key")).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")))
-    once = rows.filter("_kept_n = 1")
-    repeated = rows.filter("_kept_n > 1").dropDuplicates(["_kept_id", "_kept_key"])
-    return once.unionByName(repeated).select(*docs.columns)
+    return _rows_of(docs, key, kept)
+
+
+#: Words of 64 bits in a wide fingerprint, and how likely a pair of the least similarity meets in some table.
+WORDS = 4
+RECALL = 0.98
+_MIX = ((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB), (0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+def wide_prints(lists: list[np.ndarray]) -> np.ndarray:
+    """A row of WORDS words for each array of distinct hashes: the majority of the hashes and of mixtures of them."""
+    counts = [len(x) for x in lists]
+    flat = np.concatenate([np.zeros(0, dtype=np.uint64), *lists])
+    out = [majority(flat, counts)]
+    for add, times in _MIX:
+        mixed = flat + np.uint64(add)
+        for _ in range(2):
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(times)
+        out.append(majority(mixed ^ (mixed >> np.uint64(29)), counts))
+    return np.stack(out, axis=1)
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets as sorted arrays; two empty ones are equal."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def table_plan(prints: int, least: float) -> tuple[np.ndarray, int]:
+    """The bits of each table (a row each), and the most bits of 64 that a pair of similarity ``least`` differs in.
+
+    A table has so many bits that an unlike fingerprint is met about every fourth time.
+    """
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    bits = max(16, math.ceil(math.log2(max(prints, 1))) + 2)
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share) ** bits))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(tables)]), round(64 * share + 3.5 * math.sqrt(64 * share * (1 - share)))
+
+
+def _wide(docs: DataFrame, width: int, key: Column) -> DataFrame:
+    """doc_id, key, w0.. (the words of the wide fingerprint)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_chunks(batches, "text"):
+            words = wide_prints([shingle_set(t, width) for t in texts_of(batch)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS))], names=["doc_id", "key", *(f"w{k}" for k in range(WORDS))])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key")).mapInArrow(work, "doc_id long, key long" + "".join(f", w{k} long" for k in range(WORDS)))
+
+
+def candidates(nodes: DataFrame, least: float) -> DataFrame:
+    """a < b, d (bits of 64 they differ in): pairs of ``nodes`` (key, w0..) that are neighbours in some table.
+
+    In a table, what shares a key is ordered by fingerprint, and each meets the two before it
+    and the first: every pair where four or fewer meet, and a connected order where more do.
+    """
+    chosen, radius = table_plan(nodes.count(), least)
+    powers = 1 << np.arange(chosen.shape[1], dtype=np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                words = np.stack([part.column(f"w{k}").to_numpy() for k in range(WORDS)], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+                places = np.stack([bits[:, row] @ powers + (t << 40) for t, row in enumerate(chosen)], axis=1)
+                n = len(chosen)
+                yield pa.RecordBatch.from_arrays([pa.array(places.ravel()), pa.array(np.repeat(part.column("key").to_numpy(), n)), pa.array(np.repeat(words[:, 0], n))], names=["place", "key", "sig"])
+
+    placed = nodes.mapInArrow(work, "place long, key long, sig long")
+    order = Window.partitionBy("place").orderBy("sig", "key")
+    me = F.struct("key", "sig")
+    beside = placed.select(me.alias("x"), F.lag(me, 1).over(order).alias("y1"), F.lag(me, 2).over(order).alias("y2"), F.first(me).over(order).alias("y3"))
+    met = beside.select("x", F.explode(F.array("y1", "y2", "y3")).alias("y"))
+    d = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig")))
+    near = met.filter((F.col("x.key") != F.col("y.key")) & (d <= radius))
+    return near.groupBy(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).agg(F.min(d).alias("d"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, key: Column, width: int, least: float) -> DataFrame:
+    """Those (a, b) of ``pairs`` of keys whose texts have a Jaccard similarity of ``least`` or more."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    texts = docs.select(key.alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).join(asked, "_key", "left_semi").groupBy("_key").agg(F.first("_text").alias("_text"))
+    met = pairs.select("a", "b").join(texts.withColumnsRenamed({"_key": "a", "_text": "s"}), "a").join(texts.withColumnsRenamed({"_key": "b", "_text": "t"}), "b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [jaccard(shingle_set(s, width), shingle_set(t, width)) >= least for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(alike, type=pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    return met.mapInArrow(work, "a long, b long")
+
+
+def similar_roots(docs: DataFrame, pairs: DataFrame, key: Column, width: int, least: float) -> DataFrame:
+    """node, root of the components that the verified ones of ``pairs`` make.
+
+    At first each key verifies only its nearest pair, three times over; then all pairs that
+    still run between two components are.  A pair within a component has nothing to add.
+    """
+    left = pairs
+    links = durable(pairs.select("a", "b").limit(0), "similar-links")
+    for nearest in (True, True, True, False):
+        roots = connected(links)
+        left_now = left
+        for c in ("a", "b"):
+            left_now = left_now.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+        left = durable(left_now.filter("ra != rb").select("a", "b", "d"), "similar-left")
+        if left.isEmpty():
+            return roots
+        now = left.select("a", "b")
+        if nearest:
+            ends = left.select("a", "b", "d", F.explode(F.array("a", "b")).alias("end"))
+            now = ends.groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+            now = durable(now, "similar-nearest")
+        fresh = verified(docs, now, key, width, least)
+        links = durable(links.unionByName(fresh), "similar-links")
+        left = left.join(now, ["a", "b"], "left_anti") if nearest else left
+    return connected(links)
+
+
+def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """One row, with all columns, of each component of similar texts: that of the smallest doc_id, a null being the largest.
+
+    Rows that share doc_id and text are one record, of which any one stays.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("text").isNull())
+    prints = durable(_wide(docs, width, key), "similar")
+    words = [f"w{k}" for k in range(WORDS)]
+    nodes = durable(prints.groupBy("key").agg(*(F.first(w).alias(w) for w in words)), "similar-nodes")
+    pairs = durable(candidates(nodes, least), "similar-pairs")
+    roots = similar_roots(docs, pairs, key, width, least)
+    records = prints.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("w")
+    each = durable(records.groupBy("key").agg(best), "similar-least")
+    winner = each.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).groupBy("root").agg(F.min("w").alias("w"))
+    kept = winner.select("w.doc_id", "w.key").join(records.withColumnsRenamed({"doc_id": "d", "key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select(F.col("d").alias("_kept_id"), F.col("k").alias("_kept_key"), F.col("n").alias("_kept_n"))
+    return _rows_of(docs, key, kept)
