@@ -82,7 +82,22 @@ def test_long_rulers_that_end_in_a_digit():
     code = """
 from tracelode.llm import secrets
 for mark in "-=_/+":
-    for line in ("Total" + mark * 40 + "2024", "x" + (mark * 4000 + "a") * 5 + "1"):
+    for line in ("Total" + mark * 40 + "2024", "x" + (mark * 4000 + "a") * 5 + "1", "Total" + (mark + "a") * 400 + "1"):
         assert secrets.entropy_spans(line) == [], line[:20]
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, timeout=60, check=True)
+
+
+def test_keys_of_letters_alone():
+    import random
+    import string
+
+    rng = random.Random(8)
+    found = 0
+    for _ in range(400):
+        key = "".join(rng.choice(string.ascii_letters) for _ in range(32))
+        found += bool(secrets.entropy_spans(f"see {key} there"))
+    assert found >= 380
+    assert "[SECRET]" in secrets.redacted("see qZrLxVobTnKdWsYhJcPmGuEa there")
+    for clean in ("AbstractSingletonProxyFactoryBean", "internationalization_of_everything", "THIS_IS_A_LONG_CONSTANT_NAME", "Some/Path/To/Another/Folder", "getUserAccountPreferencesFromServer"):
+        assert secrets.entropy_spans(clean) == [], clean

@@ -2,9 +2,10 @@
 
 A candidate string is a run of credential characters.  A window slides over it; the counts
 of its characters and the entropy are kept up incrementally, each step being O(1).  The
-threshold depends on the class of characters that the window holds.  An allow-list takes
-out candidates that look random but are not secret (identifiers of public things, digests
-that an adjoining word names as such, plain words).
+threshold depends on the class of characters that the window holds.  Windows of letters
+alone have a threshold of their own, and must change case as often as compound words do
+not.  An allow-list takes out candidates that look random but are not secret (numbers,
+UUIDs, versions and dates, words in one case).
 
 Defined cases: null text counts as empty and gives no span; repeated rows each get a row;
 a null doc_id is kept; an empty table gives an empty result; spans count code points, the
@@ -37,10 +38,12 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 #: Candidate strings, the window, and the least entropy (bits a character) by class.
 WINDOW = 20
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-THRESHOLDS = {"hex": 2.6, "alnum": 3.5, "base64": 3.7}
+THRESHOLDS = {"hex": 2.6, "alnum": 3.5, "base64": 3.7, "letters": 3.8}
+#: Changes between upper and lower case in a window of letters alone; random keys have about 9.5, compound words 6 or fewer.
+LEAST_CHANGES = 7
 ALLOWED = (
     re.compile(r"^[0-9]+$"),  # numbers
-    re.compile(r"^[A-Za-z][A-Za-z_/=+-]*$"),  # words, paths and snake case without a digit; no nested repeats, so a long run of separators is read once
+    re.compile(r"^(?:[a-z_/=+-]+|[A-Z_/=+-]+|[A-Z][a-z]+(?:[_/=+-][A-Z]?[a-z]*)*)$"),  # words, paths and snake case without a digit; no part of it can be read in two ways
     re.compile(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),  # UUIDs
     re.compile(r"^[A-Za-z]+[-_/][0-9./_-]+$"),  # a word with a version or date
     re.compile(r"^(?:[0-9]+[-/_])+[0-9]+$"),  # dates, phone and order numbers
@@ -66,21 +69,25 @@ def hot_windows(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
     counts: dict[str, int] = {}
     table = _plogp(window)
     total, runs = 0.0, []
-    digits = upper = lower = other = 0
+    digits = upper = lower = other = changes = 0
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         total += table[n + 1] - table[n]
         counts[c] = n + 1
         digits, upper, lower, other = digits + c.isdigit(), upper + c.isupper(), lower + c.islower(), other + (not c.isalnum())
+        changes += i > 0 and c.isalpha() and s[i - 1].isalpha() and c.isupper() != s[i - 1].isupper()
         if i >= window:
             gone = s[i - window]
             n = counts[gone]
             total += table[n - 1] - table[n]
             counts[gone] = n - 1
             digits, upper, lower, other = digits - gone.isdigit(), upper - gone.isupper(), lower - gone.islower(), other - (not gone.isalnum())
-        if i >= window - 1 and digits and (upper or lower):
+            after = s[i - window + 1]
+            changes -= gone.isalpha() and after.isalpha() and gone.isupper() != after.isupper()
+        letters = upper + lower == window and changes >= LEAST_CHANGES
+        if i >= window - 1 and (letters or (digits and (upper or lower))):
             bits = math.log2(window) - total / window
-            if bits >= THRESHOLDS["hex"] and bits >= THRESHOLDS[character_class(counts)]:
+            if bits >= THRESHOLDS["hex"] and bits >= THRESHOLDS["letters" if letters else character_class(counts)]:
                 start = i - window + 1
                 if runs and start <= runs[-1][1]:
                     runs[-1] = (runs[-1][0], i + 1)
