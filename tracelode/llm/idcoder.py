@@ -1,16 +1,18 @@
 """Adaptive context-mixing range coder for sequences of ids.
 
 Ids are cut into blocks that are coded independently: every block starts with an empty
-model and carries a checksum of its ids.  The model of a block mixes three predictions of
-the next id: order 2 and order 1 name the id that last followed the same context, with a
-confidence; order 0 is the distribution of the ids seen so far in the block.  The weights
-are probabilities of a hit that adapt to each confidence.  The mixture
+model, names its own alphabet (its distinct ids, ascending) and carries a checksum of its
+ids.  Within a block an id is its place in that alphabet, which keeps every table small.
+The model mixes three predictions of the next id: order 2 and order 1 name the id that last
+followed the same context, with a confidence; order 0 is the distribution of the ids seen
+so far in the block.  The weights are probabilities of a hit that adapt to both confidences
+and to whether the two agree.  The mixture
 
-    P(id) = m2 [id = order 2's] + m1 [id = order 1's] + m0 P0(id)
+    P(id) = w2 [id = order 2's] + w1 [id = order 1's] + w0 P0(id)
 
 drives one arithmetic coding step for each id.  All arithmetic is in integers, so that any
 machine decodes what any other has encoded.  Many blocks are coded in lockstep, one vector
-lane for each.
+lane for each; what a lane does depends on its own block alone.
 """
 
 from __future__ import annotations
@@ -21,185 +23,234 @@ import zlib
 import numpy as np
 
 BLOCK = 8192
-LANES = 512
-MAGIC = b"TLB1"
-_HEADER = struct.Struct("<4sIIII")  # magic, ids, vocabulary, checksum of the ids, payload bytes
+LANES = 2048
+MAGIC = b"TLB2"
+_HEADER = struct.Struct("<4sIIII")  # magic, ids, distinct ids, checksum of the ids, bytes of alphabet and payload
 
-_GAIN = 24  # of a seen id over one never seen
-_LANE_SHIFT = 18  # vocabulary + _GAIN * BLOCK must stay under 1 << _LANE_SHIFT
 _MIX = 12  # bits of a weight
-_ONE, _TWO = 4096, 8192  # slots of the order-1 and order-2 tables
-_REFRESH = (128, 512, 1024, 2048, 4096)  # ids after which order 0 is brought up to date
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+_ONE = np.int32(1 << _MIX)
+_PAIRS = 4096  # slots of the order-2 table
+_REFRESH = (32, 64, 128, 256, 512, 1024, 1536, 2048, 3072, 4096, 6144)  # steps at which order 0 is brought up to date
+_SCALE, _WIDE = 13, 15  # bits of order 0's total: for blocks of at most 1 << 11 distinct ids, for others
+_A, _B = np.int32(40503), np.int32(60493)
+_WORD, _LEAST = np.uint64(32), np.uint64(1 << 32)
 _U = np.uint64
 
 
 class _Model:
-    """The state of many blocks' models; lanes are rows."""
-
-    def __init__(self, lanes: int, vocabulary: int) -> None:
-        if vocabulary + _GAIN * BLOCK >= 1 << _LANE_SHIFT:
-            raise ValueError(f"vocabulary of {vocabulary} ids is too large for blocks of {BLOCK}")
-        self.vocabulary, self.lanes = vocabulary, lanes
-        self.row = np.arange(lanes, dtype=np.int64)
-        self.counts = np.zeros((lanes, vocabulary), dtype=np.uint16)
-        # cumulative frequencies of all lanes in one ascending array: a lane's values start at lane << _LANE_SHIFT
-        self.cumulative = np.empty((lanes, vocabulary + 1), dtype=np.uint32)
-        self.cumulative[:] = np.arange(vocabulary + 1, dtype=np.uint32)[None, :] + (np.arange(lanes, dtype=np.uint32)[:, None] << np.uint32(_LANE_SHIFT))
-        self.groups = -(-vocabulary // 256)
-        self.coarse = self.cumulative[:, : vocabulary : 256].ravel()
-        self.total = np.full(lanes, vocabulary, dtype=np.int64)
-        self.guess = [np.zeros(lanes * _ONE, dtype=np.int32), np.zeros(lanes * _TWO, dtype=np.int32)]
-        self.sure = [np.zeros(lanes * _ONE, dtype=np.int8), np.zeros(lanes * _TWO, dtype=np.int8)]
-        self.hit = [np.tile(np.array([200, 1200, 2400, 3400], dtype=np.int64), lanes) for _ in range(2)]
-        self.last = np.zeros(lanes, dtype=np.int64)
-        self.before = np.zeros(lanes, dtype=np.int64)
+    """The models of many blocks; a lane for each, whose alphabet has ``sizes[lane]`` ids.
+
+    ``lookup`` keeps the table from places in order 0 to ids, which decoding alone needs.
+    """
+
+    def __init__(self, sizes: np.ndarray, lookup: bool) -> None:
+        lanes = len(sizes)
+        row = np.arange(lanes, dtype=np.int64)
+        self.sizes, self.bits = sizes, np.where(sizes <= 1 << 11, _SCALE, _WIDE).astype(np.int32)
+        self.base = np.cumsum(sizes) - sizes  # of a lane's alphabet in the flat tables
+        self.places = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(self.base, sizes)
+        self.counts = np.zeros(len(self.places), dtype=np.uint16)
+        totals = 1 << self.bits.astype(np.int64)
+        self.slot_base = np.cumsum(totals) - totals
+        self.one_base, self.pair_base, self.state_base = self.base + row, row * _PAIRS, row * 32
+        # an entry is (guess << 2) | confidence; order 1 has one more context, the start
+        self.one = np.zeros(len(self.places) + lanes, dtype=np.uint16)
+        self.pair = np.zeros(lanes * _PAIRS, dtype=np.uint16)
+        agree, sure1, sure2 = np.arange(32) & 1, np.arange(32) >> 1 & 3, np.arange(32) >> 3
+        self.hit2 = np.tile(np.array([150, 1400, 2600, 3500])[sure2] + 200 * agree, lanes).astype(np.int32)
+        self.hit1 = np.tile(np.where(agree, 0, np.array([200, 900, 1600, 2400])[sure1]), lanes).astype(np.int32)
+        self.last, self.before = sizes.astype(np.int32), sizes.astype(np.int32)
+        self.shown = np.zeros(len(self.places), dtype=np.int32)
+        self.refresh(lanes, 0, lookup)
+
+    def refresh(self, n: int, step: int, lookup: bool) -> None:
+        """Order 0 of the first ``n`` lanes after ``step`` ids: every id of the alphabet keeps a share, the total is a power of two."""
+        sizes, held = self.sizes[:n], int(self.sizes[:n].sum())
+        places = self.places[:held]
+        room = np.repeat((1 << self.bits[:n].astype(np.int64)) - sizes, sizes)
+        # before the first id all are alike
+        seen = np.cumsum(self.counts[:held], dtype=np.int64) - np.repeat(np.arange(n, dtype=np.int64) * step, sizes) if step else places + 1
+        upper = places + 1 + seen * room // (step or np.repeat(sizes, sizes))
+        lower = np.zeros(held, dtype=np.int64)
+        lower[1:] = upper[:-1]
+        lower[self.base[:n]] = 0
+        self.shown[:held] = lower << 16 | (upper - lower)  # (cumulative, frequency)
+        if lookup:
+            self.lookup = np.repeat(places.astype(np.uint16), upper - lower)
 
     def predict(self, n: int) -> None:
-        """Contexts, guesses and weights of the first ``n`` lanes."""
-        row, last = self.row[:n], self.last[:n]
-        one = row * _ONE + ((last * 40503 >> 4) & (_ONE - 1))
-        two = row * _TWO + (((last * 40503 ^ self.before[:n] * 60493) >> 3) & (_TWO - 1))
-        self.slots = (one, two)
-        self.guess1, self.guess2 = self.guess[0][one].astype(np.int64), self.guess[1][two].astype(np.int64)
-        self.state1, self.state2 = row * 4 + self.sure[0][one], row * 4 + self.sure[1][two]
-        p1, p2 = self.hit[0][self.state1], self.hit[1][self.state2]
-        total = self.total[:n]
-        self.m1 = ((1 << _MIX) - p2) * p1 >> _MIX
-        self.m0 = (1 << _MIX) - p2 - self.m1
-        self.w1, self.w2 = self.m1 * total, p2 * total
-        self.whole = total << _MIX
+        """Guesses and weights of the first ``n`` lanes."""
+        last, base = self.last[:n], self.base[:n]
+        self.slot1 = self.one_base[:n] + last
+        self.slot2 = self.pair_base[:n] + ((last * _A + self.before[:n] * _B >> 2) & (_PAIRS - 1))
+        e1, e2 = self.one.take(self.slot1), self.pair.take(self.slot2)
+        self.guess1, self.guess2, self.sure1, self.sure2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
+        self.differ = self.guess1 != self.guess2
+        self.state = self.state_base[:n] + ((self.sure2 << 3 | self.sure1 << 1) + ~self.differ)
+        self.p2, self.p1 = self.hit2.take(self.state), self.hit1.take(self.state)
+        missed = _ONE - self.p2
+        w1 = missed * self.p1 >> _MIX
+        self.w0 = missed - w1
+        at1, at2 = self.shown.take(base + self.guess1), self.shown.take(base + self.guess2)
+        bits = self.bits[:n]
+        # masses of the two guesses, which come first; order 0 follows without them
+        self.mass2 = (self.p2 << bits) + self.w0 * (at2 & 0xFFFF)
+        self.mass1 = ((w1 << bits) + self.w0 * (at1 & 0xFFFF)) * self.differ
+        self.both = self.mass2 + self.mass1
+        near, far = np.minimum(at1, at2), np.maximum(at1, at2)
+        self.near, self.far = near >> 16, far >> 16
+        self.near_width, self.far_width = near & 0xFFFF, (far & 0xFFFF) * self.differ
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cumulative, frequency) of each lane's id in the mixture."""
-        n = len(ids)
-        at = self.row[:n] * (self.vocabulary + 1) + ids
-        flat = self.cumulative.ravel()
-        low = flat[at].astype(np.int64) - (self.row[:n] << _LANE_SHIFT)
-        width = flat[at + 1].astype(np.int64) - (self.row[:n] << _LANE_SHIFT) - low
-        start = self.m0 * low + self.w1 * (self.guess1 < ids) + self.w2 * (self.guess2 < ids)
-        return start, self.m0 * width + self.w1 * (self.guess1 == ids) + self.w2 * (self.guess2 == ids)
-
-    def find(self, target: np.ndarray) -> np.ndarray:
-        """The id in whose interval each lane's target lies."""
-        n = len(target)
-        base, flat = self.row[:n] * (self.vocabulary + 1), self.cumulative.ravel()
-        first = self.guess1 <= self.guess2
-        a, b = np.where(first, self.guess1, self.guess2), np.where(first, self.guess2, self.guess1)
-        wa, wb = np.where(first, self.w1, self.w2), np.where(first, self.w2, self.w1)
-        offset = self.row[:n] << _LANE_SHIFT
-
-        def edge(i: np.ndarray) -> np.ndarray:
-            return self.m0 * (flat[base + i].astype(np.int64) - offset)
-
-        past_a = target >= edge(a)
-        is_a = past_a & (target < edge(a + 1) + wa)
-        rest = target - np.where(past_a & ~is_a, wa, 0)
-        past_b = ~is_a & past_a & (rest >= edge(b))
-        is_b = past_b & (rest < edge(b + 1) + wb)
-        rest = rest - np.where(past_b & ~is_b, wb, 0)
-        wanted = np.clip(rest // self.m0, 0, self.total[:n] - 1) + offset
-        # every 256th value is searched first: that table stays in the processor's cache
-        at = base + 256 * (np.searchsorted(self.coarse, wanted.astype(np.uint32), side="right") - 1 - self.row[:n] * self.groups)
-        for width in (128, 64, 32, 16, 8, 4, 2, 1):
-            beyond = np.minimum(at + width, base + self.vocabulary)
-            at = np.where(flat[beyond] <= wanted, beyond, at)
-        ids = at - base
-        return np.where(is_a, a, np.where(is_b, b, ids))
-
-    def update(self, ids: np.ndarray, step: int) -> None:
-        n = len(ids)
-        for k, (slot, guess, state) in enumerate(((self.slots[0], self.guess1, self.state1), (self.slots[1], self.guess2, self.state2))):
-            right = guess == ids
-            p = self.hit[k][state]
-            self.hit[k][state] = np.clip(p + (np.where(right, 4095, 0) - p >> 4), 32, 4064)
-            self.sure[k][slot] = np.where(right, np.minimum(self.sure[k][slot] + 1, 3), 0)
-            self.guess[k][slot] = ids
-        self.counts.ravel()[self.row[:n] * self.vocabulary + ids] += 1
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids + 1
-        if step + 1 in _REFRESH:
-            for at in range(0, n, 16):
-                end = min(n, at + 16)
-                self.cumulative[at:end, 1:] = np.cumsum(self.counts[at:end].astype(np.uint32) * np.uint32(_GAIN) + np.uint32(1), axis=1, dtype=np.uint32)
-                self.cumulative[at:end, 1:] += self.cumulative[at:end, :1]
-            self.coarse = self.cumulative[:, : self.vocabulary : 256].ravel()
-            self.total[:n] = self.vocabulary + _GAIN * (step + 1)
-
-
-def _lanes(lengths: np.ndarray) -> list[int]:
+        own = self.shown.take(self.base[: len(ids)] + ids)
+        low = own >> 16
+        self.right2, self.same1 = ids == self.guess2, ids == self.guess1
+        self.right1 = self.same1 & self.differ
+        return self._edges(low - self.near_width * (low > self.near) - self.far_width * (low > self.far), own & 0xFFFF)
+
+    def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id in whose interval each lane's target lies, and that interval."""
+        bare = (target - self.both) // self.w0
+        u = bare + self.near_width * (bare >= self.near)
+        u += self.far_width * (u >= self.far)
+        self.right2 = target < self.mass2
+        self.right1 = (target < self.both) ^ self.right2
+        other = self.lookup.take(self.slot_base[: len(target)] + u, mode="clip")
+        ids = np.where(self.right2, self.guess2, np.where(self.right1, self.guess1, other))
+        self.same1 = ids == self.guess1
+        own = self.shown.take(self.base[: len(target)] + ids, mode="clip")
+        return ids, *self._edges((own >> 16) - u + bare, own & 0xFFFF)
+
+    def _edges(self, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, share = self.both + self.w0 * low, self.w0 * width
+        start[self.right2] = 0
+        np.copyto(start, self.mass2, where=self.right1)
+        np.copyto(share, self.mass1, where=self.right1)
+        np.copyto(share, self.mass2, where=self.right2)
+        return start.astype(np.int64).view(np.uint64), share.astype(np.int64).view(np.uint64)
+
+    def update(self, ids: np.ndarray) -> None:
+        self.hit2[self.state] = self.p2 + (self.right2 * _ONE - self.p2 >> 4)
+        # order 1's weight is that of a hit where order 2 missed; where both agree it has none and stays at zero
+        self.hit1[self.state] = self.p1 + (self.right1 * _ONE - self.p1 >> 4) * ~self.right2
+        entry = ids.astype(np.uint16) << 2
+        self.pair[self.slot2] = entry + np.minimum(self.sure2 + 1, 3) * self.right2
+        self.one[self.slot1] = entry + np.minimum(self.sure1 + 1, 3) * self.same1
+        self.before, self.last = self.last, ids
+
+    def learn(self, ids: np.ndarray, step: int, lookup: bool) -> None:
+        """Brings order 0 up to date after ``step`` ids; ``ids`` (steps x lanes) are those since it was last."""
+        n = ids.shape[1]
+        self.counts += np.bincount((self.base[:n] + ids).ravel(), minlength=len(self.counts)).astype(np.uint16)
+        self.refresh(n, step, lookup)
+
+
+def _running(lengths: np.ndarray) -> list[int]:
     """For each step the number of lanes that still run; lengths never grow."""
     return np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left").tolist()
 
 
-def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> list[bytes]:
-    """``ids`` (lanes x longest) with lengths that never grow from lane to lane."""
+def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """``ids`` (lanes x longest, places in the lanes' alphabets) with lengths that never grow from lane to lane."""
     lanes = len(lengths)
-    model = _Model(lanes, vocabulary)
+    model = _Model(sizes, lookup=False)
+    shift = (model.bits + _MIX).astype(np.uint64)
     low, reach = np.zeros(lanes, dtype=np.uint64), np.full(lanes, ~_U(0), dtype=np.uint64)
-    out = np.zeros((lanes, 2 * int(lengths[0]) + 8), dtype="<u2")
+    # a word may hold a carry until the end; a step adds a word at most
+    out = np.zeros((lanes, 1024), dtype=np.uint64)
     size = np.zeros(lanes, dtype=np.int64)
-    for step, n in enumerate(_lanes(lengths)):
-        now = ids[:n, step]
+    columns = np.ascontiguousarray(ids.T)
+    last = 0
+    for step, n in enumerate(_running(lengths)):
+        if not step % 256 and int(size.max()) + 260 > out.shape[1]:
+            out = np.concatenate([out, np.zeros((lanes, 1024), dtype=np.uint64)], axis=1)
+        if step in _REFRESH:
+            model.learn(columns[last:step, :n], step, False)
+            last = step
+        now = columns[step, :n].astype(np.int32)
         model.predict(n)
         start, width = model.interval(now)
-        unit = reach[:n] // model.whole.astype(np.uint64)
-        low[:n] += start.astype(np.uint64) * unit
-        reach[:n] = width.astype(np.uint64) * unit
-        while True:
-            l, r = low[:n], reach[:n]
-            same = (l ^ (l + r)) < _TOP
-            small = ~same & (r < _BOTTOM)
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                break
-            tight = np.flatnonzero(small)
-            reach[tight] = (~low[tight] + _U(1)) & (_BOTTOM - _U(1))
-            out[go, size[go]] = (low[go] >> _U(48)).astype(np.uint16)
+        unit = reach[:n] >> shift[:n]
+        moved = low[:n] + start * unit
+        over = np.flatnonzero(moved < low[:n])
+        if len(over):
+            out[over, size[over] - 1] += _U(1)
+        low[:n] = moved
+        reach[:n] = width * unit
+        go = np.flatnonzero(reach[:n] < _LEAST)
+        if len(go):
+            held = low[go]
+            out[go, size[go]] = held >> _WORD
             size[go] += 1
-            low[go] <<= _U(16)
-            reach[go] <<= _U(16)
-        model.update(now, step)
-    for shift in (48, 32, 16, 0):
-        out[np.arange(lanes), size] = ((low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
+            low[go] = held << _WORD
+            reach[go] <<= _WORD
+        model.update(now)
+    for k in (32, 0):
+        out[np.arange(lanes), size] = (low >> _U(k)) & _U(0xFFFFFFFF)
         size += 1
-    return [out[i, : size[i]].tobytes() for i in range(lanes)]
+    while len(full := np.argwhere(out > _U(0xFFFFFFFF))):
+        out[full[:, 0], full[:, 1]] &= _U(0xFFFFFFFF)
+        np.add.at(out, (full[:, 0], full[:, 1] - 1), _U(1))
+    return [out[i, : size[i]].astype("<u4").tobytes() for i in range(lanes)]
 
 
-def _decode_lanes(payloads: list[bytes], lengths: np.ndarray, vocabulary: int) -> np.ndarray:
+def _decode_lanes(payloads: list[bytes], lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     lanes = len(lengths)
-    words = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 8), dtype=np.uint64)
+    stride = max(len(p) for p in payloads) // 4 + 3
+    words = np.zeros((lanes, stride), dtype=np.uint64)
     for i, p in enumerate(payloads):
-        words[i, : len(p) // 2] = np.frombuffer(p, dtype="<u2")
-    model = _Model(lanes, vocabulary)
-    low, reach = np.zeros(lanes, dtype=np.uint64), np.full(lanes, ~_U(0), dtype=np.uint64)
-    code = words[:, 0] << _U(48) | words[:, 1] << _U(32) | words[:, 2] << _U(16) | words[:, 3]
-    at = np.full(lanes, 4, dtype=np.int64)
-    ids = np.zeros((lanes, int(lengths[0])), dtype=np.int64)
-    for step, n in enumerate(_lanes(lengths)):
+        words[i, : len(p) // 4] = np.frombuffer(p, dtype="<u4", count=len(p) // 4)
+    model = _Model(sizes, lookup=True)
+    shift = (model.bits + _MIX).astype(np.uint64)
+    most = (_U(1) << shift) - _U(1)
+    # the target's distance from the lower end of the interval
+    code, reach = words[:, 0] << _WORD | words[:, 1], np.full(lanes, ~_U(0), dtype=np.uint64)
+    at, ends = np.arange(lanes, dtype=np.int64) * stride + 2, np.arange(1, lanes + 1, dtype=np.int64) * stride - 1
+    flat = words.ravel()
+    ids = np.zeros((int(lengths[0]), lanes), dtype=np.uint16)
+    last = 0
+    for step, n in enumerate(_running(lengths)):
+        if step in _REFRESH:
+            model.learn(ids[last:step, :n], step, True)
+            last = step
         model.predict(n)
-        whole = model.whole.astype(np.uint64)
-        unit = reach[:n] // whole
-        now = model.find(np.minimum((code[:n] - low[:n]) // unit, whole - _U(1)).astype(np.int64))
-        ids[:n, step] = now
-        start, width = model.interval(now)
-        low[:n] += start.astype(np.uint64) * unit
-        reach[:n] = width.astype(np.uint64) * unit
-        while True:
-            l, r = low[:n], reach[:n]
-            same = (l ^ (l + r)) < _TOP
-            small = ~same & (r < _BOTTOM)
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                break
-            tight = np.flatnonzero(small)
-            reach[tight] = (~low[tight] + _U(1)) & (_BOTTOM - _U(1))
-            code[go] = code[go] << _U(16) | words[go, at[go]]
-            at[go] += 1
-            low[go] <<= _U(16)
-            reach[go] <<= _U(16)
-        model.update(now, step)
-    return ids
+        unit = reach[:n] >> shift[:n]
+        now, start, width = model.find(np.minimum(code[:n] // unit, most[:n]).astype(np.int32))
+        ids[step, :n] = now
+        code[:n] -= start * unit
+        reach[:n] = width * unit
+        go = np.flatnonzero(reach[:n] < _LEAST)
+        if len(go):
+            place = at[go]
+            code[go] = code[go] << _WORD | flat[np.minimum(place, ends[go])]
+            at[go] = place + 1
+            reach[go] <<= _WORD
+        model.update(now)
+    return ids.T
+
+
+def _pack_alphabet(ids: np.ndarray) -> bytes:
+    """Ascending distinct ids as differences, seven bits to a byte, the last byte of each without its high bit."""
+    gaps = np.diff(ids.astype(np.int64), prepend=0)
+    parts = np.stack([gaps >> 7 * k & 0x7F for k in range(5)], axis=1)
+    more = np.stack([gaps >> 7 * (k + 1) > 0 for k in range(5)], axis=1)
+    used = np.concatenate([np.ones((len(gaps), 1), dtype=bool), more[:, :4]], axis=1)
+    return (parts | more << 7)[used].astype(np.uint8).tobytes()
+
+
+def _unpack_alphabet(data: bytes, count: int) -> tuple[np.ndarray, int]:
+    """The ids and the bytes they take; ValueError if there are not ``count``."""
+    raw = np.frombuffer(data, dtype=np.uint8, count=min(len(data), 5 * count)).astype(np.int64)
+    ends = np.flatnonzero(raw < 0x80)[:count]
+    if len(ends) < count or not count:
+        if count:
+            raise ValueError("a block's alphabet is cut short")
+        return np.zeros(0, dtype=np.int64), 0
+    raw = raw[: ends[-1] + 1]
+    first = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(raw)) - np.repeat(first, ends - first + 1)
+    return np.cumsum(np.add.reduceat((raw & 0x7F) << 7 * np.minimum(place, 5), first)), len(raw)
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -210,12 +261,22 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     out = []
     for first in range(0, len(ids), BLOCK * LANES):
         part = ids[first : first + BLOCK * LANES]
-        lengths = np.array([min(BLOCK, len(part) - s) for s in range(0, len(part), BLOCK)], dtype=np.int64)
-        table = np.zeros((len(lengths), BLOCK), dtype=np.int64)
-        table.ravel()[: len(part)] = part
-        for i, payload in enumerate(_encode_lanes(table, lengths, vocabulary)):
-            own = part[i * BLOCK : i * BLOCK + int(lengths[i])]
-            out += [_HEADER.pack(MAGIC, len(own), vocabulary, zlib.crc32(own.tobytes()), len(payload)), payload]
+        blocks = [part[s : s + BLOCK] for s in range(0, len(part), BLOCK)]
+        table = np.zeros((len(blocks), BLOCK), dtype=np.uint16)
+        alphabets = []
+        # which ids a block holds, and their places, by a table over the vocabulary: no sorting
+        place = np.zeros(vocabulary, dtype=np.uint16)
+        for i, own in enumerate(blocks):
+            seen = np.zeros(vocabulary, dtype=bool)
+            seen[own] = True
+            alphabets.append(np.flatnonzero(seen))
+            place[alphabets[-1]] = np.arange(len(alphabets[-1]), dtype=np.uint16)
+            table[i, : len(own)] = place[own]
+        lengths = np.array([len(b) for b in blocks], dtype=np.int64)
+        sizes = np.array([len(a) for a in alphabets], dtype=np.int64)
+        for own, alphabet, payload in zip(blocks, alphabets, _encode_lanes(table[:, : int(lengths[0])], lengths, sizes), strict=True):
+            names = _pack_alphabet(alphabet)
+            out += [_HEADER.pack(MAGIC, len(own), len(alphabet), zlib.crc32(own.tobytes()), len(names) + len(payload)), names, payload]
     return b"".join(out)
 
 
@@ -223,20 +284,23 @@ def decode(data: bytes) -> np.ndarray:
     """The ids (uint32) of blocks as ``encode`` made them; ValueError if a block is damaged."""
     blocks, at = [], 0
     while at < len(data):
-        magic, n, vocabulary, check, size = _HEADER.unpack_from(data, at)
-        if magic != MAGIC:
+        if len(data) - at < _HEADER.size or data[at : at + 4] != MAGIC:
             raise ValueError("not a block")
+        _, n, distinct, check, size = _HEADER.unpack_from(data, at)
         at += _HEADER.size
-        blocks.append((n, vocabulary, check, data[at : at + size]))
+        if not 0 < distinct <= n <= BLOCK or len(data) - at < size:
+            raise ValueError("a block's header does not hold")
+        alphabet, used = _unpack_alphabet(data[at : at + size], distinct)
+        blocks.append((n, alphabet, check, data[at + used : at + size]))
         at += size
     out = []
     for first in range(0, len(blocks), LANES):
         group = blocks[first : first + LANES]
         order = sorted(range(len(group)), key=lambda i: -group[i][0])
-        table = _decode_lanes([group[i][3] for i in order], np.array([group[i][0] for i in order], dtype=np.int64), group[0][1])
+        table = _decode_lanes([group[i][3] for i in order], np.array([group[i][0] for i in order], dtype=np.int64), np.array([len(group[i][1]) for i in order], dtype=np.int64))
         back = {i: k for k, i in enumerate(order)}
-        for i, (n, _, check, _) in enumerate(group):
-            own = table[back[i], :n].astype("<u4")
+        for i, (n, alphabet, check, _) in enumerate(group):
+            own = alphabet[np.minimum(table[back[i], :n], len(alphabet) - 1)].astype("<u4")
             if zlib.crc32(own.tobytes()) != check:
                 raise ValueError(f"checksum of block {first + i} does not match")
             out.append(own)

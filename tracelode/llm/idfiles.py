@@ -1,7 +1,8 @@
 """Files of token ids: documents in ascending doc_id order, coded in independent, checksummed blocks.
 
 A file is a Parquet envelope (so that any store that Spark writes will do) whose rows are
-segments: whole documents, their ids and lengths, and the coded blocks of all their ids.
+segments: whole documents, their ids and lengths under a checksum, and the coded blocks of
+all their ids.  A segment whose parts do not fit each other raises ValueError when read.
 
 Defined cases: null text counts as empty and has the end id alone; null doc_ids come first;
 rows that share a doc_id come next to each other in any order; an empty table gives no
@@ -24,8 +25,14 @@ from .common import byte_chunks, partitions_for, texts_of
 from .tokens import encoder
 
 SEGMENT_IDS = idcoder.BLOCK * idcoder.LANES
-ROWS_PER_TASK = 8_000
-SEGMENTS = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, blocks binary"
+#: Text bytes of a task, so that its ids fill about one segment.
+TASK_BYTES = 40 << 20
+SEGMENTS = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, names_crc32 long, blocks binary"
+
+
+def names_crc32(doc_ids: list, lengths: list) -> int:
+    """The checksum of a segment's documents and their lengths."""
+    return zlib.crc32(repr((doc_ids, lengths)).encode())
 
 
 def segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -42,9 +49,10 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             blocks = idcoder.encode(np.frombuffer(b"".join(ids), dtype="<u4"), vocabulary)
-            row = [[part], [number], [held], [list(doc_ids)], [[len(x) // 4 for x in ids]], [blocks]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(row, kinds, strict=True)], names=["part", "segment", "n_ids", "doc_ids", "lengths", "blocks"])
+            lengths = [len(x) // 4 for x in ids]
+            row = [[part], [number], [held], [list(doc_ids)], [lengths], [names_crc32(list(doc_ids), lengths)], [blocks]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(row, kinds, strict=True)], names=["part", "segment", "n_ids", "doc_ids", "lengths", "names_crc32", "blocks"])
 
         for batch in byte_chunks(batches, "text"):
             for doc, own in zip(batch.column("doc_id").to_pylist(), coder.encode(texts_of(batch)), strict=True):
@@ -61,7 +69,7 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tasks = partitions_for(docs.sparkSession, rows.count(), ROWS_PER_TASK)
+    tasks = partitions_for(docs.sparkSession, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, TASK_BYTES)
     # a doc_id that many rows share is spread over tasks by a second key
     rows = rows.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(tasks, "doc_id", "salt").sortWithinPartitions("doc_id", "salt")
     return rows.select("doc_id", "text").mapInArrow(work, SEGMENTS)
@@ -79,12 +87,17 @@ def read(spark, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
+                doc_ids, lengths = row.column("doc_ids")[0].as_py(), row.column("lengths")[0].as_py()
+                if names_crc32(doc_ids, lengths) != row.column("names_crc32")[0].as_py():
+                    raise ValueError("checksum of a segment's documents does not match")
                 data = idcoder.decode(row.column("blocks")[0].as_py()).tobytes()
-                lengths = np.array(row.column("lengths")[0].as_py(), dtype=np.int64)
+                if not 4 * sum(lengths) == 4 * row.column("n_ids")[0].as_py() == len(data):
+                    raise ValueError("a segment's blocks do not hold the ids of its documents")
+                lengths = np.array(lengths, dtype=np.int64)
                 ends = np.cumsum(lengths)
                 n = len(lengths)
                 crcs = [zlib.crc32(data[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row.column("doc_ids")[0].as_py(), type=pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crcs, type=pa.int64()), pa.array([row.column("part")[0].as_py()] * n, type=pa.int32()), pa.array([row.column("segment")[0].as_py()] * n, type=pa.int32())], names=["doc_id", "within", "n_tokens", "ids_crc32", "part", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, type=pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crcs, type=pa.int64()), pa.array([row.column("part")[0].as_py()] * n, type=pa.int32()), pa.array([row.column("segment")[0].as_py()] * n, type=pa.int32())], names=["doc_id", "within", "n_tokens", "ids_crc32", "part", "segment"])
 
     docs = files.mapInArrow(work, "doc_id long, within long, n_tokens long, ids_crc32 long, part int, segment int")
     # ids before a segment: those of earlier parts, and of earlier segments of its part

@@ -6,6 +6,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain, compress, filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +16,11 @@ from tokenizers import Tokenizer
 #: Chunks that one worker keeps; beyond it the cache starts anew, which changes no id.
 CACHE_ENTRIES = 600_000
 _UNEVEN_SPACE = re.compile(r"\s\s")
+#: Chunks of ASCII and Latin-1 letters, on which the word file's normalizer only lowers case, and their pieces by its pattern.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]{1,500}")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END = "\x01"
 
 
 class ChunkedEncoder:
@@ -35,11 +41,55 @@ class ChunkedEncoder:
         self.cache: dict[str, bytes] = {}
         self.specials = [t["content"] for t in shape.get("added_tokens", [])]
         self.merger = self._byte_merger(shape) if self.keeps_space else None
+        self.words = self._word_merger(shape) if self.drops_space else None
+
+    @staticmethod
+    def _byte_of() -> dict[str, int]:
+        """The byte that each letter of a byte-level vocabulary stands for."""
+        letters = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        return {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in letters)}
+
+    def _word_merger(self, shape: dict) -> tiktoken.Encoding | None:
+        """The vocabulary of a file that marks a word's last letter, in the faster merger: the mark is a byte after the word.
+
+        Its ids become places in merge order: bytes, bytes with the mark, then merges.
+        """
+        model, byte_of = shape["model"], self._byte_of()
+        splits = shape["pre_tokenizer"]["pretokenizers"]
+        steps = [n["type"] for n in shape["normalizer"]["normalizers"]]
+        if model.get("end_of_word_suffix") != "</w>" or any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix")) or splits[0]["pattern"].get("Regex") != _WORD_PATTERN or [s["type"] for s in splits] != ["Split", "ByteLevel"] or steps != ["NFC", "Replace", "Lowercase"]:
+            return None
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        names = [*byte_of, *(c + "</w>" for c in byte_of), *merged]
+
+        def spelled(name: str) -> bytes:
+            body, mark = (name[:-4], _END.encode()) if name.endswith("</w>") else (name, b"")
+            return bytes(byte_of[c] for c in body) + mark
+
+        ranks = {spelled(name): n for n, name in enumerate(names)}
+        if len(ranks) != len(names) or any(name not in model["vocab"] for name in names):
+            return None
+        self.id_of = np.array([model["vocab"][name] for name in names], dtype="<u4")
+        self.space = ranks[b" "]
+        return tiktoken.Encoding("words", pat_str=f"[^{_END} ]+{_END}| ", mergeable_ranks=ranks, special_tokens={})
+
+    def _worded(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks: plain ones by the merger, all at once and divided at the spaces between them; others by the file itself."""
+        plain = [_PLAIN.fullmatch(c) is not None for c in chunks]
+        if any(s in " ".join(chunks) for s in self.specials):
+            plain = [p and not any(s in c for s in self.specials) for c, p in zip(chunks, plain, strict=True)]
+        marked = _PIECES.sub("\\g<0>" + _END, " ".join(compress(chunks, plain)).lower())
+        got = self.words.encode_to_numpy(marked)
+        data = self.id_of[got[got != self.space]].tobytes()
+        cuts = np.flatnonzero(got == self.space)
+        ends = [*(4 * (cuts - np.arange(len(cuts)))).tolist(), len(data)]
+        found = map(data.__getitem__, map(slice, [0, *ends], ends))
+        rest = iter(self._whole([c for c, p in zip(chunks, plain, strict=True) if not p]))
+        return [next(found) if p else next(rest) for p in plain]
 
     def _byte_merger(self, shape: dict) -> tiktoken.Encoding | None:
         """The same vocabulary in the faster merger, where merge order and ids agree; it serves chunks not seen before."""
-        letters = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        byte_of = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in letters)}
+        byte_of = self._byte_of()
         vocabulary = {token: n for token, n in shape["model"]["vocab"].items() if token not in self.specials}
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in shape["model"]["merges"]]
         numbers = [vocabulary.get(m, -1) for m in merged]
@@ -74,13 +124,12 @@ class ChunkedEncoder:
         else:
             return self._whole(texts)
         cache = self.cache
-        needed = set().union(*parts)
-        if missing := needed - cache.keys():
+        if missing := set(filterfalse(cache.__contains__, chain.from_iterable(parts))):
             if len(cache) + len(missing) > CACHE_ENTRIES:
                 cache.clear()
-                missing = needed
+                missing = set().union(*parts)
             order = list(missing)
-            cache.update(zip(order, self._whole(order), strict=True))
+            cache.update(zip(order, self._whole(order) if self.words is None else self._worded(order), strict=True))
         return [b"".join(map(cache.__getitem__, p)) for p in parts]
 
     def _encode_spaced(self, texts: list[str], parts: list[list[str] | None]) -> list[bytes]:
