@@ -5,14 +5,16 @@ model, names its own alphabet (its distinct ids, ascending) and carries a checks
 ids.  Within a block an id is its place in that alphabet, which keeps every table small.
 The model mixes three predictions of the next id: order 2 and order 1 name the id that last
 followed the same context, with a confidence; order 0 is the distribution of the ids seen
-so far in the block.  The weights are probabilities of a hit that adapt to both confidences
-and to whether the two agree.  The mixture
+so far in the block.  Each has a weight, its probability of a hit as counted so far in the
+block, for each pair of confidences and by whether the two agree.  The three weighted
+predictions share out the range of one arithmetic coding step,
 
-    P(id) = w2 [id = order 2's] + w1 [id = order 1's] + w0 P0(id)
+    [ w2: order 2's id | w1: order 1's id | w0: order 0 over all ids ]
 
-drives one arithmetic coding step for each id.  All arithmetic is in integers, so that any
-machine decodes what any other has encoded.  Many blocks are coded in lockstep, one vector
-lane for each; what a lane does depends on its own block alone.
+and an id is coded by the first share that predicts it.  Counts adapt at fixed steps, the
+named ids at every step.  All arithmetic is in integers, so that any machine decodes what
+any other has encoded.  Many blocks are coded in lockstep, one vector lane for each; what a
+lane does depends on its own block alone.
 """
 
 from __future__ import annotations
@@ -28,13 +30,18 @@ MAGIC = b"TLB2"
 _HEADER = struct.Struct("<4sIIII")  # magic, ids, distinct ids, checksum of the ids, bytes of alphabet and payload
 
 _MIX = 12  # bits of a weight
-_ONE = np.int32(1 << _MIX)
 _PAIRS = 4096  # slots of the order-2 table
-_REFRESH = (32, 64, 128, 256, 512, 1024, 1536, 2048, 3072, 4096, 6144)  # steps at which order 0 is brought up to date
+_STATES = 32  # pairs of confidences, and whether the two guesses agree
+_REFRESH = (32, 64, 128, 256, 512, 1024, 1536, 2048, 3072, 4096, 6144)  # steps at which weights and order 0 are brought up to date
+_GAP = max(b - a for a, b in zip((0, *_REFRESH), _REFRESH))
 _SCALE, _WIDE = 13, 15  # bits of order 0's total: for blocks of at most 1 << 11 distinct ids, for others
-_A, _B = np.int32(40503), np.int32(60493)
 _WORD, _LEAST = np.uint64(32), np.uint64(1 << 32)
 _U = np.uint64
+# what is taken for granted before the first id: tries and hits of each state
+_AGREE, _SURE1, _SURE2 = np.arange(_STATES) & 1, np.arange(_STATES) >> 1 & 3, np.arange(_STATES) >> 3
+_TRIES = 12
+_HITS2 = np.array([1, 4, 8, 10])[_SURE2] + _AGREE
+_HITS1 = np.array([1, 3, 5, 7])[_SURE1]
 
 
 class _Model:
@@ -52,15 +59,15 @@ class _Model:
         self.counts = np.zeros(len(self.places), dtype=np.uint16)
         totals = 1 << self.bits.astype(np.int64)
         self.slot_base = np.cumsum(totals) - totals
-        self.one_base, self.pair_base, self.state_base = self.base + row, row * _PAIRS, row * 32
+        self.one_base, self.pair_base, self.state_base = self.base + row, row * _PAIRS, row * _STATES
         # an entry is (guess << 2) | confidence; order 1 has one more context, the start
         self.one = np.zeros(len(self.places) + lanes, dtype=np.uint16)
         self.pair = np.zeros(lanes * _PAIRS, dtype=np.uint16)
-        agree, sure1, sure2 = np.arange(32) & 1, np.arange(32) >> 1 & 3, np.arange(32) >> 3
-        self.hit2 = np.tile(np.array([150, 1400, 2600, 3500])[sure2] + 200 * agree, lanes).astype(np.int32)
-        self.hit1 = np.tile(np.where(agree, 0, np.array([200, 900, 1600, 2400])[sure1]), lanes).astype(np.int32)
-        self.last, self.before = sizes.astype(np.int32), sizes.astype(np.int32)
-        self.shown = np.zeros(len(self.places), dtype=np.int32)
+        self.tries = np.full(lanes * _STATES, _TRIES, dtype=np.int64)
+        self.hits2, self.hits1 = (np.tile(h, lanes).astype(np.int64) for h in (_HITS2, _HITS1))
+        self.last, self.before = sizes.astype(np.int64), sizes.astype(np.int64)
+        self.shown = np.zeros(len(self.places), dtype=np.int64)
+        self.weigh()
         self.refresh(lanes, 0, lookup)
 
     def refresh(self, n: int, step: int, lookup: bool) -> None:
@@ -78,73 +85,73 @@ class _Model:
         if lookup:
             self.lookup = np.repeat(places.astype(np.uint16), upper - lower)
 
+    def weigh(self) -> None:
+        """The shares of both guesses and order 0's weight for each lane and state; where both agree there is one guess."""
+        w2 = ((self.hits2 << _MIX) // self.tries).clip(1, (1 << _MIX) - 32)
+        # order 1 is asked where order 2 missed, besides the tries taken for granted
+        missed = self.tries - self.hits2 + np.tile(_HITS2, len(self.sizes))
+        w1 = (((1 << _MIX) - w2) * self.hits1 // missed).clip(1) * np.tile(1 - _AGREE, len(self.sizes))
+        bits = np.repeat(self.bits, _STATES).astype(np.int64)
+        self.share2, self.both = w2 << bits, (w2 + w1) << bits
+        self.rest = (1 << _MIX) - w2 - w1
+
     def predict(self, n: int) -> None:
-        """Guesses and weights of the first ``n`` lanes."""
-        last, base = self.last[:n], self.base[:n]
+        """Guesses and shares of the first ``n`` lanes."""
+        last = self.last[:n]
         self.slot1 = self.one_base[:n] + last
-        self.slot2 = self.pair_base[:n] + ((last * _A + self.before[:n] * _B >> 2) & (_PAIRS - 1))
-        e1, e2 = self.one.take(self.slot1), self.pair.take(self.slot2)
-        self.guess1, self.guess2, self.sure1, self.sure2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
-        self.differ = self.guess1 != self.guess2
-        self.state = self.state_base[:n] + ((self.sure2 << 3 | self.sure1 << 1) + ~self.differ)
-        self.p2, self.p1 = self.hit2.take(self.state), self.hit1.take(self.state)
-        missed = _ONE - self.p2
-        w1 = missed * self.p1 >> _MIX
-        self.w0 = missed - w1
-        at1, at2 = self.shown.take(base + self.guess1), self.shown.take(base + self.guess2)
-        bits = self.bits[:n]
-        # masses of the two guesses, which come first; order 0 follows without them
-        self.mass2 = (self.p2 << bits) + self.w0 * (at2 & 0xFFFF)
-        self.mass1 = ((w1 << bits) + self.w0 * (at1 & 0xFFFF)) * self.differ
-        self.both = self.mass2 + self.mass1
-        near, far = np.minimum(at1, at2), np.maximum(at1, at2)
-        self.near, self.far = near >> 16, far >> 16
-        self.near_width, self.far_width = near & 0xFFFF, (far & 0xFFFF) * self.differ
+        self.slot2 = self.pair_base[:n] + (self.before[:n] * 61 + last & (_PAIRS - 1))
+        self.entry1, self.entry2 = self.one.take(self.slot1), self.pair.take(self.slot2)
+        self.guess1, self.guess2 = self.entry1 >> 2, self.entry2 >> 2
+        self.sure1, self.sure2 = self.entry1 & 3, self.entry2 & 3
+        self.state = self.state_base[:n] + (self.sure2 << 3 | self.sure1 << 1 | (self.guess1 == self.guess2))
+        self.upto2, self.upto1, self.w0 = self.share2.take(self.state), self.both.take(self.state), self.rest.take(self.state)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cumulative, frequency) of each lane's id in the mixture."""
-        own = self.shown.take(self.base[: len(ids)] + ids)
-        low = own >> 16
+        """(cumulative, frequency) of each lane's id."""
         self.right2, self.same1 = ids == self.guess2, ids == self.guess1
-        self.right1 = self.same1 & self.differ
-        return self._edges(low - self.near_width * (low > self.near) - self.far_width * (low > self.far), own & 0xFFFF)
+        return self._edges(ids, self.same1 & ~self.right2)
 
     def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id in whose interval each lane's target lies, and that interval."""
-        bare = (target - self.both) // self.w0
-        u = bare + self.near_width * (bare >= self.near)
-        u += self.far_width * (u >= self.far)
-        self.right2 = target < self.mass2
-        self.right1 = (target < self.both) ^ self.right2
-        other = self.lookup.take(self.slot_base[: len(target)] + u, mode="clip")
-        ids = np.where(self.right2, self.guess2, np.where(self.right1, self.guess1, other))
+        """The id in whose share each lane's target lies, and its interval."""
+        other = self.lookup.take((target - self.upto1) // self.w0 + self.slot_base[: len(target)], mode="clip")
+        self.right2 = target < self.upto2
+        right1 = (target < self.upto1) ^ self.right2
+        ids = np.where(self.right2, self.guess2, np.where(right1, self.guess1, other)).astype(np.int64)
         self.same1 = ids == self.guess1
-        own = self.shown.take(self.base[: len(target)] + ids, mode="clip")
-        return ids, *self._edges((own >> 16) - u + bare, own & 0xFFFF)
+        return ids, *self._edges(ids, right1)
 
-    def _edges(self, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start, share = self.both + self.w0 * low, self.w0 * width
-        start[self.right2] = 0
-        np.copyto(start, self.mass2, where=self.right1)
-        np.copyto(share, self.mass1, where=self.right1)
-        np.copyto(share, self.mass2, where=self.right2)
-        return start.astype(np.int64).view(np.uint64), share.astype(np.int64).view(np.uint64)
+    def _edges(self, ids: np.ndarray, right1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = self.shown.take(self.base[: len(ids)] + ids, mode="clip")
+        start, width = self.upto1 + self.w0 * (own >> 16), self.w0 * (own & 0xFFFF)
+        np.copyto(start, self.upto2, where=right1)
+        np.copyto(width, self.upto1 - self.upto2, where=right1)
+        np.copyto(start, 0, where=self.right2)
+        np.copyto(width, self.upto2, where=self.right2)
+        return start.view(np.uint64), width.view(np.uint64)
 
     def update(self, ids: np.ndarray) -> None:
-        self.hit2[self.state] = self.p2 + (self.right2 * _ONE - self.p2 >> 4)
-        # order 1's weight is that of a hit where order 2 missed; where both agree it has none and stays at zero
-        self.hit1[self.state] = self.p1 + (self.right1 * _ONE - self.p1 >> 4) * ~self.right2
         entry = ids.astype(np.uint16) << 2
-        self.pair[self.slot2] = entry + np.minimum(self.sure2 + 1, 3) * self.right2
-        self.one[self.slot1] = entry + np.minimum(self.sure1 + 1, 3) * self.same1
+        self.pair[self.slot2] = np.where(self.right2, self.entry2 + (self.sure2 < 3), entry)
+        self.one[self.slot1] = np.where(self.same1, self.entry1 + (self.sure1 < 3), entry)
         self.before, self.last = self.last, ids
 
-    def learn(self, ids: np.ndarray, step: int, lookup: bool) -> None:
-        """Brings order 0 up to date after ``step`` ids; ``ids`` (steps x lanes) are those since it was last."""
+    def learn(self, ids: np.ndarray, marks: np.ndarray, step: int, lookup: bool) -> None:
+        """Brings weights and order 0 up to date after ``step`` ids.
+
+        ``ids`` and ``marks`` (steps x lanes) are those since it was last; a mark is (state << 2) | same as order 1's | same as order 2's.
+        """
         n = ids.shape[1]
         self.counts += np.bincount((self.base[:n] + ids).ravel(), minlength=len(self.counts)).astype(np.uint16)
+        seen = np.bincount(marks.ravel(), minlength=4 * len(self.tries)).reshape(-1, 4)
+        self.tries += seen.sum(axis=1)
+        self.hits2 += seen[:, 1] + seen[:, 3]
+        self.hits1 += seen[:, 2]
+        self.weigh()
         self.refresh(n, step, lookup)
 
+    def mark(self) -> np.ndarray:
+        return self.state << 2 | self.same1 << 1 | self.right2
+
 
 def _running(lengths: np.ndarray) -> list[int]:
     """For each step the number of lanes that still run; lengths never grow."""
@@ -157,25 +164,25 @@ def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> li
     model = _Model(sizes, lookup=False)
     shift = (model.bits + _MIX).astype(np.uint64)
     low, reach = np.zeros(lanes, dtype=np.uint64), np.full(lanes, ~_U(0), dtype=np.uint64)
-    # a word may hold a carry until the end; a step adds a word at most
-    out = np.zeros((lanes, 1024), dtype=np.uint64)
+    # a step adds a word at most
+    out = np.zeros((lanes, 2304), dtype=np.uint32)
     size = np.zeros(lanes, dtype=np.int64)
     columns = np.ascontiguousarray(ids.T)
-    last = 0
+    marks, last = np.zeros((_GAP, lanes), dtype=np.int32), 0
     for step, n in enumerate(_running(lengths)):
         if not step % 256 and int(size.max()) + 260 > out.shape[1]:
-            out = np.concatenate([out, np.zeros((lanes, 1024), dtype=np.uint64)], axis=1)
+            out = np.concatenate([out, np.zeros((lanes, 1024), dtype=np.uint32)], axis=1)
         if step in _REFRESH:
-            model.learn(columns[last:step, :n], step, False)
+            model.learn(columns[last:step, :n], marks[: step - last, :n], step, False)
             last = step
-        now = columns[step, :n].astype(np.int32)
+        now = columns[step, :n].astype(np.int64)
         model.predict(n)
         start, width = model.interval(now)
         unit = reach[:n] >> shift[:n]
         moved = low[:n] + start * unit
         over = np.flatnonzero(moved < low[:n])
         if len(over):
-            out[over, size[over] - 1] += _U(1)
+            _carry(out, over, size[over] - 1)
         low[:n] = moved
         reach[:n] = width * unit
         go = np.flatnonzero(reach[:n] < _LEAST)
@@ -185,16 +192,23 @@ def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> li
             size[go] += 1
             low[go] = held << _WORD
             reach[go] <<= _WORD
+        if step < _REFRESH[-1]:
+            marks[step - last, :n] = model.mark()
         model.update(now)
     for k in (32, 0):
         out[np.arange(lanes), size] = (low >> _U(k)) & _U(0xFFFFFFFF)
         size += 1
-    while len(full := np.argwhere(out > _U(0xFFFFFFFF))):
-        out[full[:, 0], full[:, 1]] &= _U(0xFFFFFFFF)
-        np.add.at(out, (full[:, 0], full[:, 1] - 1), _U(1))
     return [out[i, : size[i]].astype("<u4").tobytes() for i in range(lanes)]
 
 
+def _carry(out: np.ndarray, lanes: np.ndarray, at: np.ndarray) -> None:
+    """Adds one to a lane's last word, and to those before it as long as a word was full."""
+    while len(lanes):
+        out[lanes, at] += np.uint32(1)
+        full = out[lanes, at] == 0
+        lanes, at = lanes[full], at[full] - 1
+
+
 def _decode_lanes(payloads: list[bytes], lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     lanes = len(lengths)
     stride = max(len(p) for p in payloads) // 4 + 3
@@ -209,14 +223,14 @@ def _decode_lanes(payloads: list[bytes], lengths: np.ndarray, sizes: np.ndarray)
     at, ends = np.arange(lanes, dtype=np.int64) * stride + 2, np.arange(1, lanes + 1, dtype=np.int64) * stride - 1
     flat = words.ravel()
     ids = np.zeros((int(lengths[0]), lanes), dtype=np.uint16)
-    last = 0
+    marks, last = np.zeros((_GAP, lanes), dtype=np.int32), 0
     for step, n in enumerate(_running(lengths)):
         if step in _REFRESH:
-            model.learn(ids[last:step, :n], step, True)
+            model.learn(ids[last:step, :n], marks[: step - last, :n], step, True)
             last = step
         model.predict(n)
         unit = reach[:n] >> shift[:n]
-        now, start, width = model.find(np.minimum(code[:n] // unit, most[:n]).astype(np.int32))
+        now, start, width = model.find(np.minimum(code[:n] // unit, most[:n]).view(np.int64))
         ids[step, :n] = now
         code[:n] -= start * unit
         reach[:n] = width * unit
@@ -226,6 +240,8 @@ def _decode_lanes(payloads: list[bytes], lengths: np.ndarray, sizes: np.ndarray)
             code[go] = code[go] << _WORD | flat[np.minimum(place, ends[go])]
             at[go] = place + 1
             reach[go] <<= _WORD
+        if step < _REFRESH[-1]:
+            marks[step - last, :n] = model.mark()
         model.update(now)
     return ids.T
 

@@ -48,8 +48,10 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         held = 0
 
         def flush() -> pa.RecordBatch:
-            blocks = idcoder.encode(np.frombuffer(b"".join(ids), dtype="<u4"), vocabulary)
             lengths = [len(x) // 4 for x in ids]
+            joined = np.frombuffer(b"".join(ids), dtype="<u4")
+            ids.clear()
+            blocks = idcoder.encode(joined, vocabulary)
             row = [[part], [number], [held], [list(doc_ids)], [lengths], [names_crc32(list(doc_ids), lengths)], [blocks]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(row, kinds, strict=True)], names=["part", "segment", "n_ids", "doc_ids", "lengths", "names_crc32", "blocks"])
@@ -59,7 +61,6 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 own += end
                 if held and held + len(own) // 4 > SEGMENT_IDS:
                     yield flush()
-                    ids.clear()
                     doc_ids.clear()
                     number, held = number + 1, 0
                 ids.append(own)

@@ -6,7 +6,8 @@ import json
 import re
 from array import array
 from functools import lru_cache
-from itertools import chain, compress, filterfalse
+from itertools import accumulate, chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import public_tokenizers
@@ -17,8 +18,9 @@ from tokenizers import Tokenizer
 CACHE_ENTRIES = 600_000
 _UNEVEN_SPACE = re.compile(r"\s\s")
 #: Chunks of ASCII and Latin-1 letters, on which the word file's normalizer only lowers case, and their pieces by its pattern.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]{1,500}")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_ODD = re.compile("[^ !-~À-ÖØ-öø-ÿ]")
+_PIECES = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _END = "\x01"
 
@@ -70,16 +72,19 @@ class ChunkedEncoder:
         if len(ranks) != len(names) or any(name not in model["vocab"] for name in names):
             return None
         self.id_of = np.array([model["vocab"][name] for name in names], dtype="<u4")
-        self.space = ranks[b" "]
-        return tiktoken.Encoding("words", pat_str=f"[^{_END} ]+{_END}| ", mergeable_ranks=ranks, special_tokens={})
+        self.space = ranks[(" " + _END).encode()]
+        return tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
 
     def _worded(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks: plain ones by the merger, all at once and divided at the spaces between them; others by the file itself."""
-        plain = [_PLAIN.fullmatch(c) is not None for c in chunks]
-        if any(s in " ".join(chunks) for s in self.specials):
-            plain = [p and not any(s in c for s in self.specials) for c, p in zip(chunks, plain, strict=True)]
-        marked = _PIECES.sub("\\g<0>" + _END, " ".join(compress(chunks, plain)).lower())
-        got = self.words.encode_to_numpy(marked)
+        joined = " ".join(chunks)
+        if _ODD.search(joined) or "  " in joined or joined[:1] in ("", " ") or joined[-1] == " " or any(s in joined for s in self.specials):
+            plain = [_PLAIN.fullmatch(c) is not None and not any(s in c for s in self.specials) for c in chunks]
+            joined = " ".join(compress(chunks, plain))
+        else:
+            plain = [True] * len(chunks)
+        # spaces are pieces of their own, by which the ids are divided
+        got = self.words.encode_to_numpy(_END.join((*_PIECES.findall(joined.lower()), "")))
         data = self.id_of[got[got != self.space]].tobytes()
         cuts = np.flatnonzero(got == self.space)
         ends = [*(4 * (cuts - np.arange(len(cuts)))).tolist(), len(data)]
@@ -124,13 +129,19 @@ class ChunkedEncoder:
         else:
             return self._whole(texts)
         cache = self.cache
-        if missing := set(filterfalse(cache.__contains__, chain.from_iterable(parts))):
+        flat = list(chain.from_iterable(parts))
+        found = list(map(cache.get, flat))
+        if missing := set(compress(flat, map(is_, found, repeat(None)))):
             if len(cache) + len(missing) > CACHE_ENTRIES:
                 cache.clear()
-                missing = set().union(*parts)
             order = list(missing)
             cache.update(zip(order, self._whole(order) if self.words is None else self._worded(order), strict=True))
-        return [b"".join(map(cache.__getitem__, p)) for p in parts]
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = cache[flat[at]]
+        ends = list(accumulate(map(len, parts)))
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def _encode_spaced(self, texts: list[str], parts: list[list[str] | None]) -> list[bytes]:
         cache = self.cache
