@@ -32,18 +32,30 @@ def test_every_code_within_the_radius_is_met():
     x = rng.normal(size=(3000, 24))
     coder = ann.learn(x[:1000], float(np.linalg.norm(x, axis=1).max()) * 1.001, 10, 0.9)
     coder.radius = 19
-    shard = ann.Shard(np.arange(3000), x, coder)
+    shard = ann.Shard(np.arange(3000), np.arange(3000), x, coder)
     for i in range(0, 3000, 300):
         code = int(coder.codes(x[i : i + 1], query=True)[0])
         want = np.flatnonzero(np.bitwise_count(shard.codes ^ np.uint64(code)) <= 19)
         assert shard.within(code).tolist() == want.tolist()
 
 
-def test_odd_vectors_ties_and_few_rows(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [None, 1.0]), (None, [1.0, 1.0]), (10, [1.0, 2.0, 3.0]), (20, [-1.0, 0.5])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
-    got = ann.search(df, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 3, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 20, -1.0), (20, 1, 0, -1.0), (20, 2, 1, -1.0), (20, 3, 2, -1.0), (20, 4, 3, -2.0)]
+def plain(rows, k):
+    """What the contract asks for, row by row: every valid row but the query's own, of the query's length; ties to the smaller vec_id."""
+    fine = [(i, d, v) for i, (d, v) in enumerate(rows) if v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    out = []
+    for i, d, q in fine:
+        if d is not None and d % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), e is None, e or 0) for j, e, v in fine if j != i and len(v) == len(q))
+            out += [(d, n + 1, None if gone else e, -s) for n, (s, gone, e) in enumerate(near[:k])]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("k", [2, 20])
+def test_odd_vectors_ties_repeats_lengths_and_few_rows(spark, k):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (3, [0.5, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [None, 1.0]), (None, [1.0, 1.0]), (10, [1.0, 2.0, 3.0]), (20, [-1.0, 0.5]), (20, [-1.0, 0.5]), (40, [1.0, 1.0, 1.0]), (60, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("rank", "row", "v", "query_row", "score", "query_id")})
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k=k).collect()
+    assert sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got), key=str) == plain(rows, k)
     assert ann.search(df.filter("vec_id > 99"), F.col("vec_id") % 20 == 0).count() == 0
 
 

@@ -48,6 +48,23 @@ def test_many_rounds(spark, documents, monkeypatch):
     assert made <= 1.05 * least + 2
 
 
+def test_half_full_sequences_meet(spark, documents, monkeypatch):
+    """However many tasks there are, no two sequences are left that are half full."""
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 10)
+    for capacity in (300, 512, 2048):
+        fill = {}
+        for r in packing.pack(documents, PATH, capacity=capacity).collect():
+            fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+        assert sum(f <= capacity // 2 for f in fill.values()) <= 1
+
+
+def test_rows_that_never_fit_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 10)
+    docs = spark.createDataFrame([(i, "word " * 59) for i in range(300)], "doc_id long, text string")
+    rows = packing.pack(docs, PATH, capacity=100).collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows) == 300
+
+
 def test_odd_rows(spark, odd, none):
     rows = packing.pack(odd, PATH, capacity=64).collect()
     check(rows, [r["text"] for r in odd.collect()], 64)

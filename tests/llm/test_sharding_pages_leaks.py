@@ -1,9 +1,12 @@
+import math
 import re
+import struct
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tracelode.llm import crf, decontamination, pages, sharding
@@ -20,6 +23,23 @@ def test_slots_sizes_and_growth(spark, sf, documents):
     assert ((got["grown_shard"] == got["shard"]) | (got["grown_shard"] == 24)).all()
 
 
+def best_shard(key, weights):
+    """The shard of a key by plain arithmetic: least -ln(u) / weight, u from XXH64 of key and shard."""
+    costs = []
+    for shard, weight in enumerate(weights):
+        inner = xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=inner)
+        costs.append((-math.log(((h >> 11) + 0.5) * 2.0**-53) / weight, shard))
+    return min(costs)[1]
+
+
+def test_every_row_by_plain_arithmetic(spark, sf):
+    rows = op8_rendezvous_sharding(spark, sf).collect()
+    assert [(r["shard"], r["grown_shard"]) for r in rows] == [(best_shard(r["doc_id"], [1.0] * 24), best_shard(r["doc_id"], [1.0] * 25)) for r in rows]
+    got = spark.range(500).select("id", sharding.rendezvous(F.col("id"), [1.0, 2.5, 0.5]).alias("s")).collect()
+    assert [r["s"] for r in got] == [best_shard(r["id"], [1.0, 2.5, 0.5]) for r in got]
+
+
 def test_weights_and_growth_at_scale(spark):
     keys = spark.range(40_000)
     w = [1.0, 2.0, 4.0]
@@ -50,7 +70,7 @@ def test_held_out_pages(model):
     for page in pages.labelled_pages(300, seed=12345):
         blocks, labels = pages.labelled_blocks(page)
         if blocks:
-            delta = model.weights[np.array(pages.feature_numbers(blocks))].sum(axis=1)
+            delta = crf.Features.of(pages.feature_numbers(blocks)).sums(model.weights)
             right += int((model.viterbi(delta, crf.Chains(np.array([0]), np.array([len(blocks)]))) == labels).sum())
             total += len(blocks)
     assert right / total > 0.97
@@ -73,6 +93,16 @@ def test_pages_against_their_template(spark):
     assert sum(r["text"] == article(html[r["page_id"]]) for r in got) >= 0.97 * len(got)
 
 
+def test_every_class_word_and_interface_word_counts():
+    names = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    wide = "".join(f'<div class="wrap{c}{c} layout{c}{c}">' for c in names)
+    block = pages.blocks_of(f'{wide}<div class="comments zz-reply"><p>{" ".join(sorted(pages.INTERFACE)[:38])}</p>')[0]
+    numbers = pages.feature_numbers([block])[0]
+    assert {"comments", "reply", "zz", "wrapaa", "layoutzz"} <= block.names
+    assert {pages._bucket(f"name={w}") for w in block.names} | {pages._bucket(f"ui={w}") for w in sorted(pages.INTERFACE)[:38]} <= set(numbers)
+    assert len(numbers) > 80
+
+
 def test_parser():
     texts = lambda s: [b.text for b in pages.blocks_of(s)]
     assert texts("<p>a &amp; b\n  c<br>d<p>e<script>no</p></script><b>f</b><!-- g --><div>h<style>i</style></div>") == ["a & b c d", "e f", "h"]
@@ -125,3 +155,24 @@ def test_leaks_in_long_documents_and_passes(spark, monkeypatch):
     assert sorted(str(r["doc_id"]) for r in decontamination.clean(frame, bench).collect()) == sorted(str(d) for d, _ in docs if str(d) not in leaky)
     assert decontamination.contained(frame, bench.filter("item_id > 99")).count() == 0
     assert decontamination.contained(frame.filter("doc_id > 999"), bench).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 16, 17, 100, 128, 129, 1500])
+def test_no_pair_of_enough_containment_is_lost(n):
+    """Whichever shingles an item misses, as long as it keeps the share, its signature meets the text."""
+    size = decontamination.signature_length(n, 0.8)
+    assert size >= 1 and n - size < math.ceil(0.8 * n)
+    words = [f"w{i}" for i in range(n + 4)]
+    index = decontamination.ItemIndex.of([(1, " ".join(words), 1)], 5, 0.8)
+    text_shingles = [words[i : i + 5] for i in range(n)]
+    for seed in range(6):
+        keep = np.random.default_rng(seed).permutation(n)[: math.ceil(0.8 * n)]
+        text = [w for i in sorted(keep) for w in [*text_shingles[i], f"gap{i}"]]
+        assert index.candidates([["other"], text], {}) == [(1, 0)]
+
+
+def test_repeated_items_each_give_a_row(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two three four five six")] * 3 + [(8, "two three")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contained(docs, items).collect()) == [(1, 7)] * 6 + [(1, 8)] * 2
+    assert decontamination.clean(docs, items).count() == 0

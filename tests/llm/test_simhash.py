@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -132,3 +133,12 @@ def test_odd_rows_by_jaccard(spark, odd, none):
     ids = [r["doc_id"] for r in rest.collect()]
     assert rest.columns == odd.columns and sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8] and ids.count(None) == 1
     assert simhash.first_of_similar(none).count() == 0
+
+
+@pytest.mark.parametrize("stage", [simhash.first_of_each, simhash.first_of_similar])
+def test_columns_of_any_name_stay(spark, odd, stage):
+    names = ("_text_key", "_kept_id", "_kept_key", "_kept_n", "id", "key", "n", "row", "a.b", "w", "w0", "root", "d", "k")
+    wide = odd.withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    out = stage(wide)
+    assert out.schema == wide.schema and out.count() == stage(odd).count()
+    assert all(r[c] == i for r in out.collect() for i, c in enumerate(names))

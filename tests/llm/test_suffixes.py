@@ -98,3 +98,9 @@ def test_anchors_depend_on_the_string_alone():
     assert set(at) == {(t, s) for t, n in enumerate(sizes) for s in range(n - 199)}
     for s in range(31):
         assert len({at[t, k + s] for t, k in enumerate((0, 13, 77))}) == 1
+
+
+def test_nothing_is_left_in_the_catalog(spark, documents):
+    out = suffixes.deduplicate(documents)
+    assert out.count() == documents.count()
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("tracelode")] == []

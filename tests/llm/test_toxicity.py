@@ -1,4 +1,6 @@
 import itertools
+import math
+import re
 import zlib
 
 import numpy as np
@@ -85,3 +87,43 @@ def test_without_labels_nothing_is_toxic(spark, odd):
     model = toxicity.learn(odd, labels)
     assert toxicity.scores(odd, model).filter("score > 0").count() == 0
     assert toxicity.learn(odd, spark.createDataFrame([(1, 1), (1, 0), (7, 1)], "doc_id long, toxic int")).head is None
+
+
+def test_offsets_where_lowering_adds_letters():
+    texts = ["a fine day in town. all is well here"] * 30 + ["you are a complete blockhead. go away blockhead"] * 10
+    model = toxicity.train(texts, [0] * 30 + [1] * 10)
+    for text in ("İİ what a blockhead", "x İ. İstanbul blockhead İ blockhead!", "BLOCKHEAD İ"):
+        _, spans = model.apply([text], {})
+        want = [(m.start(), m.end()) for m in re.finditer("(?i)blockhead", text)]
+        assert set(want) <= set(spans[0]) and all(0 <= a < b <= len(text) for a, b in spans[0])
+
+
+def plain_score(model, text):
+    """The score of a text step by step: tokens, sums of weights, forward and backward in probabilities, summary, logistic function."""
+    marginals = []
+    for sentence in re.split(r"[.!?\n]", text.lower()):
+        words = re.findall(r"[^\W_]+", sentence)
+        delta = [sum(float(model.field.weights[f]) for f in toxicity.feature_numbers(w)) for w in words]
+        if not words:
+            continue
+        m, n = np.exp(model.field.moves), len(words)
+        ahead = [np.array([1.0, np.exp(model.field.bias + delta[0])])]
+        for d in delta[1:]:
+            step = (ahead[-1] @ m) * np.array([1.0, np.exp(d)])
+            ahead.append(step / step.sum())
+        behind = [np.ones(2)]
+        for d in reversed(delta[1:]):
+            step = m @ (behind[0] * np.array([1.0, np.exp(d)]))
+            behind.insert(0, step / step.sum())
+        marginals += [float((a * b)[1] / (a * b).sum()) for a, b in zip(ahead, behind, strict=True)]
+    sure = sum(p for p in marginals if p >= toxicity.SPAN_AT)
+    x = [1, math.log1p(sure), max(marginals, default=0), math.sqrt(sure / max(1, len(marginals))), math.log1p(min(sum(marginals), 1))]
+    return 1 / (1 + math.exp(-float(np.dot(x, model.head))))
+
+
+def test_query_scores_step_by_step(spark, sf, documents):
+    model = toxicity.learn(documents, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    rows = op5_toxicity(spark, sf).collect()
+    assert len(rows) == len(texts)
+    assert [r["score"] for r in rows] == pytest.approx([plain_score(model, texts[r["doc_id"]]) for r in rows], abs=1e-6)

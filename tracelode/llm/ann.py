@@ -12,10 +12,11 @@ The queries are dealt in blocks of bounded size, each broadcast and run against
 of the index; the index itself is never shuffled again.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components
-take no part, neither do those of another dimension than most; of rows that share a
-vec_id one stays (the least vector); rows with a null vec_id are dropped; a query meets
-every other vec_id and gets all if there are fewer than k; an empty table gives an empty
-result; columns other than vec_id and the vector are not read.
+take no part; vectors of one length meet each other and no others, for there is no inner
+product between lengths; rows that share a vec_id are rows of their own, as candidates and
+as queries; a row with a null vec_id is a candidate (its id comes last in ties) and never a
+query; a query meets every other row of its length and gets all if there are fewer than k;
+an empty table gives an empty result; columns other than vec_id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -100,8 +101,9 @@ def learn(sample: np.ndarray, scale: float, k: int, coverage: float, rounds: int
 class Shard:
     """The tables of one part of the index."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, coder: Coder) -> None:
-        self.ids, self.x, self.coder = ids, x, coder
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, coder: Coder) -> None:
+        """``rows`` are the numbers of the rows in the whole table, ``ids`` what settles ties."""
+        self.numbers, self.ids, self.x, self.coder = rows, ids, x, coder
         self.codes = coder.codes(x)
         parts = self.codes[:, None] >> np.arange(0, BITS, WIDTH, dtype=np.uint64) & np.uint64((1 << WIDTH) - 1)
         self.rows = [np.argsort(parts[:, j], kind="stable").astype(np.int32) for j in range(SUBSTRINGS)]
@@ -120,65 +122,74 @@ class Shard:
         found = np.flatnonzero(met)
         return found[np.bitwise_count(self.codes[found] ^ np.uint64(code)) <= self.coder.radius]
 
-    def nearest(self, query_id: int, q: np.ndarray, code: int, k: int) -> list[tuple[int, float]]:
+    def nearest(self, row: int, q: np.ndarray, code: int, k: int) -> list[tuple[int, int, float]]:
+        """(row number, vec_id, score) of the k nearest to the query that is row ``row``."""
         found = self.within(code)
         if len(found) <= k:  # too few: take the next nearest codes, however far
             away = np.bitwise_count(self.codes ^ np.uint64(code))
             limit = np.partition(away, min(k, len(away) - 1))[min(k, len(away) - 1)]
             found = np.flatnonzero(away <= max(limit, self.coder.radius))
-        found = found[self.ids[found] != query_id]
+        found = found[self.numbers[found] != row]
         rough = self.x[found] @ q
         if len(found) > k:
             # a product's last bits depend on how it is summed: keep whatever may tie, then sum row by row
             found = found[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9 * max(1.0, float(np.abs(rough).max()))]
         scores = (self.x[found] * q).sum(axis=1)
-        order = np.lexsort((self.ids[found], -scores))[:k]
-        return list(zip(self.ids[found][order].tolist(), scores[order].tolist(), strict=True))
+        order = np.lexsort((self.numbers[found], self.ids[found], -scores))[:k]
+        return list(zip(self.numbers[found][order].tolist(), self.ids[found][order].tolist(), scores[order].tolist(), strict=True))
+
+
+#: Stands for a null vec_id inside tasks.
+NO_ID = (1 << 63) - 1
 
 
 def valid(vectors: DataFrame, column: str) -> DataFrame:
-    """vec_id and v (array of double): one row for each vec_id that takes part."""
+    """row (a number), vec_id and v (array of double) of the rows that take part."""
     v = F.col(column).cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("v").isNotNull())
     rows = rows.filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "embedding", coverage: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which ``is_query`` (over vec_id) holds."""
     spark = vectors.sparkSession
     rows = durable(valid(vectors, column), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, c: t + c * c))).alias("top")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.filter(F.size("v") == sizes["d"])
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
-    coder = learn(np.array(picked["v"].tolist(), dtype=np.float64), float(sizes["top"]) * (1 + 1e-12), k, coverage)
-    index = rows.repartition(partitions_for(spark, sizes["n"], SHARD_ROWS), "vec_id")
-    asked = rows.filter(is_query)
+    # one row for each length that occurs, which is one length in tables of one model
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, c: t + c * c))).alias("top")).collect()
+    found = spark.createDataFrame([], "query_row long, query_id long, row long, vec_id long, score double")
+    for own in sizes:
+        found = found.unionByName(_of_length(rows.filter(F.size("v") == own["d"]), own["n"], own["top"], own["d"], is_query, k, coverage))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_length(rows: DataFrame, n: int, top: float, dimension: int, is_query: Column, k: int, coverage: float) -> DataFrame:
+    """query_row, query_id, row, vec_id, score: the k nearest of each query in each shard, among vectors of one length."""
+    spark = rows.sparkSession
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE_ROWS).toPandas()
+    coder = learn(np.array(picked["v"].tolist(), dtype=np.float64), float(top) * (1 + 1e-12), k, coverage)
+    index = rows.repartition(partitions_for(spark, n, SHARD_ROWS), "row").select("row", F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "v")
+    asked = rows.filter(is_query & F.col("vec_id").isNotNull())
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     found = None
     for number in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).orderBy("vec_id").toPandas()
-        shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(dtype=np.int64), np.array(block["v"].tolist(), dtype=np.float64).reshape(-1, sizes["d"]), coder))
+        block = asked.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == number).orderBy("row").toPandas()
+        shared = spark.sparkContext.broadcast((block["row"].to_numpy(dtype=np.int64), block["vec_id"].to_numpy(dtype=np.int64), np.array(block["v"].tolist(), dtype=np.float64).reshape(-1, dimension), coder))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, queries, own = shared.value
-            ids, vectors = [], []
-            for b in batches:
-                if b.num_rows:
-                    ids.append(b.column("vec_id").to_numpy(zero_copy_only=False))
-                    vectors.append(b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
-            if not ids or not len(query_ids):
+            query_rows, query_ids, queries, own = shared.value
+            held = [b for b in batches if b.num_rows]
+            if not held or not len(query_ids):
                 return
-            shard = Shard(np.concatenate(ids), np.concatenate(vectors), own)
+            numbers, ids = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("row", "vec_id"))
+            shard = Shard(numbers, ids, np.concatenate([b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in held]), own)
             codes = own.codes(queries, query=True).tolist()
             for at in range(0, len(query_ids), 512):
-                out = [(int(i), v, s) for i, q, c in zip(query_ids[at : at + 512], queries[at : at + 512], codes[at : at + 512], strict=True) for v, s in shard.nearest(int(i), q, c, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], type=pa.int64()), pa.array([r[1] for r in out], type=pa.int64()), pa.array([r[2] for r in out], type=pa.float64())], names=["query_id", "vec_id", "score"])
+                out = [(r, i, *hit) for r, i, q, c in zip(query_rows[at : at + 512].tolist(), query_ids[at : at + 512].tolist(), queries[at : at + 512], codes[at : at + 512], strict=True) for hit in shard.nearest(r, q, c, k)]
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()], strict=True)], names=["query_row", "query_id", "row", "vec_id", "score"])
 
-        part = index.mapInArrow(work, "query_id long, vec_id long, score double")
+        part = index.mapInArrow(work, "query_row long, query_id long, row long, vec_id long, score double")
         found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("vec_id", F.nullif("vec_id", F.lit(NO_ID)))

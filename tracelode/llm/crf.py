@@ -34,6 +34,23 @@ class Chains:
             yield starts[:n] + t
 
 
+@dataclass
+class Features:
+    """Feature numbers of each position, any number of them: ``numbers`` one after another and ``owner``, the position of each."""
+
+    numbers: np.ndarray
+    owner: np.ndarray
+    positions: int
+
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Features:
+        numbers = np.fromiter((x for own in lists for x in own), dtype=np.int64)
+        return cls(numbers, np.repeat(np.arange(len(lists)), [len(own) for own in lists]), len(lists))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, weights=weights[self.numbers], minlength=self.positions)
+
+
 def _through(ratio: np.ndarray, w00: float, w10: float, w01: float, w11: float) -> np.ndarray:
     """log((e^w01 + e^(ratio + w11)) / (e^w00 + e^(ratio + w10)))."""
     return np.logaddexp(w01, ratio + w11) - np.logaddexp(w00, ratio + w10)
@@ -84,14 +101,12 @@ class Model:
         return labels
 
 
-def fit(features: np.ndarray, labels: np.ndarray, chains: Chains, size: int, rounds: int = 60, rate: float = 0.3, penalty: float = 1e-4) -> Model:
-    """Maximum conditional likelihood by full-batch Adagrad.
-
-    ``features`` (positions x slots) holds feature numbers under ``size``; a slot that is
-    not used holds ``size``, whose weight stays 0.
-    """
-    model = Model(np.zeros(size + 1))
-    squares, move_squares, bias_square = np.full(size + 1, 1e-8), np.full((2, 2), 1e-8), 1e-8
+def fit(features: Features | np.ndarray, labels: np.ndarray, chains: Chains, size: int, rounds: int = 60, rate: float = 0.3, penalty: float = 1e-4) -> Model:
+    """Maximum conditional likelihood by full-batch Adagrad; feature numbers are under ``size``.  A matrix (positions x features) will do."""
+    if isinstance(features, np.ndarray):
+        features = Features.of(features.tolist())
+    model = Model(np.zeros(size))
+    squares, move_squares, bias_square = np.full(size, 1e-8), np.full((2, 2), 1e-8), 1e-8
     first = chains.starts[chains.order]
     inner = np.ones(len(labels), dtype=bool)
     inner[first] = False
@@ -100,7 +115,7 @@ def fit(features: np.ndarray, labels: np.ndarray, chains: Chains, size: int, rou
     seen = np.zeros((2, 2))
     np.add.at(seen, (labels[later - 1], labels[later]), 1)
     for _ in range(rounds):
-        delta = model.weights[features].sum(axis=1)
+        delta = features.sums(model.weights)
         ahead, behind = model.messages(delta, chains)
         p = 1 / (1 + np.exp(-np.clip(ahead + behind, -60, 60)))
         right = delta[later] + behind[later]
@@ -108,8 +123,7 @@ def fit(features: np.ndarray, labels: np.ndarray, chains: Chains, size: int, rou
         pair = np.exp(pair - pair.max(axis=0))
         expected = (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
         miss = y - p
-        gradient = np.bincount(features.ravel(), weights=np.repeat(miss, features.shape[1]), minlength=size + 1) / len(first) - penalty * model.weights
-        gradient[size] = 0
+        gradient = np.bincount(features.numbers, weights=miss[features.owner], minlength=size) / len(first) - penalty * model.weights
         squares += gradient**2
         model.weights += rate * gradient / np.sqrt(squares)
         gradient = (seen - expected) / len(first)

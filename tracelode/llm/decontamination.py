@@ -1,12 +1,12 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, exact verification.
 
-Test items are partitioned by the number of their distinct word shingles; each partition
-has a signature length of its own.  An item's MinHash signature names the shingle that is
-least under each of k seeded permutations.  Since every entry is a uniformly drawn shingle
-of the item, the share of the entries that stand among a document's shingles estimates the
-item's containment in the document, however long that is.  Documents meet the signatures
-in one pass without a shuffle; pairs whose estimate is not hopeless are verified over the
-shingles themselves, as text.
+Test items are partitioned by the number of their distinct word shingles; each size has a
+signature length of its own.  An item's MinHash signature names the k shingles that are
+least under a seeded permutation, where k is one more than an item of its size may miss: of
+n shingles a document that contains a share c has all but (1 - c) n, so it has at least one
+of any (1 - c) n + 1, however long it is, and no pair is lost.  Documents meet the
+signatures in one pass without a shuffle; every pair with a common entry is verified over
+the shingles themselves, as text.
 
 Words are runs of letters and digits of the lower-cased text; shingles take five words,
 and a shorter item is one shingle of all its words.
@@ -18,8 +18,8 @@ gives an empty result; columns other than doc_id, item_id and text are not read.
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,15 +33,12 @@ from .common import byte_chunks, texts_of
 
 WORD = re.compile(r"[^\W_]+")
 WIDTH = 5
-#: Signature length of partitions by size: up to 16 shingles all of them, then 16, 24 and 32 permutations.
-SIGNATURES = ((16, 0), (128, 16), (1024, 24), (1 << 62, 32))
-#: A pair of true containment 0.8 has an estimate below this with a probability under 1e-8.
-LEAST_ESTIMATE = 0.2
 #: Items broadcast at a time; more items make more passes over the documents.
 ITEMS_A_PASS = 20_000
 FILTER_BITS = 22
 CACHE_ENTRIES = 700_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_SEED = np.uint64(0x27D4EB2F165667C5)
 
 
 def words_of(text: str) -> list[str]:
@@ -52,6 +49,12 @@ def shingles(words: list[str], width: int) -> set[str]:
     return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
+def signature_length(size: int, least: float) -> int:
+    """Entries of an item of ``size`` distinct shingles, so that one is met wherever a share ``least`` of them is."""
+    needed = math.ceil(least * size - 1e-9)
+    return size - max(needed, 1) + 1
+
+
 def rolled(ids: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` word hashes."""
     n = len(ids) - width + 1
@@ -79,30 +82,24 @@ def word_ids(words: list[str], cache: dict[str, int]) -> np.ndarray:
 class ItemIndex:
     """Signatures of a bounded number of items, by shingle width."""
 
-    items: list[tuple]  # (item_id, width, shingle texts)
+    items: list[tuple]  # (item_id, width, shingle texts, rows that are alike)
     #: width -> (bitmap, sorted entries, (entry, item) pairs sorted by entry)
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    lengths: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple], width: int) -> ItemIndex:
-        items, entries, lengths, cache = [], {}, [], {}
-        for item_id, text in rows:
+    def of(cls, rows: list[tuple], width: int, least: float) -> ItemIndex:
+        items, entries, cache = [], {}, {}
+        for item_id, text, copies in rows:
             words = words_of(text or "")
             if not words:
                 continue
             own = min(width, len(words))
             number = len(items)
-            items.append((item_id, own, shingles(words, own)))
+            items.append((item_id, own, shingles(words, own), copies))
             hashes = np.unique(rolled(word_ids(words, cache), own))
-            k = next(k for most, k in SIGNATURES if len(hashes) <= most)
-            if k:
-                seeds = np.array([zlib.crc32(b"perm%d" % i) | 1 for i in range(k)], dtype=np.uint64)
-                mixed = (hashes[None, :] ^ (seeds[:, None] * _MULTIPLIER)) * ((seeds[:, None] << np.uint64(32)) | np.uint64(0x5BD1E995))
-                mixed ^= mixed >> np.uint64(31)
-                hashes = hashes[np.argmin(mixed * _MULTIPLIER, axis=1)]
-            signature = np.unique(hashes)
-            lengths.append(len(signature))
+            mixed = (hashes ^ _SEED) * _MULTIPLIER
+            mixed ^= mixed >> np.uint64(31)
+            signature = hashes[np.argsort(mixed * _MULTIPLIER, kind="stable")[: signature_length(len(items[number][2]), least)]]
             entries.setdefault(own, []).extend((int(h), number) for h in signature)
         tables = {}
         for own, pairs in entries.items():
@@ -111,10 +108,10 @@ class ItemIndex:
             bitmap = np.zeros(1 << FILTER_BITS, dtype=bool)
             bitmap[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             tables[own] = (bitmap, keys, np.array([i for _, i in pairs], dtype=np.int64))
-        return cls(items, tables, np.array(lengths, dtype=np.int64))
+        return cls(items, tables)
 
     def candidates(self, lists: list[list[str]], cache: dict[str, int]) -> list[tuple[int, int]]:
-        """(text number, item number) whose estimated containment is at least LEAST_ESTIMATE."""
+        """(text number, item number) of texts and items that have a signature's entry in common."""
         flat = [w for words in lists for w in words]
         ids = word_ids(flat, cache)
         sizes = np.array([len(words) for words in lists], dtype=np.int64)
@@ -128,13 +125,8 @@ class ItemIndex:
             at = at[owner[at] == owner[at + width - 1]]
             left, right = np.searchsorted(keys, hashes[at], "left"), np.searchsorted(keys, hashes[at], "right")
             at, left, right = at[right > left], left[right > left], right[right > left]
-            # an entry counts once for each text; entries are few, items of an entry are listed one by one
-            seen = {(d, e) for d, a, b in zip(owner[at].tolist(), left.tolist(), right.tolist(), strict=True) for e in range(a, b)}
-            counts: dict[tuple[int, int], int] = {}
-            for d, e in seen:
-                pair = (d, int(numbers[e]))
-                counts[pair] = counts.get(pair, 0) + 1
-            met |= {pair for pair, n in counts.items() if n >= LEAST_ESTIMATE * self.lengths[pair[1]]}
+            # entries that match are few, items of an entry are listed one by one
+            met |= {(d, int(numbers[e])) for d, a, b in zip(owner[at].tolist(), left.tolist(), right.tolist(), strict=True) for e in range(a, b)}
         return sorted(met)
 
 
@@ -142,7 +134,7 @@ def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int
     """doc_id, item_id, n_shared, n_shingles, containment of the pairs with at least ``least``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for index in _passes(items, width):
+    for index in _passes(items, width, least):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -161,27 +153,28 @@ def _verified(index: ItemIndex, lists: list[list[str]], cache: dict[str, int], l
     """(text number, item_id, shared, shingles, containment) of the candidates that hold, over the shingles as text."""
     rows, own, own_of = [], set(), None
     for d, number in index.candidates(lists, cache):
-        item_id, width, wanted = index.items[number]
+        item_id, width, wanted, copies = index.items[number]
         if own_of != (d, width):
             own, own_of = shingles(lists[d], width), (d, width)
         both = len(wanted & own)
         if both >= least * len(wanted):
-            rows.append((d, item_id, both, len(wanted), both / len(wanted)))
+            rows += [(d, item_id, both, len(wanted), both / len(wanted))] * copies
     return rows
 
 
-def _passes(items: DataFrame, width: int) -> Iterator[ItemIndex]:
+def _passes(items: DataFrame, width: int, least: float) -> Iterator[ItemIndex]:
     """Indexes of at most about ITEMS_A_PASS items each; at least one, which may be empty."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.groupBy("item_id", "text").agg(F.count("*").alias("copies"))
     parts = max(1, -(-rows.count() // ITEMS_A_PASS))
     for part in range(parts):
         block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield ItemIndex.of(sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), width)
+        yield ItemIndex.of(sorted(((r["item_id"], r["text"], r["copies"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), width, least)
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int = WIDTH) -> DataFrame:
     """The rows, with all columns, that contain no item to ``least`` or more."""
-    for index in _passes(items, width):
+    for index in _passes(items, width, least):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,12 @@
 """Hierarchical residual best-fit packing of documents into sequences of bounded tokens.
 
 Each task packs its items best-fit decreasing, emits its nearly full bins, and sends the
-underfull ones on; those are the items of the next round, in fewer tasks, until one task
-is left or a round no longer joins bins.
+underfull ones on; those are the items of the next round, in fewer tasks.  A bin with less
+room than the smallest waiting one holds is ready as well.  Two bins can only be joined if
+one of them is at most half full, and best fit leaves at most one such bin in a task; so
+the few half-full ones are dealt to the same tasks, where they meet each other and a share
+of the rest.  Rounds end with one task, without any half-full bin, or when the half-full
+ones have met and nothing was joined.
 
 Defined cases: null text counts as empty (its end id alone makes a piece of length 1);
 rows that repeat are packed as often as they occur; a null doc_id is kept; an empty table
@@ -33,8 +37,6 @@ ITEMS_PER_TASK = 40_000
 FAN_IN = 8
 #: A bin with at most this share of the capacity free is nearly full.
 SLACK = 1 / 128
-#: A round that joins fewer than this share of its bins is the last.
-LEAST_GAIN = 0.001
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -117,18 +119,25 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
     waiting = items.count()
     tasks = partitions_for(spark, waiting, ITEMS_PER_TASK)
     items = items.repartition(tasks, "part", "salt").select(F.col("length").alias("used"), F.array(F.struct(*fields)).alias("members"))
-    packed, number = [], 1
+    packed, number, met = [], 1, False
     while waiting:
         bins = durable(_pack_round(items, number, capacity, last=False), f"bins{number}")
         packed.append(bins.filter("done"))
         left = bins.filter("not done")
-        made = left.count()
-        if not made or tasks == 1 or (number > 1 and waiting - bins.count() < LEAST_GAIN * waiting):
+        made = left.agg(F.count("*").alias("n"), F.min("used").alias("least"), F.count_if(F.col("used") <= capacity // 2).alias("small")).first()
+        joined = waiting - bins.count()
+        if not made["n"] or tasks == 1 or not made["small"] or (met and not joined):
             packed.append(left)
             break
-        waiting, number = made, number + 1
-        tasks = max(partitions_for(spark, waiting, ITEMS_PER_TASK), -(-tasks // FAN_IN) if waiting <= ITEMS_PER_TASK * tasks else tasks)
-        items = left.repartition(tasks, "sequence_id").select("used", "members")
+        # no waiting bin fits into these
+        ready = F.col("used") > capacity - made["least"]
+        packed.append(left.filter(ready))
+        left = left.filter(~ready)
+        waiting, number, met = left.count(), number + 1, True
+        tasks = min(max(partitions_for(spark, waiting, ITEMS_PER_TASK), -(-tasks // FAN_IN) if waiting <= ITEMS_PER_TASK * tasks else tasks), tasks)
+        together = partitions_for(spark, made["small"], ITEMS_PER_TASK)
+        place = F.when(F.col("used") <= capacity // 2, F.pmod("sequence_id", F.lit(min(together, tasks)))).otherwise(F.pmod(F.xxhash64("sequence_id"), F.lit(tasks)))
+        items = left.select("used", "members", place.cast("int").alias("place")).repartition(tasks, "place").select("used", "members")
     result = whole
     for bins in packed:
         member = F.col("m")

@@ -31,7 +31,6 @@ from . import crf
 from .common import byte_chunks, texts_of
 
 BITS = 16
-SLOTS = 40
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|textarea|title|noscript|svg|iframe|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)""", re.DOTALL | re.IGNORECASE)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
@@ -130,18 +129,17 @@ def _grade(value: float, bounds: tuple) -> int:
 
 
 def feature_numbers(blocks: list[Block]) -> list[list[int]]:
-    """Feature numbers of each block of a page, filled up to SLOTS."""
+    """Feature numbers of each block of a page, as many as it has, in an order that does not depend on the process."""
     out, n = [], len(blocks)
     for i, b in enumerate(blocks):
         link = _grade(b.linked / max(1, b.words), (0.01, 0.3, 0.7))
         size = _grade(b.words, (2, 5, 10, 25, 75))
         names = ["any", f"tag={b.tag}", f"size={size}", f"link={link}", f"end={b.text[-1] in '.!?…'}", f"size={size}|link={link}", f"place={_grade(i / n, (0.1, 0.9))}", f"mark={any(c in b.text for c in '©®')}"]
-        names += [f"in={t}" for t in set(b.ancestors) if t not in INLINE]
-        names += [f"name={w}" for w in sorted(b.names)[:16]]
+        names += [f"in={t}" for t in sorted(set(b.ancestors)) if t not in INLINE]
+        names += [f"name={w}" for w in sorted(b.names)]
         if b.words <= 40:
-            names += [f"ui={w}" for w in {x.lower() for x in _PLAIN_WORD.findall(b.text)} & INTERFACE]
-        found = [_bucket(x) for x in names[:SLOTS]]
-        out.append(found + [1 << BITS] * (SLOTS - len(found)))
+            names += [f"ui={w}" for w in sorted({x.lower() for x in _PLAIN_WORD.findall(b.text)} & INTERFACE)]
+        out.append([_bucket(x) for x in names])
     return out
 
 
@@ -259,7 +257,7 @@ def train(pages: int = 1500, seed: int = 7) -> crf.Model:
         labels += own
         lengths.append(len(own))
     sizes = np.array(lengths, dtype=np.int64)
-    return crf.fit(np.array(features, dtype=np.int64), np.array(labels, dtype=np.int64), crf.Chains(np.cumsum(sizes) - sizes, sizes), 1 << BITS, rounds=80)
+    return crf.fit(crf.Features.of(features), np.array(labels, dtype=np.int64), crf.Chains(np.cumsum(sizes) - sizes, sizes), 1 << BITS, rounds=80)
 
 
 def main_texts(model: crf.Model, pages: list[str]) -> list[str]:
@@ -267,7 +265,7 @@ def main_texts(model: crf.Model, pages: list[str]) -> list[str]:
     each = [blocks_of(p) for p in pages]
     sizes = np.array([len(b) for b in each], dtype=np.int64)
     numbers = [row for blocks in each for row in feature_numbers(blocks)]
-    delta = model.weights[np.array(numbers, dtype=np.int64).reshape(-1, SLOTS)].sum(axis=1)
+    delta = crf.Features.of(numbers).sums(model.weights)
     starts = np.cumsum(sizes) - sizes
     labels = model.viterbi(delta, crf.Chains(starts, sizes))
     return ["\n".join(b.text for b, y in zip(blocks, labels[s : s + len(blocks)], strict=True) if y) for blocks, s in zip(each, starts.tolist(), strict=True)]

@@ -107,12 +107,19 @@ def components(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(named.join(smallest, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
-def _rows_of(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``kept`` names by id and text key, each once."""
-    rows = docs.withColumn("_text_key", key).join(kept, F.col("_text_key") == F.col("_kept_key")).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")))
-    once = rows.filter("_kept_n = 1")
-    repeated = rows.filter("_kept_n > 1").dropDuplicates(["_kept_id", "_kept_key"])
-    return once.unionByName(repeated).select(*docs.columns)
+def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` (id, key, n) names by id and text key, each once; the columns of ``docs`` may have any names."""
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = row.select("row", F.col("row.doc_id").cast("long").alias("id"), text_key(F.col("row.text")).alias("key"))
+    rows = rows.alias("r").join(kept.alias("k"), (F.col("r.key") == F.col("k.key")) & F.col("r.id").eqNullSafe(F.col("k.id"))).select("row", F.col("k.id").alias("id"), F.col("k.key").alias("key"), F.col("k.n").alias("n"))
+    once = rows.filter("n = 1").select("row")
+    repeated = rows.filter("n > 1").dropDuplicates(["id", "key"]).select("row")
+    return once.unionByName(repeated).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def text_key(text: Column) -> Column:
+    """A key of a text; null and empty ones differ."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), text.isNull())
 
 
 def first_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -120,15 +127,15 @@ def first_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
 
     Rows that share doc_id and text are one record, of which any one stays.
     """
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("text").isNull())
+    key = text_key(F.col("text"))
     prints = durable(fingerprints(docs, width, key), "simhash")
     records = prints.groupBy("print", "doc_id", "key").agg(F.count("*").alias("n"))
     # a null doc_id comes after every other; a fingerprint that many rows share is one row before it meets its root
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "print")).alias("w")
     each = durable(records.groupBy("print").agg(least), "simhash-least")
     winner = each.join(_named(prints).select("print", "root"), "print").groupBy("root").agg(F.min("w").alias("w"))
-    kept = winner.select("w.doc_id", "w.key", "w.print").join(records.withColumnsRenamed({"doc_id": "d", "key": "k", "print": "p"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("print") == F.col("p"))).select(F.col("d").alias("_kept_id"), F.col("k").alias("_kept_key"), F.col("n").alias("_kept_n"))
-    return _rows_of(docs, key, kept)
+    kept = winner.select("w.doc_id", "w.key", "w.print").join(records.withColumnsRenamed({"doc_id": "d", "key": "k", "print": "p"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("print") == F.col("p"))).select(F.col("d").alias("id"), F.col("k").alias("key"), "n")
+    return _rows_of(docs, kept)
 
 
 #: Words of 64 bits in a wide fingerprint, and how likely a pair of the least similarity meets in some table.
@@ -260,7 +267,7 @@ def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> Dat
 
     Rows that share doc_id and text are one record, of which any one stays.
     """
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("text").isNull())
+    key = text_key(F.col("text"))
     prints = durable(_wide(docs, width, key), "similar")
     words = [f"w{k}" for k in range(WORDS)]
     nodes = durable(prints.groupBy("key").agg(*(F.first(w).alias(w) for w in words)), "similar-nodes")
@@ -270,5 +277,5 @@ def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> Dat
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("w")
     each = durable(records.groupBy("key").agg(best), "similar-least")
     winner = each.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).groupBy("root").agg(F.min("w").alias("w"))
-    kept = winner.select("w.doc_id", "w.key").join(records.withColumnsRenamed({"doc_id": "d", "key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select(F.col("d").alias("_kept_id"), F.col("k").alias("_kept_key"), F.col("n").alias("_kept_n"))
-    return _rows_of(docs, key, kept)
+    kept = winner.select("w.doc_id", "w.key").join(records.withColumnsRenamed({"doc_id": "d", "key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select(F.col("d").alias("id"), F.col("k").alias("key"), "n")
+    return _rows_of(docs, kept)

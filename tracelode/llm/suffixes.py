@@ -36,7 +36,6 @@ GRAM = 32
 #: Bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 24
 DOCS_PER_BUCKET = 4_000
-MOST_BUCKETS = 50_000
 SEGMENTS_PER_TASK = 16_000
 #: Segments of one hash in one task; more are dealt over several tasks.
 CROWD = 2_000
@@ -240,11 +239,15 @@ def deduplicate(docs: DataFrame, span: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that are left)."""
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
-    buckets = min(MOST_BUCKETS, partitions_for(spark, docs.count(), DOCS_PER_BUCKET))
+    buckets = partitions_for(spark, docs.count(), DOCS_PER_BUCKET)
+    if buckets > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", buckets)
     # one shuffle of the texts: the table is bucketed by row, so later joins move only the small side
     name = f"tracelode_texts_{uuid.uuid4().hex}"
     rows.repartition(buckets, "rid").write.format("parquet").option("compression", "zstd").option("path", scratch(spark, "texts")).bucketBy(buckets, "rid").saveAsTable(name)
     texts = spark.table(name)
+    # the plan holds the files and their buckets by now; the name in the catalog is needed no more, and the files stay
+    spark.sql(f"DROP TABLE {name}")
     release(spark)
     marks = durable(_anchor_rows(texts, span), "anchors")
     # written first, so that the join below has plain shuffles on both sides and a crowded hash can be split

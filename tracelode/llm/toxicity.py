@@ -36,9 +36,6 @@ from .common import byte_chunks, texts_of
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 _BREAKS = frozenset(".!?\n")
 BITS = 18
-#: Training sentences without a toxic token, about.
-SENTENCES = 20_000
-SLOTS = 10
 #: A marginal from which a token belongs to an offending span.
 SPAN_AT = 0.5
 #: Words whose feature sums a worker keeps; beyond it the cache starts anew.
@@ -55,14 +52,23 @@ def affixes(word: str) -> list[str]:
 
 def feature_numbers(word: str) -> list[int]:
     shape = f"n={min(len(word), 9)}{'d' if any(c.isdigit() for c in word) else ''}"
-    found = [_bucket(a) for a in affixes(word)] + [_bucket(shape), _bucket("any")]
-    return found[:SLOTS] + [1 << BITS] * (SLOTS - len(found))
+    return [_bucket(a) for a in affixes(word)] + [_bucket(shape), _bucket("any")]
 
 
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def lowered_places(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, word) of the lowered text's tokens, as code points of the text itself (a letter may become several when lowered)."""
+    lowered = text.lower()
+    found = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(lowered)]
+    if len(lowered) == len(text):
+        return found
+    origin = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [(origin[a], origin[b - 1] + 1, word) for a, b, word in found]
+
+
 def as_chains(lists: list[list[str]]) -> tuple[list[str], np.ndarray, crf.Chains]:
     """Words without breaks, the text number of each, and the sentences as chains."""
     flat = [w for found in lists for w in (*found, "\n")]
@@ -138,18 +144,19 @@ class ToxicityModel:
         hits = np.flatnonzero(p >= SPAN_AT)
         first = np.searchsorted(owner, np.arange(len(texts)))
         for i in np.unique(owner[hits]) if len(hits) else ():
-            # lower() may change a text's length, so offsets are taken in the text itself where it does not
-            lowered = texts[i].lower()
-            places = [(m.start(), m.end()) for m in _TOKEN.finditer(texts[i] if len(lowered) != len(texts[i]) else lowered) if m.group() not in _BREAKS]
-            spans[i] = [places[k] for k in (hits[owner[hits] == i] - first[i]).tolist() if k < len(places)]
+            places = [(a, b) for a, b, word in lowered_places(texts[i]) if word not in _BREAKS]
+            spans[i] = [places[k] for k in (hits[owner[hits] == i] - first[i]).tolist()]
         return scores, spans
 
 
-def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """The field and the document function from labelled texts."""
+def train(texts: list[str], toxic: list[int], sentences: int = 20_000) -> ToxicityModel:
+    """The field and the document function from labelled texts.
+
+    The field learns from every sentence with a toxic token and from about ``sentences`` others.
+    """
     y = np.array(toxic, dtype=np.int64)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(crf.Model(np.zeros((1 << BITS) + 1)), None)
+        return ToxicityModel(crf.Model(np.zeros(1 << BITS)), None)
     clean, foul = int((y == 0).sum()), int((y == 1).sum())
     # ten times likelier in toxic documents than in clean ones, in four and one in a hundred at least
     often = Counter()
@@ -163,7 +170,7 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
             rare.update({a for w in set(tokens(text)) - _BREAKS for a in affixes(w)[:-1] if a in often})
     marks = {a for a, n in often.items() if n / foul >= 10 * (rare[a] + 0.5) / clean}
     # sentences with a toxic token, and of the others every so many, spread evenly
-    every = max(1, sum(t.count(".") + 1 for t in texts) // SENTENCES)
+    every = max(1, sum(t.count(".") + 1 for t in texts) // sentences)
     chosen: list[list[str]] = []
     seen = 0
     for text, label in zip(texts, toxic, strict=True):
@@ -177,8 +184,8 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
     lengths = np.array([len(c) - 1 for c in chosen], dtype=np.int64)
     flat = [(w, c[-1] == "\1") for c in chosen for w in c[:-1]]
     labels = np.fromiter((foul_text and not marks.isdisjoint(affixes(w)) for w, foul_text in flat), dtype=np.int64, count=len(flat))
-    matrix = np.array([known.get(w) or known.setdefault(w, feature_numbers(w)) for w, _ in flat], dtype=np.int64).reshape(-1, SLOTS)
-    field = crf.fit(matrix, labels, crf.Chains(np.cumsum(lengths) - lengths, lengths), 1 << BITS)
+    features = crf.Features.of([known.get(w) or known.setdefault(w, feature_numbers(w)) for w, _ in flat])
+    field = crf.fit(features, labels, crf.Chains(np.cumsum(lengths) - lengths, lengths), 1 << BITS)
     model = ToxicityModel(field, None)
     rows, cache = [], {}
     for at in range(0, len(texts), 200):
@@ -192,14 +199,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> ToxicityModel:
-    """Fits on at most ``sample`` labelled documents that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sentences: int = 20_000) -> ToxicityModel:
+    """Fits on at most ``sample`` labelled documents that are not held out, and on about ``sentences`` of their sentences without a toxic token."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the sample is bounded by its parameter, so it may be broadcast and collected
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.length("text")).alias("text"), F.max("toxic").alias("toxic"))
     table = rows.toPandas().sort_values("doc_id")
-    return train([t or "" for t in table["text"]], table["toxic"].astype(int).tolist())
+    return train([t or "" for t in table["text"]], table["toxic"].astype(int).tolist(), sentences)
 
 
 def scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
