@@ -66,7 +66,7 @@ class _Model:
         self.tries = np.full(lanes * _STATES, _TRIES, dtype=np.int64)
         self.hits2, self.hits1 = (np.tile(h, lanes).astype(np.int64) for h in (_HITS2, _HITS1))
         self.last, self.before = sizes.astype(np.int64), sizes.astype(np.int64)
-        self.shown = np.zeros(len(self.places), dtype=np.int64)
+        self.shown = np.zeros(len(self.places), dtype=np.uint32)
         self.weigh()
         self.refresh(lanes, 0, lookup)
 
@@ -92,8 +92,8 @@ class _Model:
         missed = self.tries - self.hits2 + np.tile(_HITS2, len(self.sizes))
         w1 = (((1 << _MIX) - w2) * self.hits1 // missed).clip(1) * np.tile(1 - _AGREE, len(self.sizes))
         bits = np.repeat(self.bits, _STATES).astype(np.int64)
-        self.share2, self.both = w2 << bits, (w2 + w1) << bits
-        self.rest = (1 << _MIX) - w2 - w1
+        self.share2, self.both = (w2 << bits).astype(np.uint32), ((w2 + w1) << bits).astype(np.uint32)
+        self.rest = ((1 << _MIX) - w2 - w1).astype(np.uint32)
 
     def predict(self, n: int) -> None:
         """Guesses and shares of the first ``n`` lanes."""
@@ -127,7 +127,7 @@ class _Model:
         np.copyto(width, self.upto1 - self.upto2, where=right1)
         np.copyto(start, 0, where=self.right2)
         np.copyto(width, self.upto2, where=self.right2)
-        return start.view(np.uint64), width.view(np.uint64)
+        return start.astype(np.uint64), width.astype(np.uint64)
 
     def update(self, ids: np.ndarray) -> None:
         entry = ids.astype(np.uint16) << 2
@@ -230,7 +230,7 @@ def _decode_lanes(payloads: list[bytes], lengths: np.ndarray, sizes: np.ndarray)
             last = step
         model.predict(n)
         unit = reach[:n] >> shift[:n]
-        now, start, width = model.find(np.minimum(code[:n] // unit, most[:n]).view(np.int64))
+        now, start, width = model.find(np.minimum(code[:n] // unit, most[:n]).astype(np.uint32))
         ids[step, :n] = now
         code[:n] -= start * unit
         reach[:n] = width * unit

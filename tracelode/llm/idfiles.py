@@ -26,7 +26,7 @@ from .tokens import encoder
 
 SEGMENT_IDS = idcoder.BLOCK * idcoder.LANES
 #: Text bytes of a task, so that its ids fill about one segment.
-TASK_BYTES = 40 << 20
+TASK_BYTES = 24 << 20
 SEGMENTS = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, names_crc32 long, blocks binary"
 
 
