@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def family(tool: Column) -> Column:
@@ -56,58 +52,51 @@ def _field(args: Column, *names: str) -> Column:
     return F.coalesce(*(F.nullif(F.get_json_object(args, f"$.{n}"), F.lit("")) for n in names), F.lit(""))
 
 
+# Names of a file operation's path, of the ranges and of the bodies that tell file operations apart.
+PATHS = ("path", "file_path", "filePath")
+RANGE_FIELDS = ("offset", "limit", "start", "end", "range", "line", "lines")
+BODY_FIELDS = ("content", "new_string", "old_string", "new_str", "old_str", "newText", "oldText", "text")
+
+
 def arg_class(tool: Column, args: Column) -> Column:
     """A coarse class of a step's arguments, as text.
 
     Shell: first word, whether it pipes, whether it redirects.  File tools: the extension.
-    Wrapped tools: the inner tool.  Others: the tool.
+    Wrapped tools: the inner tool, or else the tool.  Others: the tool.
     """
     command = _field(args, "command")
-    first = F.coalesce(F.get(F.split(F.trim(F.regexp_replace(command, r"\s+", " ")), " "), 0), F.lit(""))
+    first = F.coalesce(F.get(F.split(collapsed(command), " "), 0), F.lit(""))
     shell = F.concat_ws("|", F.lit("bash"), first, F.contains(command, F.lit("|")).cast("string"), F.contains(command, F.lit(">")).cast("string"))
-    files = F.concat_ws("|", tool, extension(_field(args, "path", "file_path")))
-    return F.when(tool == "bash", shell).when(tool.isin("read", "write", "edit"), files).when(tool.startswith("mcp"), F.concat_ws("|", F.lit("mcp"), _field(args, "tool"))).otherwise(tool)
-
+    files = F.concat_ws("|", tool, extension(_field(args, *PATHS)))
+    return F.when(tool == "bash", shell).when(tool.isin("read", "write", "edit"), files).when(tool.startswith("mcp"), F.concat_ws("|", F.lit("mcp"), inner_tool(tool, args))).otherwise(tool)
 
-def _ordered(value):
-    if isinstance(value, dict):
-        return {k: _ordered(value[k]) for k in sorted(value)}
-    if isinstance(value, list):
-        return [_ordered(v) for v in value]
-    if isinstance(value, float) and value.is_integer():
-        return int(value)
-    return value
 
+def inner_tool(tool: Column, args: Column) -> Column:
+    """What a wrapped call is of: its tool, or name, or else the wrapper itself."""
+    return F.coalesce(F.nullif(_field(args, "tool", "name"), F.lit("")), tool)
 
-@F.pandas_udf(T.StringType())
-def ordered_json(texts: pd.Series) -> pd.Series:
-    """JSON with keys sorted at every depth and whole floats as integers; other text as it is."""
 
-    def one(text):
-        try:
-            return json.dumps(_ordered(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
-        except (TypeError, ValueError):
-            return text
+def ordered_json(text: Column) -> Column:
+    """JSON with keys in order at every depth and equal decimals alike; text that is none, or that names a key twice, as it is.
 
-    return texts.map(one)
-
-
-# Fields that tell file operations apart.
-RANGE_FIELDS = ("offset", "limit", "start_line", "end_line", "line", "start", "end")
-BODY_FIELDS = ("old_string", "new_string", "oldText", "newText", "content", "text", "patch", "edits")
+    Numbers with an exponent are kept as doubles, so 1e2 and 100 are told apart.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
 
 
 def canonical_args(tool: Column, args: Column) -> Column:
-    """A key that loses nothing of what a step does: the command, or path with ranges and length-prefixed bodies, or all arguments in order."""
-    ranges = [F.when(F.get_json_object(args, f"$.{k}").isNotNull(), F.concat(F.lit(f"{k}="), F.get_json_object(args, f"$.{k}"))) for k in RANGE_FIELDS]
-    bodies = [F.when(F.get_json_object(args, f"$.{k}").isNotNull(), F.concat(F.lit(f"{k}:"), F.length(F.get_json_object(args, f"$.{k}")).cast("string"), F.lit(":"), F.get_json_object(args, f"$.{k}"))) for k in BODY_FIELDS]
-    files = F.concat_ws("\u001f", _field(args, "path", "file_path"), *ranges, *bodies)
-    return F.when(tool == "bash", _field(args, "command")).when(tool.isin("read", "write", "edit"), files).when(tool.startswith("mcp"), F.concat_ws("\u001f", _field(args, "tool"), ordered_json(args))).otherwise(ordered_json(args))
+    """A key that loses nothing of what a step does, as text.
 
-
-def flat_canonical_args(args: Column) -> Column:
-    """The same for flat objects with text values, without leaving the JVM: sorted key=value pairs."""
-    return F.array_join(F.array_sort(F.transform(F.map_entries(F.from_json(args, T.MapType(T.StringType(), T.StringType()))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))), "\u001f")
+    Shell: the command with white space collapsed.  File tools: the path, then ranges and
+    bodies that are there, bodies with their length before them.  Wrapped tools: the inner
+    tool and its arguments in order.  Others: all arguments in order.
+    """
+    value = lambda k: F.get_json_object(args, f"$.{k}")
+    ranges = [F.concat(F.lit(f"{k}="), value(k)) for k in RANGE_FIELDS]
+    bodies = [F.concat(F.lit(f"{k}#"), F.length(value(k)).cast("string"), F.lit(":"), value(k)) for k in BODY_FIELDS]
+    files = F.concat_ws("\u001f", _field(args, *PATHS), *ranges, *bodies)
+    wrapped = F.concat_ws("\u001f", inner_tool(tool, args), ordered_json(F.coalesce(value("args"), value("arguments"))))
+    return F.when(tool == "bash", collapsed(_field(args, "command"))).when(tool.isin("read", "write", "edit"), files).when(tool.startswith("mcp"), wrapped).otherwise(ordered_json(args))
 
 
 def collapsed(text: Column, cap: int | None = None) -> Column:
@@ -117,8 +106,19 @@ def collapsed(text: Column, cap: int | None = None) -> Column:
 
 
 def shown_args(tool: Column, args: Column) -> Column:
-    """Arguments for display only, cut to 160 characters for commands and 80 else."""
-    return F.when(tool == "bash", collapsed(_field(args, "command"), 160)).otherwise(F.left(F.coalesce(args, F.lit("")), F.lit(80)))
+    """Arguments for display only: commands and paths cut to 160 characters, wrapped ones to 80 after the inner tool, others in order."""
+    value = lambda k: F.get_json_object(args, f"$.{k}")
+    inner = F.concat(inner_tool(tool, args), F.lit(":"), F.left(F.coalesce(value("args"), value("arguments"), F.lit("")), F.lit(80)))
+    return F.when(tool == "bash", collapsed(_field(args, "command"), 160)).when(tool.isin("read", "write", "edit"), F.left(_field(args, *PATHS), F.lit(160))).when(tool.startswith("mcp"), inner).otherwise(F.left(F.coalesce(ordered_json(args), F.lit("{}")), F.lit(160)))
+
+
+def seeded_index(key: Column, n: Column) -> Column:
+    """A place among ``n`` drawn by a text's SHA-256, read as one number; 0 if there are none.
+
+    The remainder is taken digit by digit, so no number outgrows 64 bits while n is under 2^59.
+    """
+    digits = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.conv(F.substring(F.sha2(key, 256), i, F.lit(1)), 16, 10).cast("long"))
+    return F.when(n > 0, F.aggregate(digits, F.lit(0).cast("long"), lambda t, d: (t * 16 + d) % n.cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
 def task_of(prompt: Column) -> Column:

@@ -63,6 +63,35 @@ def trend(values: Column) -> Column:
     )
 
 
+# What a tail says about the values not seen.
+BOUNDS = {"STABLE": "window-exact (tail flat so far)", "TRENDING_UP": "lower bound IF the tail stays monotone", "TRENDING_DOWN": "upper bound IF the tail stays monotone"}
+NO_BOUND = "no bound claimed"
+
+
+def bound_label(status: Column) -> Column:
+    return F.coalesce(*(F.when(status == name, F.lit(text)) for name, text in BOUNDS.items()), F.lit(NO_BOUND))
+
+
+def falsified(observed: DataFrame, continued: DataFrame, k: int = TAIL) -> DataFrame:
+    """case, status, value, limsup, violated: is what a tail reports another number once the sequence goes on?
+
+    ``observed`` and ``continued``: case, level, v; the continuation has later levels.  No
+    finite beginning settles a limit, so any reported value has a continuation that breaks it.
+    """
+    last = F.array_sort(F.collect_list(F.struct("level", "v")))
+    tail = F.transform(F.slice("seen", -F.least(F.lit(k), F.size("seen")), F.lit(k)), lambda x: x["v"])
+    said = observed.groupBy("case").agg(last.alias("seen")).select("case", trend(tail).alias("status"), F.array_max(tail).alias("value"))
+    truth = limsup(observed.unionByName(continued), "case", "level", "v")
+    return said.join(truth, "case").select("case", "status", "value", "limsup", (F.abs(F.col("limsup") - F.col("value")) > TOLERANCE).alias("violated"))
+
+
+def gate(book: DataFrame, reference: str, order: DataFrame, earliest: int, tolerance: float, factor: int = 2, group: str = "agent") -> DataFrame:
+    """group, onset, inflation (at the first behavioural level), blocked: is an agent's onset before ``earliest``, or its inflation over ``tolerance``?"""
+    each = inflation(book, reference, group).join(order, group).filter(F.col(group) != reference)
+    out = each.groupBy(group).agg(F.min(F.when((F.col("base") > 0) & (F.col("n") >= factor * F.col("base")), F.col("level"))).cast("int").alias("onset"), F.max(F.when(F.col("level") == 2, F.col("inflation"))).alias("inflation"))
+    return out.withColumn("blocked", F.coalesce(F.col("onset") < earliest, F.lit(False)) | F.coalesce(F.col("inflation") > tolerance, F.lit(False)))
+
+
 def tails(book: DataFrame, k: int = TAIL, group: str = "agent") -> DataFrame:
     """group, kind (s or d), tail, value (its largest), window_sup, tail_from, status, label: over levels with a count."""
     long = ratios(book, group).select(group, "level", F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.col("s").alias("v")), F.struct(F.lit("d").alias("kind"), F.col("d").alias("v")))).alias("x")).select(group, "level", "x.kind", "x.v")
@@ -73,7 +102,7 @@ def tails(book: DataFrame, k: int = TAIL, group: str = "agent") -> DataFrame:
     tail = F.transform("last", lambda x: x["v"])
     value = F.array_max(tail)
     status = trend(tail)
-    label = F.when(F.size("seen") <= 0, "none").otherwise(F.concat(F.lit("estimate IF the tail is "), F.lower(status)))
+    label = bound_label(status)
     return out.select(group, "kind", tail.alias("tail"), value.alias("value"), F.array_max(F.transform("seen", lambda x: x["v"])).alias("window_sup"), F.get("last", F.lit(0))["level"].cast("int").alias("tail_from"), status.alias("status"), label.alias("label"))
 
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.steps import canonical_args, collapsed, has_error
 from . import multires
+from .dynamics import _held
 
 UNKNOWN = "unknown"
 
@@ -88,3 +90,126 @@ def attributed(calls: DataFrame) -> DataFrame:
     each = calls.groupBy("message_id").agg(F.count("*").alias("_n"))
     again = calls.groupBy("run", "tool", "args").agg(F.count("*").alias("_r"))
     return calls.join(each, "message_id").join(again, ["run", "tool", "args"]).withColumn("call_cost", F.col("cost") / F.col("_n")).withColumn("repeated", F.col("_r") > 1).drop("_n", "_r")
+
+
+# Tools and first words of commands that search or read.
+SEARCH_TOOLS = ("grep", "glob", "search", "find", "websearch")
+SEARCH_WORDS = ("grep", "rg", "find", "fd", "ls", "ag", "ack")
+READ_TOOLS = ("read", "view_file", "read_file")
+READ_WORDS = ("cat", "head", "tail", "sed", "less", "more", "nl")
+READ_RANGES = ("offset", "limit", "start", "end", "line")
+
+
+def _first_word(args: Column) -> Column:
+    return F.coalesce(F.get(F.split(collapsed(F.coalesce(F.get_json_object(args, "$.command"), F.lit(""))), " "), 0), F.lit(""))
+
+
+def _parses(args: Column) -> Column:
+    return F.coalesce(F.json_object_keys(args).isNotNull(), F.lit(False))
+
+
+def searches(s: Column) -> Column:
+    return s["tool"].isin(*SEARCH_TOOLS) | ((s["tool"] == "bash") & _first_word(s["args"]).isin(*SEARCH_WORDS))
+
+
+def reads(s: Column) -> Column:
+    return s["tool"].isin(*READ_TOOLS) | ((s["tool"] == "bash") & _first_word(s["args"]).isin(*READ_WORDS))
+
+
+def search_mode(steps: Column) -> Column:
+    """none, targeted, broad, or unknown where a search's arguments are no object."""
+    found = F.filter(steps, searches)
+    scope = lambda s: F.coalesce(*(F.get_json_object(s["args"], f"$.{k}") for k in ("path", "scope", "pattern", "command")), F.lit(""))
+    wide = lambda s: F.contains(scope(s), F.lit("*")) | scope(s).isin("/", "")
+    return F.when(F.size(found) == 0, "none").when(F.exists(found, lambda s: ~_parses(s["args"])), UNKNOWN).when((F.size(found) >= 2) | F.exists(found, wide), "broad").otherwise("targeted")
+
+
+def read_scope(steps: Column) -> Column:
+    """none, bounded (every read declares a range), whole-file-or-mixed, or unknown."""
+    found = F.filter(steps, reads)
+    ranged = lambda s: F.coalesce(*(F.get_json_object(s["args"], f"$.{k}") for k in READ_RANGES)).isNotNull()
+    return F.when(F.size(found) == 0, "none").when(F.exists(found, lambda s: ~_parses(s["args"])), UNKNOWN).when(F.forall(found, ranged), "bounded").otherwise("whole-file-or-mixed")
+
+
+def recovery(steps: Column) -> Column:
+    """What follows the first error at once: none, retry, changed-action, unresolved, or unknown."""
+    failed = F.transform(steps, lambda s: has_error(s["error"]))
+    at = F.array_position(failed, True)
+    step, after = F.get(steps, (at - 1).cast("int")), F.get(steps, at.cast("int"))
+    same = (step["tool"] == after["tool"]) & canonical_args(step["tool"], step["args"]).eqNullSafe(canonical_args(after["tool"], after["args"]))
+    return F.when(F.size(steps) <= 0, "none").when(at == 0, "none").when(after.isNull(), F.when(_parses(step["args"]), "unresolved").otherwise(UNKNOWN)).when(~_parses(step["args"]) | ~_parses(after["args"]), UNKNOWN).when(same, "retry").otherwise("changed-action")
+
+
+def diagnostic_levels(runs: DataFrame) -> DataFrame:
+    """``runs`` with l0..l3: a trivial root, then search mode, read scope and recovery, each with the levels before it; unknown stays unknown."""
+    found = runs.withColumn("_modes", F.array(search_mode(F.col("steps")), read_scope(F.col("steps")), recovery(F.col("steps"))))
+    out = found.withColumn("l0", F.lit("all"))
+    for j in (1, 2, 3):
+        upto = F.slice("_modes", 1, j)
+        out = out.withColumn(f"l{j}", F.when(F.array_contains(upto, UNKNOWN), F.lit(UNKNOWN)).otherwise(F.array_join(upto, "|")))
+    return out.drop("_modes")
+
+
+def by_task_shares(runs: DataFrame, levels: Sequence[str], r_min: int = 2) -> DataFrame:
+    """task, level, share of the task's own variation among runs known everywhere; null where it has none."""
+    # levels may be costly to tell, and several aggregations read them: they are told once
+    known = _held(known_cohort(runs.select("task", "cost", *levels), levels, r_min))
+    long = []
+    for j in range(len(levels) - 1):
+        coarse, fine = [c for c in levels[: j + 1]], [c for c in levels[: j + 2]]
+        up = known.groupBy("task", *coarse).agg((F.sum(F.col("mu") * F.col("v")) / F.sum("mu")).alias("a"))
+        down = known.groupBy("task", *fine).agg((F.sum(F.col("mu") * F.col("v")) / F.sum("mu")).alias("b"), F.sum("mu").alias("m"))
+        long.append(down.join(up, ["task", *coarse]).groupBy("task").agg(F.sum(F.col("m") * (F.col("b") - F.col("a")) * (F.col("b") - F.col("a"))).alias("e")).select("task", F.lit(j).alias("level"), "e"))
+    out = long[0]
+    for rows in long[1:]:
+        out = out.unionByName(rows)
+    whole = known.groupBy("task").agg((F.sum(F.col("mu") * F.col("v") * F.col("v")) - F.sum(F.col("mu") * F.col("v")) * F.sum(F.col("mu") * F.col("v")) / F.sum("mu")).alias("total"))
+    return out.join(whole, "task").select("task", "level", F.when(F.col("total") > 1e-12, F.col("e") / F.col("total")).alias("share"))
+
+
+def select_by_share(runs: DataFrame, levels: Sequence[str], s_min: float, k: int = 3, **support_rule) -> DataFrame:
+    """level, median: the admissible level of the largest median share over tasks, at least ``s_min`` and above 0 in ``k`` tasks; no row if none is. Ties to the coarser."""
+    runs = _held(runs.select("task", "cost", *levels))
+    per = by_task_shares(runs, levels).groupBy("level").agg(F.median("share").alias("median"), F.count_if(F.col("share") > 0).alias("present"))
+    fit = shares(runs, levels, **support_rule).filter("admissible").select("level")
+    return per.join(fit, "level").filter((F.col("median") >= s_min) & (F.col("present") >= k)).orderBy(F.desc("median"), "level").limit(1).select("level", "median")
+
+
+def select_by_cost(calls: DataFrame, runs: DataFrame, margin: float) -> DataFrame:
+    """level, mean: the refinement whose events cost most on the mean (0 searches, 1 reads, 2 errors and what follows them).
+
+    ``calls``: run, pos, message_id, tool, args, error, cost (of the message, which its calls
+    share alike); ``runs``: run, mu.  No row if the first does not exceed the second by ``margin``.
+    """
+    after = F.lag(has_error(F.col("error"))).over(Window.partitionBy("run").orderBy("pos"))
+    # the window is over calls as they are; what a message's calls share is joined to them after
+    each = attributed(calls.withColumn("_after", F.coalesce(after, F.lit(False)))).withColumn("_s", F.struct("tool", "args"))
+    kinds = F.array(F.when(searches(F.col("_s")), F.lit(0)), F.when(reads(F.col("_s")), F.lit(1)), F.when(has_error(F.col("error")) | F.col("_after"), F.lit(2)))
+    long = each.select("run", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("level"), "call_cost").join(runs.select("run", "mu"), "run")
+    rank = long.groupBy("level").agg((F.sum(F.col("mu") * F.col("call_cost")) / F.sum("mu")).alias("mean"))
+    top = rank.agg(F.slice(F.sort_array(F.collect_list(F.struct("mean", (-F.col("level")).alias("m"))), asc=False), 1, 2).alias("t"))
+    first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    return top.filter(first.isNotNull() & (first["mean"] > F.coalesce(second["mean"], F.lit(0.0)) + margin)).select((-first["m"]).cast("int").alias("level"), first["mean"].alias("mean"))
+
+
+def cheapest_description(train: DataFrame, held: DataFrame, levels: Sequence[str], budget: float, value: str = "v") -> DataFrame:
+    """kept (details), train_error, held_error: the fewest details whose pruning error on ``train`` is within ``budget``; the error on ``held`` is that of predicting from ``train``.
+
+    There are few levels, so all sets of details are one small table.  Ties to the smaller error.
+    """
+    book = multires.energies(train, levels, value)
+    rest = multires.moments(train, levels, value).select("residual")
+    details = len(levels) - 1
+    sets = train.sparkSession.createDataFrame([(mask, [j for j in range(details) if mask >> j & 1]) for mask in range(1 << details)], "mask int, kept array<int>")
+    priced = sets.crossJoin(book).groupBy("mask", "kept").agg(F.sum(F.when(F.array_contains("kept", F.col("level")), F.lit(0.0)).otherwise(F.col("energy"))).alias("lost")).crossJoin(rest)
+    best = priced.withColumn("train_error", F.col("lost") + F.col("residual")).filter(F.col("train_error") <= budget).orderBy(F.size("kept"), "train_error", "mask").limit(1).select("kept", "train_error")
+    out = held.withColumn("_y", F.col(value))
+    for j, c in enumerate(levels):
+        means = train.groupBy(c).agg((F.sum(F.col("mu") * F.col(value)) / F.sum("mu")).alias(f"_p{j}"))
+        out = out.join(means, c, "left")
+    guess = F.col("_p0")
+    for j in range(details):
+        # a block that training does not know adds nothing to what is coarser
+        guess = guess + F.when(F.array_contains("kept", F.lit(j)), F.coalesce(F.col(f"_p{j + 1}") - F.col(f"_p{j}"), F.lit(0.0))).otherwise(F.lit(0.0))
+    error = out.crossJoin(best).groupBy("kept", "train_error").agg((F.sum(F.col("mu") * (F.col("_y") - guess) * (F.col("_y") - guess)) / F.sum("mu")).alias("held_error"))
+    return error

@@ -156,3 +156,8 @@ def largest_group(runs: DataFrame, group: str = "project") -> DataFrame:
     """Runs of the most frequent group; ties by first appearance."""
     top = runs.groupBy(group).agg(F.count("*").alias("_n"), F.min("ordinal").alias("_first")).orderBy(F.desc("_n"), "_first").limit(1)
     return runs.join(top, group, "left_semi")
+
+
+def stats(found: DataFrame) -> DataFrame:
+    """level, inserts, nodes_created, revisits of classes (level, seen): how often a run met a class that was there."""
+    return found.groupBy("level").agg(F.sum("seen").alias("inserts"), F.count("*").alias("nodes_created"), (F.sum("seen") - F.count("*")).alias("revisits"))

@@ -41,3 +41,10 @@ def by_name_in_order(calls: DataFrame, results: DataFrame, keys: Sequence[str],
     nth = F.row_number().over(Window.partitionBy(*keys, name).orderBy(order))
     r = results.withColumn("_n", nth).select(*keys, name, "_n", F.col(value).alias(f"{value}_paired"))
     return calls.withColumn("_n", nth).join(r, [*keys, name, "_n"], "left").drop("_n")
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """equal, only_left, only_right: do two tables hold the same distinct rows?"""
+    left, right = a.subtract(b), b.subtract(a)
+    sides = left.agg(F.count("*").alias("only_left")).crossJoin(right.agg(F.count("*").alias("only_right")))
+    return sides.select(((F.col("only_left") == 0) & (F.col("only_right") == 0)).alias("equal"), "only_left", "only_right")

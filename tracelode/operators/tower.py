@@ -109,5 +109,23 @@ def eps(level: Column) -> Column:
     return F.pow(F.lit(2.0), -level)
 
 
+def path_tower() -> Tower:
+    """Five levels over paths on a grid (column ``path``: array of (r, c), and ``goal``): goal reached, steps, moves in any order, moves, the path."""
+    path = F.col("path")
+    moves = F.zip_with(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0))), lambda b, a: F.struct((b["r"] - a["r"]).alias("r"), (b["c"] - a["c"]).alias("c")))
+    return Tower(("goal reached", "steps", "moves in any order", "moves", "path"), [F.element_at(path, -1) == F.col("goal"), F.size(path) - 1, F.array_sort(moves), moves, path])
+
+
+def prefix_tower(labels: Column, depth: int) -> Tower:
+    """Level j is the label at place j, so a class is the first j labels; null beyond a history's end."""
+    return Tower(tuple(f"prefix {j}" for j in range(1, depth + 1)), [F.get(labels, F.lit(j)) for j in range(depth)])
+
+
 #: Registry of towers by name; users may add their own.
-TOWERS: dict[str, Callable[[], Tower]] = {"tool": tool_tower, "behaviour": behaviour_tower}
+TOWERS: dict[str, Callable[..., Tower]] = {"tool": tool_tower, "prefix": prefix_tower, "behaviour": behaviour_tower, "path": path_tower}
+
+
+def build_tower(name: str, *args) -> Tower:
+    if name not in TOWERS:
+        raise ValueError(f"there is no tower {name!r}; known are {', '.join(TOWERS)}")
+    return TOWERS[name](*args)

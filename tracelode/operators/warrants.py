@@ -32,13 +32,6 @@ REQUIREMENTS = {
     "o4b_cost": {"steps": _S, "run_boundaries": _S, "task_identity": _S, "verified_outcome": _S, "cost": _S},
     "o4b_behavioral": {"steps": _S, "run_boundaries": _S, "task_identity": _S, "verified_outcome": _S, "tool_errors": _S},
 }
-MESSAGES = {
-    "steps_only": "No step-level claim is warranted for this capture.",
-    "run_profile": "No run-level claim is warranted for this capture.",
-    "agent_comparison": "No agent-comparison claim is warranted for this capture.",
-    "o4b_cost": "No O4b cost claim is warranted for this capture.",
-    "o4b_behavioral": "No O4b behavioural claim is warranted for this capture.",
-}
 
 
 class CapabilityError(ValueError):
@@ -69,6 +62,6 @@ def require(formats, analysis: str) -> dict[str, str]:
     have = {s: min((row[i] for row in rows), key=STATES.get) for i, s in enumerate(SEMANTICS)}
     short = {s: need for s, need in REQUIREMENTS[analysis].items() if STATES[have[s]] < STATES[need]}
     if short:
-        lines = [f"Analysis refused: {analysis}.", "", *(f"  {s}: needs {need}, input has {have[s]}" for s, need in REQUIREMENTS[analysis].items()), "", MESSAGES[analysis]]
+        lines = [f"Analysis refused: {analysis}.", "", *(f"  {s}: needs {need}, input has {have[s]}" for s, need in REQUIREMENTS[analysis].items()), "", "What was captured cannot carry this analysis; load a format that records what is missing."]
         raise CapabilityError("\n".join(lines))
     return have

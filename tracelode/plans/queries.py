@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import steps as S
 from ..operators import analytics, costvar, dynamics, graphs, ledger, multires, protocol, tower, warrants
 from . import views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
+from .registry import query
 
 def plain_tower() -> tower.Tower:
     """The tool tower with arguments as given (the driver tables' arguments are already flat text)."""
@@ -172,6 +157,9 @@ _E = """e AS (SELECT agent, coalesce(max(s) FILTER (s > 0), 0) AS s, coalesce(ma
 x AS (SELECT e.agent, e.s, coalesce(min(r.level) FILTER (r.s = e.s AND e.s > 0), 0)::INT AS s_at, e.d, coalesce(min(r.level) FILTER (r.d = e.d AND e.d > 0), 0)::INT AS d_at, e.s - e.d AS delta, e.horizon FROM e JOIN r USING (agent) GROUP BY e.agent, e.s, e.d, e.horizon)"""
 
 
+_BOOK_FROM = f"{_R}, {_E}"
+
+
 @query(_book_sql("ev", EV, f", {_R}, {_E} SELECT agent, round(s, 6) AS s, s_at, round(d, 6) AS d, d_at, round(delta, 6) AS delta, horizon, s_at > 0 AND s_at < horizon AS s_shallow, d_at > 0 AND d_at < horizon AS d_shallow FROM x"))
 def exponents_by_agent(spark, sf_dir):
     e = analytics.exponents(_events_book(spark, sf_dir))
@@ -563,21 +551,6 @@ def branch_labels(spark, sf_dir):
     return dynamics.branches(dynamics.states(spark, N), dynamics.optima(spark, N, EDGES))
 
 
-@query()
-def leg_map(spark, sf_dir):
-    return dynamics.search(dynamics.states(spark, N), N, EDGES, 0.5, 4, 2)
-
-
-@query()
-def leg_image_sizes(spark, sf_dir):
-    return dynamics.image_sizes(spark, 6, ((0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (0, 3)), (0.0, 1.0), (1, 2), (2,))
-
-
-@query()
-def settled_states(spark, sf_dir):
-    return dynamics.settle(dynamics.states(spark, 6), 6, ((0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (0, 3)))
-
-
 _MAP = "f AS (SELECT range::BIGINT AS x, ((range * range + 1) % 97)::BIGINT AS t FROM range(97))"
 
 
@@ -610,39 +583,11 @@ def map_power(spark, sf_dir):
     return dynamics.power(views.square_map(spark, 97), 3)
 
 
-@query("WITH RECURSIVE b(k, x, block) AS (SELECT 0, range::BIGINT, (range % 2)::BIGINT FROM range(64)) SELECT x, (x % 2)::INT AS block FROM b")
-def coarsest_stable(spark, sf_dir):
-    f = spark.range(64).select(F.col("id").alias("x"), ((F.col("id") * 3 + 1) % 64).alias("t"))
-    part, _ = dynamics.coarsest_stable(f.select("x", (F.col("x") % 2).alias("block")), [f])
-    return part
-
-
-@query("SELECT b::INT AS x, (1 - b)::INT AS t FROM range(2) r(b)")
-def block_map(spark, sf_dir):
-    f = spark.range(64).select(F.col("id").alias("x"), ((F.col("id") * 3 + 1) % 64).alias("t"))
-    return dynamics.block_map(f.select("x", (F.col("x") % 2).cast("int").alias("block")), f)
-
-
-@query("SELECT 4::BIGINT AS map_order")
-def map_order(spark, sf_dir):
-    f = spark.range(5).select(F.col("id").alias("x"), ((F.col("id") * 2) % 5).alias("t"))
-    return spark.createDataFrame([(dynamics.order_of(f),)], "map_order long")
-
-
 @query("WITH RECURSIVE p(a, k, v) AS (SELECT range::BIGINT, 1, range::BIGINT FROM range(1, 31) UNION ALL SELECT a, k + 1, v * a % 31 FROM p WHERE k < 30) SELECT a, min(k)::BIGINT AS \"order\" FROM p WHERE v = 1 GROUP BY a")
 def mult_orders(spark, sf_dir):
     return dynamics.multiplicative_orders(spark, 31)
 
 
-def _graph(spark, edges):
-    return spark.createDataFrame(edges, "u long, v long")
-
-
-@query("SELECT * FROM (VALUES (3, 8::BIGINT), (4, 6::BIGINT)) t(length, cycles)")
-def prime_cycles_k4(spark, sf_dir):
-    return graphs.prime_cycles(_graph(spark, [(a, b) for a in range(4) for b in range(a + 1, 4)]), 4)
-
-
 @query("WITH n AS (SELECT n_nationkey::BIGINT AS x, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS component FROM nation) SELECT x, component FROM n")
 def forest_components(spark, sf_dir):
     nation = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("x"), "n_regionkey")
@@ -658,21 +603,6 @@ def graph_degrees(spark, sf_dir):
     return graphs.degrees(edges)
 
 
-def _graph_family(spark):
-    rows = [("C3", 0, 1), ("C3", 1, 2), ("C3", 0, 2), *(("C6", i, (i + 1) % 6) for i in range(6)), *(("K4", a, b) for a in range(4) for b in range(a + 1, 4))]
-    return spark.createDataFrame(rows, "graph string, u long, v long")
-
-
-@query("SELECT * FROM (VALUES ('C3', '1,0,0,-2,0,0,1'), ('C6', '1,0,0,0,0,0,-2,0,0,0,0,0,1')) t(graph, coefficients)")
-def bass_determinant(spark, sf_dir):
-    return graphs.bass_determinants(_graph_family(spark).filter("graph <> 'K4'")).withColumn("coefficients", F.array_join("coefficients", ","))
-
-
-@query("SELECT * FROM (VALUES ('C3', '-2,-3,0,1'), ('C6', '-4,0,9,0,-6,0,1'), ('K4', '-3,-8,-6,0,1')) t(graph, coefficients)")
-def charpoly(spark, sf_dir):
-    return graphs.characteristic_polynomials(_graph_family(spark)).withColumn("coefficients", F.array_join("coefficients", ","))
-
-
 @query("SELECT doc_id, array_to_string(list_transform(range(0, 5), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: coalesce(([1, doc_id % 5, 2])[i + 1], 0) * coalesce(([doc_id % 3, 1, 4])[k - i + 1], 0)))::BIGINT), ',') AS product FROM documents")
 def polynomial_products(spark, sf_dir):
     p = F.array(F.lit(1).cast("long"), F.col("doc_id") % 5, F.lit(2).cast("long"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import sqlite3
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..model import RUN
 from . import loaders, stores
-from .objects import objects, text_files
+from .objects import objects, shared_folder, text_files
 
 # Formats in the order that settles ties.
 FORMATS = ("canonical", "pi", "openai", "langsmith", "otel", "autogen", "crewai", "claude", "codex", "opencode", "antigravity")
@@ -92,18 +94,29 @@ def formats_of(spark: SparkSession, paths) -> DataFrame:
     return found.unionByName(kinds)
 
 
-def load(spark: SparkSession, paths, fmt: str | None = None) -> DataFrame:
-    """Runs of all files under ``paths``: of one format, or each file by what it is found to be.
+def load_found(found: DataFrame) -> DataFrame:
+    """Runs of files with their format (path, value, format), each file read by its own loader.
 
-    The formats present are few; each is one branch of a union over its files.
+    The texts are written once by format, so that each loader reads its own files and no others.
     """
+    spark = found.sparkSession
+    folder = f"{shared_folder(spark)}/tracelode-formats-{uuid.uuid4().hex}"
+    found.select("path", "value", "format").write.partitionBy("format").parquet(folder)
+    kept = spark.read.schema("path string, value string, format string").parquet(folder)
+    out = spark.createDataFrame([], RUN)
+    # the formats that occur are at most as many as there are loaders
+    for name in sorted(r["format"] for r in kept.select("format").distinct().collect()):
+        out = out.unionByName(LOADERS[name](kept.filter(F.col("format") == name).select("path", "value")))
+    return out
+
+
+def load(spark: SparkSession, paths, fmt: str | None = None) -> DataFrame:
+    """Runs of all files under ``paths``: of one format, or each file by what it is found to be."""
     texts, binaries = text_files(spark, paths), stores.store_files(spark, paths)
     if fmt:
         return LOADERS[fmt](binaries if fmt in STORES else texts)
-    known = formats_of(spark, paths)
-    out = None
-    for name in sorted(r["format"] for r in known.select("format").distinct().collect()):
-        own = known.filter(F.col("format") == name).select("path")
-        part = LOADERS[name]((binaries if name in STORES else texts).join(own, "path", "left_semi"))
-        out = part if out is None else out.unionByName(part)
+    out = load_found(texts.join(detect(texts), "path"))
+    kinds = binaries.withColumn("format", store_kind("content"))
+    for name in STORES:
+        out = out.unionByName(LOADERS[name](kinds.filter(F.col("format") == name).drop("format")))
     return out

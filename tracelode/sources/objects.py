@@ -15,6 +15,15 @@ def is_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; set here only where it is unset, as in tests."""
+    sc = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and sc._jsc.sc().getCheckpointDir().isDefined():
+        given = sc._jsc.sc().getCheckpointDir().get()
+    return (given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
 def text_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """path, value: whole files, directories being walked; files that cannot be read are left out."""
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.json*")

@@ -6,7 +6,7 @@ import html
 import json
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,15 +49,66 @@ def _line(values: list[float | None], width: int = 640, height: int = 90, mark:
     return f'<svg width="{width}" height="{height}">{rule}<polyline points="{points}" fill="none" stroke="#3a6ea5"/></svg>'
 
 
-def report_html(book: DataFrame, exponents: DataFrame, title: str = "profile") -> str:
-    """A page with a section for each agent; ``book`` and ``exponents`` have a row for each agent and level."""
+def bar_heights(n: Column) -> Column:
+    """The same scale as a column."""
+    return F.log2(1 + n.cast("double"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A table as JSON lines: corpora, splits and baselines."""
+    df.write.json(path)
+
+
+def _table(rows: list[dict], columns: list[str]) -> str:
+    cell = lambda v: "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
+    return f"<table><tr>{head}</tr>{''.join('<tr>' + ''.join(f'<td>{html.escape(cell(r.get(c)))}</td>' for c in columns) + '</tr>' for r in rows)}</table>"
+
+
+def report_text(book: DataFrame, exponents: DataFrame, tails: DataFrame, inflation: DataFrame | None = None) -> str:
+    """The profile of each agent as text: its levels, exponents with where they are attained, tails with what they claim, inflation.
+
+    Ledgers and what follows from them have a row for each agent and level, so they fit a driver.
+    """
+    top = {r["agent"]: r for r in exponents.collect()}
+    said: dict = {}
+    for r in tails.orderBy("agent", "kind").collect():
+        said.setdefault(r["agent"], []).append(r)
+    out: list[str] = []
+    agent = None
+    for r in book.orderBy("agent", "level").collect():
+        if r["agent"] != agent:
+            agent = r["agent"]
+            e = top[agent]
+            at = lambda c: f"{e[c]:.6f} at level {e[f'{c}_at']} of {e['horizon']}{', shallow: not a rate' if e[f'{c}_shallow'] else ''}"  # noqa: B023, E731
+            out += ["", str(agent), f"  D {at('d')}", f"  S {at('s')}", f"  difference {e['delta']:.6f}"]
+            out += [f"  tail of {t['kind'].upper()}: {'-' if t['value'] is None else format(t['value'], '.6f')} {t['status']} ({t['label']})" for t in said.get(agent, [])]
+        share = r["l"] / r["n"] if r["n"] else 0.0
+        out.append(f"  level {r['level']:>3}  explored {r['n']:>9}  live {r['l']:>9}  yield {100 * share:6.2f} %")
+    if inflation is not None:
+        out += ["", "inflation against the reference"]
+        out += [f"  {r['agent']} level {r['level']}: {'-' if r['inflation'] is None else format(r['inflation'], '.2f')}" for r in inflation.orderBy("agent", "level").collect()]
+    return "\n".join(out).strip() + "\n"
+
+
+def report_html(book: DataFrame, exponents: DataFrame, title: str = "profile", tails: DataFrame | None = None, inflation: DataFrame | None = None, warrants: DataFrame | None = None) -> str:
+    """A page with a section for each agent (classes, yields, ratios by level), and tables of tails, inflation and warrants.
+
+    All of them have a row for each agent and level, or for each format, and no more.
+    """
     rows = [r.asDict() for r in book.orderBy("agent", "level").collect()]
     summary = {r["agent"]: r.asDict() for r in exponents.collect()}
+    panels = {name: [r.asDict() for r in df.orderBy(*df.columns[:2]).collect()] for name, df in (("tails", tails), ("inflation", inflation), ("warrants", warrants)) if df is not None}
     sections = []
     for agent in sorted({r["agent"] for r in rows}):
         own = [r for r in rows if r["agent"] == agent]
         e = summary.get(agent, {})
         yields = [r["l"] / r["n"] if r["n"] else 0 for r in own]
-        sections.append(f"<h2>{html.escape(str(agent))}</h2><p>S={e.get('s', 0):.4f} D={e.get('d', 0):.4f} &Delta;={e.get('delta', 0):.4f}</p>{_bars(own)}{_line(yields, mark=0.1)}")
-    data = html.escape(json.dumps({"book": rows, "exponents": summary}, default=str), quote=False)
+        ratios = [math.log2(r[c]) / r["level"] if r[c] > 0 and r["level"] else None for c in ("n", "l") for r in own]
+        lines = _line(ratios[: len(own)]) + _line(ratios[len(own) :])
+        sections.append(f"<h2>{html.escape(str(agent))}</h2><p>S={e.get('s', 0):.4f} D={e.get('d', 0):.4f} &Delta;={e.get('delta', 0):.4f}</p>{_bars(own)}{_line(yields, mark=0.1)}{lines}")
+    for name, found in panels.items():
+        columns = [c for c in (found[0] if found else {}) if c != "tail"]
+        sections.append(f"<h2>{name}</h2>{_table(found, columns)}")
+    data = html.escape(json.dumps({"book": rows, "exponents": summary, **panels}, default=str), quote=False)
     return f'<!DOCTYPE html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{"".join(sections)}<script type="application/json">{data}</script>'

@@ -1,6 +1,6 @@
 """Ledgers of a stream of runs, and streams of events cut into runs.
 
-First sight of a class is state: each (group, level, class, live?) is let through once, and
+First sight of a class is kept: each (group, level, class, live?) enters a table once, and
 counts are merged batch by batch.  LIVE is only ever set, never taken back, so the explicit
 rule needs no more.  The horizon rule is not monotone (a longer trace demotes what did not
 reach so far), so it is recomputed from per-class maxima whenever a batch arrives.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import ledger
 from ..operators.tower import Tower
@@ -39,9 +40,29 @@ def counts(sights: DataFrame, group: str) -> DataFrame:
 
 
 def run_stream(runs: DataFrame, tower: Tower, ok: Column, group: str, table_dir: str, checkpoint: str):
-    """Starts a query that appends first sights of a stream to Parquet; ``counts`` over that table is the ledger."""
-    sights = first_sights(class_marks(runs, tower, ok, group), group)
-    return sights.writeStream.format("parquet").option("path", table_dir).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Starts a query that appends a stream's first sights to the table under ``table_dir``; ``stream_book`` over it is the ledger.
+
+    What was seen is the table itself and not the state store, so nothing in memory grows
+    with the stream.  A batch that is run again writes its own folder anew.
+    """
+    marks = class_marks(runs, tower, ok, group)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        fresh = batch.distinct()
+        if number:
+            fresh = fresh.join(seen(batch.sparkSession, table_dir, fresh.schema).filter(F.col("batch") < number).drop("batch"), [group, "level", "key", "live"], "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{table_dir}/batch={number}")
+
+    return marks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def seen(spark, table_dir: str, schema) -> DataFrame:
+    """The table of first sights, with the number of the batch each came in."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", table_dir).parquet(table_dir)
+
+
+def stream_book(spark, table_dir: str, group: str) -> DataFrame:
+    return counts(spark.read.option("basePath", table_dir).parquet(table_dir).select(group, "level", "key", "live"), group)
 
 
 def prefix_reach(runs: DataFrame, labels: Column, group: str) -> DataFrame:
