@@ -15,7 +15,7 @@ an empty table gives an empty result; columns other than doc_id and text are not
 similarity of ``least`` or more.  Such sets differ in some 15 % of their fingerprint's bits,
 too many for balls around two halves, so it takes fingerprints of 256 bits and many tables
 of a few bits each, enough for one to agree with a probability of ``RECALL``; what meets
-and is near by 64 bits is verified by the exact similarity.
+and is near by all bits is verified by the exact similarity.
 """
 
 from __future__ import annotations
@@ -169,8 +169,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def table_plan(prints: int, least: float) -> tuple[np.ndarray, int]:
-    """The bits of each table (a row each), and the most bits of 64 that a pair of similarity ``least`` differs in.
+def table_plan(prints: int, least: float) -> tuple[np.ndarray, int, int]:
+    """The bits of each table (a row each), and the most bits that a pair of similarity ``least`` differs in, of 64 and of all.
 
     A table has so many bits that an unlike fingerprint is met about every fourth time.
     """
@@ -178,7 +178,8 @@ def table_plan(prints: int, least: float) -> tuple[np.ndarray, int]:
     bits = max(16, math.ceil(math.log2(max(prints, 1))) + 2)
     tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share) ** bits))
     rng = np.random.default_rng(SEED)
-    return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(tables)]), round(64 * share + 3.5 * math.sqrt(64 * share * (1 - share)))
+    most = lambda n: round(n * share + 3.5 * math.sqrt(n * share * (1 - share)))
+    return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(tables)]), most(64), most(64 * WORDS)
 
 
 def _wide(docs: DataFrame, width: int, key: Column) -> DataFrame:
@@ -193,12 +194,14 @@ def _wide(docs: DataFrame, width: int, key: Column) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, least: float) -> DataFrame:
-    """a < b, d (bits of 64 they differ in): pairs of ``nodes`` (key, w0..) that are neighbours in some table.
+    """a < b, d (bits of all they differ in): pairs of ``nodes`` (key, w0..) that meet in some table and are near.
 
-    In a table, what shares a key is ordered by fingerprint, and each meets the two before it
-    and the first: every pair where four or fewer meet, and a connected order where more do.
+    In a table, what shares a key is ordered by fingerprint, and each meets the first, or the
+    one before it where the first is not near: every pair where two meet, and a star of what
+    is near where more do, so that a large group has about a pair for each member and not
+    one for each two.
     """
-    chosen, radius = table_plan(nodes.count(), least)
+    chosen, radius, wide = table_plan(nodes.count(), least)
     powers = 1 << np.arange(chosen.shape[1], dtype=np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +217,16 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
     placed = nodes.mapInArrow(work, "place long, key long, sig long")
     order = Window.partitionBy("place").orderBy("sig", "key")
     me = F.struct("key", "sig")
-    beside = placed.select(me.alias("x"), F.lag(me, 1).over(order).alias("y1"), F.lag(me, 2).over(order).alias("y2"), F.first(me).over(order).alias("y3"))
-    met = beside.select("x", F.explode(F.array("y1", "y2", "y3")).alias("y"))
-    d = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig")))
-    near = met.filter((F.col("x.key") != F.col("y.key")) & (d <= radius))
-    return near.groupBy(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).agg(F.min(d).alias("d"))
+    beside = placed.select(me.alias("x"), F.lag(me, 1).over(order).alias("y1"), F.first(me).over(order).alias("y0"))
+    away = lambda y: F.bit_count(F.col("x.sig").bitwiseXOR(F.col(f"{y}.sig")))
+    other = F.when((F.col("y0.key") != F.col("x.key")) & (away("y0") <= radius), F.col("y0.key")).when(away("y1") <= radius, F.col("y1.key"))
+    met = beside.select(F.col("x.key").alias("x"), other.alias("y")).filter("y IS NOT NULL AND x <> y")
+    near = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    words = [f"w{k}" for k in range(WORDS)]
+    for c in ("a", "b"):
+        near = near.join(nodes.select(F.col("key").alias(c), F.struct(*words).alias(f"{c}_words")), c)
+    d = sum((F.bit_count(F.col(f"a_words.{w}").bitwiseXOR(F.col(f"b_words.{w}"))) for w in words), F.lit(0))
+    return near.select("a", "b", d.alias("d")).filter(F.col("d") <= wide)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, key: Column, width: int, least: float) -> DataFrame:
@@ -238,12 +246,12 @@ def verified(docs: DataFrame, pairs: DataFrame, key: Column, width: int, least:
 def similar_roots(docs: DataFrame, pairs: DataFrame, key: Column, width: int, least: float) -> DataFrame:
     """node, root of the components that the verified ones of ``pairs`` make.
 
-    At first each key verifies only its nearest pair, three times over; then all pairs that
-    still run between two components are.  A pair within a component has nothing to add.
+    At first each key verifies only its nearest pair; then all pairs that still run between
+    two components are.  A pair within a component has nothing to add.
     """
     left = pairs
     links = durable(pairs.select("a", "b").limit(0), "similar-links")
-    for nearest in (True, True, True, False):
+    for nearest in (True, False):
         roots = connected(links)
         left_now = left
         for c in ("a", "b"):
