@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..model import RUN
 from . import loaders, stores
-from .objects import objects, shared_folder, text_files
+from .objects import objects, shared_folder, trace_objects
 
 # Formats in the order that settles ties.
 FORMATS = ("canonical", "pi", "openai", "langsmith", "otel", "autogen", "crewai", "claude", "codex", "opencode", "antigravity")
@@ -50,7 +50,7 @@ def detect(files: DataFrame) -> DataFrame:
     total = points.groupBy("path").agg(*(F.sum(c).alias(f) for f, c in scores(F.col("obj")).items()))
     best = F.array_max(F.array(*(F.struct(F.col(f).alias("score"), F.lit(-FORMATS.index(f)).alias("o"), F.lit(f).alias("format")) for f in FORMATS[:9])))
     found = total.select("path", F.when(best["score"] > 0, best["format"]).otherwise("canonical").alias("format"))
-    return files.select("path").join(found, "path", "left").select("path", F.coalesce("format", F.lit("canonical")).alias("format"))
+    return files.select("path").distinct().join(found, "path", "left").select("path", F.coalesce("format", F.lit("canonical")).alias("format"))
 
 
 @F.pandas_udf(T.StringType())
@@ -89,30 +89,31 @@ STORES = ("opencode", "antigravity")
 
 def formats_of(spark: SparkSession, paths) -> DataFrame:
     """path, format of all trace files under ``paths``."""
-    found = detect(text_files(spark, paths))
+    found = detect(trace_objects(spark, paths))
     kinds = stores.store_files(spark, paths).select("path", store_kind("content").alias("format")).filter("format IS NOT NULL")
     return found.unionByName(kinds)
 
 
 def load_found(found: DataFrame) -> DataFrame:
-    """Runs of files with their format (path, value, format), each file read by its own loader.
+    """Runs of files with their format (path, format, and value or ord and obj), each file read by its own loader.
 
-    The texts are written once by format, so that each loader reads its own files and no others.
+    What was read is written once by format, so that each loader reads its own files and no others.
     """
     spark = found.sparkSession
     folder = f"{shared_folder(spark)}/tracelode-formats-{uuid.uuid4().hex}"
-    found.select("path", "value", "format").write.partitionBy("format").parquet(folder)
-    kept = spark.read.schema("path string, value string, format string").parquet(folder)
+    columns = [c for c in ("path", "ord", "obj", "value") if c in found.columns]
+    found.select(*columns, "format").write.partitionBy("format").parquet(folder)
+    kept = spark.read.schema(found.select(*columns, "format").schema).parquet(folder)
     out = spark.createDataFrame([], RUN)
     # the formats that occur are at most as many as there are loaders
     for name in sorted(r["format"] for r in kept.select("format").distinct().collect()):
-        out = out.unionByName(LOADERS[name](kept.filter(F.col("format") == name).select("path", "value")))
+        out = out.unionByName(LOADERS[name](kept.filter(F.col("format") == name).select(*columns)))
     return out
 
 
 def load(spark: SparkSession, paths, fmt: str | None = None) -> DataFrame:
     """Runs of all files under ``paths``: of one format, or each file by what it is found to be."""
-    texts, binaries = text_files(spark, paths), stores.store_files(spark, paths)
+    texts, binaries = trace_objects(spark, paths), stores.store_files(spark, paths)
     if fmt:
         return LOADERS[fmt](binaries if fmt in STORES else texts)
     out = load_found(texts.join(detect(texts), "path"))

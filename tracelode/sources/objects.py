@@ -26,12 +26,35 @@ def shared_folder(spark: SparkSession) -> str:
 
 def text_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """path, value: whole files, directories being walked; files that cannot be read are left out."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.json*")
-    return reader.text(list(paths) if not isinstance(paths, str) else paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return _reader(spark).text(list(paths) if not isinstance(paths, str) else paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def _reader(spark: SparkSession):
+    return spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.json*")
+
+
+def trace_objects(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """path, ord, obj of all trace files under ``paths``, to be given to a loader in place of whole files.
+
+    Files of one object a line are read in splits, so a long log is many tasks; a line's
+    number is the start of its split and its place in there, which keeps the order of lines
+    and names each once.  Only files that are one document are read whole.
+    """
+    paths = paths if isinstance(paths, str) else list(paths)
+    lines = _reader(spark).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    begins = lines.filter("block = 0").groupBy("path").agg(F.min_by(F.trim("value"), F.when(F.trim("value") != "", F.col("id"))).alias("first"))
+    by_line = begins.filter(F.col("first").startswith("{") & is_json(F.col("first"))).select("path")
+    splits = lines.groupBy("path", "block").agg(F.min("id").alias("from"))
+    each = lines.join(by_line, "path", "left_semi").join(splits, ["path", "block"]).select("path", (F.col("block") + F.col("id") - F.col("from")).alias("ord"), F.trim("value").alias("obj"))
+    kept = each.filter(F.col("obj").startswith("{") & is_json(F.col("obj")))
+    whole = text_files(spark, paths).join(by_line, "path", "left_anti")
+    return kept.unionByName(objects(whole).withColumn("ord", F.col("ord").cast("long")))
 
 
 def objects(files: DataFrame) -> DataFrame:
-    """path, ord, obj (JSON text): blank, malformed and non-object pieces are skipped."""
+    """path, ord, obj (JSON text) of whole files (path, value), or of what ``trace_objects`` has read: blank, malformed and non-object pieces are skipped."""
+    if "obj" in files.columns:
+        return files.select("path", "ord", "obj")
     text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
     lines = F.split(text, r"\r?\n")
     keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
