@@ -2,8 +2,8 @@
 
 A candidate string is a run of credential characters.  A window slides over it; the counts
 of its characters and the entropy are kept up incrementally, each step being O(1).  The
-threshold depends on the class of characters that the window holds.  Windows of letters
-alone have a threshold of their own, and must change case as often as compound words do
+threshold depends on the class of characters that the window holds.  Windows without a
+digit have a threshold of their own, and must change case as often as compound words do
 not.  An allow-list takes out candidates that look random but are not secret (numbers,
 UUIDs, versions and dates, words in one case).
 
@@ -39,7 +39,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 WINDOW = 20
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 THRESHOLDS = {"hex": 2.6, "alnum": 3.5, "base64": 3.7, "letters": 3.8}
-#: Changes between upper and lower case in a window of letters alone; random keys have about 9.5, compound words 6 or fewer.
+#: Changes between upper and lower case of adjoining letters in a window without a digit; random keys have about 9.5, compound words 6 or fewer.
 LEAST_CHANGES = 7
 ALLOWED = (
     re.compile(r"^[0-9]+$"),  # numbers
@@ -56,38 +56,45 @@ def _plogp(window: int) -> list[float]:
     return [0.0] + [n * math.log2(n) for n in range(1, window + 2)]
 
 
+#: Of each candidate character: is it a digit, upper, lower, a lower or an upper hexadecimal one, or none of letters and digits.
+_TRAITS = {c: (c.isdigit(), c.isupper(), c.islower(), c in "0123456789abcdef", c in "0123456789ABCDEF", not c.isalnum()) for c in map(chr, range(128))}
+
+
+def _class(size: int, low: int, up: int, other: int) -> str:
+    return "hex" if size in (low, up) else "base64" if other else "alnum"
+
+
 def character_class(counts: dict[str, int]) -> str:
     """The narrowest class that holds all characters with a count."""
-    present = {c for c, n in counts.items() if n}
-    if present <= set("0123456789abcdef") or present <= set("0123456789ABCDEF"):
-        return "hex"
-    return "alnum" if all(c.isalnum() for c in present) else "base64"
+    present = [_TRAITS[c] for c, n in counts.items() if n]
+    return _class(len(present), *(sum(t[k] for t in present) for k in (3, 4, 5)))
 
 
 def hot_windows(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Merged (start, end) of the windows whose entropy reaches their class's threshold."""
+    """Merged (start, end) of the windows whose entropy reaches their class's threshold; every count is kept up by one character in and one out."""
     counts: dict[str, int] = {}
     table = _plogp(window)
     total, runs = 0.0, []
-    digits = upper = lower = other = changes = 0
+    digits = upper = lower = low = up = other = changes = 0
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         total += table[n + 1] - table[n]
         counts[c] = n + 1
-        digits, upper, lower, other = digits + c.isdigit(), upper + c.isupper(), lower + c.islower(), other + (not c.isalnum())
-        changes += i > 0 and c.isalpha() and s[i - 1].isalpha() and c.isupper() != s[i - 1].isupper()
+        d, u, w, x, y, o = _TRAITS[c]
+        digits, upper, lower, low, up, other = digits + d, upper + u, lower + w, low + x, up + y, other + o
+        changes += i > 0 and _turns(s[i - 1], c)
         if i >= window:
             gone = s[i - window]
             n = counts[gone]
             total += table[n - 1] - table[n]
             counts[gone] = n - 1
-            digits, upper, lower, other = digits - gone.isdigit(), upper - gone.isupper(), lower - gone.islower(), other - (not gone.isalnum())
-            after = s[i - window + 1]
-            changes -= gone.isalpha() and after.isalpha() and gone.isupper() != after.isupper()
-        letters = upper + lower == window and changes >= LEAST_CHANGES
-        if i >= window - 1 and (letters or (digits and (upper or lower))):
+            d, u, w, x, y, o = _TRAITS[gone]
+            digits, upper, lower, low, up, other = digits - d, upper - u, lower - w, low - x, up - y, other - o
+            changes -= _turns(gone, s[i - window + 1])
+        mixed = not digits and changes >= LEAST_CHANGES
+        if i >= window - 1 and (mixed or (digits and (upper or lower))):
             bits = math.log2(window) - total / window
-            if bits >= THRESHOLDS["hex"] and bits >= THRESHOLDS["letters" if letters else character_class(counts)]:
+            if bits >= THRESHOLDS["letters" if mixed else _class(window, low, up, other)]:
                 start = i - window + 1
                 if runs and start <= runs[-1][1]:
                     runs[-1] = (runs[-1][0], i + 1)
@@ -96,6 +103,12 @@ def hot_windows(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
     return runs
 
 
+def _turns(a: str, b: str) -> bool:
+    """Do two adjoining letters differ in case?"""
+    one, two = _TRAITS[a], _TRAITS[b]
+    return (one[1] and two[2]) or (one[2] and two[1])
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Spans of candidates with a hot window, without those on the allow-list."""
     spans = []
