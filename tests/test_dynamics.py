@@ -6,8 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracelode import model
+from tracelode.functions import mesh
 from tracelode.functions import steps as S
-from tracelode.operators import costvar, dynamics, protocol, tower
+from tracelode.operators import costvar, dynamics, multires, protocol, tower
+from tracelode.sources import sinks
 
 
 def instance(n):
@@ -184,3 +187,29 @@ def test_registry_of_towers():
     assert tower.build_tower("tool").depth == 6 and tower.build_tower("prefix", F.col("labels"), 4).depth == 4
     with pytest.raises(ValueError, match="known are"):
         tower.build_tower("nothing")
+
+
+def test_schedules_and_idempotence(spark):
+    g = dynamics.loop(0.1, 0.5, 0.9)
+    assert g == (0.1, 0.5, 0.9, 0.1) == dynamics.LOOPS["g1"]
+    assert dynamics.joined_schedules(g, g[::-1]) == dynamics.LOOPS["g1.g1^-1"] and dynamics.joined_schedules(g, g) == dynamics.LOOPS["g1.g1"]
+    with pytest.raises(ValueError, match="meet"):
+        dynamics.joined_schedules((0.1, 0.2), (0.3, 0.1))
+    f = spark.range(12).select(F.col("id").alias("x"), (F.floor(F.col("id") / 4) * 4).alias("t"))
+    assert dynamics.idempotent(f) and not dynamics.idempotent(f.withColumn("t", (F.col("x") + 1) % 12))
+
+
+def test_mesh_bounds():
+    n = {1: 2, 2: 4, 3: 1, 4: 0}
+    assert mesh.exponent_with_convention(n, {j: j for j in n}) == 1.0 and mesh.exponent_with_convention({1: 0}, {1: 1}) == 0.0
+    assert mesh.sandwich_upper({2: 8, 4: 4}, [2, 4], {2: 2, 4: 4}) == 1.5 and mesh.finite_corpus_bound(64) == 6.0
+    assert mesh.counts(16, [2, 4, 16]) == (1 << 16, (1 << 16) + (1 << 32))
+
+
+def test_long_steps_blocks_and_parquet(spark, tmp_path):
+    runs = spark.createDataFrame([(1, [("mcp_a", "{}", None), ("read", "{}", "bad")]), (2, [])], "i int, steps array<struct<tool:string,args:string,error:string>>")
+    assert [(r["i"], r["pos"], r["family"], r["error"]) for r in model.steps_long(runs, "i").orderBy("pos").collect()] == [(1, 0, "mcp", None), (1, 1, "read", "bad")]
+    items = spark.createDataFrame([(3, "b"), (1, "c"), (2, "b"), (9, "a")], "item int, l string")
+    assert {r["l"]: r["k"] for r in multires.block_number(items, "l", "k").collect()} == {"c": 0, "b": 1, "a": 2}
+    sinks.write_parquet(items, str(tmp_path / "p"), "l")
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 4
