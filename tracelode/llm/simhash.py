@@ -169,17 +169,26 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def table_plan(prints: int, least: float) -> tuple[np.ndarray, int, int]:
-    """The bits of each table (a row each), and the most bits that a pair of similarity ``least`` differs in, of 64 and of all.
+def unlike_share(least: float) -> float:
+    """The share of bits in which fingerprints of a pair of similarity ``least`` differ on the mean."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def most_unlike(bits: int, least: float) -> int:
+    """The most of so many bits that a pair of similarity ``least`` differs in, short of a chance of some 1 in 4000."""
+    share = unlike_share(least)
+    return round(bits * share + 3.5 * math.sqrt(bits * share * (1 - share)))
+
+
+def table_plan(prints: int, least: float) -> tuple[np.ndarray, int]:
+    """The bits of each table (a row each), and the most bits of all that a pair of similarity ``least`` differs in.
 
     A table has so many bits that an unlike fingerprint is met about every fourth time.
     """
-    share = math.acos(2 * least / (1 + least)) / math.pi
     bits = max(16, math.ceil(math.log2(max(prints, 1))) + 2)
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share) ** bits))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - unlike_share(least)) ** bits))
     rng = np.random.default_rng(SEED)
-    most = lambda n: round(n * share + 3.5 * math.sqrt(n * share * (1 - share)))
-    return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(tables)]), most(64), most(64 * WORDS)
+    return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(tables)]), most_unlike(64 * WORDS, least)
 
 
 def _wide(docs: DataFrame, width: int, key: Column) -> DataFrame:
@@ -201,24 +210,29 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
     is near where more do, so that a large group has about a pair for each member and not
     one for each two.
     """
-    chosen, radius, wide = table_plan(nodes.count(), least)
+    chosen, wide = table_plan(nodes.count(), least)
     powers = 1 << np.arange(chosen.shape[1], dtype=np.int64)
+    # a place (table and its bits) and as many bits of the fingerprint as fit beside it are one number
+    room = 63 - (len(chosen).bit_length() + chosen.shape[1])
+    part = min(room, 28)
+    radius = most_unlike(part, least)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                words = np.stack([part.column(f"w{k}").to_numpy() for k in range(WORDS)], axis=1)
+                rows = batch.slice(at, 512)
+                words = np.stack([rows.column(f"w{k}").to_numpy() for k in range(WORDS)], axis=1)
                 bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
-                places = np.stack([bits[:, row] @ powers + (t << 40) for t, row in enumerate(chosen)], axis=1)
-                n = len(chosen)
-                yield pa.RecordBatch.from_arrays([pa.array(places.ravel()), pa.array(np.repeat(part.column("key").to_numpy(), n)), pa.array(np.repeat(words[:, 0], n))], names=["place", "key", "sig"])
+                places = np.stack([bits[:, row] @ powers + (t << chosen.shape[1]) for t, row in enumerate(chosen)], axis=1)
+                own = words[:, :1] & ((1 << part) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array((places << part | own).ravel()), pa.array(np.repeat(rows.column("key").to_numpy(), len(chosen)))], names=["code", "key"])
 
-    placed = nodes.mapInArrow(work, "place long, key long, sig long")
-    order = Window.partitionBy("place").orderBy("sig", "key")
-    me = F.struct("key", "sig")
+    placed = nodes.mapInArrow(work, "code long, key long")
+    order = Window.partitionBy(F.shiftright("code", part)).orderBy("code", "key")
+    me = F.struct("key", "code")
     beside = placed.select(me.alias("x"), F.lag(me, 1).over(order).alias("y1"), F.first(me).over(order).alias("y0"))
-    away = lambda y: F.bit_count(F.col("x.sig").bitwiseXOR(F.col(f"{y}.sig")))
+    # within a place codes differ in the fingerprint's bits alone
+    away = lambda y: F.bit_count(F.col("x.code").bitwiseXOR(F.col(f"{y}.code")))
     other = F.when((F.col("y0.key") != F.col("x.key")) & (away("y0") <= radius), F.col("y0.key")).when(away("y1") <= radius, F.col("y1.key"))
     met = beside.select(F.col("x.key").alias("x"), other.alias("y")).filter("y IS NOT NULL AND x <> y")
     near = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -229,10 +243,26 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
     return near.select("a", "b", d.alias("d")).filter(F.col("d") <= wide)
 
 
+#: Slots of the bitmap of keys that are asked for: 16 MB, whatever the number of keys.
+SLOTS = 1 << 27
+
+
+def _likely(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose key may be among ``asked``: a bitmap of fixed size, broadcast, spares most others the shuffle to come."""
+    slot = F.pmod("_key", F.lit(SLOTS))
+    page = F.floor(slot / 32_768).cast("int")
+    place = (slot % 32_768).cast("long")
+    marks = asked.groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = texts.withColumn("_page", page).join(F.broadcast(marks), "_page")
+    return met.filter(F.expr("(1 << cast(pmod(_key, 8) as int))").bitwiseAND(byte) != 0).select("_key", "_text")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, key: Column, width: int, least: float) -> DataFrame:
     """Those (a, b) of ``pairs`` of keys whose texts have a Jaccard similarity of ``least`` or more."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    texts = docs.select(key.alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).join(asked, "_key", "left_semi").groupBy("_key").agg(F.first("_text").alias("_text"))
+    texts = docs.select(key.alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    texts = _likely(texts, asked).join(asked, "_key", "left_semi").groupBy("_key").agg(F.first("_text").alias("_text"))
     met = pairs.select("a", "b").join(texts.withColumnsRenamed({"_key": "a", "_text": "s"}), "a").join(texts.withColumnsRenamed({"_key": "b", "_text": "t"}), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
