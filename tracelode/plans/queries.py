@@ -139,16 +139,20 @@ def _region_tree(spark, sf_dir, customers: DataFrame) -> DataFrame:
     return ledger.canonical_trees(found, 2)
 
 
-@query("""WITH c AS (SELECT r_name AS agent, n_nationkey, count(*) FILTER (c_custkey IS NOT NULL AND c_custkey % 300 = 0) AS kids FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
-s AS (SELECT agent, '(' || repeat('()', kids::BIGINT) || ')' AS shape FROM c) SELECT agent, '(' || string_agg(shape, '' ORDER BY shape) || ')' AS shape FROM s GROUP BY agent""")
+_TREES = """WITH c AS (SELECT r_name AS agent, n_nationkey, count(c_custkey) AS kids FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+s AS (SELECT agent, '(' || repeat('()', kids::BIGINT) || ')' AS shape FROM c), t AS (SELECT agent, '(' || string_agg(shape, '' ORDER BY shape) || ')' AS shape FROM s GROUP BY agent)"""
+
+
+@query(f"{_TREES} SELECT agent, len(shape) // 2 AS nodes, sha256(shape) AS digest FROM t")
 def ahu_region_tree(spark, sf_dir):
-    return _region_tree(spark, sf_dir, views.table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 300 == 0))
+    """Size and digest of the canonical form of each region's tree of nations and all customers."""
+    trees = _region_tree(spark, sf_dir, views.table(spark, sf_dir, "customer"))
+    return trees.select("agent", F.expr("length(shape) div 2").alias("nodes"), F.sha2("shape", 256).alias("digest"))
 
 
-@query("""WITH c AS (SELECT r_name AS agent, n_nationkey, count(c_custkey) AS kids FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
-s AS (SELECT agent, '(' || repeat('()', kids::BIGINT) || ')' AS shape FROM c) SELECT agent, '(' || string_agg(shape, '' ORDER BY shape) || ')' AS shape FROM s GROUP BY agent""")
+@query(f"{_TREES} SELECT agent, shape FROM t")
 def ahu_tree_all_customers(spark, sf_dir):
-    """ahu_region_tree over every customer."""
+    """The canonical forms themselves."""
     return _region_tree(spark, sf_dir, views.table(spark, sf_dir, "customer"))
 
 
@@ -611,27 +615,28 @@ def polynomial_products(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- cache lookup, windows
-def _payload_lookup(spark, sf_dir, max_level: int | None = None) -> DataFrame:
+def _payload_lookup(spark, sf_dir) -> DataFrame:
     runs = views.event_runs(spark, sf_dir)
     labels = S.tool_sequence(F.col("steps"))
-    deepest = F.size("labels") if max_level is None else F.least(F.size("labels"), F.lit(max_level))
-    stored = runs.filter(ok()).select("cost", labels.alias("labels")).select("cost", "labels", F.explode(F.sequence(F.lit(1), deepest)).alias("level")).groupBy("level", F.slice("labels", F.lit(1), F.col("level")).alias("prefix")).agg(F.min("cost").alias("payload"))
+    stored = runs.filter(ok()).select("cost", labels.alias("labels")).select("cost", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("level")).groupBy("level", F.slice("labels", F.lit(1), F.col("level")).alias("prefix")).agg(F.min("cost").alias("payload"))
     asked = runs.select(F.col("ordinal").alias("query_id"), labels.alias("labels"), "cost")
-    return ledger.lookup(stored, asked, F.col("payload") <= F.col("cost"), max_level).withColumn("payload", F.round("payload", 6))
+    return ledger.lookup(stored, asked, F.col("payload") <= F.col("cost")).withColumn("payload", F.round("payload", 6))
+
+
+_LOOKED = f"""WITH {EV}, pay AS (SELECT level::INT AS level, tools[1:level] AS p, min(cost) AS payload FROM (SELECT tools, cost FROM ev WHERE outcome = 'stop') t, unnest(range(1, len(tools) + 1)) r(level) GROUP BY ALL),
+q AS (SELECT ordinal AS query_id, tools, cost, level::INT AS level FROM ev, unnest(range(1, len(tools) + 1)) r(level)), m AS (SELECT q.query_id, q.level, pay.payload, pay.payload IS NOT NULL AND pay.payload <= q.cost AS hit FROM q LEFT JOIN pay ON pay.level = q.level AND pay.p = q.tools[1:q.level]),
+found AS (SELECT query_id, min(level) FILTER (hit) AS level, round(arg_min(payload, level) FILTER (hit), 6) AS payload, max(level) FILTER (payload IS NOT NULL) AS reached FROM m GROUP BY query_id)"""
 
 
-@query(f"""WITH {EV}, pay AS (SELECT level::INT AS level, tools[1:level] AS p, min(cost) AS payload FROM (SELECT tools, cost FROM ev WHERE outcome = 'stop') t, range(1, 5) r(level) WHERE level <= len(tools) GROUP BY ALL),
-q AS (SELECT ordinal AS query_id, tools, cost, level::INT AS level FROM ev, range(1, 5) r(level) WHERE level <= len(tools)), m AS (SELECT q.query_id, q.level, pay.payload, pay.payload IS NOT NULL AND pay.payload <= q.cost AS hit FROM q LEFT JOIN pay ON pay.level = q.level AND pay.p = q.tools[1:q.level])
-SELECT query_id, min(level) FILTER (hit) AS level, round(arg_min(payload, level) FILTER (hit), 6) AS payload, max(level) FILTER (payload IS NOT NULL) AS reached FROM m GROUP BY query_id""")
+@query(f"{_LOOKED} SELECT level, reached, count(*) AS queries FROM found GROUP BY ALL")
 def payload_prefix_lookup(spark, sf_dir):
-    return _payload_lookup(spark, sf_dir, 4)
+    """At which level stored payloads serve, along whole paths of any length."""
+    return _payload_lookup(spark, sf_dir).groupBy("level", "reached").agg(F.count("*").alias("queries"))
 
 
-@query(f"""WITH {EV}, pay AS (SELECT level::INT AS level, tools[1:level] AS p, min(cost) AS payload FROM (SELECT tools, cost FROM ev WHERE outcome = 'stop') t, unnest(range(1, len(tools) + 1)) r(level) GROUP BY ALL),
-q AS (SELECT ordinal AS query_id, tools, cost, level::INT AS level FROM ev, unnest(range(1, len(tools) + 1)) r(level)), m AS (SELECT q.query_id, q.level, pay.payload, pay.payload IS NOT NULL AND pay.payload <= q.cost AS hit FROM q LEFT JOIN pay ON pay.level = q.level AND pay.p = q.tools[1:q.level])
-SELECT query_id, min(level) FILTER (hit) AS level, round(arg_min(payload, level) FILTER (hit), 6) AS payload, max(level) FILTER (payload IS NOT NULL) AS reached FROM m GROUP BY query_id""")
+@query(f"{_LOOKED} SELECT * FROM found")
 def payload_lookup_whole_path(spark, sf_dir):
-    """payload_prefix_lookup over whole paths, of any length."""
+    """The served payload of each query."""
     return _payload_lookup(spark, sf_dir)
 
 
