@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; a longer single text is a batch of its own.
 CHUNK_BYTES = 2 << 20
@@ -100,3 +101,29 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def partitions_for(spark: SparkSession, rows: int, per_task: int, least: int = 1) -> int:
     """Tasks so that each has about ``per_task`` rows, without an upper bound."""
     return max(least, -(-rows // per_task))
+
+
+def ranked(df: DataFrame, order: list[str], label: str, tasks: int, by: str | None = None) -> DataFrame:
+    """``df`` with ``pos`` (long, gapless from 0 in the order given, within each ``by``) and ``n`` (rows of that group).
+
+    Rows are dealt by ranges of their order, sorted in their tasks and written, so that a
+    place is a part's first place plus a place in the part and no group is ever one task.
+    Rows that are equal in the whole order are told apart by where they were read, which
+    lets a range end between them.  ``df`` should be cheap to read twice, and ``by`` not null.
+    """
+    keys = [*([by] if by else []), *order]
+    placed = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(tasks, *keys, "_row").sortWithinPartitions(*keys, "_row").drop("_row")
+    placed = durable(placed.withColumn("_at", F.monotonically_increasing_id()), label).withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy(*([by] if by else []), "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    if by:
+        mine = Window.partitionBy(by)
+        before = mine.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select(by, "_part", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_size").over(mine).alias("n"))
+    else:
+        # one row for each task that wrote, so the driver may hold them
+        rows, done = [], 0
+        for r in sorted(parts.collect(), key=lambda r: r["_part"]):
+            rows.append((r["_part"], done - r["_first"]))
+            done += r["_size"]
+        parts = F.broadcast(df.sparkSession.createDataFrame([(p, s, done) for p, s in rows], "_part long, _shift long, n long"))
+    return placed.join(parts, [*([by] if by else []), "_part"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")

@@ -78,7 +78,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8, width=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index_ann, op2_best_fit_packing, op3_simhash_dedup, op4_secret_scan, op5_toxicity, op6_suffix_dedup, op7_token_id_files, op8_rendezvous_sharding, op9_html_extraction, op10_decontamination)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import manifest
+
+    return manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index_ann, op2_best_fit_packing, op3_simhash_dedup, op4_secret_scan, op5_toxicity, op6_suffix_dedup, op7_token_id_files, op8_rendezvous_sharding, op9_html_extraction, op10_decontamination, op11_merkle_manifest, op12_url_filter, op13_importance_resampling)}
 
 _CONTAINMENT = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
