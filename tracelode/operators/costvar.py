@@ -2,62 +2,89 @@
 
 Costs are centred on their task's mean; tasks weigh alike and runs of a task share its
 weight.  The selection cohort (runs known at every level) is weighed and centred anew.
+
+Runs are read once, into a book of moments with a row for each finest block of a task, which
+is written; cohorts, shares, support and selections are taken from that book.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.steps import canonical_args, collapsed, has_error
-from . import multires
-from .dynamics import _held
+from .moments import Book
 
 UNKNOWN = "unknown"
 
 
 def cohort(runs: DataFrame, r_min: int = 2) -> DataFrame:
-    """Priced runs of tasks with at least ``r_min`` of them, with mu and centred cost v."""
+    """Priced runs of tasks with at least ``r_min`` of them, with mu and centred cost v: the rows themselves."""
     priced = runs.filter("cost IS NOT NULL")
     tasks = priced.groupBy("task").agg(F.count("*").alias("_m"), F.avg("cost").alias("_c")).filter(F.col("_m") >= r_min)
     total = tasks.agg(F.count("*").alias("_tasks"))
     return priced.join(tasks, "task").crossJoin(total).withColumn("mu", 1.0 / (F.col("_tasks") * F.col("_m"))).withColumn("v", F.col("cost") - F.col("_c")).drop("_m", "_c", "_tasks")
 
 
-def known_cohort(runs: DataFrame, levels: Sequence[str], r_min: int = 2, unknown: str = UNKNOWN) -> DataFrame:
-    """Runs known at every level, weighed and centred on their own."""
-    known = cohort(runs, r_min).drop("mu", "v")
+def cost_book(runs: DataFrame, levels: Sequence[str]) -> Book:
+    """The written book of the priced runs' costs, by task."""
+    return Book.of(runs.filter("cost IS NOT NULL").select("task", "cost", *levels), levels, ["cost"], by=["task"])
+
+
+def weighed(book: Book, r_min: int = 2) -> Book:
+    """``book`` without tasks of under ``r_min`` runs, every task of the same mass, costs centred on their task's mean.
+
+    Products about a block's own means stay as they are when costs are centred; only their mass changes.
+    """
+    tasks = book.blocks.groupBy("task").agg(F.sum("n").alias("_m"), (F.sum("s_cost") / F.sum("mass")).alias("_c"), F.sum("mass").alias("_mass")).filter(F.col("_m") >= r_min)
+    total = tasks.agg(F.count("*").alias("_tasks"))
+    share = 1.0 / (F.col("_tasks") * F.col("_mass"))
+    rows = book.blocks.join(tasks, "task").crossJoin(total)
+    rows = rows.select("task", *book.levels, "n", (F.col("mass") * share).alias("mass"), ((F.col("s_cost") - F.col("mass") * F.col("_c")) * share).alias("s_cost"), (F.col("c_cost_cost") * share).alias("c_cost_cost"))
+    return replace(book, blocks=rows, pivot=(0.0,))
+
+
+def _unknown(levels: Sequence[str], unknown: str = UNKNOWN) -> Column:
+    out = F.lit(False)
     for c in levels:
-        known = known.filter(F.col(c).isNotNull() & (F.col(c).cast("string") != unknown))
-    return cohort(known, r_min)
+        out = out | F.col(c).isNull() | (F.col(c).cast("string") == unknown)
+    return out
+
+
+def known_cohort(book: Book, r_min: int = 2, unknown: str = UNKNOWN) -> Book:
+    """Runs of the cohort known at every level, weighed and centred on their own.
+
+    Tasks are those that qualify before and after; what is weighed here still has its runs' own masses.
+    """
+    enough = book.blocks.groupBy("task").agg(F.sum("n").alias("_m")).filter(F.col("_m") >= r_min).select("task")
+    return weighed(replace(book, blocks=book.blocks.join(enough, "task", "left_semi").filter(~_unknown(book.levels, unknown))), r_min)
 
 
-def support(items: DataFrame, levels: Sequence[str], k_tasks: int = 2, least: float = 0.5, min_blocks: int = 2) -> DataFrame:
-    """level, blocks, mean_size, supported (mass in blocks that at least k_tasks tasks share), admissible."""
-    long = items.select("task", "mu", F.explode(F.array(*(F.struct(F.lit(j).alias("level"), F.col(c).cast("string").alias("block")) for j, c in enumerate(levels)))).alias("x")).select("task", "mu", "x.*")
-    per_task = long.groupBy("level", "block", "task").agg(F.count("*").alias("n"), F.sum("mu").alias("mu"))
+def support(book: Book, k_tasks: int = 2, least: float = 0.5, min_blocks: int = 2) -> DataFrame:
+    """level, blocks, mean_size, supported (mass in blocks that at least k_tasks tasks share), admissible; of a weighed book."""
+    long = book.blocks.select("task", "n", "mass", F.explode(F.array(*(F.struct(F.lit(j).alias("level"), F.col(c).cast("string").alias("block")) for j, c in enumerate(book.levels)))).alias("x")).select("task", "n", "mass", "x.*")
+    per_task = long.groupBy("level", "block", "task").agg(F.sum("n").alias("n"), F.sum("mass").alias("mu"))
     blocks = per_task.groupBy("level", "block").agg(F.sum("n").alias("n"), F.sum("mu").alias("mu"), F.count("*").alias("tasks"))
     out = blocks.groupBy("level").agg(F.count("*").alias("blocks"), F.avg("n").alias("mean_size"), F.coalesce(F.sum(F.when(F.col("tasks") >= k_tasks, F.col("mu"))), F.lit(0.0)).alias("supported"))
     return out.withColumn("admissible", (F.col("blocks") >= min_blocks) & (F.col("supported") >= least))
 
 
-def shares(runs: DataFrame, levels: Sequence[str], r_min: int = 2, k_tasks: int = 2, least: float = 0.5, min_blocks: int = 2, u_max: float = 0.5) -> DataFrame:
+def shares(runs: DataFrame | Book, levels: Sequence[str], r_min: int = 2, k_tasks: int = 2, least: float = 0.5, min_blocks: int = 2, u_max: float = 0.5) -> DataFrame:
     """level, energy, share (null if there is no variation: the statistic abstains), admissible, excluded (mass not known everywhere).
 
     The share of level j is of the detail from j to j + 1; a level is admissible by the support of j + 1.
     """
-    full = cohort(runs, r_min)
-    unknown = F.lit(False)
-    for c in levels:
-        unknown = unknown | F.col(c).isNull() | (F.col(c).cast("string") == UNKNOWN)
-    excluded = full.agg(F.coalesce(F.sum(F.when(unknown, F.col("mu"))), F.lit(0.0)).alias("excluded"))
-    known = known_cohort(runs, levels, r_min)
-    total = multires.moments(known, levels).select(F.col("variance").alias("total"))
-    book = multires.energies(known, levels).crossJoin(total).crossJoin(excluded)
-    fit = support(known, levels, k_tasks, least, min_blocks).select((F.col("level") - 1).alias("level"), F.col("admissible"))
-    return book.join(fit, "level").select("level", "energy", F.when(F.col("total") > 0, F.col("energy") / F.col("total")).alias("share"), (F.col("admissible") & (F.col("excluded") <= u_max)).alias("admissible"), "excluded")
+    book = runs if isinstance(runs, Book) else cost_book(runs, levels)
+    excluded = weighed(book, r_min).blocks.agg(F.coalesce(F.sum(F.when(_unknown(levels), F.col("mass"))), F.lit(0.0)).alias("excluded"))
+    known = known_cohort(book, r_min)
+    total = known.variance("cost")
+    each = F.array(*(F.struct(F.lit(j).alias("level"), known.of_level(j, "cost").alias("energy")) for j in range(len(levels) - 1)))
+    found = known.rolled().select(total.alias("total"), F.explode(each).alias("x")).select("total", "x.*").crossJoin(excluded)
+    fit = support(known, k_tasks, least, min_blocks).select((F.col("level") - 1).alias("level"), F.col("admissible"))
+    return found.join(fit, "level").select("level", "energy", F.when(F.col("total") > 0, F.col("energy") / F.col("total")).alias("share"), (F.col("admissible") & (F.col("excluded") <= u_max)).alias("admissible"), "excluded")
 
 
 def best_level(found: DataFrame, s_min: float) -> DataFrame:
@@ -68,8 +95,9 @@ def best_level(found: DataFrame, s_min: float) -> DataFrame:
 
 def described(runs: DataFrame, level: str, r_min: int = 2) -> DataFrame:
     """known, mass, energy: a level's mass and centred second moment in the full cohort, by whether it is known."""
-    known = F.col(level).isNotNull() & (F.col(level).cast("string") != UNKNOWN)
-    return cohort(runs, r_min).groupBy(known.alias("known")).agg(F.sum("mu").alias("mass"), F.sum(F.col("mu") * F.col("v") * F.col("v")).alias("energy"))
+    book = weighed(cost_book(runs, [level]), r_min)
+    square = F.col("c_cost_cost") + F.when(F.col("mass") > 0, F.col("s_cost") * F.col("s_cost") / F.col("mass")).otherwise(0.0)
+    return book.blocks.groupBy((~_unknown([level])).alias("known")).agg(F.sum("mass").alias("mass"), F.sum(square).alias("energy"))
 
 
 def localised(book: DataFrame, labelled_tasks: DataFrame, actionable=(2, 3, 4, 5), least: float = 0.2, tasks: int = 5) -> DataFrame:
@@ -150,28 +178,19 @@ def diagnostic_levels(runs: DataFrame) -> DataFrame:
     return out.drop("_modes")
 
 
-def by_task_shares(runs: DataFrame, levels: Sequence[str], r_min: int = 2) -> DataFrame:
+def by_task_shares(runs: DataFrame | Book, levels: Sequence[str], r_min: int = 2) -> DataFrame:
     """task, level, share of the task's own variation among runs known everywhere; null where it has none."""
-    # levels may be costly to tell, and several aggregations read them: they are told once
-    known = _held(known_cohort(runs.select("task", "cost", *levels), levels, r_min))
-    long = []
-    for j in range(len(levels) - 1):
-        coarse, fine = [c for c in levels[: j + 1]], [c for c in levels[: j + 2]]
-        up = known.groupBy("task", *coarse).agg((F.sum(F.col("mu") * F.col("v")) / F.sum("mu")).alias("a"))
-        down = known.groupBy("task", *fine).agg((F.sum(F.col("mu") * F.col("v")) / F.sum("mu")).alias("b"), F.sum("mu").alias("m"))
-        long.append(down.join(up, ["task", *coarse]).groupBy("task").agg(F.sum(F.col("m") * (F.col("b") - F.col("a")) * (F.col("b") - F.col("a"))).alias("e")).select("task", F.lit(j).alias("level"), "e"))
-    out = long[0]
-    for rows in long[1:]:
-        out = out.unionByName(rows)
-    whole = known.groupBy("task").agg((F.sum(F.col("mu") * F.col("v") * F.col("v")) - F.sum(F.col("mu") * F.col("v")) * F.sum(F.col("mu") * F.col("v")) / F.sum("mu")).alias("total"))
-    return out.join(whole, "task").select("task", "level", F.when(F.col("total") > 1e-12, F.col("e") / F.col("total")).alias("share"))
+    known = known_cohort(runs if isinstance(runs, Book) else cost_book(runs, levels), r_min)
+    total = known.variance("cost") * F.col("mass")
+    each = F.array(*(F.struct(F.lit(j).alias("level"), (known.of_level(j, "cost") * F.col("mass")).alias("e")) for j in range(len(levels) - 1)))
+    return known.rolled(by=["task"]).select("task", total.alias("total"), F.explode(each).alias("x")).select("task", "x.level", F.when(F.col("total") > 1e-12, F.col("x.e") / F.col("total")).alias("share"))
 
 
 def select_by_share(runs: DataFrame, levels: Sequence[str], s_min: float, k: int = 3, **support_rule) -> DataFrame:
     """level, median: the admissible level of the largest median share over tasks, at least ``s_min`` and above 0 in ``k`` tasks; no row if none is. Ties to the coarser."""
-    runs = _held(runs.select("task", "cost", *levels))
-    per = by_task_shares(runs, levels).groupBy("level").agg(F.median("share").alias("median"), F.count_if(F.col("share") > 0).alias("present"))
-    fit = shares(runs, levels, **support_rule).filter("admissible").select("level")
+    book = cost_book(runs, levels)
+    per = by_task_shares(book, levels).groupBy("level").agg(F.median("share").alias("median"), F.count_if(F.col("share") > 0).alias("present"))
+    fit = shares(book, levels, **support_rule).filter("admissible").select("level")
     return per.join(fit, "level").filter((F.col("median") >= s_min) & (F.col("present") >= k)).orderBy(F.desc("median"), "level").limit(1).select("level", "median")
 
 
@@ -192,24 +211,27 @@ def select_by_cost(calls: DataFrame, runs: DataFrame, margin: float) -> DataFram
     return top.filter(first.isNotNull() & (first["mean"] > F.coalesce(second["mean"], F.lit(0.0)) + margin)).select((-first["m"]).cast("int").alias("level"), first["mean"].alias("mean"))
 
 
-def cheapest_description(train: DataFrame, held: DataFrame, levels: Sequence[str], budget: float, value: str = "v") -> DataFrame:
-    """kept (details), train_error, held_error: the fewest details whose pruning error on ``train`` is within ``budget``; the error on ``held`` is that of predicting from ``train``.
+def cheapest_description(train: Book, held_out: Book, budget: Column, value: str = "v") -> DataFrame:
+    """kept (details), train_error, held_error: the fewest details whose pruning error on ``train`` is within ``budget``; the error on ``held_out`` is that of predicting from ``train``.
 
-    There are few levels, so all sets of details are one small table.  Ties to the smaller error.
+    All sets of details are rows made of one row of the book.  ``budget`` is over the columns
+    ``residual`` and ``variance`` of the training book.  Ties to the smaller error.
     """
-    book = multires.energies(train, levels, value)
-    rest = multires.moments(train, levels, value).select("residual")
-    details = len(levels) - 1
-    sets = train.sparkSession.createDataFrame([(mask, [j for j in range(details) if mask >> j & 1]) for mask in range(1 << details)], "mask int, kept array<int>")
-    priced = sets.crossJoin(book).groupBy("mask", "kept").agg(F.sum(F.when(F.array_contains("kept", F.col("level")), F.lit(0.0)).otherwise(F.col("energy"))).alias("lost")).crossJoin(rest)
-    best = priced.withColumn("train_error", F.col("lost") + F.col("residual")).filter(F.col("train_error") <= budget).orderBy(F.size("kept"), "train_error", "mask").limit(1).select("kept", "train_error")
-    out = held.withColumn("_y", F.col(value))
-    for j, c in enumerate(levels):
-        means = train.groupBy(c).agg((F.sum(F.col("mu") * F.col(value)) / F.sum("mu")).alias(f"_p{j}"))
-        out = out.join(means, c, "left")
+    levels, details = train.levels, len(train.levels) - 1
+    bounds = train.rolled().select(train.residual(value).alias("residual"), train.variance(value).alias("variance")).select(budget.alias("_budget"))
+    best = train.pruning_sets(value).crossJoin(bounds).filter(F.col("error") <= F.col("_budget")).orderBy(F.size("kept"), "error", "mask").limit(1).select("kept", F.col("error").alias("train_error"))
+    out = held_out.blocks
+    for j in range(details + 1):
+        here = [*levels[: j + 1]]
+        means = train.means(j, value, f"_p{j}").withColumnsRenamed({c: f"_{c}" for c in here})
+        alike = F.lit(True)
+        for c in here:
+            alike = alike & out[c].eqNullSafe(means[f"_{c}"])
+        out = out.join(means, alike, "left").drop(*(f"_{c}" for c in here))
     guess = F.col("_p0")
     for j in range(details):
         # a block that training does not know adds nothing to what is coarser
         guess = guess + F.when(F.array_contains("kept", F.lit(j)), F.coalesce(F.col(f"_p{j + 1}") - F.col(f"_p{j}"), F.lit(0.0))).otherwise(F.lit(0.0))
-    error = out.crossJoin(best).groupBy("kept", "train_error").agg((F.sum(F.col("mu") * (F.col("_y") - guess) * (F.col("_y") - guess)) / F.sum("mu")).alias("held_error"))
-    return error
+    off = F.col(f"s_{value}") - F.col("mass") * (guess - held_out.about(value))
+    error = F.sum(F.col(f"c_{value}_{value}") + F.when(F.col("mass") > 0, off * off / F.col("mass")).otherwise(0.0)) / F.sum("mass")
+    return out.crossJoin(best).groupBy("kept", "train_error").agg(error.alias("held_error"))

@@ -1,8 +1,9 @@
 """Weighted multiresolution over nested partitions of items.
 
 Items are rows with block columns l0..lJ (l0 trivial unless allowed otherwise), a weight mu
-and a value v.  Energies are computed from blocks: one aggregation to the finest blocks,
-then each coarser level from the blocks below it, so rows are shuffled once.
+(items without one weigh alike) and a value v.  Everything but what is said of single items
+follows from a book of moments, for which the items are read once; amounts are shares of
+the mass, so weights need not sum to 1.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .moments import Book
+
 
 class NestingError(ValueError):
     """A block with more than one parent, or a first level of more than one block."""
@@ -39,71 +42,73 @@ def normalized(items: DataFrame, weight: Column | None = None) -> DataFrame:
     return w.crossJoin(total).withColumn("mu", F.col("_w") / F.when(F.col("_t") == 0, F.raise_error(F.lit("weights sum to 0")).cast("double")).otherwise(F.col("_t"))).drop("_w", "_t")
 
 
+def _mu(items: DataFrame) -> Column | None:
+    return F.col("mu") if "mu" in items.columns else None
+
+
+def book(items: DataFrame, levels: Sequence[str], *values: str) -> Book:
+    return Book.of(items, levels, values, _mu(items))
+
+
 def conditional_expectation(items: DataFrame, block: str, value: str = "v", name: str = "p") -> DataFrame:
     """The block's weighted mean at each item.  Blocks are aggregated and joined back, so a large block is never one window."""
-    means = items.groupBy(block).agg((F.sum(F.col("mu") * F.col(value)) / F.sum("mu")).alias(name))
+    mu = _mu(items)
+    mean = F.avg(value) if mu is None else F.sum(mu * F.col(value)) / F.sum(mu)
+    means = items.groupBy(block).agg(mean.alias(name))
     return items.join(means, items[block].eqNullSafe(means[block])).drop(means[block])
 
 
-def _cascade(items: DataFrame, levels: Sequence[str], values: Sequence[str]) -> list[DataFrame]:
-    """For each level its blocks: level columns up to it, mu, and sums of mu times each value; from the finest up."""
-    out = [items.groupBy(*levels).agg(F.sum("mu").alias("mu"), *(F.sum(F.col("mu") * F.col(v)).alias(f"s_{v}") for v in values))]
-    for j in range(len(levels) - 1, 0, -1):
-        out.append(out[-1].groupBy(*levels[:j]).agg(F.sum("mu").alias("mu"), *(F.sum(f"s_{v}").alias(f"s_{v}") for v in values)))
-    return out[::-1]
-
-
 def energies(items: DataFrame, levels: Sequence[str], u: str = "v", w: str | None = None) -> DataFrame:
     """level, energy: sum of mu D_j u D_j w, the detail between level j and j + 1 (w: u itself)."""
-    w = w or u
-    names = sorted({u, w})
-    books = _cascade(items, levels, names)
-    out = None
-    for j in range(len(levels) - 1):
-        fine = books[j + 1].select(*levels[: j + 1], *(F.col(c).alias(f"f_{c}") for c in ("mu", *(f"s_{v}" for v in names))))
-        both = fine.join(books[j], [*levels[: j + 1]])
-        step = lambda v: F.col(f"f_s_{v}") / F.col("f_mu") - F.col(f"s_{v}") / F.col("mu")
-        rows = both.agg(F.sum(F.col("f_mu") * step(u) * step(w)).alias("energy")).select(F.lit(j).alias("level"), "energy")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return book(items, levels, u, w or u).energies(u, w)
 
 
 def parent_energies(items: DataFrame, levels: Sequence[str], j: int, value: str = "v") -> DataFrame:
     """parent, energy: each parent block's share of level j's energy."""
-    books = _cascade(items, levels, [value])
-    fine = books[j + 1].select(*levels[: j + 1], F.col("mu").alias("f_mu"), F.col(f"s_{value}").alias("f_s"))
-    both = fine.join(books[j], [*levels[: j + 1]])
-    step = F.col("f_s") / F.col("f_mu") - F.col(f"s_{value}") / F.col("mu")
-    return both.groupBy(F.col(levels[j]).alias("parent")).agg(F.sum(F.col("f_mu") * step * step).alias("energy"))
+    found = book(items, levels[: j + 2], value)
+    whole = found.blocks.agg(F.sum("mass").alias("_whole"))
+    shares = found.rolled(j).crossJoin(whole).select(F.col(levels[j]).alias("parent"), (F.col(f"e{j + 1}_{value}_{value}") / F.col("_whole")).alias("energy"))
+    return shares.groupBy("parent").agg(F.sum("energy").alias("energy"))
 
 
 def band_energy(items: DataFrame, levels: Sequence[str], a: int, b: int, value: str = "v") -> DataFrame:
-    """energy between levels a and b."""
-    return energies(items, [*levels[: a + 1], levels[b]] if b > a else levels[: a + 1], value).filter(F.col("level") == a).select("energy")
+    """energy between levels a and b: details of different levels are orthogonal, so theirs add up."""
+    found = book(items, levels, value)
+    return found.rolled().select(sum((found.of_level(j, value) for j in range(a, b)), F.lit(0.0)).alias("energy"))
 
 
 def moments(items: DataFrame, levels: Sequence[str], value: str = "v") -> DataFrame:
     """mean, variance, root_energy, residual of the value."""
-    finest = items.groupBy(*levels).agg(F.sum("mu").alias("m"), F.sum(F.col("mu") * F.col(value)).alias("s"), F.sum(F.col("mu") * F.col(value) * F.col(value)).alias("q"))
-    total = finest.agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("b"))
-    return total.select((F.col("s") / F.col("m")).alias("mean"), (F.col("q") - F.col("s") * F.col("s") / F.col("m")).alias("variance"), (F.col("s") * F.col("s") / F.col("m")).alias("root_energy"), (F.col("q") - F.col("b")).alias("residual"))
+    found = book(items, levels, value)
+    return found.rolled().select(found.mean(value).alias("mean"), found.variance(value).alias("variance"), (found.mean(value) * found.mean(value)).alias("root_energy"), found.residual(value).alias("residual"))
 
 
 def kept_levels(items: DataFrame, levels: Sequence[str], kept: Sequence[int], value: str = "v") -> DataFrame:
     """pruning_error: variance that the details not in ``kept``, and the residual, hold."""
-    lost = energies(items, levels, value).filter(~F.col("level").isin(list(kept)) if kept else F.lit(True)).agg(F.coalesce(F.sum("energy"), F.lit(0.0)).alias("e"))
-    return lost.crossJoin(moments(items, levels, value)).select((F.col("e") + F.col("residual")).alias("pruning_error"))
+    found = book(items, levels, value)
+    return found.rolled().select(sum((found.of_level(j, value) for j in range(len(levels) - 1) if j not in kept), found.residual(value)).alias("pruning_error"))
 
 
 def reconstruct(items: DataFrame, levels: Sequence[str], kept: Sequence[int], value: str = "v") -> DataFrame:
-    """Items with ``rebuilt``: the root mean and the details in ``kept``."""
-    out = items
-    for j, c in enumerate(levels):
-        out = conditional_expectation(out, c, value, f"_p{j}")
-    rebuilt = F.col("_p0")
-    for j in kept:
-        rebuilt = rebuilt + F.col(f"_p{j + 1}") - F.col(f"_p{j}")
-    return out.withColumn("rebuilt", rebuilt).drop(*(f"_p{j}" for j in range(len(levels))))
+    """Items with ``rebuilt``: the root mean and the details in ``kept``.  Finest blocks are rebuilt, and each item takes its block's."""
+    found = book(items, levels, value)
+    blocks = found.blocks.select(*levels)
+    for j in range(len(levels)):
+        if j in kept or j - 1 in kept or j == 0:
+            here = [*levels[: j + 1]]
+            means = found.means(j, value, f"_p{j}").withColumnsRenamed({c: f"_{c}" for c in here})
+            blocks = blocks.join(means, _alike(blocks, means, here)).drop(*(f"_{c}" for c in here))
+    rebuilt = F.col("_p0") + sum((F.col(f"_p{j + 1}") - F.col(f"_p{j}") for j in kept), F.lit(0.0))
+    whole = blocks.select(*(F.col(c).alias(f"_{c}") for c in levels), rebuilt.alias("rebuilt"))
+    return items.join(whole, _alike(items, whole, levels)).drop(*(f"_{c}" for c in levels))
+
+
+def _alike(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
+    """Rows of the same blocks, null being one; ``b`` has an underscore before its names."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & a[c].eqNullSafe(b[f"_{c}"])
+    return out
 
 
 def permutation_null(p: Column, dim: Column, n: Column) -> Column:
@@ -118,9 +123,19 @@ def coverage(labels: DataFrame, label: str = "label") -> DataFrame:
 
 def decomposition(items: DataFrame, levels: Sequence[str], value: str = "v") -> DataFrame:
     """part, amount: root, each level's energy, residual and variance (energies and residual sum to it)."""
-    m = moments(items, levels, value)
-    rest = m.select(F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(c).alias("amount")) for p, c in (("root", "root_energy"), ("residual", "residual"), ("variance", "variance"))))).alias("x")).select("x.*")
-    return energies(items, levels, value).select(F.concat(F.lit("level "), F.col("level").cast("string")).alias("part"), F.col("energy").alias("amount")).unionByName(rest)
+    found = book(items, levels, value)
+    parts = {"root": found.mean(value) * found.mean(value), "residual": found.residual(value), "variance": found.variance(value)}
+    parts |= {f"level {j}": found.of_level(j, value) for j in range(len(levels) - 1)}
+    return found.rolled().select(F.explode(F.array(*(F.struct(F.lit(p).alias("part"), a.alias("amount")) for p, a in parts.items()))).alias("x")).select("x.*")
+
+
+def null_energies(items: DataFrame, levels: Sequence[str], value: str = "v") -> DataFrame:
+    """level, blocks, dim, expected: the energy of each level if the labels in ``value`` were dealt at random."""
+    found = book(items, levels, value)
+    last = len(levels) - 1
+    dim = [(F.col(f"b{j + 1}") - F.col(f"b{j}")).cast("long") if j < last else F.lit(None).cast("long") for j in range(last + 1)]
+    rows = F.array(*(F.struct(F.lit(j).alias("level"), F.col(f"b{j}").alias("blocks"), dim[j].alias("dim"), permutation_null(found.mean(value), dim[j], F.col("n")).alias("expected")) for j in range(last + 1)))
+    return found.rolled().select(F.explode(rows).alias("x")).select("x.*")
 
 
 def block_number(items: DataFrame, column: str, name: str) -> DataFrame:

@@ -290,9 +290,9 @@ def arg_class(spark, sf_dir):
     return views.table(spark, sf_dir, "part").groupBy(S.arg_class(F.lit("read"), args).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT doc_id, left(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), 120) AS prompt FROM documents")
+@query(r"SELECT doc_id, left(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), 500) AS prompt FROM documents")
 def normalize_text(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", S.collapsed(F.col("text"), 120).alias("prompt"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", S.collapsed(F.col("text"), 500).alias("prompt"))
 
 
 _CALLS = "c AS (SELECT user_id, event_id, ts, props FROM events WHERE event_type = 'click'), r AS (SELECT user_id, event_id, ts, props, event_type FROM events WHERE event_type IN ('error', 'purchase'))"
@@ -366,8 +366,8 @@ LEVELS = ["l0", "l1", "l2", "l3"]
 def _items(spark, sf_dir) -> DataFrame:
     t = lambda n: views.table(spark, sf_dir, n)
     rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = rows.select(F.col("o_orderkey").alias("item"), F.lit("all").alias("l0"), F.col("r_name").alias("l1"), F.col("n_name").alias("l2"), F.concat_ws("|", "n_name", "o_orderpriority").alias("l3"), (F.col("o_orderstatus") == "F").cast("double").alias("v"), (F.col("o_orderkey") % 7).cast("double").alias("u"))
-    return multires.normalized(rows)
+    rows = rows.select(F.col("o_orderkey").alias("item"), "o_custkey", F.lit("all").alias("l0"), F.col("r_name").alias("l1"), F.col("n_name").alias("l2"), F.concat_ws("|", "n_name", "o_orderpriority").alias("l3"), (F.col("o_orderstatus") == "F").cast("double").alias("v"), (F.col("o_orderkey") % 7).cast("double").alias("u"))
+    return rows
 
 
 @query(f"WITH {_ITEMS} SELECT l2, round(any_value(v2), 6) AS p, count(*) AS items FROM p GROUP BY l2")
@@ -414,9 +414,7 @@ def covariation(spark, sf_dir):
 
 @query(f"WITH {_ITEMS}, b AS (SELECT count(DISTINCT l0) AS b0, count(DISTINCT l1) AS b1, count(DISTINCT l2) AS b2, count(DISTINCT l3) AS b3, avg(v) AS p, count(*) AS n FROM i) SELECT level, blocks, dim, round(p * (1 - p) / (n - 1) * dim, 12) AS expected FROM b, LATERAL (VALUES (0, b0, b1 - b0), (1, b1, b2 - b1), (2, b2, b3 - b2), (3, b3, NULL)) t(level, blocks, dim)")
 def permutation_null(spark, sf_dir):
-    items = _items(spark, sf_dir)
-    whole = items.agg(F.avg("v").alias("p"), F.count("*").alias("n"))
-    return multires.dimensions(items, LEVELS).crossJoin(whole).select("level", "blocks", "dim", F.round(multires.permutation_null(F.col("p"), F.col("dim"), F.col("n")), 12).alias("expected"))
+    return multires.null_energies(_items(spark, sf_dir), LEVELS).withColumn("expected", F.round("expected", 12))
 
 
 @query("SELECT count(*) AS n, count(quality) AS labelled, count(*) FILTER (quality = 1) AS positive FROM documents LEFT JOIN labels USING (doc_id)")
@@ -446,8 +444,8 @@ def cost_shares(spark, sf_dir):
 
 @query(f"{_COST} SELECT level, blocks, round(mean_size, 6) AS mean_size, round(supported, 6) AS supported, blocks >= 2 AND supported >= 0.5 AS admissible FROM su")
 def cost_support(spark, sf_dir):
-    items = costvar.cohort(_cost_runs(spark, sf_dir))
-    return costvar.support(items, COST_LEVELS).withColumns({"mean_size": F.round("mean_size", 6), "supported": F.round("supported", 6)})
+    found = costvar.support(costvar.weighed(costvar.cost_book(_cost_runs(spark, sf_dir), COST_LEVELS)))
+    return found.withColumns({"mean_size": F.round("mean_size", 6), "supported": F.round("supported", 6)})
 
 
 @query(f"{_COST} SELECT CASE WHEN e0 >= e1 THEN 0 ELSE 1 END AS level, round(greatest(e0, e1) / total, 6) AS share FROM t")

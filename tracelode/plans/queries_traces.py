@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import mesh
 from ..functions import steps as S
-from ..operators import analytics, costvar, dynamics, ledger, multires, pairing, protocol, tower, warrants
+from ..operators import analytics, costvar, dynamics, ledger, moments, multires, pairing, protocol, tower, warrants
 from ..sources.objects import shared_folder
 from . import views
 from .queries import _BOOK_FROM, _COST, COST_LEVELS, EV, LEVELS, ORD, _book_sql, _cost_runs, _events_book, _items, _six, ok
@@ -361,11 +361,9 @@ gs AS (SELECT v, p0 + CASE WHEN list_contains(kept, 0) THEN coalesce(p1 - p0, 0)
 @query(f"WITH {_HALVES} SELECT array_to_string(any_value(kept), ',') AS kept, round(any_value(err), 9) AS train_error, round(avg((v - g) ** 2), 9) AS held_error FROM gs")
 def pruned_within_budget(spark, sf_dir):
     """The fewest levels within half of what they explain, chosen on one half of the customers and measured on the other."""
-    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), "o_custkey")
-    items = _items(spark, sf_dir).join(o, "item")
-    train, held = (multires.normalized(items.filter(F.col("o_custkey") % 2 == h)) for h in (0, 1))
-    m = multires.moments(train, LEVELS).first()
-    out = costvar.cheapest_description(train, held, LEVELS, m["residual"] + (m["variance"] - m["residual"]) / 2)
+    book = moments.Book.of(_items(spark, sf_dir).withColumn("half", F.col("o_custkey") % 2), LEVELS, by=["half"])
+    budget = F.col("residual") + (F.col("variance") - F.col("residual")) / 2
+    out = costvar.cheapest_description(book.where(F.col("half") == 0), book.where(F.col("half") == 1), budget)
     return out.select(F.array_join("kept", ",").alias("kept"), F.round("train_error", 9).alias("train_error"), F.round("held_error", 9).alias("held_error"))
 
 
