@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.steps import canonical_args, collapsed, has_error
+from ..tables import held
 from .moments import Book
 
 UNKNOWN = "unknown"
@@ -57,10 +58,11 @@ def _unknown(levels: Sequence[str], unknown: str = UNKNOWN) -> Column:
 def known_cohort(book: Book, r_min: int = 2, unknown: str = UNKNOWN) -> Book:
     """Runs of the cohort known at every level, weighed and centred on their own.
 
-    Tasks are those that qualify before and after; what is weighed here still has its runs' own masses.
+    Tasks are those that qualify before and after.  Written, as energies and support both start from it.
     """
     enough = book.blocks.groupBy("task").agg(F.sum("n").alias("_m")).filter(F.col("_m") >= r_min).select("task")
-    return weighed(replace(book, blocks=book.blocks.join(enough, "task", "left_semi").filter(~_unknown(book.levels, unknown))), r_min)
+    known = weighed(replace(book, blocks=book.blocks.join(enough, "task", "left_semi").filter(~_unknown(book.levels, unknown))), r_min)
+    return replace(known, blocks=held(known.blocks, "known"))
 
 
 def support(book: Book, k_tasks: int = 2, least: float = 0.5, min_blocks: int = 2) -> DataFrame:
