@@ -1,38 +1,70 @@
 """The two ledgers of a tower: classes explored (n) and classes that hold a success (l), by group and level.
 
-The classes of every level come from one rollup over signatures that are already distinct,
-so runs are shuffled once and the fan-out over levels works on classes only.
+A class is 16 bytes made of the class above it and its own part, so no part is shuffled.
+Classes are made distinct at the finest level once; every coarser level is an aggregation of
+the classes of the level below, and what was counted there goes along.  Trees of prefixes
+are nodes with parents, of a fixed size each, so a long run costs its length and no more.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tower import Tower
 
+#: Nodes in a batch that a worker hands on.
+NODES_PER_BATCH = 50_000
+#: The node above those of level 1.
+ROOT = b""
+
 
 def classes(runs: DataFrame, tower: Tower, ok: Column, group: str) -> DataFrame:
-    """group, level, k1..kK (null beyond the level), seen, live: explicit rule, live iff some run through the class succeeded."""
+    """group, level, k1..kK (null beyond the level), seen, live: explicit rule, live iff some run through the class succeeded.
+
+    For classes whose parts themselves are wanted; counts need only ``class_ids``.
+    """
     keys = tower.columns
     distinct = tower.signature(runs.withColumn("_ok", ok), group, "_ok").groupBy(group, *keys).agg(F.count("*").alias("seen"), F.max("_ok").alias("live"))
-    return _rolled(distinct, group, keys)
-
-
-def _rolled(distinct: DataFrame, group: str, keys: list[str]) -> DataFrame:
     sets = [[group, *keys[:j]] for j in range(1, len(keys) + 1)]
     grouped = distinct.groupingSets(sets, group, *keys)
     # one bit for each grouping column, set where it is rolled up: the level is what is left
     return grouped.agg(F.sum("seen").alias("seen"), F.max("live").alias("live"), F.grouping_id().alias("_g")).withColumn("level", (F.lit(len(keys)) - F.bit_count("_g")).cast("int")).drop("_g")
 
 
+def _finest(runs: DataFrame, tower: Tower, ok: Column, group: str) -> tuple[DataFrame, list[str]]:
+    ids = [f"c{j}" for j in range(1, tower.depth + 1)]
+    return tower.identified(runs.withColumn("_ok", ok), group, "_ok").groupBy(group, *ids).agg(F.count("*").alias("seen"), F.max("_ok").alias("live")), ids
+
+
+def class_ids(runs: DataFrame, tower: Tower, ok: Column, group: str = "agent") -> DataFrame:
+    """group, level, id, seen, live of the classes of every level."""
+    finest, ids = _finest(runs, tower, ok, group)
+    levels = F.array(*(F.struct(F.lit(j).alias("level"), F.col(c).alias("id")) for j, c in enumerate(ids, 1)))
+    return finest.select(group, "seen", "live", F.explode(levels).alias("x")).groupBy(group, "x.level", "x.id").agg(F.sum("seen").alias("seen"), F.max("live").alias("live"))
+
+
 def counts(found: DataFrame, group: str = "agent") -> DataFrame:
     """group, level, n, l of classes."""
     return found.groupBy(group, "level").agg(F.count("*").alias("n"), F.count_if("live").alias("l"))
 
 
 def ledger(runs: DataFrame, tower: Tower, ok: Column, group: str = "agent") -> DataFrame:
-    return counts(classes(runs, tower, ok, group), group)
+    """group, level, n, l: a chain of aggregations from the finest classes up, each over the classes of the one before."""
+    now, ids = _finest(runs, tower, ok, group)
+    done: list[str] = []
+    for j in range(len(ids), 0, -1):
+        told = [F.sum(c).alias(c) for c in done] + [F.count("*").alias(f"n{j}"), F.count_if("live").alias(f"l{j}")]
+        # above the first level is the group itself, of which nothing more is counted
+        now = now.groupBy(group, *ids[: j - 1]).agg(F.max("live").alias("live"), *told)
+        done += [f"n{j}", f"l{j}"]
+    rows = F.array(*(F.struct(F.lit(j).alias("level"), F.col(f"n{j}").alias("n"), F.col(f"l{j}").alias("l")) for j in range(1, len(ids) + 1)))
+    return now.select(group, F.explode(rows).alias("x")).select(group, "x.*")
 
 
 def with_yield(book: DataFrame) -> DataFrame:
@@ -40,16 +72,63 @@ def with_yield(book: DataFrame) -> DataFrame:
     return book.withColumn("transient", F.col("n") - F.col("l")).withColumn("yield", F.when(F.col("n") > 0, F.col("l") / F.col("n")).otherwise(F.lit(0.0)))
 
 
+def _below(node: bytes, label: str | None) -> bytes:
+    return hashlib.md5(node + (b"-" if label is None else b"+" + label.encode())).digest()
+
+
+def chained(rows: DataFrame, labels: str, max_depth: int | None = None) -> DataFrame:
+    """For every label of ``labels``, an array, the other columns of ``rows`` and level (from 1), id, parent, label.
+
+    An id is 16 bytes made of the id before it and the label, so equal prefixes have equal
+    ids and ids differ by level.  A sequence becomes as many rows as it has labels, which
+    leave in batches of bounded size.  Labels that are not text go by their JSON.
+    """
+    kind = rows.schema[labels].dataType.elementType
+    if not isinstance(kind, T.StringType):
+        rows = rows.withColumn(labels, F.transform(labels, lambda x: F.to_json(F.struct(x.alias("x")), {"ignoreNullFields": "false"})))
+    keep = [c for c in rows.columns if c != labels]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(batch, at, level, ids, parents, names):
+            kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in keep]
+            return pa.RecordBatch.from_arrays([*kept, pa.array(level, pa.int32()), pa.array(ids, pa.binary()), pa.array(parents, pa.binary()), pa.array(names, pa.string())], names=[*keep, "level", "id", "parent", "label"])
+
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for row, sequence in enumerate(batch.column(labels)):
+                node = ROOT
+                for level, label in enumerate((sequence.values or [])[:max_depth], 1):
+                    parent, name = node, label.as_py()
+                    node = _below(parent, name)
+                    for column, value in zip(out, (row, level, node, parent, name), strict=True):
+                        column.append(value)
+                    if len(out[0]) == NODES_PER_BATCH:
+                        yield told(batch, *out)
+                        out = ([], [], [], [], [])
+            if out[0]:
+                yield told(batch, *out)
+
+    schema = T.StructType([*(f for f in rows.schema if f.name != labels), T.StructField("level", T.IntegerType()), T.StructField("id", T.BinaryType()), T.StructField("parent", T.BinaryType()), T.StructField("label", T.StringType())])
+    return rows.mapInArrow(work, schema)
+
+
 def prefixes(runs: DataFrame, labels: Column, ok: Column, group: str = "agent", max_depth: int | None = None) -> DataFrame:
-    """group, level, prefix, seen, live, longest: the tree of label prefixes.
+    """group, level, id, parent, label, seen, live, longest: the tree of label prefixes.
 
-    Whole sequences are made distinct before prefixes fan out.
+    Whole sequences are made distinct before their nodes are told.
     """
     whole = runs.select(F.col(group), labels.alias("_labels"), ok.alias("_ok")).groupBy(group, "_labels").agg(F.count("*").alias("_n"), F.max("_ok").alias("_ok"))
-    size = F.size("_labels")
-    depth = F.least(size, F.lit(max_depth)) if max_depth else size
-    each = whole.filter(size > 0).select(group, "_labels", "_n", "_ok", size.alias("_size"), F.explode(F.sequence(F.lit(1), depth)).alias("level"))
-    return each.groupBy(group, "level", F.slice("_labels", F.lit(1), F.col("level")).alias("prefix")).agg(F.sum("_n").alias("seen"), F.max("_ok").alias("live"), F.max("_size").alias("longest"))
+    each = chained(whole.withColumn("_size", F.size("_labels")), "_labels", max_depth)
+    return each.groupBy(group, "level", "id", "parent", "label").agg(F.sum("_n").alias("seen"), F.max("_ok").alias("live"), F.max("_size").alias("longest"))
+
+
+def paths(found: DataFrame, level: int, group: str = "agent") -> DataFrame:
+    """The nodes of ``level`` with ``prefix``, their labels from the root: one join up for each level."""
+    out = found.filter(F.col("level") == level).withColumn("prefix", F.array("label")).withColumn("_up", F.col("parent"))
+    for above in range(level - 1, 0, -1):
+        nodes = found.filter(F.col("level") == above).select(F.col(group).alias("_g"), F.col("id").alias("_id"), F.col("parent").alias("_next"), F.col("label").alias("_label"))
+        out = out.join(nodes, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_up") == F.col("_id"))).withColumn("prefix", F.concat(F.array("_label"), "prefix")).withColumn("_up", F.col("_next")).drop("_g", "_id", "_next", "_label")
+    return out.drop("_up")
 
 
 def prefix_ledger(runs: DataFrame, labels: Column, ok: Column, group: str = "agent", rule: str = "explicit", horizon: int | None = None) -> DataFrame:
@@ -81,43 +160,68 @@ def live_never_falls(book: DataFrame, group: str = "agent") -> DataFrame:
 
 def degrees(found: DataFrame, group: str = "agent") -> DataFrame:
     """group, level, degree, nodes: how many nodes of a level have that many children (level 0 is the root)."""
-    edges = found.select(group, "level", F.slice("prefix", F.lit(1), F.col("level") - 1).alias("parent"))
-    return edges.groupBy(group, (F.col("level") - 1).alias("level"), "parent").agg(F.count("*").alias("degree")).groupBy(group, "level", "degree").agg(F.count("*").alias("nodes"))
+    kids = found.groupBy(group, (F.col("level") - 1).alias("level"), "parent").agg(F.count("*").alias("degree"))
+    return kids.groupBy(group, "level", "degree").agg(F.count("*").alias("nodes"))
 
 
 def leaves(found: DataFrame, group: str = "agent") -> DataFrame:
     """Nodes without children, by anti join of the parents."""
-    parents = found.select(F.col(group).alias("_g"), (F.col("level") - 1).alias("_l"), F.slice("prefix", F.lit(1), F.col("level") - 1).alias("_p")).distinct()
-    return found.join(parents, (F.col(group) == F.col("_g")) & (F.col("level") == F.col("_l")) & (F.col("prefix") == F.col("_p")), "left_anti")
+    parents = found.select(F.col(group).alias("_g"), F.col("parent").alias("_p")).distinct()
+    return found.join(parents, F.col(group).eqNullSafe(F.col("_g")) & (F.col("id") == F.col("_p")), "left_anti")
 
 
 def canonical_trees(found: DataFrame, depth: int, group: str = "agent") -> DataFrame:
     """group, shape: the tree of prefixes as nested parentheses with children in order; equal iff isomorphic.
 
-    Two aggregations for each level, from the deepest up: equal children are counted before a node lists its shapes.
+    Two aggregations for each level, from the deepest up: equal children are counted before
+    a node lists its shapes.  A shape is as long as its tree; ``ranked_trees`` tells trees
+    apart without writing them out.
     """
-    nodes = found.select(group, "level", "prefix")
     shapes = None
     for level in range(depth, -1, -1):
-        here = nodes.filter(F.col("level") == level).select(group, "prefix") if level else nodes.select(group, F.slice("prefix", 1, 0).alias("prefix")).distinct()
+        here = found.filter(F.col("level") == level).select(group, "id", "parent") if level else found.select(group, F.lit(ROOT).alias("id"), F.lit(None).cast("binary").alias("parent")).distinct()
         if shapes is None:
             shapes = here.withColumn("shape", F.lit("()"))
             continue
-        equal = shapes.groupBy(group, F.slice("prefix", F.lit(1), F.lit(level)).alias("prefix"), "shape").agg(F.count("*").cast("int").alias("n"))
+        equal = shapes.groupBy(group, F.col("parent").alias("id"), "shape").agg(F.count("*").cast("int").alias("n"))
         kids = F.transform(F.sort_array(F.collect_list(F.struct("shape", "n"))), lambda k: F.repeat(k["shape"], k["n"]))
-        up = equal.groupBy(group, "prefix").agg(F.concat(F.lit("("), F.array_join(kids, ""), F.lit(")")).alias("shape"))
-        shapes = here.join(up, [group, "prefix"], "left").withColumn("shape", F.coalesce("shape", F.lit("()")))
+        up = equal.groupBy(group, "id").agg(F.concat(F.lit("("), F.array_join(kids, ""), F.lit(")")).alias("shape"))
+        shapes = here.join(up, [group, "id"], "left").withColumn("shape", F.coalesce("shape", F.lit("()")))
     return shapes.select(group, "shape")
 
 
+def ranked_trees(found: DataFrame, depth: int, group: str = "agent") -> DataFrame:
+    """group, nodes, digest: a tree's size (its root counts) and 16 bytes that are equal iff the trees are isomorphic.
+
+    A node's digest is made of how many children it has of each digest.  Whole trees are never
+    written out, and a node's children are counted by kind before they meet.
+    """
+    trees = None
+    for level in range(depth, -1, -1):
+        here = found.filter(F.col("level") == level).select(group, "id", "parent") if level else found.select(group, F.lit(ROOT).alias("id"), F.lit(None).cast("binary").alias("parent")).distinct()
+        if trees is None:
+            up = None
+        else:
+            kinds = trees.groupBy(group, F.col("parent").alias("id"), "digest").agg(F.count("*").alias("n"), F.sum("nodes").alias("nodes"))
+            kinds = kinds.withColumn("_kind", F.unhex(F.md5(F.concat(F.hex("digest"), F.lit("x"), F.col("n").cast("string")))))
+            listed = F.array_join(F.transform(F.sort_array(F.collect_list("_kind")), lambda k: F.hex(k)), "")
+            up = kinds.groupBy(group, "id").agg(F.unhex(F.md5(listed)).alias("digest"), F.sum("nodes").alias("nodes"))
+        leaf = F.unhex(F.md5(F.lit("")))
+        if up is None:
+            trees = here.withColumn("digest", leaf).withColumn("nodes", F.lit(1).cast("long"))
+        else:
+            met = here.join(up, [group, "id"], "left")
+            trees = met.withColumn("digest", F.coalesce("digest", leaf)).withColumn("nodes", F.coalesce(F.col("nodes"), F.lit(0)) + 1)
+    return trees.select(group, "nodes", "digest")
+
+
 def lookup(payloads: DataFrame, queries: DataFrame, equivalent: Column, max_level: int | None = None) -> DataFrame:
     """query_id, level, payload: the coarsest stored class on a query's path whose payload serves it, else the deepest level reached.
 
-    ``payloads``: level, prefix, payload, profile.  ``queries``: query_id, labels.  ``equivalent`` is over both.
+    ``payloads``: id (of ``chained``), payload, profile.  ``queries``: query_id, labels.  ``equivalent`` is over both.
     """
-    depth = F.size("labels") if max_level is None else F.least(F.size("labels"), F.lit(max_level))
-    steps = queries.select("*", F.explode(F.sequence(F.lit(1), depth)).alias("level")).withColumn("prefix", F.slice("labels", F.lit(1), F.col("level")))
-    met = steps.join(payloads, ["level", "prefix"], "left").withColumn("_hit", F.coalesce(equivalent & F.col("payload").isNotNull(), F.lit(False)))
+    steps = chained(queries, "labels", max_level)
+    met = steps.join(payloads, "id", "left").withColumn("_hit", F.coalesce(equivalent & F.col("payload").isNotNull(), F.lit(False)))
     return met.groupBy("query_id").agg(F.min(F.when(F.col("_hit"), F.col("level"))).alias("level"), F.min_by("payload", F.when(F.col("_hit"), F.col("level"))).alias("payload"), F.max(F.when(F.col("payload").isNotNull(), F.col("level"))).alias("reached"))
 
 

@@ -104,20 +104,20 @@ def tower_validate_ok(spark, sf_dir):
 
 @query(_book_sql("ev", EV, "SELECT agent, level, seen, count(*) AS classes FROM cls GROUP BY ALL"))
 def class_seen_counts(spark, sf_dir):
-    found = ledger.classes(views.event_runs(spark, sf_dir), plain_tower(), ok(), "agent")
+    found = ledger.class_ids(views.event_runs(spark, sf_dir), plain_tower(), ok())
     return found.groupBy("agent", "level", "seen").agg(F.count("*").alias("classes"))
 
 
 @query(_book_sql("ev", EV, "SELECT level, CASE WHEN live THEN 'LIVE' WHEN level < 6 THEN 'TRANSIENT' ELSE 'UNKNOWN' END AS status, count(*) AS classes FROM cls GROUP BY ALL"))
 def class_status(spark, sf_dir):
-    found = ledger.classes(views.event_runs(spark, sf_dir), plain_tower(), ok(), "agent")
+    found = ledger.class_ids(views.event_runs(spark, sf_dir), plain_tower(), ok())
     return ledger.statuses(found, F.col("level") < 6).groupBy("level", "status").agg(F.count("*").alias("classes"))
 
 
 @query(f"WITH {EV} SELECT DISTINCT agent, array_to_string(tools, '>') AS path FROM (SELECT agent, tools[1:3] AS tools FROM ev WHERE outcome = 'stop' AND len(tools) >= 3)")
 def live_profiles_level3(spark, sf_dir):
     found = ledger.prefixes(views.event_runs(spark, sf_dir), S.tool_sequence(F.col("steps")), ok())
-    return found.filter("level = 3 AND live").select("agent", F.array_join("prefix", ">").alias("path"))
+    return ledger.paths(found, 3).filter("live").select("agent", F.array_join("prefix", ">").alias("path"))
 
 
 @query(f"WITH {EV}, {_PREFIX.format('ev')}, d AS (SELECT agent, level - 1 AS level, p[1:level - 1] AS parent, count(*) AS degree FROM pre GROUP BY ALL) SELECT agent, level, degree, count(*) AS nodes FROM d GROUP BY ALL")
@@ -616,7 +616,7 @@ def polynomial_products(spark, sf_dir):
 def _payload_lookup(spark, sf_dir) -> DataFrame:
     runs = views.event_runs(spark, sf_dir)
     labels = S.tool_sequence(F.col("steps"))
-    stored = runs.filter(ok()).select("cost", labels.alias("labels")).select("cost", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("level")).groupBy("level", F.slice("labels", F.lit(1), F.col("level")).alias("prefix")).agg(F.min("cost").alias("payload"))
+    stored = ledger.chained(runs.filter(ok()).select("cost", labels.alias("labels")), "labels").groupBy("id").agg(F.min("cost").alias("payload"))
     asked = runs.select(F.col("ordinal").alias("query_id"), labels.alias("labels"), "cost")
     return ledger.lookup(stored, asked, F.col("payload") <= F.col("cost")).withColumn("payload", F.round("payload", 6))
 

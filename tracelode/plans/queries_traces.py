@@ -212,7 +212,7 @@ def groupings(spark, sf_dir):
 def insert_stats(spark, sf_dir):
     from .queries import plain_tower
 
-    return ledger.stats(ledger.classes(views.event_runs(spark, sf_dir), plain_tower(), ok(), "agent"))
+    return ledger.stats(ledger.class_ids(views.event_runs(spark, sf_dir), plain_tower(), ok()))
 
 
 @query(_book_sql("ev", EV, f", {_BOOK_FROM} SELECT arg_min(agent, (s, agent)) AS agent FROM x"))

@@ -66,20 +66,20 @@ def stream_book(spark, table_dir: str, group: str) -> DataFrame:
 
 
 def prefix_reach(runs: DataFrame, labels: Column, group: str) -> DataFrame:
-    """group, level, prefix, longest of a batch: mergeable state of the horizon rule."""
-    return ledger.prefixes(runs, labels, F.lit(False), group).select(group, "level", "prefix", "longest")
+    """group, level, id, longest of a batch: mergeable state of the horizon rule."""
+    return ledger.prefixes(runs, labels, F.lit(False), group).select(group, "level", "id", "longest")
 
 
 def merge_reach(old: DataFrame | None, batch: DataFrame, group: str) -> DataFrame:
     both = batch if old is None else old.unionByName(batch)
-    return both.groupBy(group, "level", "prefix").agg(F.max("longest").alias("longest"))
+    return both.groupBy(group, "level", "id").agg(F.max("longest").alias("longest"))
 
 
 def horizon_statuses(reach: DataFrame, group: str, closed: Column | None = None) -> DataFrame:
-    """group, level, prefix, status at the horizon seen so far; UNKNOWN until ``closed`` for what falls short."""
+    """group, level, id, status at the horizon seen so far; UNKNOWN until ``closed`` for what falls short."""
     top = reach.groupBy(group).agg(F.max("level").alias("_h"))
     short = F.lit("TRANSIENT") if closed is None else F.when(closed, "TRANSIENT").otherwise("UNKNOWN")
-    return reach.join(top, group).select(group, "level", "prefix", F.when(F.col("longest") >= F.col("_h"), "LIVE").otherwise(short).alias("status"))
+    return reach.join(top, group).select(group, "level", "id", F.when(F.col("longest") >= F.col("_h"), "LIVE").otherwise(short).alias("status"))
 
 
 def session_runs(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
