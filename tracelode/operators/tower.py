@@ -49,14 +49,16 @@ class Tower:
         return runs.select(*keep, *(p.alias(c) for p, c in zip(self.parts, self.columns, strict=True)))
 
     def identified(self, runs: DataFrame, *keep: str) -> DataFrame:
-        """``keep`` and c1..cK: the class of each level as 16 bytes, made of the class before it and the level's part.
+        """``keep`` and c1..cK: the class of each level as 128 bits, made of the class before it and the level's part.
 
         Parts are told apart by their JSON, so a class costs the same however large its parts are.
         """
         out = self.signature(runs, *keep)
         for j, k in enumerate(self.columns, 1):
-            part = F.to_json(F.struct(F.col(k).alias("k")), {"ignoreNullFields": "false"})
-            out = out.withColumn(f"c{j}", F.unhex(F.md5(part if j == 1 else F.concat(F.hex(f"c{j - 1}"), part)))).drop(k)
+            part = [F.to_json(F.struct(F.col(k).alias("k")), {"ignoreNullFields": "false"})]
+            above = [] if j == 1 else [F.col(f"c{j - 1}")]
+            # two 64-bit hashes that start apart
+            out = out.withColumn(f"c{j}", F.struct(F.xxhash64(*above, *part).alias("a"), F.xxhash64(F.lit(j), *above, *part).alias("b"))).drop(k)
         return out
 
 
