@@ -158,3 +158,24 @@ def test_every_entropy_span_of_the_table(spark, sf, documents):
         n += len(added)
         assert r["spans"] == secrets.joined(sorted(own + added, key=lambda s: (s[0], secrets._RANK[s[2]])))
     assert n > 0
+
+
+def test_many_keys_in_one_text():
+    """Base and entropy spans meet in one pass: 40,000 of each cost what they are long."""
+    import time
+
+    rng = random.Random(4)
+    letters = string.ascii_letters + string.digits
+    text = " ".join(f"token={rng.getrandbits(128):032x} {''.join(rng.choices(letters, k=24))}" for _ in range(40_000))
+    base = secrets.base_spans(text)
+    began = time.thread_time()
+    entropy = secrets.entropy_spans(text)
+    alone = time.thread_time() - began
+    began = time.thread_time()
+    found = secrets.all_spans(text, base)
+    assert time.thread_time() - began < 2 * alone + 2
+    covered = sorted((a, b) for a, b, _ in base)
+    small = text[:40_000]
+    few = secrets.base_spans(small)
+    assert secrets.all_spans(small, few) == sorted(few + [(a, b, "entropy") for a, b in secrets.entropy_spans(small) if not any(s <= a and b <= e for s, e, _ in few)], key=lambda s: (s[0], ("assign", "access", "hex", "entropy").index(s[2])))
+    assert len(found) >= len(base) == len(covered) and len(entropy) >= 40_000

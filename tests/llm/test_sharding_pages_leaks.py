@@ -1,6 +1,7 @@
 import math
 import re
 import struct
+import time
 import zlib
 
 import duckdb
@@ -176,3 +177,27 @@ def test_repeated_items_each_give_a_row(spark):
     items = spark.createDataFrame([(7, "one two three four five six")] * 3 + [(8, "two three")], "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contained(docs, items).collect()) == [(1, 7)] * 6 + [(1, 8)] * 2
     assert decontamination.clean(docs, items).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="a b">x' * 100_000,
+        "<b>" * 100_000 + "<hr>x" * 100_000,
+        "<div>" * 100_000 + "x</p></q>" * 100_000,
+        "".join(f'<div class="n{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}">x' for i in range(100_000)),
+    ],
+    ids=["same names", "inline", "stray ends", "other names"],
+)
+def test_deep_pages_cost_their_length(model, page):
+    began = time.thread_time()
+    blocks = pages.blocks_of(page)
+    assert len(blocks) in (1, 100_000) and len(pages.main_texts(model, [page])) == 1
+    assert time.thread_time() - began < 30
+
+
+def test_scores_handed_down_are_the_sums_of_all_features(model):
+    for page in pages.labelled_pages(40, seed=77):
+        blocks = pages.blocks_of("".join(piece for piece, _ in page))
+        want = [sum(float(model.weights[f]) for f in row) for row in pages.feature_numbers(blocks)]
+        assert pages.block_scores(model.weights, blocks).tolist() == pytest.approx(want)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -45,14 +46,47 @@ INTERFACE = frozenset("about accept account ad advertisement archive careers car
 _PLAIN_WORD = re.compile(r"[^\W\d_]+")
 
 
+class Node:
+    """An open element.  It keeps what it adds to its ancestors and not what they have, so that a deep page costs its length."""
+
+    __slots__ = ("block", "fresh_names", "fresh_tag", "names", "parent", "place", "tag")
+
+    def __init__(self, tag: str, names: frozenset[str], parent: Node | None, fresh_tag: bool, fresh_names: tuple[str, ...]):
+        self.tag, self.names, self.parent, self.fresh_tag, self.fresh_names = tag, names, parent, fresh_tag, fresh_names
+        #: The nearest element that is not inline, this one included.
+        self.block: str = tag if tag not in INLINE else parent.block if parent else "body"
+        self.place = -1
+
+    def features(self) -> list[str]:
+        """Of the element itself, beyond its ancestors'."""
+        return [f"in={self.tag}"] * (self.fresh_tag and self.tag not in INLINE) + [f"name={w}" for w in self.fresh_names]
+
+
 @dataclass
 class Block:
     text: str
     words: int
     linked: int
-    tag: str
-    ancestors: tuple[str, ...]
-    names: frozenset[str]
+    node: Node | None
+
+    @property
+    def tag(self) -> str:
+        return self.node.block if self.node else "body"
+
+    def path(self) -> Iterator[Node]:
+        """The block's element and its ancestors, innermost first."""
+        node = self.node
+        while node:
+            yield node
+            node = node.parent
+
+    @property
+    def ancestors(self) -> tuple[str, ...]:
+        return tuple(n.tag for n in self.path())[::-1]
+
+    @property
+    def names(self) -> frozenset[str]:
+        return frozenset(w for n in self.path() for w in n.fresh_names)
 
 
 def name_words(attributes: str) -> frozenset[str]:
@@ -65,7 +99,10 @@ def name_words(attributes: str) -> frozenset[str]:
 def blocks_of(html: str) -> list[Block]:
     """Leaf blocks with text, in page order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Node] = []
+    # how many open elements have a tag, or a word in their names
+    tags: Counter[str] = Counter()
+    names: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
     at = 0
@@ -74,18 +111,27 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                tags = tuple(t for t, _ in stack)
-                tag = next((t for t in reversed(tags) if t not in INLINE), "body")
-                names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-                blocks.append(Block(text, text.count(" ") + 1, sum(len(x.split()) for x in linked), tag, tags, names))
+                blocks.append(Block(text, text.count(" ") + 1, sum(len(x.split()) for x in linked), stack[-1] if stack else None))
             parts.clear()
             linked.clear()
 
     def add(text: str) -> None:
         parts.append(text)
-        if any(t == "a" for t, _ in stack):
+        if tags["a"]:
             linked.append(text)
 
+    def push(tag: str, words: frozenset[str]) -> None:
+        stack.append(Node(tag, words, stack[-1] if stack else None, not tags[tag], tuple(sorted(w for w in words if not names[w]))))
+        tags[tag] += 1
+        names.update(words)
+
+    def pop() -> str:
+        node = stack.pop()
+        tags[node.tag] -= 1
+        for w in node.names:
+            names[w] -= 1
+        return node.tag
+
     for m in _MARKUP.finditer(html):
         if m.start() > at:
             add(html[at : m.start()])
@@ -102,17 +148,17 @@ def blocks_of(html: str) -> list[Block]:
         if name not in INLINE:
             flush()
         if m.group(2):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            # a stray end tag ends nothing
+            while tags[name] and pop() != name:
+                pass
         elif name not in VOID and not m.group(4).endswith("/"):
             if name not in INLINE:
-                while stack and (stack[-1][0] in INLINE or (stack[-1][0] == "p") or stack[-1][0] in (CLOSED_BY.get(name) or ())):
-                    if stack[-1][0] in INLINE and not any(t == "p" or t in (CLOSED_BY.get(name) or ()) for t, _ in stack):
+                ends = {"p", *(CLOSED_BY.get(name) or ())}
+                while stack and (stack[-1].tag in INLINE or stack[-1].tag in ends):
+                    if stack[-1].tag in INLINE and not any(tags[t] for t in ends):
                         break
-                    stack.pop()
-            stack.append((name, name_words(m.group(4)) if m.group(4) else frozenset()))
+                    pop()
+            push(name, name_words(m.group(4)) if m.group(4) else frozenset())
     if at < len(html):
         add(html[at:])
     flush()
@@ -128,18 +174,41 @@ def _grade(value: float, bounds: tuple) -> int:
     return sum(value >= b for b in bounds)
 
 
-def feature_numbers(blocks: list[Block]) -> list[list[int]]:
-    """Feature numbers of each block of a page, as many as it has, in an order that does not depend on the process."""
+def own_features(blocks: list[Block]) -> list[list[str]]:
+    """Features of each block of a page besides those of its ancestors."""
     out, n = [], len(blocks)
     for i, b in enumerate(blocks):
         link = _grade(b.linked / max(1, b.words), (0.01, 0.3, 0.7))
         size = _grade(b.words, (2, 5, 10, 25, 75))
-        names = ["any", f"tag={b.tag}", f"size={size}", f"link={link}", f"end={b.text[-1] in '.!?…'}", f"size={size}|link={link}", f"place={_grade(i / n, (0.1, 0.9))}", f"mark={any(c in b.text for c in '©®')}"]
-        names += [f"in={t}" for t in sorted(set(b.ancestors)) if t not in INLINE]
-        names += [f"name={w}" for w in sorted(b.names)]
+        own = ["any", f"tag={b.tag}", f"size={size}", f"link={link}", f"end={b.text[-1] in '.!?…'}", f"size={size}|link={link}", f"place={_grade(i / n, (0.1, 0.9))}", f"mark={any(c in b.text for c in '©®')}"]
         if b.words <= 40:
-            names += [f"ui={w}" for w in sorted({x.lower() for x in _PLAIN_WORD.findall(b.text)} & INTERFACE)]
-        out.append([_bucket(x) for x in names])
+            own += [f"ui={w}" for w in sorted({x.lower() for x in _PLAIN_WORD.findall(b.text)} & INTERFACE)]
+        out.append(own)
+    return out
+
+
+def feature_numbers(blocks: list[Block]) -> list[list[int]]:
+    """Feature numbers of each block of a page, as many as it has, in an order that does not depend on the process."""
+    return [[_bucket(x) for x in (*own, *sorted(f for node in b.path() for f in node.features()))] for b, own in zip(blocks, own_features(blocks), strict=True)]
+
+
+def block_scores(weights: np.ndarray, blocks: list[Block]) -> np.ndarray:
+    """The summed weights of each block's features.
+
+    Ancestors' sums are told once for each element and handed down, so blocks deep in a page do not walk up it.
+    """
+    sums: list[float] = []
+    out = np.empty(len(blocks))
+    for i, (b, own) in enumerate(zip(blocks, own_features(blocks), strict=True)):
+        fresh = []
+        node = b.node
+        while node and node.place < 0:
+            fresh.append(node)
+            node = node.parent
+        for node in reversed(fresh):
+            node.place = len(sums)
+            sums.append((sums[node.parent.place] if node.parent else 0.0) + sum(float(weights[_bucket(f)]) for f in node.features()))
+        out[i] = (sums[b.node.place] if b.node else 0.0) + sum(float(weights[_bucket(f)]) for f in own)
     return out
 
 
@@ -264,8 +333,7 @@ def main_texts(model: crf.Model, pages: list[str]) -> list[str]:
     """The main text of each page: its main blocks, joined by a line break."""
     each = [blocks_of(p) for p in pages]
     sizes = np.array([len(b) for b in each], dtype=np.int64)
-    numbers = [row for blocks in each for row in feature_numbers(blocks)]
-    delta = crf.Features.of(numbers).sums(model.weights)
+    delta = np.concatenate([block_scores(model.weights, blocks) for blocks in each]) if each else np.empty(0)
     starts = np.cumsum(sizes) - sizes
     labels = model.viterbi(delta, crf.Chains(starts, sizes))
     return ["\n".join(b.text for b, y in zip(blocks, labels[s : s + len(blocks)], strict=True) if y) for blocks, s in zip(each, starts.tolist(), strict=True)]

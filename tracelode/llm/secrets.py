@@ -130,8 +130,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def all_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Base spans and the entropy spans that no base span covers."""
-    added = [(a, b, "entropy") for a, b in entropy_spans(text) if not any(s <= a and b <= e for s, e, _ in base)]
+    """Base spans and the entropy spans that no base span covers; both come by start, so one pass over them tells."""
+    added, furthest, at = [], 0, 0
+    for a, b in entropy_spans(text):
+        while at < len(base) and base[at][0] <= a:
+            furthest = max(furthest, base[at][1])
+            at += 1
+        if b > furthest:
+            added.append((a, b, "entropy"))
     return sorted(base + added, key=lambda s: (s[0], _RANK[s[2]]))
 
 
