@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 import subprocess
 import sys
 
