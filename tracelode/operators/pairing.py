@@ -24,6 +24,24 @@ def last_known(events: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return events.withColumn(name, F.last(value, ignorenulls=True).over(so_far))
 
 
+def scanned(events: DataFrame, keys: Sequence[str], split: str, order: Sequence[str], boundary: Column, last: dict[str, Column]) -> DataFrame:
+    """``events`` with run, as ``run_numbers``, and the last non-null value so far of each of ``last``; a stream may be as long as it likes.
+
+    A stream is cut at ``split``, a column that never falls along its order.  Splits are
+    numbered on their own; what each adds to those after it (its boundaries, its last values)
+    is one row, and only these rows are gone through in order.  ``events`` are read twice.
+    """
+    mine = [*keys, split]
+    at = F.struct(*order)
+    so_far = Window.partitionBy(*mine).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = events.withColumns({"run": F.sum(boundary.cast("int")).over(so_far), **{n: F.last(v, ignorenulls=True).over(so_far) for n, v in last.items()}})
+    adds = events.groupBy(*mine).agg(F.sum(boundary.cast("int")).alias("_runs"), *(F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_last_{n}") for n, v in last.items()))
+    before = Window.partitionBy(*keys).orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
+    come = adds.select(*mine, F.coalesce(F.sum("_runs").over(before), F.lit(0)).alias("_runs"), *(F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_last_{n}") for n in last))
+    out = own.join(come, mine).withColumns({"run": F.col("run") + F.col("_runs"), **{n: F.coalesce(n, f"_last_{n}") for n in last}})
+    return out.drop("_runs", *(f"_last_{n}" for n in last))
+
+
 def first_result(calls: DataFrame, results: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """``calls`` with ``<value>_first``: the first result of the same key wins; calls without one keep null."""
     first = results.groupBy(*keys).agg(F.min_by(value, order).alias(f"{value}_first"))
