@@ -155,3 +155,15 @@ def test_each_table_is_read_once(spark, monkeypatch):
         plans.clear()
         out = query(spark, SF)
         assert scans(out, *plans) == want, query.__name__
+
+
+def test_restricted_towers_and_other_resolutions(spark):
+    from tracelode.operators import analytics
+
+    items, rows = made(spark)
+    part = multires.restrict(items, spark.range(0, 400, 3).withColumnRenamed("id", "item"))
+    assert part.count() == 134
+    multires.check_nesting(part.filter("l2 IS NOT NULL"), LEVELS)
+    book = spark.createDataFrame([("x", j, 3**j, 1) for j in (1, 2, 3)], "agent string, level int, n long, l long")
+    e = analytics.exponents(book, eps=lambda level: F.pow(F.lit(3.0), -level)).first()
+    assert e["s"] == pytest.approx(1.0) and analytics.exponents(book).first()["s"] == pytest.approx(1.584962500721156)

@@ -6,6 +6,8 @@ the corpus; everything before the final rounding is in integers or plain doubles
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,18 +18,19 @@ TAIL = 4
 TOLERANCE = 1e-9
 
 
-def ratios(book: DataFrame, group: str = "agent") -> DataFrame:
-    """group, level, s, d: ln n / (level ln 2) and the same of l, null where the count is 0."""
-    ratio = lambda c: F.when(F.col(c) > 0, F.ln(F.col(c)) / (F.col("level") * F.lit(LN2)))
+def ratios(book: DataFrame, group: str = "agent", eps: Callable[[Column], Column] | None = None) -> DataFrame:
+    """group, level, s, d: ln n / -ln eps(level) and the same of l, null where the count is 0; eps is 2^-level unless given."""
+    scale = F.col("level") * F.lit(LN2) if eps is None else -F.ln(eps(F.col("level")))
+    ratio = lambda c: F.when(F.col(c) > 0, F.ln(F.col(c)) / scale)
     return book.filter("level > 0").select(group, "level", ratio("n").alias("s"), ratio("l").alias("d"))
 
 
-def exponents(book: DataFrame, group: str = "agent") -> DataFrame:
+def exponents(book: DataFrame, group: str = "agent", eps: Callable[[Column], Column] | None = None) -> DataFrame:
     """group, s, s_at, d, d_at, delta, horizon, s_shallow, d_shallow.
 
     The largest ratio and the first level that attains it; 0 at level 0 if no ratio is positive.
     """
-    r = ratios(book, group)
+    r = ratios(book, group, eps)
 
     def best(c: str) -> list[Column]:
         top = F.max(F.when(F.col(c) > 0, F.struct(F.col(c).alias("v"), (-F.col("level")).alias("m"))))

@@ -28,6 +28,11 @@ def check_nesting(items: DataFrame, levels: Sequence[str], trivial_root: bool =
             raise NestingError(f"{fine} does not refine {coarse}")
 
 
+def restrict(items: DataFrame, subset: DataFrame, key: str = "item") -> DataFrame:
+    """The items of ``subset`` (column ``key``), with their blocks: a tower on part of the items still nests."""
+    return items.join(subset.select(key).distinct(), key, "left_semi")
+
+
 def dimensions(items: DataFrame, levels: Sequence[str]) -> DataFrame:
     """level, blocks, dim: block counts and how many more the next level has."""
     one = items.agg(*(F.count_distinct(F.struct(c)).alias(c) for c in levels))

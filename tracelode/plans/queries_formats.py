@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import json
 import sqlite3
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import loaders, stores
+from ..sources import loaders, objects, sinks, stores
+from ..sources.objects import shared_folder
 from . import views
+from .queries import EV
 from .registry import query
 
 _WORDS = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
@@ -220,3 +223,23 @@ def _antigravity(con: sqlite3.Connection, turns: list[dict]) -> None:
 def load_antigravity_conversations(spark, sf_dir):
     """Payloads say no errors."""
     return _shown(stores.load_antigravity(_stores(_turns(spark, sf_dir), _antigravity)))
+
+
+@query(f"WITH {EV} SELECT outcome, len(tools) AS steps, len([e FOR e IN errs IF e]) AS errors, count(*) AS runs FROM ev GROUP BY ALL")
+def load_arrays_in_splits(spark, sf_dir):
+    """Event runs in files that are one array each, cut into their elements by the splitter."""
+    runs = views.event_runs(spark, sf_dir).select(F.col("agent").alias("model"), F.lit("p").alias("project"), F.col("task").alias("prompt"), "outcome", "steps")
+    folder = f"{shared_folder(spark)}/tracelode-arrays-{uuid.uuid4().hex}"
+
+    def arrays(batches):
+        first = True
+        for batch in batches:
+            for value in batch.column("value").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([("[" if first else ",") + value])], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+    sinks.canonical_json(runs).select("value").repartition(3).mapInArrow(arrays, "value string").write.text(folder)
+    objects.rename_parts(spark, folder, ".json")
+    found = objects.array_objects(spark, [folder])
+    return _shown(loaders.load_canonical(found))

@@ -240,3 +240,14 @@ def malformed(files: DataFrame) -> DataFrame:
     """path, ord, line: lines that are no JSON, for a corrupt-record table."""
     lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
     return lines.filter((F.trim("line") != "") & ~is_json(F.col("line")))
+
+
+def rename_parts(spark: SparkSession, folder: str, suffix: str) -> None:
+    """Gives the part files that Spark wrote to ``folder`` the suffix by which readers find them."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    base = jvm.Path(folder)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(base):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(status.getPath(), jvm.Path(base, name.split(".")[0] + suffix))

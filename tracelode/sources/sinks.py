@@ -91,6 +91,30 @@ def report_text(book: DataFrame, exponents: DataFrame, tails: DataFrame, inflati
     return "\n".join(out).strip() + "\n"
 
 
+def compare_text(found: DataFrame) -> str:
+    """A comparison of agents (of ``analytics.compare``) as text: a row for each, then whether they kept the same."""
+    rows = found.orderBy("agent").collect()
+    if not rows:
+        return "no agents\n"
+    wide = max(len("agent"), *(len(str(r["agent"])) for r in rows))
+    out = [f"{'agent':<{wide}}  {'D':>10}  {'S':>10}  {'S - D':>10}  {'waste':>7}  stops at"]
+    out += [f"{r['agent']!s:<{wide}}  {r['d']:>10.6f}  {r['s']:>10.6f}  {r['delta']:>10.6f}  {100 * r['waste']:>6.1f}%  {'never' if r['stop_level'] is None else r['stop_level']}" for r in rows]
+    low, high = min(r["d"] for r in rows), max(r["d"] for r in rows)
+    same = f"every agent kept the same, D = {high:.6f}: S differs by method and not by task"
+    out += ["", same if all(r["same_d"] for r in rows) else f"agents kept different things, D from {low:.6f} to {high:.6f}: they may not have solved the same task"]
+    return "\n".join(out) + "\n"
+
+
+def capability_text(table: DataFrame) -> str:
+    """What each format can tell (of ``warrants.capability_table``): formats down, semantics across."""
+    cells = {(r["format"], r["semantic"]): r["state"] for r in table.collect()}
+    formats, semantics = sorted({f for f, _ in cells}), sorted({s for _, s in cells})
+    wide = [max(len(s), *(len(cells[f, s]) for f in formats)) for s in semantics]
+    first = max(map(len, ["format", *formats]))
+    line = lambda name, values: "  ".join([name.ljust(first), *(v.ljust(w) for v, w in zip(values, wide, strict=True))]).rstrip()
+    return "\n".join([line("format", semantics), *(line(f, [cells[f, s] for s in semantics]) for f in formats)]) + "\n"
+
+
 def report_html(book: DataFrame, exponents: DataFrame, title: str = "profile", tails: DataFrame | None = None, inflation: DataFrame | None = None, warrants: DataFrame | None = None) -> str:
     """A page with a section for each agent (classes, yields, ratios by level), and tables of tails, inflation and warrants.
 
