@@ -103,3 +103,35 @@ def test_digests_of_trees_are_equal_as_their_shapes(spark):
         own = {tuple(labels[:k]) for a, labels, _ in rows if a == g for k in range(1, len(labels) + 1)}
         assert shape == shape_of(own) and trees[g][1] == len(own) + 1
     assert len({(strings[g], d) for g, (d, _) in trees.items()}) == len(set(strings.values()))
+
+
+def test_horizon_and_sights_over_many_batches(spark, tmp_path):
+    """After every batch the table says what the batch rule says of all runs so far; demotions and returns are told once."""
+    from tracelode.streaming import ledgers
+
+    rng = random.Random(6)
+    batches = [[("x" if rng.random() < 0.8 else "y", [rng.choice("ab") for _ in range(rng.randrange(1, 2 + n))], rng.random() < 0.2) for _ in range(12)] for n in range(4)]
+    batches.append([("x", list("aaaaaaaaa"), False), ("x", list("a"), True)])
+    t = tower.Tower(("first", "all"), [F.get("labels", F.lit(0)), F.col("labels")])
+    rows, last = [], {}
+    for n, batch in enumerate(batches):
+        rows += batch
+        frame(spark, batch).coalesce(1).write.mode("append").parquet(str(tmp_path / "runs"))
+        stream = spark.readStream.schema("agent string, labels array<string>, ok boolean").parquet(str(tmp_path / "runs"))
+        ledgers.run_horizon(stream, F.col("labels"), "agent", str(tmp_path / "changes"), str(tmp_path / "p1"), shards=2).awaitTermination()
+        ledgers.run_stream(stream, t, F.col("ok"), "agent", str(tmp_path / "sights"), str(tmp_path / "p2"), shards=2).awaitTermination()
+        if n not in (1, 4):
+            continue
+        got = Counter((r["agent"], r["level"], r["status"]) for r in ledgers.latest_statuses(spark, str(tmp_path / "changes"), "agent").collect())
+        nodes = nodes_of(rows)
+        top = {a: max(len(p) for b, p in nodes if b == a) for a in ("x", "y") if any(b == a for b, _ in nodes)}
+        assert got == Counter((a, len(p), "LIVE" if x[2] >= top[a] else "TRANSIENT") for (a, p), x in nodes.items())
+        book = {(r["agent"], r["level"]): (r["n"], r["l"]) for r in ledgers.stream_book(spark, str(tmp_path / "sights"), "agent").collect()}
+        assert book == {(r["agent"], r["level"]): (r["n"], r["l"]) for r in ledger.ledger(frame(spark, rows), t, F.col("ok")).collect()}
+    told = spark.read.option("basePath", str(tmp_path / "changes")).parquet(str(tmp_path / "changes"))
+    # nothing is told twice in a row, and some classes were demoted
+    for r in told.groupBy("agent", "id").agg(F.array_sort(F.collect_list(F.struct("batch", "status"))).alias("s")).collect():
+        last[r["agent"], bytes(r["id"])] = [x["status"] for x in r["s"]]
+    assert all(a != b for s in last.values() for a, b in zip(s, s[1:], strict=False)) and any(s[:2] == ["LIVE", "TRANSIENT"] for s in last.values())
+    # no class is in the table of sights more often than twice, as seen and as live
+    assert spark.read.parquet(str(tmp_path / "sights")).groupBy("agent", "key").count().agg(F.max("count")).first()[0] <= 2

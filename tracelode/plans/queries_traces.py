@@ -13,7 +13,7 @@ from ..functions import steps as S
 from ..operators import analytics, costvar, dynamics, ledger, moments, multires, pairing, protocol, tower, warrants
 from ..sources.objects import shared_folder
 from . import views
-from .queries import _BOOK_FROM, _COST, COST_LEVELS, EV, LEVELS, ORD, _book_sql, _cost_runs, _events_book, _items, _six, ok
+from .queries import _BOOK_FROM, _COST, _PREFIX, COST_LEVELS, EV, LEVELS, ORD, _book_sql, _cost_runs, _events_book, _items, _six, ok
 from .registry import query
 
 # ---------------------------------------------------------------- steps with JSON arguments
@@ -152,6 +152,19 @@ def streamed_ledger(spark, sf_dir):
     return ledgers.stream_book(spark, f"{base}/sights", "agent")
 
 
+@query(f"WITH {EV}, {_PREFIX.format('ev')}, h AS (SELECT agent, max(level) AS h FROM pre GROUP BY agent) SELECT agent, level, CASE WHEN longest >= h THEN 'LIVE' ELSE 'TRANSIENT' END AS status, count(*) AS classes FROM pre JOIN h USING (agent) GROUP BY ALL")
+def streamed_horizon(spark, sf_dir):
+    """The horizon rule on a stream of several batches: classes enter, and are demoted when a longer run comes."""
+    from ..streaming import ledgers
+
+    base = f"{shared_folder(spark)}/tracelode-stream-{uuid.uuid4().hex}"
+    runs = views.event_runs(spark, sf_dir).select("agent", "ordinal", S.tool_sequence(F.col("steps")).alias("labels"))
+    runs.repartition(3, "ordinal").write.parquet(f"{base}/runs")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/runs").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/runs")
+    ledgers.run_horizon(stream, F.col("labels"), "agent", f"{base}/changes", f"{base}/progress", shards=4).awaitTermination()
+    return ledgers.latest_statuses(spark, f"{base}/changes", "agent").groupBy("agent", "level", "status").agg(F.count("*").alias("classes"))
+
+
 # ---------------------------------------------------------------- order-dependent joins, sets
 @query("WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS n FROM events WHERE event_type = 'click'), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS n FROM events WHERE event_type = 'view') SELECT c.event_id, r.event_id AS paired FROM c LEFT JOIN r USING (user_id, props, n)")
 def paired_in_order(spark, sf_dir):
