@@ -229,10 +229,28 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
     return near.select("a", "b", d.alias("d")).filter(F.col("d") <= wide)
 
 
+#: Bits of the map that prunes texts, at most: a million rows of 64.
+MOST_BITS = 1 << 26
+
+
+def texts_asked(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (_key, ..) whose key is in ``asked`` (_key, distinct).
+
+    Most texts are asked for by no pair.  A map of bits, of bounded size and so broadcast,
+    keeps them from being shuffled; the join that follows settles what it lets through.
+    """
+    bits = min(MOST_BITS, 1 << max(16, (8 * asked.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("_key"), F.lit(bits))
+    word, place = F.shiftright(slot, 6).alias("_word"), slot.bitwiseAND(F.lit(63)).cast("int")
+    marks = asked.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("m")).groupBy("_word").agg(F.bit_or("m").alias("_marks"))
+    let = texts.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(marks), "_word").filter(F.getbit("_marks", place) == 1)
+    return let.drop("_word", "_marks").join(asked, "_key", "left_semi")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, key: Column, width: int, least: float) -> DataFrame:
     """Those (a, b) of ``pairs`` of keys whose texts have a Jaccard similarity of ``least`` or more."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    texts = docs.select(key.alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).join(asked, "_key", "left_semi").groupBy("_key").agg(F.first("_text").alias("_text"))
+    texts = texts_asked(docs.select(key.alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")), asked).groupBy("_key").agg(F.first("_text").alias("_text"))
     met = pairs.select("a", "b").join(texts.withColumnsRenamed({"_key": "a", "_text": "s"}), "a").join(texts.withColumnsRenamed({"_key": "b", "_text": "t"}), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
