@@ -156,6 +156,20 @@ def ahu_tree_all_customers(spark, sf_dir):
     return _region_tree(spark, sf_dir, views.table(spark, sf_dir, "customer"))
 
 
+_KINDS = """WITH c AS (SELECT r_name AS agent, n_nationkey, count(c_custkey) AS kids FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+n AS (SELECT agent, kids, CASE WHEN kids = 0 THEN upper(md5('')) ELSE upper(md5(upper(md5(upper(md5('')) || 'x' || kids)))) END AS digest FROM c), k AS (SELECT agent, upper(md5(digest || 'x' || count(*))) AS kind, count(*) + sum(kids) AS nodes FROM n GROUP BY agent, digest)"""
+
+
+@query(f"{_KINDS} SELECT agent, (1 + sum(nodes))::BIGINT AS nodes, upper(md5(string_agg(kind, '' ORDER BY kind))) AS digest FROM k GROUP BY agent")
+def tree_digests(spark, sf_dir):
+    """Size and digest of each region's tree of nations and customers; no tree is written out."""
+    labels = F.when(F.col("leaf").isNull(), F.array(F.col("n_name"))).otherwise(F.array("n_name", "leaf"))
+    nation = views.table(spark, sf_dir, "nation").join(views.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    kids = views.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").cast("string").alias("leaf"))
+    found = ledger.prefixes(nation.join(kids, "n_nationkey", "left").select(F.col("r_name").alias("agent"), labels.alias("labels")), F.col("labels"), F.lit(True))
+    return ledger.ranked_trees(found, 2).select("agent", "nodes", F.hex("digest").alias("digest"))
+
+
 _R = "r AS (SELECT agent, level, ln(n) / (level * 0.6931471805599453) AS s, CASE WHEN l > 0 THEN ln(l) / (level * 0.6931471805599453) END AS d FROM book)"
 _E = """e AS (SELECT agent, coalesce(max(s) FILTER (s > 0), 0) AS s, coalesce(max(d) FILTER (d > 0), 0) AS d, max(level) AS horizon FROM r GROUP BY agent),
 x AS (SELECT e.agent, e.s, coalesce(min(r.level) FILTER (r.s = e.s AND e.s > 0), 0)::INT AS s_at, e.d, coalesce(min(r.level) FILTER (r.d = e.d AND e.d > 0), 0)::INT AS d_at, e.s - e.d AS delta, e.horizon FROM e JOIN r USING (agent) GROUP BY e.agent, e.s, e.d, e.horizon)"""
