@@ -1,7 +1,8 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, exact verification.
+"""Benchmark decontamination: MinHash containment search by item size, exact verification.
 
-Test items are partitioned by the number of their distinct word shingles; each size has a
-signature length of its own.  An item's MinHash signature names the k shingles that are
+Test items have a signature whose length follows from the number of their distinct word
+shingles; signatures of all sizes share one table for each shingle width.  An item's
+MinHash signature names the k shingles that are
 least under a seeded permutation, where k is one more than an item of its size may miss: of
 n shingles a document that contains a share c has all but (1 - c) n, so it has at least one
 of any (1 - c) n + 1, however long it is, and no pair is lost.  Documents meet the

@@ -4,10 +4,11 @@ Which suffixes must be compared is settled first.  Every start of a ``span``-byt
 has an anchor: the place of the least hash among the string's k-byte substrings, which
 depends on the string's bytes alone.  Equal strings have anchors of equal hash, so only
 starts whose anchor's hash occurs twice can repeat; their suffixes, cut to what they need,
-are dealt by that hash and sorted.  Sorting is deep-shallow: multikey quicksort (with
-8-byte characters) to a shallow depth, then the groups that still share a prefix go
-through a blind trie, which skips what a group has in common and looks at branching
-characters only.  Suffixes that meet in a leaf at depth ``span`` repeat.
+are dealt by that hash and sorted.  Sorting is deep-shallow in its order of work: one sort
+of all groups for each 8 bytes to a shallow depth, then each group that still shares a
+prefix is compared with its first member, 8 bytes at a time, and split where members
+differ.  Multikey quicksort's pivots and blind tries are not built (see the README).
+Suffixes that stay together to depth ``span`` repeat.
 
 A hash that very many starts share (a passage in a large part of all documents) is dealt
 over several tasks; strings that stay single there are matched across tasks by a 128-bit
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import byte_chunks, discard, durable, partitions_for, release, scratch
 
 GRAM = 32
-#: Bytes that multikey quicksort looks at before blind tries take over.
+#: Bytes that are sorted before groups are compared with their first members.
 SHALLOW = 24
 DOCS_PER_BUCKET = 4_000
 SEGMENTS_PER_TASK = 16_000
