@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources import loaders, objects, sinks, stores
 from ..sources.objects import shared_folder
+from ..tables import held
 from . import views
 from .queries import EV
 from .registry import query
@@ -70,32 +71,27 @@ def _files(turns: DataFrame, line, first: Column | None = None, suffix: str = "j
 _LAST = "coalesce(arg_max(CASE WHEN call THEN 'toolUse' ELSE 'stop' END, rn) FILTER (call OR said), '{0}')"
 
 
-@query(_by_run(_LAST.format("noToolUse"), "run > 0", 120))
-def load_pi_conversations(spark, sf_dir):
+def pi_files(turns: DataFrame) -> DataFrame:
     def line(t):
         message = lambda **f: _j(type="message", message=_o(**f))
         text = F.array(_o(type="text", text=t["text"]))
         asked = message(role="assistant", stopReason="toolUse", content=F.array(_o(type="toolCall", id=_id(t), name="look", arguments=_o(turn=t["turn"]))))
         got = message(role="toolResult", toolCallId=_id(t), isError=t["bad"], content=F.array(_o(type="text", text="as it is")))
         return F.when(t["role"] == "user", F.array(message(role="user", content=text))).when(t["call"], F.array(asked, got)).when(t["said"], F.array(message(role="assistant", stopReason="stop", content=text)))
+    return _files(turns, line, _j(type="session", cwd="/work/talks"))
 
-    return _shown(loaders.load_pi(_files(_turns(spark, sf_dir), line, _j(type="session", cwd="/work/talks"))), "prompt_chars")
 
-
-@query(_by_run(_LAST.format("toolUse"), "run > 0 OR count(*) FILTER (call OR said) > 0", 500))
-def load_claude_conversations(spark, sf_dir):
+def claude_files(turns: DataFrame) -> DataFrame:
     def line(t):
         record = lambda kind, content: _j(type=kind, sessionId="s", cwd="/work", message=_o(content=content))
         asked = record("assistant", F.array(_o(type="tool_use", id=_id(t), name="Look", input=_o(turn=t["turn"]))))
         got = record("user", F.array(_o(type="tool_result", tool_use_id=_id(t), is_error=t["bad"], content="as it is")))
         aside = _j(type="assistant", isSidechain=True, message=_o(content=F.array(_o(type="tool_use", id="x", name="Aside", input=_o(turn=0)))))
         return F.when(t["role"] == "user", F.array(record("user", F.array(_o(type="text", text=t["text"]))))).when(t["call"], F.array(aside, asked, got)).when(t["said"], F.array(record("assistant", F.array(_o(type="text", text=t["text"])))))
-
-    return _shown(loaders.load_claude(_files(_turns(spark, sf_dir), line)), "prompt_chars")
+    return _files(turns, line)
 
 
-@query(_by_run("'unknown'", "run > 0 OR count(*) FILTER (call OR said) > 0", 500))
-def load_codex_conversations(spark, sf_dir):
+def codex_files(turns: DataFrame) -> DataFrame:
     """Errors are read off the outputs; arguments sit in a snippet."""
 
     def line(t):
@@ -104,24 +100,21 @@ def load_codex_conversations(spark, sf_dir):
         asked = item(type="custom_tool_call", name="exec", call_id=_id(t), input=F.concat(F.lit("run("), _j(turn=t["turn"]), F.lit(")")))
         got = item(type="custom_tool_call_output", call_id=_id(t), output=F.when(t["bad"], "it failed badly").otherwise("completed, no error"))
         return F.when(t["role"] == "user", F.array(said("user"))).when(t["call"], F.array(asked, got)).when(t["said"], F.array(said("assistant")))
-
-    return _shown(loaders.load_codex(_files(_turns(spark, sf_dir), line, _j(type="session_meta", payload=_o(id="s", cwd="/work")))), "prompt_chars")
+    return _files(turns, line, _j(type="session_meta", payload=_o(id="s", cwd="/work")))
 
 
-@query(_by_conversation("CASE WHEN bool_or(call AND bad) THEN 'error' ELSE 'stop' END"))
-def load_langsmith_conversations(spark, sf_dir):
+def langsmith_files(turns: DataFrame) -> DataFrame:
     """Exports of single runs, latest first; what is spoken is no kept kind."""
 
     def line(t):
         kind = F.when(t["call"], "tool").when(t["said"], "llm")
         return F.when(kind.isNotNull(), F.array(_j(id=_id(t), trace_id="t", name="look", run_type=kind, inputs=_o(turn=t["turn"]), error=F.when(t["call"] & t["bad"], "refused"), start_time=F.lpad(t["turn"].cast("string"), 9, "0"))))
 
-    turns = _turns(spark, sf_dir).withColumn("turns", F.reverse("turns"))
-    return _shown(loaders.load_langsmith(_files(turns, line)))
+    turns = turns.withColumn("turns", F.reverse("turns"))
+    return _files(turns, line)
 
 
-@query(_by_conversation("CASE WHEN bool_or(call AND bad) THEN 'error' WHEN bool_or(said) THEN 'stop' ELSE 'noToolUse' END"))
-def load_otel_conversations(spark, sf_dir):
+def otel_files(turns: DataFrame) -> DataFrame:
     """One document for each conversation; a span for each call, and one with its reason to finish for what is spoken."""
 
     def span(t):
@@ -133,12 +126,10 @@ def load_otel_conversations(spark, sf_dir):
         spans = F.transform(F.filter(turns, lambda t: t["call"] | t["said"]), span)
         return _j(resourceSpans=F.array(_o(resource=_o(attributes=F.array(_o(key="service.name", value=_o(stringValue="talks")))), scopeSpans=F.array(_o(spans=spans)))))
 
-    turns = _turns(spark, sf_dir)
-    return _shown(loaders.load_otel(turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".json")).alias("path"), document(F.reverse("turns")).alias("value"))))
+    return turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".json")).alias("path"), document(F.reverse("turns")).alias("value"))
 
 
-@query(_by_conversation("CASE WHEN bool_or(call AND bad) THEN 'error' WHEN bool_or(said) THEN 'stop' ELSE 'noToolUse' END"))
-def load_autogen_conversations(spark, sf_dir):
+def autogen_files(turns: DataFrame) -> DataFrame:
     """Turns that 4 divides call functions without ids, answered by name; the others have tool calls or typed requests with ids."""
 
     def line(t):
@@ -150,13 +141,11 @@ def load_autogen_conversations(spark, sf_dir):
         spoken = F.array(_j(role="assistant", content=t["text"], stop_reason="completed"))
         return F.when(t["call"], F.when(t["turn"] % 3 == 0, old).when(t["turn"] % 3 == 1, new).otherwise(typed)).when(t["said"], spoken).otherwise(F.array(_j(role="user", content=t["text"])))
 
-    turns = _turns(spark, sf_dir)
     lists = _files(turns, line).withColumn("value", F.concat(F.lit('{"model": "loam", "messages": ['), F.replace("value", F.lit("\n"), F.lit(", ")), F.lit("]}")))
-    return _shown(loaders.load_autogen(lists))
+    return lists
 
 
-@query(_by_conversation("CASE WHEN bool_or(call AND bad AND turn % 2 = 1) THEN 'error' ELSE 'partial' END"))
-def load_crewai_conversations(spark, sf_dir):
+def crewai_files(turns: DataFrame) -> DataFrame:
     """A task for each call, under the names that crews use for it; a task that failed makes the outcome, a call's error alone does not."""
 
     def task(t):
@@ -165,9 +154,8 @@ def load_crewai_conversations(spark, sf_dir):
         return F.when(t["turn"] % 3 == 0, _j(tools_used=F.array(_o(tool="look", tool_input=args, error=error)))).otherwise(_j(actions=F.array(_o(action="look", args=args, error=error)), status=F.when(t["bad"] & (t["turn"] % 2 == 1), "failed").otherwise("done")))
 
     calls = lambda turns: F.array_join(F.transform(F.filter(turns, lambda t: t["call"]), task), ", ")
-    turns = _turns(spark, sf_dir)
     value = F.concat(F.lit('{"crew": "threshers", "outcome": "partial", "tasks_output": ['), calls("turns"), F.lit("]}"))
-    return _shown(loaders.load_crewai(turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".json")).alias("path"), value.alias("value"))))
+    return turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".json")).alias("path"), value.alias("value"))
 
 
 def _stores(turns: DataFrame, make) -> DataFrame:
@@ -202,7 +190,7 @@ def _opencode(con: sqlite3.Connection, turns: list[dict]) -> None:
 
 @query(_by_run("'unknown'", "run > 0 OR count(*) FILTER (call) > 0", 500))
 def load_opencode_conversations(spark, sf_dir):
-    return _shown(stores.load_opencode(_stores(_turns(spark, sf_dir), _opencode)), "prompt_chars")
+    return _shown(stores.load_opencode(_stores(turns, _opencode)), "prompt_chars")
 
 
 def _antigravity(con: sqlite3.Connection, turns: list[dict]) -> None:
@@ -222,7 +210,7 @@ def _antigravity(con: sqlite3.Connection, turns: list[dict]) -> None:
 @query(_by_conversation("'unknown'").replace("count(*) FILTER (call AND bad) AS errors", "0::BIGINT AS errors"))
 def load_antigravity_conversations(spark, sf_dir):
     """Payloads say no errors."""
-    return _shown(stores.load_antigravity(_stores(_turns(spark, sf_dir), _antigravity)))
+    return _shown(stores.load_antigravity(_stores(turns, _antigravity)))
 
 
 @query(f"WITH {EV} SELECT outcome, len(tools) AS steps, len([e FOR e IN errs IF e]) AS errors, count(*) AS runs FROM ev GROUP BY ALL")
@@ -243,3 +231,59 @@ def load_arrays_in_splits(spark, sf_dir):
     objects.rename_parts(spark, folder, ".json")
     found = objects.array_objects(spark, [folder])
     return _shown(loaders.load_canonical(found))
+
+
+@query(_by_run(_LAST.format("noToolUse"), "run > 0", 120))
+def load_pi_conversations(spark, sf_dir):
+    return _shown(loaders.load_pi(pi_files(_turns(spark, sf_dir))), "prompt_chars")
+
+
+@query(_by_run(_LAST.format("toolUse"), "run > 0 OR count(*) FILTER (call OR said) > 0", 500))
+def load_claude_conversations(spark, sf_dir):
+    return _shown(loaders.load_claude(claude_files(_turns(spark, sf_dir))), "prompt_chars")
+
+
+@query(_by_run("'unknown'", "run > 0 OR count(*) FILTER (call OR said) > 0", 500))
+def load_codex_conversations(spark, sf_dir):
+    return _shown(loaders.load_codex(codex_files(_turns(spark, sf_dir))), "prompt_chars")
+
+
+@query(_by_conversation("CASE WHEN bool_or(call AND bad) THEN 'error' ELSE 'stop' END"))
+def load_langsmith_conversations(spark, sf_dir):
+    return _shown(loaders.load_langsmith(langsmith_files(_turns(spark, sf_dir))))
+
+
+@query(_by_conversation("CASE WHEN bool_or(call AND bad) THEN 'error' WHEN bool_or(said) THEN 'stop' ELSE 'noToolUse' END"))
+def load_otel_conversations(spark, sf_dir):
+    return _shown(loaders.load_otel(otel_files(_turns(spark, sf_dir))))
+
+
+@query(_by_conversation("CASE WHEN bool_or(call AND bad) THEN 'error' WHEN bool_or(said) THEN 'stop' ELSE 'noToolUse' END"))
+def load_autogen_conversations(spark, sf_dir):
+    return _shown(loaders.load_autogen(autogen_files(_turns(spark, sf_dir))))
+
+
+@query(_by_conversation("CASE WHEN bool_or(call AND bad AND turn % 2 = 1) THEN 'error' ELSE 'partial' END"))
+def load_crewai_conversations(spark, sf_dir):
+    return _shown(loaders.load_crewai(crewai_files(_turns(spark, sf_dir))))
+
+
+_EVERY = ("pi", "claude", "codex", "langsmith", "otel", "autogen", "crewai")
+
+
+@query(
+    f"""WITH {_TURNS}, r AS (SELECT conv_id, run, count(*) FILTER (call) AS calls, count(*) FILTER (call OR said) AS told FROM m GROUP BY conv_id, run), c AS (SELECT conv_id FROM r GROUP BY conv_id HAVING sum(calls) > 0), n AS (SELECT (SELECT count(*) FROM c) AS talks, (SELECT sum(calls) FROM r)::BIGINT AS calls, (SELECT sum(calls) FROM r WHERE run > 0)::BIGINT AS asked_calls, (SELECT count(*) FROM r WHERE run > 0) AS asked, (SELECT count(*) FROM r WHERE run > 0 OR told > 0) AS told)
+SELECT project, runs, steps FROM n, LATERAL (VALUES ('autogen', talks, calls), ('langsmith', talks, calls), ('threshers', talks, calls), ('talks', asked + talks, asked_calls + calls), ('/work', 2 * told, 2 * calls)) t(project, runs, steps)"""
+)
+def load_every_format(spark, sf_dir):
+    """Files of seven formats in one folder: each is told by its contents and read by its own loader."""
+    from ..sources import detect
+
+    turns = _turns(spark, sf_dir)
+    files = None
+    for name in _EVERY:
+        own = globals()[f"{name}_files"](turns).withColumn("path", F.concat(F.lit(f"{name}/"), "path"))
+        files = own if files is None else files.unionByName(own)
+    files = held(files, "formats")
+    runs = detect.load_found(files.join(detect.detect(files), "path"))
+    return runs.groupBy("project").agg(F.count("*").alias("runs"), F.sum(F.size("steps")).cast("long").alias("steps"))

@@ -295,6 +295,18 @@ def protocol_report(spark, sf_dir):
     return spark.createDataFrame([(out["coverage"]["n"], out["coverage"]["labelled"], out["error"])], "n long, labelled long, error string")
 
 
+@query(f"WITH {EV}, l AS (SELECT *, CASE WHEN ordinal % 3 = 0 THEN 'success' WHEN ordinal % 3 = 1 THEN 'failure' END AS label FROM ev), t AS (SELECT task, count(DISTINCT agent) AS agents FROM l WHERE task <> '' GROUP BY task) SELECT count(*) AS n, count(label) AS labelled, NULL::VARCHAR AS error, (SELECT count(*) FROM t WHERE agents >= 2) AS matched, greatest(1, round_even((SELECT count(DISTINCT task) FROM l) * 0.5, 0))::BIGINT AS held_tasks, (SELECT count(DISTINCT task) FROM l) - greatest(1, round_even((SELECT count(DISTINCT task) FROM l) * 0.5, 0))::BIGINT AS training_tasks, 0::BIGINT AS shared FROM l")
+def protocol_passed(spark, sf_dir):
+    """Labels of one evaluator over tasks that agents share: every step of the protocol, to the split and its check."""
+    label = F.when(F.col("ordinal") % 3 == 0, "success").when(F.col("ordinal") % 3 == 1, "failure")
+    runs = views.event_runs(spark, sf_dir).select("agent", "task", label.alias("verified_outcome"), F.lit("rule").alias("evaluator"))
+    out = protocol.report(runs)
+    train, held = (part.select("task").distinct() for part in protocol.task_split(runs))
+    shared = train.intersect(held).count()
+    matched = protocol.matched_tasks(protocol.labelled_runs(runs).unionByName(runs.filter("verified_outcome IS NULL")), 2).count()
+    return spark.createDataFrame([(out["coverage"]["n"], out["coverage"]["labelled"], out["error"], matched, held.count(), train.count(), shared)], "n long, labelled long, error string, matched long, held_tasks long, training_tasks long, shared long")
+
+
 @query("SELECT c.format, r.analysis FROM (VALUES " + ", ".join(f"('{f}', '{s}', {warrants.STATES[state]})" for f, row in warrants.CAPABILITIES.items() for s, state in zip(warrants.SEMANTICS, row, strict=True)) + ") c(format, semantic, rank) JOIN (VALUES " + ", ".join(f"('{a}', '{s}', {warrants.STATES[need]})" for a, r in warrants.REQUIREMENTS.items() for s, need in r.items()) + ") r(analysis, semantic, need) USING (semantic) GROUP BY ALL HAVING NOT bool_and(c.rank >= r.need)")
 def refused_analyses(spark, sf_dir):
     """For which format each analysis is refused, asked one by one."""
