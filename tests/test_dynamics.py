@@ -112,6 +112,26 @@ def test_bootstrap_of_unequal_values(spark):
     assert not protocol.non_inferior(values["b"]) and protocol.non_inferior([0.0, 0.1, -0.05, 0.2]) and not protocol.non_inferior([])
 
 
+def test_resamples_in_ranges_are_the_generators(spark):
+    """Every range starts where the generator stands after the draws before it, whatever it drew again."""
+    for n in (1, 2, 7, 8, 1000):
+        rng = random.Random(99)
+        want = [rng.randrange(n) for _ in range(n * 30)]
+        own, covered = [float(v) for v in range(n)], []
+        for size, first, k, state, place in protocol.range_starts(n, 99, 30, per_task=4 * n):
+            assert size == n
+            assert protocol.range_means(own, n, k, state, place) == [sum(map(float, want[r * n : (r + 1) * n])) / n for r in range(first, first + k)]
+            covered += range(first, first + k)
+        assert covered == list(range(30))
+    values = {"a": [0.5, -1.25, 3.0, 0.1, 2.5, -0.75, 1.0], "b": [0.1 * i * (-1) ** i for i in range(23)]}
+    rows = [(kind, f"t{i:02d}", v) for kind, own in values.items() for i, v in enumerate(own)]
+    table = spark.createDataFrame(rows, "kind string, task string, difference double").repartition(3)
+    got = {r["kind"]: (r["n"], r["bound"]) for r in protocol.bootstrap_table(table, 0.95, seed=5, resamples=500, per_task=600).collect()}
+    assert got == {kind: (len(own), protocol.bootstrap_percentile(own, 0.95, seed=5, resamples=500)) for kind, own in values.items()}
+    with pytest.raises(ValueError):
+        list(protocol.range_starts(0, 1, 10))
+
+
 def test_split_by_a_plain_shuffle(spark):
     tasks = [f"task{i:02d}" for i in range(15)]
     runs = spark.createDataFrame([(t, i) for t in tasks for i in range(3)], "task string, i int").repartition(4)

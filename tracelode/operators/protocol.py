@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.steps import collapsed, labelled
+from ..tables import held
 
 # Seed and number of resamples, margins of the decision.
 SEED = 20260916
@@ -90,17 +93,88 @@ def bootstrap_percentile(values: Sequence[float], q: float, seed: int = SEED, re
     return means[round(q * (resamples - 1))]
 
 
-def bootstrap_table(differences: DataFrame, q: float, group: str = "kind", value: str = "difference") -> DataFrame:
-    """group, n, bound: the same for every group at once; a group's values are ordered by task first."""
-    schema = f"{group} string, n long, bound double"
+#: Draws of a task, and words that are drawn at once.
+DRAWS_PER_TASK = 4_000_000
+_WORDS = 1 << 20
+_RANGES = "n long, first long, resamples long, state binary, place int"
 
-    def one(frame):
-        import pandas as pd
 
-        values = frame.sort_values("task")[value].tolist()
-        return pd.DataFrame({group: [frame[group].iloc[0]], "n": [len(values)], "bound": [bootstrap_percentile(values, q)]})
+def _generator(key: np.ndarray, place: int) -> np.random.MT19937:
+    out = np.random.MT19937()
+    out.state = {"bit_generator": "MT19937", "state": {"key": key, "pos": place}}
+    return out
+
+
+def _accepted(generator: np.random.MT19937, n: int, words: int) -> np.ndarray:
+    """Of so many words of the generator what CPython's ``randrange(n)`` makes of each; ``n`` or more where it draws again."""
+    return (generator.random_raw(words) >> np.uint64(32 - n.bit_length())).astype(np.int64)
+
 
-    return differences.groupBy(group).applyInPandas(one, schema)
+def range_starts(n: int, seed: int, resamples: int, per_task: int = DRAWS_PER_TASK) -> Iterator[tuple[int, int, int, bytes, int]]:
+    """n, first resample, resamples, and the generator's state there, for ranges of about ``per_task`` draws.
+
+    How many words a draw takes is chance, so a range's start is found by going through the
+    words before it: a few nanoseconds each, and nothing of them is kept.
+    """
+    if not 0 < n < 1 << 32:
+        raise ValueError(f"between 1 and 2^32 values can be resampled; got {n}")
+    _, state, _ = random.Random(seed).getstate()
+    now = _generator(np.array(state[:-1], dtype=np.uint32), state[-1])
+    each = max(1, per_task // n)
+    for first in range(0, resamples, each):
+        here = now.state["state"]
+        yield n, first, min(each, resamples - first), here["key"].astype("<u4").tobytes(), int(here["pos"])
+        left = each * n
+        while left and first + each < resamples:
+            before = now.state
+            good = np.flatnonzero(_accepted(now, n, _WORDS) < n)
+            if len(good) >= left:
+                now.state = before
+                now.random_raw(int(good[left - 1]) + 1)
+                left = 0
+            else:
+                left -= len(good)
+
+
+def range_means(values: list[float], n: int, resamples: int, state: bytes, place: int) -> list[float]:
+    """The means of ``resamples`` resamples from a generator's state on; sums are CPython's."""
+    now = _generator(np.frombuffer(state, dtype="<u4").astype(np.uint32), place)
+    own = np.array(values)
+    draws, have = [], 0
+    while have < n * resamples:
+        some = _accepted(now, n, min(_WORDS, 2 * (n * resamples - have) + 64))
+        draws.append(some[some < n])
+        have += len(draws[-1])
+    drawn = np.concatenate(draws)[: n * resamples].reshape(resamples, n)
+    return [sum(own[row].tolist()) / n for row in drawn]
+
+
+def bootstrap_table(differences: DataFrame, q: float, group: str = "kind", value: str = "difference", seed: int = SEED, resamples: int = RESAMPLES, per_task: int = DRAWS_PER_TASK) -> DataFrame:
+    """group, n, bound: the q-quantile of resampled means of every group, its values ordered by task first; equal to ``bootstrap_percentile``.
+
+    Ranges of resamples are tasks of their own, each from the generator's state at its
+    start.  A task holds a group's values (one for each task that was run), never its draws.
+    """
+    kind = differences.schema[group].dataType.simpleString()
+    values = differences.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("task", F.col(value).alias("v")))), lambda x: x["v"]).alias("_values"))
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = list(range_starts(n, seed, resamples, per_task))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True))], names=[group, "n", "first", "resamples", "state", "place"])
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [range_means(r["_values"], r["n"], r["resamples"], r["state"], r["place"]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(group), batch.column("n"), pa.array(found, pa.list_(pa.float64()))], names=[group, "n", "means"])
+
+    ranges = held(values.select(group, F.size("_values").cast("long").alias("n")).mapInArrow(starts, f"{group} {kind}, {_RANGES}"), "resamples")
+    # a range is a task's work, so they are dealt one by one
+    dealt = ranges.join(values, group).repartition(max(1, min(ranges.count(), 10_000)), group, "first")
+    each = dealt.mapInArrow(means, f"{group} {kind}, n long, means array<double>")
+    ordered = F.array_sort(F.flatten(F.collect_list("means")))
+    return each.groupBy(group, "n").agg(F.get(ordered, F.lit(round(q * (resamples - 1)))).alias("bound"))
 
 
 def non_inferior(differences: Sequence[float], margin: float = NON_INFERIORITY_MARGIN) -> bool:
