@@ -8,15 +8,13 @@ from __future__ import annotations
 
 import json
 import sqlite3
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import loaders, objects, sinks, stores
-from ..sources.objects import shared_folder
-from ..tables import held
+from ..tables import held, scratch
 from . import views
 from .queries import EV
 from .registry import query
@@ -83,10 +81,10 @@ def pi_files(turns: DataFrame) -> DataFrame:
 
 def claude_files(turns: DataFrame) -> DataFrame:
     def line(t):
-        record = lambda kind, content: _j(type=kind, sessionId="s", cwd="/work", message=_o(content=content))
+        record = lambda kind, content: _j(type=kind, parentUuid="p", sessionId="s", cwd="/work", message=_o(content=content))
         asked = record("assistant", F.array(_o(type="tool_use", id=_id(t), name="Look", input=_o(turn=t["turn"]))))
         got = record("user", F.array(_o(type="tool_result", tool_use_id=_id(t), is_error=t["bad"], content="as it is")))
-        aside = _j(type="assistant", isSidechain=True, message=_o(content=F.array(_o(type="tool_use", id="x", name="Aside", input=_o(turn=0)))))
+        aside = _j(type="assistant", parentUuid="p", isSidechain=True, message=_o(content=F.array(_o(type="tool_use", id="x", name="Aside", input=_o(turn=0)))))
         return F.when(t["role"] == "user", F.array(record("user", F.array(_o(type="text", text=t["text"]))))).when(t["call"], F.array(aside, asked, got)).when(t["said"], F.array(record("assistant", F.array(_o(type="text", text=t["text"])))))
     return _files(turns, line)
 
@@ -141,7 +139,7 @@ def autogen_files(turns: DataFrame) -> DataFrame:
         spoken = F.array(_j(role="assistant", content=t["text"], stop_reason="completed"))
         return F.when(t["call"], F.when(t["turn"] % 3 == 0, old).when(t["turn"] % 3 == 1, new).otherwise(typed)).when(t["said"], spoken).otherwise(F.array(_j(role="user", content=t["text"])))
 
-    lists = _files(turns, line).withColumn("value", F.concat(F.lit('{"model": "loam", "messages": ['), F.replace("value", F.lit("\n"), F.lit(", ")), F.lit("]}")))
+    lists = _files(turns, line).withColumn("value", F.concat(F.lit('{"model": "loam", "stop_reason": null, "messages": ['), F.replace("value", F.lit("\n"), F.lit(", ")), F.lit("]}")))
     return lists
 
 
@@ -217,7 +215,7 @@ def load_antigravity_conversations(spark, sf_dir):
 def load_arrays_in_splits(spark, sf_dir):
     """Event runs in files that are one array each, cut into their elements by the splitter."""
     runs = views.event_runs(spark, sf_dir).select(F.col("agent").alias("model"), F.lit("p").alias("project"), F.col("task").alias("prompt"), "outcome", "steps")
-    folder = f"{shared_folder(spark)}/tracelode-arrays-{uuid.uuid4().hex}"
+    folder = scratch(spark, "arrays")
 
     def arrays(batches):
         first = True

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from .. import model
 from ..functions import mesh
 from ..functions import steps as S
 from ..operators import analytics, costvar, dynamics, ledger, moments, multires, pairing, protocol, tower, warrants
-from ..sources.objects import shared_folder
+from ..tables import scratch
 from . import views
 from .queries import _BOOK_FROM, _COST, _PREFIX, COST_LEVELS, EV, LEVELS, ORD, _book_sql, _cost_runs, _events_book, _items, _six, ok
 from .registry import query
@@ -144,7 +142,7 @@ def streamed_ledger(spark, sf_dir):
     from ..streaming import ledgers
     from .queries import plain_tower
 
-    base = f"{shared_folder(spark)}/tracelode-stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     runs = views.event_runs(spark, sf_dir)
     runs.repartition(4, "ordinal").write.parquet(f"{base}/runs")
     stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/runs")
@@ -157,7 +155,7 @@ def streamed_horizon(spark, sf_dir):
     """The horizon rule on a stream of several batches: classes enter, and are demoted when a longer run comes."""
     from ..streaming import ledgers
 
-    base = f"{shared_folder(spark)}/tracelode-stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     runs = views.event_runs(spark, sf_dir).select("agent", "ordinal", S.tool_sequence(F.col("steps")).alias("labels"))
     runs.repartition(3, "ordinal").write.parquet(f"{base}/runs")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/runs").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/runs")

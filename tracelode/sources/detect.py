@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sqlite3
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import RUN
+from ..tables import scratch
 from . import loaders, stores
-from .objects import objects, shared_folder, trace_objects
+from .objects import objects, trace_objects
 
 # Formats in the order that settles ties.
 FORMATS = ("canonical", "pi", "openai", "langsmith", "otel", "autogen", "crewai", "claude", "codex", "opencode", "antigravity")
@@ -100,7 +100,7 @@ def load_found(found: DataFrame) -> DataFrame:
     What was read is written once by format, so that each loader reads its own files and no others.
     """
     spark = found.sparkSession
-    folder = f"{shared_folder(spark)}/tracelode-formats-{uuid.uuid4().hex}"
+    folder = scratch(spark, "formats")
     columns = [c for c in ("path", "ord", "obj", "value") if c in found.columns]
     found.select(*columns, "format").write.partitionBy("format").parquet(folder)
     kept = spark.read.schema(found.select(*columns, "format").schema).parquet(folder)

@@ -23,14 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder there, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/tracelode/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def held(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet and read back: what was computed once is read by all that follows, whatever executors are lost.
 
     The files go when the driver ends, or with ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracelode/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = scratch(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.held_path = path
