@@ -46,54 +46,19 @@ def counts(sights: DataFrame, group: str) -> DataFrame:
     return ledger.counts(merge_sights(None, sights, group), group)
 
 
-class _Sights(StatefulProcessor):
-    """State of a part of a group: which classes were seen, and which of them live."""
-
-    def __init__(self, group: str):
-        self.group = group
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "key binary", "live boolean")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names of the interface
-        met: dict[bytes, tuple[int, bool]] = {}
-        for frame in rows:
-            for ident, level, live in zip(frame["key"], frame["level"], frame["live"], strict=True):
-                met[bytes(ident)] = (level, live or met.get(bytes(ident), (0, False))[1])
-        out = []
-        for ident, (level, live) in met.items():
-            known = self.seen.getValue((ident,))[0] if self.seen.containsKey((ident,)) else None
-            if known is None or (live and not known):
-                self.seen.updateValue((ident,), (bool(live),))
-                out.append((key[0], level, ident, bool(live)))
-        yield pd.DataFrame(out, columns=[self.group, "level", "key", "live"])
-
-    def close(self) -> None:
-        pass
-
-
-def fresh_sights(marks: DataFrame, group: str, shards: int = SHARDS) -> DataFrame:
-    """Of a stream of marks those that say something new: a class not seen before, or not seen live.
-
-    What was seen is a map in the state store, asked for the batch's own classes alone; so a
-    batch costs what is in it, however long the stream has run.
-    """
-    parts = marks.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    kind = marks.schema[group].dataType.simpleString()
-    return parts.groupBy(group, "shard").transformWithStateInPandas(_Sights(group), f"{group} {kind}, level int, key binary, live boolean", "Append", "None")
-
-
-def run_stream(runs: DataFrame, tower: Tower, ok: Column, group: str, table_dir: str, checkpoint: str, shards: int = SHARDS):
+def run_stream(runs: DataFrame, tower: Tower, ok: Column, group: str, table_dir: str, checkpoint: str):
     """Starts a query that appends a stream's first sights to the table under ``table_dir``; ``stream_book`` over it is the ledger.
 
-    No batch reads the table.  A batch that is run again writes its own folder anew.
+    What was seen is in the state store, which is asked for the batch's own classes alone: no
+    batch reads the table, so a batch costs what is in it however long the stream has run.
+    A batch that is run again writes its own folder anew.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table_dir}/batch={number}")
 
     use_rocksdb(runs.sparkSession)
-    fresh = fresh_sights(class_marks(runs, tower, ok, group), group, shards)
+    fresh = first_sights(class_marks(runs, tower, ok, group), group)
     return fresh.writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
