@@ -15,6 +15,7 @@ from .functions import steps as S
 from .operators import analytics, ledger, tower
 from .shipping import ship
 from .sources import detect, sinks
+from .tables import held
 
 
 def profile(runs: DataFrame, group: str = "model", least: int = 1, max_levels: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -25,6 +26,7 @@ def profile(runs: DataFrame, group: str = "model", least: int = 1, max_levels: i
     book = ledger.ledger(grouped, tower.build_tower("tool"), S.succeeded(F.col("outcome")))
     if max_levels:
         book = book.filter(F.col("level") <= max_levels)
+    book = held(book, "ledger")
     return book, analytics.exponents(book), analytics.tails(book)
 
 
@@ -40,7 +42,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("tracelode.profile").getOrCreate()
     ship(spark)
-    runs = detect.load(spark, given.paths, given.format)
+    # what is reported starts from the runs several times, and loading them is the dear part
+    runs = held(detect.load(spark, given.paths, given.format), "runs")
     book, exponents, tails = profile(runs, given.group, given.least, given.levels)
     if not book.take(1):
         return "no runs\n"
