@@ -9,7 +9,7 @@ from .. import model
 from ..functions import mesh
 from ..functions import steps as S
 from ..operators import analytics, costvar, dynamics, ledger, moments, multires, pairing, protocol, tower, warrants
-from ..tables import scratch
+from ..tables import held, scratch
 from . import views
 from .queries import _BOOK_FROM, _COST, _PREFIX, COST_LEVELS, EV, LEVELS, ORD, _book_sql, _cost_runs, _events_book, _items, _six, ok
 from .registry import query
@@ -104,8 +104,9 @@ def load_mixed_folder(spark, sf_dir):
     from ..sources import detect, sinks
 
     runs = views.event_runs(spark, sf_dir).select(F.col("agent").alias("model"), F.lit("p").alias("project"), F.col("task").alias("prompt"), "outcome", "steps", "ordinal")
-    canonical = sinks.canonical_json(runs.drop("ordinal")).select(F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string"), F.lit(".json")).alias("path"), "value")
-    files = openai_files(spark, sf_dir).unionByName(canonical)
+    # a run's file bears the run's own number, and what was made once is read by all that follows
+    canonical = sinks.canonical_json(runs, F.concat(F.lit("r"), F.col("ordinal").cast("string"), F.lit(".json")).alias("path"))
+    files = held(openai_files(spark, sf_dir).unionByName(canonical), "mixed")
     files = files.join(detect.detect(files), "path")
     return detect.load_found(files).groupBy("project").agg(F.count("*").alias("runs"))
 

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def canonical_json(runs: DataFrame) -> DataFrame:
-    """value: the canonical form of each run, absent optional fields left out."""
+def canonical_json(runs: DataFrame, *more: Column) -> DataFrame:
+    """value: the canonical form of each run, absent optional fields left out; after ``more`` columns of the runs."""
     steps = F.concat(F.lit("["), F.array_join(F.transform("steps", lambda s: F.concat(F.lit('{"tool":'), F.to_json(F.array(s["tool"])).substr(F.lit(2), F.length(F.to_json(F.array(s["tool"]))) - 2), F.lit(',"args":'), F.coalesce(s["args"], F.lit("{}")), F.lit(',"error":'), F.when(s["error"].isNull(), "null").otherwise(F.to_json(F.array(s["error"])).substr(F.lit(2), F.length(F.to_json(F.array(s["error"]))) - 2)), F.lit("}"))), ","), F.lit("]"))
     fields = [c for c in ("model", "project", "prompt", "outcome", "verified_outcome", "evaluator", "cost", "tokens_input", "tokens_output") if c in runs.columns]
     head = F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
-    return runs.select(F.concat(head.substr(F.lit(1), F.length(head) - 1), F.when(F.length(head) > 2, ",").otherwise(""), F.lit('"steps":'), steps, F.lit("}")).alias("value"))
+    return runs.select(*more, F.concat(head.substr(F.lit(1), F.length(head) - 1), F.when(F.length(head) > 2, ",").otherwise(""), F.lit('"steps":'), steps, F.lit("}")).alias("value"))
 
 
 def write_canonical(runs: DataFrame, path: str) -> None:
