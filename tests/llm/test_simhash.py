@@ -142,3 +142,35 @@ def test_columns_of_any_name_stay(spark, odd, stage):
     out = stage(wide)
     assert out.schema == wide.schema and out.count() == stage(odd).count()
     assert all(r[c] == i for r in out.collect() for i, c in enumerate(names))
+
+
+def test_no_link_of_a_crowd_is_lost(spark):
+    """Variants of a few texts, most of them unlike each other: what a text meets first says nothing about the rest it meets."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for group in range(8):
+        base = [f"w{group}x{i}" for i in range(120)]
+        for n in range(40):
+            words = list(base)
+            for place in rng.choice(24, 1 + n % 4, replace=False):
+                words[5 * place] = f"n{rng.integers(3)}"
+            rows.append((1_000 * group + n, " ".join(words)))
+    want, _ = similar(rows)
+    got = simhash.first_of_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want and 20 < len(want) < 300
+
+
+def test_places_and_sketches_keep_every_similar_pair():
+    """Whatever shingles count as frequent."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 4, 5, 9, 40, 300):
+        for cut in range(0, n // 4 + 2):
+            every = np.unique(rng.integers(0, 2**64, n + cut, dtype=np.uint64))
+            a, b = np.sort(rng.permutation(every)[:n]), np.sort(rng.permutation(every)[:n])
+            if simhash.jaccard(a, b) < 0.8:
+                continue
+            often = np.sort(rng.permutation(every)[: len(every) // 2])
+            first = [simhash.first_shingles(x, often, 0.8) for x in (a, b)]
+            assert np.intersect1d(*first).size
+            s, t = (np.frombuffer(simhash.sketch(x), dtype=np.uint8).astype(int) for x in (a, b))
+            assert np.minimum(s, t).sum() >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-6

@@ -12,10 +12,10 @@ a null doc_id gets a fingerprint and counts as larger than any other in a compon
 an empty table gives an empty result; columns other than doc_id and text are not read.
 
 ``first_of_similar`` links by similarity: texts whose sets of word shingles have a Jaccard
-similarity of ``least`` or more.  Such sets differ in some 15 % of their fingerprint's bits,
-too many for balls around two halves, so it takes fingerprints of 256 bits and many tables
-of a few bits each, enough for one to agree with a probability of ``RECALL``; what meets
-and is near by all bits is verified by the exact similarity.
+similarity of ``least`` or more, and it finds every such link.  Two sets that similar share
+one of their first shingles in any order that all sets keep, so texts meet by those alone, as
+many as the text is long whatever the size of the table.  At first a few of each meeting
+place are tried, nearest fingerprints first; then all that meet and are not linked by then.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, durable, texts_of
+from .common import byte_chunks, discard, durable, release, texts_of
 from .components import connected
 
 SEED = 42
@@ -138,25 +138,6 @@ def first_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
     return _rows_of(docs, kept)
 
 
-#: Words of 64 bits in a wide fingerprint, and how likely a pair of the least similarity meets in some table.
-WORDS = 4
-RECALL = 0.98
-_MIX = ((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB), (0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-
-
-def wide_prints(lists: list[np.ndarray]) -> np.ndarray:
-    """A row of WORDS words for each array of distinct hashes: the majority of the hashes and of mixtures of them."""
-    counts = [len(x) for x in lists]
-    flat = np.concatenate([np.zeros(0, dtype=np.uint64), *lists])
-    out = [majority(flat, counts)]
-    for add, times in _MIX:
-        mixed = flat + np.uint64(add)
-        for _ in range(2):
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(times)
-        out.append(majority(mixed ^ (mixed >> np.uint64(29)), counts))
-    return np.stack(out, axis=1)
-
-
 def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
 
@@ -169,64 +150,124 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def table_plan(prints: int, least: float) -> tuple[np.ndarray, int, int]:
-    """The bits of each table (a row each), and the most bits that a pair of similarity ``least`` differs in, of 64 and of all.
+#: Counts of a sketch, and texts from which frequent shingles are learnt (they settle an order, and no result).
+SKETCH = 256
+LEARNT_FROM = 4_000
+FREQUENT = 4
+_PLACE_BITS = 40
 
-    A table has so many bits that an unlike fingerprint is met about every fourth time.
-    """
-    share = math.acos(2 * least / (1 + least)) / math.pi
-    bits = max(16, math.ceil(math.log2(max(prints, 1))) + 2)
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share) ** bits))
-    rng = np.random.default_rng(SEED)
-    most = lambda n: round(n * share + 3.5 * math.sqrt(n * share * (1 - share)))
-    return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(tables)]), most(64), most(64 * WORDS)
 
-
-def _wide(docs: DataFrame, width: int, key: Column) -> DataFrame:
-    """doc_id, key, w0.. (the words of the wide fingerprint)."""
+def frequent_shingles(docs: DataFrame, key: Column, width: int) -> np.ndarray:
+    """Sorted hashes that FREQUENT or more of some LEARNT_FROM texts hold."""
+    share = max(1, docs.count() // LEARNT_FROM)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_chunks(batches, "text"):
-            words = wide_prints([shingle_set(t, width) for t in texts_of(batch)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS))], names=["doc_id", "key", *(f"w{k}" for k in range(WORDS))])
+            sets = [shingle_set(t, width) for t in set(texts_of(batch))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64))], names=["h"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key")).mapInArrow(work, "doc_id long, key long" + "".join(f", w{k} long" for k in range(WORDS)))
+    some = docs.filter(F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(share)) == 0).select(F.col("text").cast("string").alias("text"))
+    often = some.mapInArrow(work, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).select("h").toPandas()
+    return np.sort(often["h"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def candidates(nodes: DataFrame, least: float) -> DataFrame:
-    """a < b, d (bits of all they differ in): pairs of ``nodes`` (key, w0..) that meet in some table and are near.
+def first_shingles(own: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set's shingles, frequent ones last: sets of similarity ``least`` or more have one of these in common."""
+    if not len(own):
+        return np.zeros(1, dtype=np.uint64)  # texts without shingles meet each other
+    at = np.minimum(np.searchsorted(often, own), max(0, len(often) - 1))
+    last = often[at] == own if len(often) else np.zeros(len(own), dtype=bool)
+    return np.concatenate([own[~last], own[last]])[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall in each of SKETCH classes, up to 255."""
+    return np.minimum(np.bincount((own >> np.uint64(7)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
-    In a table, what shares a key is ordered by fingerprint, and each meets the first, or the
-    one before it where the first is not near: every pair where two meet, and a star of what
-    is near where more do, so that a large group has about a pair for each member and not
-    one for each two.
-    """
-    chosen, radius, wide = table_plan(nodes.count(), least)
-    powers = 1 << np.arange(chosen.shape[1], dtype=np.int64)
+
+def _nodes(docs: DataFrame, width: int, key: Column, least: float) -> DataFrame:
+    """key, n (shingles), print, sketch, places (of the first shingles, in order); copies within a task are left out."""
+    often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, key, width))
+    schema = "key long, n int, print long, sketch binary, places array<long>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                words = np.stack([part.column(f"w{k}").to_numpy() for k in range(WORDS)], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
-                places = np.stack([bits[:, row] @ powers + (t << 40) for t, row in enumerate(chosen)], axis=1)
-                n = len(chosen)
-                yield pa.RecordBatch.from_arrays([pa.array(places.ravel()), pa.array(np.repeat(part.column("key").to_numpy(), n)), pa.array(np.repeat(words[:, 0], n))], names=["place", "key", "sig"])
-
-    placed = nodes.mapInArrow(work, "place long, key long, sig long")
-    order = Window.partitionBy("place").orderBy("sig", "key")
-    me = F.struct("key", "sig")
-    beside = placed.select(me.alias("x"), F.lag(me, 1).over(order).alias("y1"), F.first(me).over(order).alias("y0"))
-    away = lambda y: F.bit_count(F.col("x.sig").bitwiseXOR(F.col(f"{y}.sig")))
-    other = F.when((F.col("y0.key") != F.col("x.key")) & (away("y0") <= radius), F.col("y0.key")).when(away("y1") <= radius, F.col("y1.key"))
-    met = beside.select(F.col("x.key").alias("x"), other.alias("y")).filter("y IS NOT NULL AND x <> y")
-    near = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    words = [f"w{k}" for k in range(WORDS)]
+        seen: set[int] = set()
+        for batch in byte_chunks(batches, "text"):
+            out = []
+            for k, text in zip(batch.column("key").to_pylist(), texts_of(batch), strict=True):
+                if k not in seen:
+                    seen.add(k)
+                    hashes = np.array(shingle_hashes(text, width), dtype=np.uint64)
+                    own = np.unique(hashes)
+                    out.append((k, own, hashes))
+            prints = majority(np.concatenate([np.zeros(0, dtype=np.uint64), *(h for _, _, h in out)]), [len(h) for _, _, h in out]).view(np.int64)
+            places = [(first_shingles(own, often.value, least) & np.uint64((1 << _PLACE_BITS) - 1)).view(np.int64) for _, own, _ in out]
+            ends = np.cumsum([0, *map(len, places)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *places])))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in out], pa.int64()), pa.array([len(o) for _, o, _ in out], pa.int32()), pa.array(prints), pa.array([sketch(o) for _, o, _ in out], pa.binary()), lists], names=["key", "n", "print", "sketch", "places"])
+
+    return docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
+
+
+def _may_be(x: str, y: str, least: float) -> Column:
+    """Can two sets be similar that have a shingle in common, each the at-th of its n?  Never false for those that are."""
+    n, m, i, j = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
+    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    return (n == 0) & (m == 0) | (n > 0) & (m > 0) & (most >= least / (1 + least) * (n + m) - 1e-6)
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """place, key, n, at, print: one row for each text at each place where it meets another."""
+    placed = nodes.select("key", "n", "print", F.posexplode("places").alias("at", "place"))
+    # what a place sorts by: size, then key, so that copies of a text are next to each other
+    packed = placed.select("place", (F.col("n").cast("long") * (1 << 31) + F.col("at")).alias("size"), "key", "print")
+    order = Window.partitionBy("place").orderBy("size", "key")
+    own = packed.select("*", F.lag("key").over(order).alias("before"), F.lag("size").over(order).alias("size_before"), F.lead("key").over(order).alias("after"))
+    once = own.filter((F.col("before").isNull() | (F.col("before") != F.col("key")) | (F.col("size_before") != F.col("size"))) & (F.col("before").isNotNull() | F.col("after").isNotNull()))
+    return once.select("place", "key", F.shiftright("size", 31).cast("int").alias("n"), F.col("size").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("at"), "print")
+
+
+def first_pairs(met: DataFrame, least: float) -> DataFrame:
+    """a < b, d: each text of a place with the one before it and the first one, if they can be similar; d is what their fingerprints differ in."""
+    order = Window.partitionBy("place").orderBy("n", "at", "key")
+    me = F.struct("key", "n", "at", "print")
+    beside = met.select(me.alias("x"), F.lag(me).over(order).alias("y1"), F.first(me).over(order).alias("y0"))
+    either = None
+    for y in ("y0", "y1"):
+        pairs = beside.select("x", F.col(y).alias("y")).filter("y IS NOT NULL AND x.key <> y.key").filter(_may_be("x", "y", least))
+        either = pairs if either is None else either.unionByName(pairs)
+    return _named_pairs(either)
+
+
+def other_pairs(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """The same of all texts that share a place, can be similar and are under different ``roots`` (node, root)."""
+    under = met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    open_ = under.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("place")
+    left = under.join(open_, "place", "left_semi").select("place", "root", F.struct("key", "n", "at", "print").alias("x"))
+    right = left.select("place", F.col("root").alias("other"), F.col("x").alias("y"))
+    return _named_pairs(left.join(right, "place").filter("root < other").filter(_may_be("x", "y", least)))
+
+
+def _named_pairs(pairs: DataFrame) -> DataFrame:
+    d = F.bit_count(F.col("x.print").bitwiseXOR(F.col("y.print")))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), d.alias("d")).distinct()
+
+
+def sketched(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` whose sketches leave room for the similarity: none that have it are dropped."""
     for c in ("a", "b"):
-        near = near.join(nodes.select(F.col("key").alias(c), F.struct(*words).alias(f"{c}_words")), c)
-    d = sum((F.bit_count(F.col(f"a_words.{w}").bitwiseXOR(F.col(f"b_words.{w}"))) for w in words), F.lit(0))
-    return near.select("a", "b", d.alias("d")).filter(F.col("d") <= wide)
+        pairs = pairs.join(nodes.select(F.col("key").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("n").alias(f"{c}_n")), c)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, t = (np.frombuffer(b"".join(batch.column(f"{c}_sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for c in ("a", "b"))
+            n, m = (batch.column(f"{c}_n").to_numpy().astype(np.int64) for c in ("a", "b"))
+            both = np.minimum(s, t).sum(axis=1, dtype=np.int64)
+            full = ((s == 255) & (t == 255)).any(axis=1)  # counts that were cut say nothing
+            near = full | (both >= least / (1 + least) * (n + m) - 1e-6)
+            yield batch.select(["a", "b", "d"]).filter(pa.array(near))
+
+    return pairs.select("a", "b", "d", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(work, "a long, b long, d int")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, key: Column, width: int, least: float) -> DataFrame:
@@ -243,22 +284,20 @@ def verified(docs: DataFrame, pairs: DataFrame, key: Column, width: int, least:
     return met.mapInArrow(work, "a long, b long")
 
 
-def similar_roots(docs: DataFrame, pairs: DataFrame, key: Column, width: int, least: float) -> DataFrame:
-    """node, root of the components that the verified ones of ``pairs`` make.
+def similar_links(docs: DataFrame, pairs: DataFrame, links: DataFrame, roots: DataFrame, key: Column, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """``links`` and, of ``pairs``, as many that are similar as join all they can join; and the ``roots`` (node, root) under them.
 
     At first each key verifies only its nearest pair; then all pairs that still run between
     two components are.  A pair within a component has nothing to add.
     """
     left = pairs
-    links = durable(pairs.select("a", "b").limit(0), "similar-links")
     for nearest in (True, False):
-        roots = connected(links)
         left_now = left
         for c in ("a", "b"):
             left_now = left_now.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
         left = durable(left_now.filter("ra != rb").select("a", "b", "d"), "similar-left")
         if left.isEmpty():
-            return roots
+            break
         now = left.select("a", "b")
         if nearest:
             ends = left.select("a", "b", "d", F.explode(F.array("a", "b")).alias("end"))
@@ -266,8 +305,27 @@ def similar_roots(docs: DataFrame, pairs: DataFrame, key: Column, width: int, le
             now = durable(now, "similar-nearest")
         fresh = verified(docs, now, key, width, least)
         links = durable(links.unionByName(fresh), "similar-links")
+        roots = connected(links)
         left = left.join(now, ["a", "b"], "left_anti") if nearest else left
-    return connected(links)
+    return links, roots
+
+
+def similar_roots(docs: DataFrame, key: Column, width: int, least: float) -> DataFrame:
+    """node, root of the components of texts, by their keys; texts that are like no other may be left out."""
+    spark = docs.sparkSession
+    nodes = durable(_nodes(docs, width, key, least), "similar-nodes")
+    met = durable(meetings(nodes), "similar-met")
+    once = durable(nodes.select("key", "n", "sketch").dropDuplicates(["key"]).join(met.select("key").distinct(), "key", "left_semi"), "similar-sketches")
+    discard(nodes)
+    release(spark)
+    none = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
+    tried = durable(sketched(first_pairs(met, least), once, least), "similar-pairs")
+    links, roots = similar_links(docs, tried, *none, key, width, least)
+    more = sketched(other_pairs(met, roots, least).join(tried, ["a", "b"], "left_anti"), once, least)
+    more = durable(more, "similar-pairs")
+    discard(met, once, tried)
+    release(spark)
+    return similar_links(docs, more, links, roots, key, width, least)[1]
 
 
 def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -276,11 +334,8 @@ def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> Dat
     Rows that share doc_id and text are one record, of which any one stays.
     """
     key = text_key(F.col("text"))
-    prints = durable(_wide(docs, width, key), "similar")
-    words = [f"w{k}" for k in range(WORDS)]
-    nodes = durable(prints.groupBy("key").agg(*(F.first(w).alias(w) for w in words)), "similar-nodes")
-    pairs = durable(candidates(nodes, least), "similar-pairs")
-    roots = similar_roots(docs, pairs, key, width, least)
+    prints = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key")), "similar")
+    roots = similar_roots(docs, key, width, least)
     records = prints.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("w")
     each = durable(records.groupBy("key").agg(best), "similar-least")
