@@ -158,9 +158,11 @@ def streamed_horizon(spark, sf_dir):
 
     base = scratch(spark, "stream")
     runs = views.event_runs(spark, sf_dir).select("agent", "ordinal", S.tool_sequence(F.col("steps")).alias("labels"))
-    runs.repartition(3, "ordinal").write.parquet(f"{base}/runs")
-    stream = spark.readStream.schema(spark.read.parquet(f"{base}/runs").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/runs")
-    ledgers.run_horizon(stream, F.col("labels"), "agent", f"{base}/changes", f"{base}/progress", shards=4).awaitTermination()
+    # three batches of as many files as the session has partitions, each a task
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs.repartition(3 * parts, "ordinal").write.parquet(f"{base}/runs")
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", parts).parquet(f"{base}/runs")
+    ledgers.run_horizon(stream, F.col("labels"), "agent", f"{base}/changes", f"{base}/progress").awaitTermination()
     return ledgers.latest_statuses(spark, f"{base}/changes", "agent").groupBy("agent", "level", "status").agg(F.count("*").alias("classes"))
 
 

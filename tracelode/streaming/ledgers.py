@@ -9,7 +9,10 @@ batches in the state store, by parts of a group, and read no table they wrote.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -113,7 +116,8 @@ class _Horizon(StatefulProcessor):
                 if longest == before and bytes(ident) not in met:
                     out.append((bytes(ident), level, "TRANSIENT"))
         for ident, (level, longest) in met.items():
-            old = self.classes.getValue((ident,))[1] if self.classes.containsKey((ident,)) else None
+            kept = self.classes.getValue((ident,))
+            old = kept[1] if kept else None
             now = max(longest, old or 0)
             if old is None or now != old or self.ttl_ms:
                 self.classes.updateValue((ident,), (level, now))
@@ -128,6 +132,19 @@ class _Horizon(StatefulProcessor):
         pass
 
 
+def _combined(rows: DataFrame, group: str, kind: str) -> DataFrame:
+    """The same rows with one, the longest, of each Arrow batch for each class: what the state is told does not grow with the runs alone."""
+    names = [group, "shard", "id", "level"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch]).group_by(names).aggregate([("longest", "max")]).rename_columns([*names, "longest"])
+                yield from table.combine_chunks().to_batches()
+
+    return rows.select(*names, "longest").mapInArrow(work, f"{group} {kind}, shard int, id binary, level int, longest int")
+
+
 def horizon_changes(runs: DataFrame, labels: Column, group: str, shards: int = SHARDS, ttl_ms: int | None = None) -> DataFrame:
     """group, id, level, status of a stream of runs: a class when it is first seen, and again whenever the horizon rule changes its mind.
 
@@ -140,7 +157,7 @@ def horizon_changes(runs: DataFrame, labels: Column, group: str, shards: int = S
     own = nodes.select(group, F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "level", "longest")
     told = rows.filter(F.col("longest") > 0).select(group, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(None).cast("binary").alias("id"), F.lit(0).alias("level"), "longest")
     kind = runs.schema[group].dataType.simpleString()
-    return own.unionByName(told).groupBy(group, "shard").transformWithStateInPandas(_Horizon(group, ttl_ms), f"{group} {kind}, id binary, level int, status string", "Update", "ProcessingTime" if ttl_ms else "None")
+    return _combined(own.unionByName(told), group, kind).groupBy(group, "shard").transformWithStateInPandas(_Horizon(group, ttl_ms), f"{group} {kind}, id binary, level int, status string", "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 def use_rocksdb(spark) -> None:
