@@ -225,7 +225,7 @@ def load_arrays_in_splits(spark, sf_dir):
                 first = False
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
 
-    sinks.canonical_json(runs).select("value").repartition(3).mapInArrow(arrays, "value string").write.text(folder)
+    sinks.canonical_json(runs).select("value").mapInArrow(arrays, "value string").write.text(folder)
     objects.rename_parts(spark, folder, ".json")
     found = objects.array_objects(spark, [folder])
     return _shown(loaders.load_canonical(found))
