@@ -277,7 +277,8 @@ def load_every_format(spark, sf_dir):
     """Files of seven formats in one folder: each is told by its contents and read by its own loader."""
     from ..sources import detect
 
-    turns = _turns(spark, sf_dir)
+    # read and gathered once for all formats
+    turns = held(_turns(spark, sf_dir), "turns")
     files = None
     for name in _EVERY:
         own = globals()[f"{name}_files"](turns).withColumn("path", F.concat(F.lit(f"{name}/"), "path"))
