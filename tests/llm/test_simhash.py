@@ -160,6 +160,61 @@ def test_no_link_of_a_crowd_is_lost(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == want and 20 < len(want) < 300
 
 
+def _near_copies(rng, count, words=150):
+    """Copies of one text that lose, double or change some of its words; most are unlike each other."""
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for n in range(count):
+        own = list(base)
+        for place in sorted(rng.choice(words, 1 + n % 7, replace=False).tolist(), reverse=True):
+            own[place : place + 1] = [[], [own[place]] * 2, [f"x{rng.integers(40)}"]][rng.integers(3)]
+        rows.append((n, " ".join(own)))
+    return rows
+
+
+def test_a_large_group_of_near_copies_is_not_paired_in_full(spark, monkeypatch):
+    """Every removal of brute force, by candidates that are few against the pairs of the group."""
+    rows = _near_copies(np.random.default_rng(7), 300)
+    tried = []
+    known = simhash.sketched
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return known(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "sketched", counted)
+    want, similar_pairs = similar(rows)
+    got = simhash.first_of_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want and 10 < len(want) < 290 and similar_pairs > 1_000
+    assert sum(tried) < 12 * len(rows)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.9])
+def test_differences_from_a_centre_keep_every_similar_pair(least):
+    """Unless both are like the centre, two similar sets share one of the differences by which they meet; parities drop none."""
+    rng = np.random.default_rng(4)
+    met = 0
+    for _ in range(1_500):
+        n = int(rng.integers(1, 60))
+        every = np.unique(rng.integers(0, 2**64, 4 * n, dtype=np.uint64))
+        centre = np.sort(rng.permutation(every)[: int(rng.integers(1, 2 * n + 1))])
+        a = np.setxor1d(centre, rng.permutation(every)[: int(rng.integers(0, n + 1))])
+        b = np.setxor1d(a, rng.permutation(every)[: int(rng.integers(0, n // 3 + 1))])
+        if simhash.jaccard(a, b) < least or not (len(a) and len(b)):
+            continue
+        room = (1 - least) / (1 + least) * (len(a) + len(b))
+        assert sum(int(x & (2**64 - 1)).bit_count() for x in (simhash.parity(a) ^ simhash.parity(b)).tolist()) <= room + 1e-6
+        (x, i, far, p), (y, j, other, q) = (simhash.difference(s, centre, least) for s in (a, b))
+        if not (far or other):
+            continue
+        met += 1
+        if far and other:
+            x, y = x[:p], y[:q]
+        shared = [(s, t) for s, h in enumerate(x.tolist()) for t, k in enumerate(y.tolist()) if h == k]
+        assert shared and 2 * min(i - shared[0][0], j - shared[0][1]) >= i + j - room - 1e-6
+    assert met > 100
+
+
 def test_places_and_sketches_keep_every_similar_pair():
     """Whatever shingles count as frequent."""
     rng = np.random.default_rng(3)

@@ -16,12 +16,15 @@ similarity of ``least`` or more, and it finds every such link.  Two sets that si
 one of their first shingles in any order that all sets keep, so texts meet by those alone, as
 many as the text is long whatever the size of the table.  At first a few of each meeting
 place are tried, nearest fingerprints first; then all that meet and are not linked by then.
+Where CROWD or more meet, each is tried with one in their middle, and the rest by what they
+differ from it in: two that are similar, and not both similar to it, share such differences.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -150,16 +153,21 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-#: Counts of a sketch, and texts from which frequent shingles are learnt (they settle an order, and no result).
+#: Counts of a sketch; texts from which frequent shingles are learnt (they settle an order, and no result): 1 in LEARNT_SHARE, and LEARNT_FROM at least.
 SKETCH = 256
 LEARNT_FROM = 4_000
+LEARNT_SHARE = 16
 FREQUENT = 4
+MOST_FREQUENT = 1_000_000
+#: Rows of a place whose texts are compared by their differences from one of them, and members of a centre in a task.
+CROWD = 16
+PER_TASK = 256
 _PLACE_BITS = 40
 
 
 def frequent_shingles(docs: DataFrame, key: Column, width: int) -> np.ndarray:
-    """Sorted hashes that FREQUENT or more of some LEARNT_FROM texts hold."""
-    share = max(1, docs.count() // LEARNT_FROM)
+    """Sorted hashes that FREQUENT or more of the texts drawn hold, MOST_FREQUENT at most."""
+    share = min(LEARNT_SHARE, max(1, docs.count() // LEARNT_FROM))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_chunks(batches, "text"):
@@ -167,7 +175,7 @@ def frequent_shingles(docs: DataFrame, key: Column, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64))], names=["h"])
 
     some = docs.filter(F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(share)) == 0).select(F.col("text").cast("string").alias("text"))
-    often = some.mapInArrow(work, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).select("h").toPandas()
+    often = some.mapInArrow(work, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()
     return np.sort(often["h"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
@@ -185,6 +193,12 @@ def sketch(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own >> np.uint64(7)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """SKETCH bits (as longs), each set if a class holds an odd number of shingles: two sets differ in no fewer shingles than bits."""
+    odd = np.bincount((own >> np.uint64(7)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _nodes(docs: DataFrame, width: int, key: Column, least: float) -> DataFrame:
     """key, n (shingles), print, sketch, places (of the first shingles, in order); copies within a task are left out."""
     often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, key, width))
@@ -209,43 +223,126 @@ def _nodes(docs: DataFrame, width: int, key: Column, least: float) -> DataFrame:
     return docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
 
 
-def _may_be(x: str, y: str, least: float) -> Column:
-    """Can two sets be similar that have a shingle in common, each the at-th of its n?  Never false for those that are."""
+def _may_be(x: str, y: str, least: float, first: bool = False) -> Column:
+    """Can two sets be similar that have a shingle in common, each the at-th of its n?  Never false for those that are.
+
+    With ``first``: can they, if it is the first that they have in common?
+    """
     n, m, i, j = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    most = (F.lit(0) if first else F.least(i, j)) + 1 + F.least(n - i - 1, m - j - 1)
     return (n == 0) & (m == 0) | (n > 0) & (m > 0) & (most >= least / (1 + least) * (n + m) - 1e-6)
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
-    """place, key, n, at, print: one row for each text at each place where it meets another."""
+    """place, key, n, at, print, crowd (rows of the place): one row for each text at each place where it meets another."""
     placed = nodes.select("key", "n", "print", F.posexplode("places").alias("at", "place"))
     # what a place sorts by: size, then key, so that copies of a text are next to each other
     packed = placed.select("place", (F.col("n").cast("long") * (1 << 31) + F.col("at")).alias("size"), "key", "print")
     order = Window.partitionBy("place").orderBy("size", "key")
-    own = packed.select("*", F.lag("key").over(order).alias("before"), F.lag("size").over(order).alias("size_before"), F.lead("key").over(order).alias("after"))
+    own = packed.select("*", F.lag("key").over(order).alias("before"), F.lag("size").over(order).alias("size_before"), F.lead("key").over(order).alias("after"), F.count("*").over(Window.partitionBy("place")).cast("int").alias("crowd"))
     once = own.filter((F.col("before").isNull() | (F.col("before") != F.col("key")) | (F.col("size_before") != F.col("size"))) & (F.col("before").isNotNull() | F.col("after").isNotNull()))
-    return once.select("place", "key", F.shiftright("size", 31).cast("int").alias("n"), F.col("size").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("at"), "print")
+    return once.select("place", "key", F.shiftright("size", 31).cast("int").alias("n"), F.col("size").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("at"), "print", "crowd")
 
 
-def first_pairs(met: DataFrame, least: float) -> DataFrame:
-    """a < b, d: each text of a place with the one before it and the first one, if they can be similar; d is what their fingerprints differ in."""
+def centres(met: DataFrame) -> DataFrame:
+    """place, centre (key, n, at, print): of each crowded place the text whose fingerprint is nearest to what most bits of all are."""
+    crowded = met.filter(F.col("crowd") >= CROWD)
+    bits = [F.when(2 * F.sum(F.getbit("print", F.lit(b))) > F.count("*"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)]
+    middle = crowded.groupBy("place").agg(*(b.cast("long").alias(f"b{i}") for i, b in enumerate(bits)))
+    middle = middle.select("place", reduce(Column.bitwiseOR, (F.col(f"b{i}") for i in range(64))).alias("middle"))
+    far = F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))
+    return crowded.join(middle, "place").groupBy("place").agg(F.min(F.struct(far.alias("far"), "key", "n", "at", "print")).alias("c")).select("place", F.struct("c.key", "c.n", "c.at", "c.print").alias("centre"))
+
+
+def first_pairs(met: DataFrame, middles: DataFrame, least: float) -> DataFrame:
+    """a < b, d: each text of a place with the one before it, the first one and its centre, if they can be similar; d is what their fingerprints differ in."""
     order = Window.partitionBy("place").orderBy("n", "at", "key")
     me = F.struct("key", "n", "at", "print")
     beside = met.select(me.alias("x"), F.lag(me).over(order).alias("y1"), F.first(me).over(order).alias("y0"))
-    either = None
+    either = met.select("place", me.alias("x")).join(middles.withColumnRenamed("centre", "y"), "place").select("x", "y").filter("x.key <> y.key").filter(_may_be("x", "y", least))
     for y in ("y0", "y1"):
         pairs = beside.select("x", F.col(y).alias("y")).filter("y IS NOT NULL AND x.key <> y.key").filter(_may_be("x", "y", least))
-        either = pairs if either is None else either.unionByName(pairs)
+        either = either.unionByName(pairs)
     return _named_pairs(either)
 
 
-def other_pairs(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """The same of all texts that share a place, can be similar and are under different ``roots`` (node, root)."""
+def other_pairs(docs: DataFrame, met: DataFrame, middles: DataFrame, roots: DataFrame, key: Column, width: int, least: float) -> DataFrame:
+    """The same of all texts that share a place, can be similar and are under different ``roots`` (node, root).
+
+    All that were to be tried with a centre must be linked to it in ``roots``, if they are similar to it.
+    """
     under = met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_ = under.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("place")
-    left = under.join(open_, "place", "left_semi").select("place", "root", F.struct("key", "n", "at", "print").alias("x"))
+    open_ = durable(under.join(open_, "place", "left_semi"), "similar-open")
+    left = open_.filter(F.col("crowd") < CROWD).select("place", "root", F.struct("key", "n", "at", "print").alias("x"))
     right = left.select("place", F.col("root").alias("other"), F.col("x").alias("y"))
-    return _named_pairs(left.join(right, "place").filter("root < other").filter(_may_be("x", "y", least)))
+    few = left.join(right, "place").filter("root < other").filter(_may_be("x", "y", least, first=True)).select("x", "y")
+    members = open_.join(middles, "place").select(F.col("centre.key").alias("centre"), "key", "n", "print", "root").dropDuplicates(["centre", "key"])
+    parts = durable(differences(docs, durable(members, "similar-members"), key, width, least), "similar-differences")
+    return _named_pairs(few.unionByName(_differing(parts, least)))
+
+
+def difference(own: np.ndarray, centre: np.ndarray, least: float) -> tuple[np.ndarray, int, bool, int]:
+    """First shingles in which a set differs from ``centre``, all of these, is it unlike the centre, and how many of the first an unlike partner needs.
+
+    What the set has and the centre lacks comes first.  Let D be these differences.  Two sets
+    of n and m shingles are similar if |D| + |D'| - 2 |D and D'| <= g (n + m), g = (1 - least) /
+    (1 + least).  If both are like the centre, both are linked to it already.  If D' is of a set
+    unlike it, |D'| > g (m + |centre|); with n <= |centre| + |D| more than (1 - g) |D| / 2 is
+    common to both, so that the first (1 + g) |D| / 2 of D hold one.  A set unlike the centre
+    meets those like it by the first (1 - least) / least n, as |D'| >= |D| - g (n + m).
+    """
+    more, fewer = np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)
+    every = np.concatenate([more, fewer])
+    far = jaccard(own, centre) < least
+    g = (1 - least) / (1 + least)
+    short = min(len(every), int((1 + g) * len(every) / 2 + 1e-6) + 1)
+    long = min(len(every), int((1 - least) / least * len(own) + 1e-6) + 1)
+    return every[: max(short, long) if far else short], len(every), far, short
+
+
+def differences(docs: DataFrame, members: DataFrame, key: Column, width: int, least: float) -> DataFrame:
+    """For each of ``members`` (centre, key, n, print, root) the differences by which it meets others: centre, place, at (of ``of``), far, near (may it meet those that are far by this one?), and its parity."""
+    asked = members.select(F.explode(F.array("centre", "key")).alias("_key")).distinct()
+    texts = durable(docs.select(key.alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).join(asked, "_key", "left_semi").groupBy("_key").agg(F.first("_text").alias("_text")), "similar-texts")
+    # a centre's text goes to as many tasks as its members ask for
+    tasks = members.groupBy("centre").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("tasks"))
+    middle = tasks.join(texts.withColumnsRenamed({"_key": "centre", "_text": "t"}), "centre").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    dealt = members.join(tasks, "centre").withColumn("task", F.pmod(F.xxhash64("key"), F.col("tasks")).cast("int")).drop("tasks")
+    both = dealt.join(texts.withColumnsRenamed({"_key": "key", "_text": "s"}), "key").join(middle, ["centre", "task"])
+    names, words_ = ["centre", "key", "n", "print", "root"], [f"p{k}" for k in range(SKETCH // 64)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, None
+        for batch in byte_chunks(batches, "s"):
+            found, bits = [], []
+            for c, s, t in zip(*(batch.column(x).to_pylist() for x in ("centre", "s", "t")), strict=True):
+                if c != last:
+                    last, centre = c, shingle_set(t, width)
+                own = shingle_set(s, width)
+                found.append(difference(own, centre, least))
+                bits.append(parity(own))
+            counts = np.array([len(f[0]) for f in found], dtype=np.int64)
+            row = np.repeat(np.arange(len(found)), counts)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            of, far, short = (np.array([f[k] for f in found], dtype=d)[row] for k, d in ((1, np.int32), (2, np.bool_), (3, np.int64)))
+            place = np.concatenate([np.zeros(0, dtype=np.uint64), *(f[0] for f in found)]).view(np.int64)
+            same = batch.select(names).take(pa.array(row)).columns
+            words = np.stack(bits)[row]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(place), pa.array(at.astype(np.int32)), pa.array(of), pa.array(far), pa.array(at < short), *(pa.array(words[:, k].copy()) for k in range(SKETCH // 64))], names=[*names, "place", "at", "of", "far", "near", *words_])
+
+    return both.select(*names, "s", "t").mapInArrow(work, "centre long, key long, n int, print long, root long, place long, at int, of int, far boolean, near boolean" + "".join(f", {w} long" for w in words_))
+
+
+def _differing(parts: DataFrame, least: float) -> DataFrame:
+    """x, y (key, print): members of a centre that are under different roots and can be similar, if what they meet by is the first difference they share."""
+    x = parts.filter("far").select("centre", "place", F.struct(*parts.columns[1:]).alias("x"))
+    y = parts.filter("near").select("centre", "place", F.struct(*parts.columns[1:]).alias("y"))
+    most = F.least(F.col("x.of") - F.col("x.at"), F.col("y.of") - F.col("y.at"))
+    room = (1 - least) / (1 + least) * (F.col("x.n") + F.col("y.n"))
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(SKETCH // 64)))
+    met = x.join(y, ["centre", "place"]).filter("x.root <> y.root AND (NOT y.far OR x.near AND x.key < y.key)").filter((2 * most >= F.col("x.of") + F.col("y.of") - room - 1e-6) & (apart <= room + 1e-6))
+    return met.select(*(F.struct(*(F.col(f"{c}.{f}").alias(f) for f in ("key", "n", "at", "print"))).alias(c) for c in "xy"))
 
 
 def _named_pairs(pairs: DataFrame) -> DataFrame:
@@ -318,12 +415,13 @@ def similar_roots(docs: DataFrame, key: Column, width: int, least: float) -> Dat
     once = durable(nodes.select("key", "n", "sketch").dropDuplicates(["key"]).join(met.select("key").distinct(), "key", "left_semi"), "similar-sketches")
     discard(nodes)
     release(spark)
+    middles = durable(centres(met), "similar-centres")
     none = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
-    tried = durable(sketched(first_pairs(met, least), once, least), "similar-pairs")
+    tried = durable(sketched(first_pairs(met, middles, least), once, least), "similar-pairs")
     links, roots = similar_links(docs, tried, *none, key, width, least)
-    more = sketched(other_pairs(met, roots, least).join(tried, ["a", "b"], "left_anti"), once, least)
+    more = sketched(other_pairs(docs, met, middles, roots, key, width, least).join(tried, ["a", "b"], "left_anti"), once, least)
     more = durable(more, "similar-pairs")
-    discard(met, once, tried)
+    discard(met, middles, once, tried)
     release(spark)
     return similar_links(docs, more, links, roots, key, width, least)[1]
 
