@@ -104,3 +104,41 @@ def test_nothing_is_left_in_the_catalog(spark, documents):
     out = suffixes.deduplicate(documents)
     assert out.count() == documents.count()
     assert [t.name for t in spark.catalog.listTables() if t.name.startswith("tracelode")] == []
+
+
+def test_groups_whose_members_agree_are_not_sorted_again(monkeypatch):
+    """Only the 60 starts of the groups that differ behind their first 8 bytes are."""
+    rng = np.random.default_rng(8)
+    block = lambda k: rng.integers(97, 123, k, dtype=np.uint8)
+    same = [block(200)] * 50 + [block(200)] * 50
+    head = block(100)
+    other = [np.concatenate([head, block(100)]) for _ in range(20)] * 3
+    data = np.concatenate([*same, *other])
+    sorted_ = []
+    lexsort = np.lexsort
+
+    def counted(keys):
+        sorted_.append(len(keys[0]))
+        return lexsort(keys)
+
+    monkeypatch.setattr(np, "lexsort", counted)
+    got = suffixes.repeated(data, np.arange(0, len(data), 200), 200)
+    assert sum(sorted_) == 60
+    want = [bytes(data[s : s + 200]) for s in range(0, len(data), 200)]
+    assert (got >= 0).all() and len(set(zip(got.tolist(), want, strict=True))) == len(set(got.tolist())) == len(set(want)) == 22
+
+
+@pytest.mark.parametrize("letters", [1, 2, 26])
+def test_classes_are_those_of_equal_strings(letters):
+    rng = np.random.default_rng(letters)
+    for size in (16, 40, 400):
+        data = rng.integers(97, 97 + letters, size, dtype=np.uint8)
+        data = np.concatenate([data, data[size // 3 :]])
+        starts = np.arange(len(data) - 15)
+        got = suffixes.repeated(data, starts, 16).tolist()
+        want = [bytes(data[s : s + 16]) for s in starts]
+        often = collections.Counter(want)
+        assert [c >= 0 for c in got] == [often[w] > 1 for w in want]
+        some = {(c, w) for c, w in zip(got, want, strict=True) if c >= 0}
+        assert len(some) == len({c for c, _ in some}) == len({w for _, w in some})
+    assert suffixes.repeated(data, np.zeros(0, dtype=np.int64), 16).tolist() == []

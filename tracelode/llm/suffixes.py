@@ -5,8 +5,8 @@ has an anchor: the place of the least hash among the string's k-byte substrings,
 depends on the string's bytes alone.  Equal strings have anchors of equal hash, so only
 starts whose anchor's hash occurs twice can repeat; their suffixes, cut to what they need,
 are dealt by that hash and sorted.  Sorting is deep-shallow in its order of work: one sort
-of all groups for each 8 bytes to a shallow depth, then each group that still shares a
-prefix is compared with its first member, 8 bytes at a time, and split where members
+of all by 8 bytes, the shallow depth, then each group that still shares a prefix is
+compared with its first member, 8 bytes at a time, and sorted and split where members
 differ.  Multikey quicksort's pivots and blind tries are not built (see the README).
 Suffixes that stay together to depth ``span`` repeat.
 
@@ -35,7 +35,7 @@ from .common import byte_chunks, discard, durable, partitions_for, release, scra
 
 GRAM = 32
 #: Bytes that are sorted before groups are compared with their first members.
-SHALLOW = 24
+SHALLOW = 8
 DOCS_PER_BUCKET = 4_000
 SEGMENTS_PER_TASK = 16_000
 #: Segments of one hash in one task; more are dealt over several tasks.
@@ -105,47 +105,47 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarra
     return texts, hashes[at[first]].view(np.int64), starts[first] - offsets[texts], counts
 
 
-def _split(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (group, key) and the new group of each member; ``group`` is ascending."""
-    order = np.lexsort((key, group))
-    group, key = group[order], key[order]
-    fresh = np.concatenate([[False], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
-    return order, np.cumsum(fresh)
+def _groups(fresh: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For groups that begin where ``fresh``, without members that are alone (they are told apart from all others): the place of each member's first one, and ``columns``."""
+    first = np.flatnonzero(fresh)
+    sizes = np.diff(np.concatenate([first, [len(fresh)]]))
+    if (sizes == 1).any():
+        keep = np.repeat(sizes > 1, sizes)
+        columns, sizes = tuple(c[keep] for c in columns), sizes[sizes > 1]
+    return np.repeat(np.cumsum(sizes) - sizes, sizes), *columns
 
 
 def repeated(data: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
     """A class number for each start: starts of one class (0 or more) have equal ``span`` bytes; single ones have -1."""
     if span % 8:
         raise ValueError("span must be a multiple of 8")
+    classes = np.full(len(starts), -1, dtype=np.int64)
     words = words_at(data)
-    members, group = np.arange(len(starts)), np.zeros(len(starts), dtype=np.int64)
-    for depth in range(0, span, 8):
+    # shallow: all in the order of their first bytes
+    key = words[starts]
+    members = np.argsort(key)
+    key = key[members]
+    lead, members = _groups(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)], members)
+    at = starts[members]
+    for depth in range(SHALLOW, span, 8):
         if not len(members):
             break
-        key = words[starts[members] + depth]
-        if depth < SHALLOW:  # multikey quicksort: order by this character, then go on in the groups of equal ones
-            order, group = _split(group, key)
-            members = members[order]
-        else:  # blind trie: groups whose members all agree are on one edge and skip this character
-            first = np.concatenate([[True], group[1:] != group[:-1]])
-            at = np.flatnonzero(first)
-            same = key == np.repeat(key[at], np.diff(np.concatenate([at, [len(key)]])))
-            agrees = np.logical_and.reduceat(same, at)
-            if not agrees.all():
-                number = np.cumsum(first) - 1
-                branch = ~agrees[number]
-                some = np.flatnonzero(branch)
-                order, _ = _split(number[some], key[some])
-                members[some] = members[some][order]
-                key[some] = key[some][order]
-                fresh = first | np.concatenate([[False], branch[1:] & (key[1:] != key[:-1])])
-                group = np.cumsum(fresh)
-        # a member alone in its group is told apart from all others
-        sizes = np.bincount(group)
-        keep = sizes[group] > 1
-        members, group = members[keep], group[keep]
-    classes = np.full(len(starts), -1, dtype=np.int64)
-    classes[members] = group
+        # deep: groups whose members all agree with their first one stay as they are
+        key = words[at + depth]
+        other = lead[key != key[lead]]
+        if not len(other):
+            continue
+        branch = np.zeros(len(key), dtype=bool)
+        branch[other] = True
+        some = np.flatnonzero(branch[lead])
+        some_lead, some_key = lead[some], key[some]
+        order = np.lexsort((some_key, some_lead))
+        members[some], some_key = members[some][order], some_key[order]
+        fresh = lead == np.arange(len(lead))
+        fresh[some[1:]] |= some_key[1:] != some_key[:-1]
+        lead, members = _groups(fresh, members)
+        at = starts[members]
+    classes[members] = np.cumsum(lead == np.arange(len(lead))) - 1
     return classes
 
 
