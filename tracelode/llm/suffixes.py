@@ -36,6 +36,8 @@ from .common import byte_chunks, discard, durable, partitions_for, release, scra
 GRAM = 32
 #: Bytes that are sorted before groups are compared with their first members.
 SHALLOW = 8
+#: Bytes for each start that may be compared at once, run by run.
+WIDEST = 12
 DOCS_PER_BUCKET = 4_000
 SEGMENTS_PER_TASK = 16_000
 #: Segments of one hash in one task; more are dealt over several tasks.
@@ -53,11 +55,7 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words_at(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on as a big-endian number; places beyond the end count as zero bytes."""
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    out = padded[: len(data)].astype(np.uint64)
-    for k in range(1, 8):
-        out <<= np.uint64(8)
-        out |= padded[k : k + len(data)]
-    return out
+    return np.ndarray(len(data), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -115,6 +113,30 @@ def _groups(fresh: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return np.repeat(np.cumsum(sizes) - sizes, sizes), *columns
 
 
+def _agree(data: np.ndarray, at: np.ndarray, first: np.ndarray, span: int) -> np.ndarray:
+    """Does each start of ``at`` have the ``span`` bytes of its ``first``?  False may stand for true where neighbours have no common offset, which would be slow.
+
+    Starts next to each other whose firsts are, too, share all bytes but one, so each run of them is compared once.
+    """
+    firsts = np.full(len(data), -1, dtype=np.int64)
+    firsts[at] = first
+    here = np.flatnonzero(firsts >= 0)
+    there = firsts[here]
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(here) != 1) | (np.diff(there) != 1)]))
+    sizes = np.diff(np.concatenate([begins, [len(here)]])) + span - 1
+    if sizes.sum() > WIDEST * len(at):
+        return np.zeros(len(at), dtype=bool)
+    base = np.cumsum(sizes) - sizes
+    step = np.arange(int(sizes.sum()))
+    differ = data[np.repeat(here[begins] - base, sizes) + step] != data[np.repeat(there[begins] - base, sizes) + step]
+    before = np.zeros(len(differ) + 1, dtype=np.int32)
+    np.cumsum(differ, dtype=np.int32, out=before[1:])
+    place = np.repeat(base - begins, sizes - span + 1) + np.arange(len(here))
+    same = np.zeros(len(data), dtype=bool)
+    same[here] = before[place + span] == before[place]
+    return same[at]
+
+
 def repeated(data: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
     """A class number for each start: starts of one class (0 or more) have equal ``span`` bytes; single ones have -1."""
     if span % 8:
@@ -123,10 +145,20 @@ def repeated(data: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
     words = words_at(data)
     # shallow: all in the order of their first bytes
     key = words[starts]
-    members = np.argsort(key)
+    members = np.argsort(key, kind="stable")
     key = key[members]
     lead, members = _groups(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)], members)
     at = starts[members]
+    if len(members):
+        # groups all of whose members have the bytes of their first one are classes
+        open_ = np.zeros(len(members), dtype=bool)
+        open_[lead[~_agree(data, at, at[lead], span)]] = True
+        open_ = open_[lead]
+        done, heads = members[~open_], lead[~open_]
+        classes[done] = np.cumsum(np.concatenate([[True], heads[1:] != heads[:-1]])[: len(heads)]) - 1
+        many = int(classes.max()) + 1
+        lead, members = _groups((lead == np.arange(len(lead)))[open_], members[open_])
+        at = starts[members]
     for depth in range(SHALLOW, span, 8):
         if not len(members):
             break
@@ -145,7 +177,8 @@ def repeated(data: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
         fresh[some[1:]] |= some_key[1:] != some_key[:-1]
         lead, members = _groups(fresh, members)
         at = starts[members]
-    classes[members] = np.cumsum(lead == np.arange(len(lead))) - 1
+    if len(members):
+        classes[members] = many + np.cumsum(lead == np.arange(len(lead))) - 1
     return classes
 
 
