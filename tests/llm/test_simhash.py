@@ -229,3 +229,23 @@ def test_places_and_sketches_keep_every_similar_pair():
             assert np.intersect1d(*first).size
             s, t = (np.frombuffer(simhash.sketch(x), dtype=np.uint8).astype(int) for x in (a, b))
             assert np.minimum(s, t).sum() >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-6
+
+
+def test_a_crowd_of_unlike_texts_makes_pairs_and_no_differences(spark, monkeypatch):
+    """Texts of paragraphs that many share, and near copies of some: the pairs of a crowd are fewer than its texts' shingles."""
+    rng = np.random.default_rng(6)
+    paragraphs = [" ".join(f"p{p}w{i}" for i in range(60)) for p in range(40)]
+    rows = [(n, " ".join(paragraphs[p] for p in rng.choice(40, 6, replace=False))) for n in range(120)]
+    rows += [(1_000 + n, " ".join([*rows[n][1].split()[: -1 - 6 * n], "changed"])) for n in range(12)]
+    members = []
+    known = simhash.differences
+
+    def counted(docs, asked, *rest):
+        members.append(asked.count())
+        return known(docs, asked, *rest)
+
+    monkeypatch.setattr(simhash, "differences", counted)
+    want, _ = similar(rows)
+    got = simhash.first_of_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want and 120 <= len(want) < 132
+    assert members == [0]

@@ -16,8 +16,9 @@ similarity of ``least`` or more, and it finds every such link.  Two sets that si
 one of their first shingles in any order that all sets keep, so texts meet by those alone, as
 many as the text is long whatever the size of the table.  At first a few of each meeting
 place are tried, nearest fingerprints first; then all that meet and are not linked by then.
-Where CROWD or more meet, each is tried with one in their middle, and the rest by what they
-differ from it in: two that are similar, and not both similar to it, share such differences.
+Where CROWD or more meet, each is tried with one in their middle.  Where those that are not
+linked by then would make many pairs for the shingles they have, they meet by what they differ
+from it in: two that are similar, and not both similar to it, share such differences.
 """
 
 from __future__ import annotations
@@ -159,14 +160,16 @@ LEARNT_FROM = 4_000
 LEARNT_SHARE = 16
 FREQUENT = 4
 MOST_FREQUENT = 1_000_000
-#: Rows of a place whose texts are compared by their differences from one of them, and members of a centre in a task.
+#: Rows of a place whose texts are tried with one of them, and members of a centre in a task.
 CROWD = 16
+#: Shingles of a place's texts for each pair of them, if it is to make its pairs and no differences.
+PAIR = 20
 PER_TASK = 256
 _PLACE_BITS = 40
 
 
 def frequent_shingles(docs: DataFrame, key: Column, width: int) -> np.ndarray:
-    """Sorted hashes that FREQUENT or more of the texts drawn hold, MOST_FREQUENT at most."""
+    """Sorted hashes that FREQUENT or more texts hold, as told from those drawn (of which two at least hold it), MOST_FREQUENT at most."""
     share = min(LEARNT_SHARE, max(1, docs.count() // LEARNT_FROM))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +178,7 @@ def frequent_shingles(docs: DataFrame, key: Column, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64))], names=["h"])
 
     some = docs.filter(F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(share)) == 0).select(F.col("text").cast("string").alias("text"))
-    often = some.mapInArrow(work, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()
+    often = some.mapInArrow(work, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, FREQUENT // share)).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()
     return np.sort(often["h"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
@@ -272,12 +275,14 @@ def other_pairs(docs: DataFrame, met: DataFrame, middles: DataFrame, roots: Data
     All that were to be tried with a centre must be linked to it in ``roots``, if they are similar to it.
     """
     under = met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_ = under.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("place")
-    open_ = durable(under.join(open_, "place", "left_semi"), "similar-open")
-    left = open_.filter(F.col("crowd") < CROWD).select("place", "root", F.struct("key", "n", "at", "print").alias("x"))
+    open_ = under.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), F.sum("n").alias("shingles")).filter("low <> high")
+    # pairs are made where they are far fewer than the differences would be
+    open_ = open_.select("place", ((F.col("rows") >= CROWD) & (PAIR * F.col("rows") * (F.col("rows") - 1) > 2 * F.col("shingles"))).alias("crowded"))
+    open_ = durable(under.join(open_, "place"), "similar-open")
+    left = open_.filter("NOT crowded").select("place", "root", F.struct("key", "n", "at", "print").alias("x"))
     right = left.select("place", F.col("root").alias("other"), F.col("x").alias("y"))
     few = left.join(right, "place").filter("root < other").filter(_may_be("x", "y", least, first=True)).select("x", "y")
-    members = open_.join(middles, "place").select(F.col("centre.key").alias("centre"), "key", "n", "print", "root").dropDuplicates(["centre", "key"])
+    members = open_.filter("crowded").join(middles, "place").select(F.col("centre.key").alias("centre"), "key", "n", "print", "root").dropDuplicates(["centre", "key"])
     parts = durable(differences(docs, durable(members, "similar-members"), key, width, least), "similar-differences")
     return _named_pairs(few.unionByName(_differing(parts, least)))
 
