@@ -165,6 +165,8 @@ CROWD = 16
 #: Shingles of a place's texts for each pair of them, if it is to make its pairs and no differences.
 PAIR = 20
 PER_TASK = 256
+#: Text bytes whose shingles a worker holds at once.
+NODE_BYTES = 512 << 10
 _PLACE_BITS = 40
 
 
@@ -209,7 +211,8 @@ def _nodes(docs: DataFrame, width: int, key: Column, least: float) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in byte_chunks(batches, "text"):
+        # a text's votes for its fingerprint take many times its bytes
+        for batch in byte_chunks(batches, "text", NODE_BYTES):
             out = []
             for k, text in zip(batch.column("key").to_pylist(), texts_of(batch), strict=True):
                 if k not in seen:
