@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; a longer single text is a batch of its own.
 CHUNK_BYTES = 2 << 20
+#: Bytes that go to a Python worker at once where memory is short.
+BATCH_BYTES = 1 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -79,6 +82,24 @@ def _drop_written() -> None:
             continue
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """What is run within sends rows to Python workers in batches of about ``limit`` bytes (Spark: 10,000 rows or 64 MB).
+
+    A batch lies in the executor's direct memory and in the worker's, besides what the worker makes of it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def byte_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose ``column`` holds at most ``limit`` bytes (one row at least)."""
     for batch in batches:
@@ -93,6 +114,14 @@ def byte_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
             begin = end
 
 
+def make_room(cache: dict, needed: Iterable, more: int, limit: int) -> None:
+    """If ``cache`` would have over ``limit`` entries with ``more``, only those that are ``needed`` now stay: what recurs most is among them."""
+    if len(cache) + more > limit:
+        kept = {x: cache[x] for x in needed if x in cache}
+        cache.clear()
+        cache.update(kept)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

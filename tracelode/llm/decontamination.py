@@ -30,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, texts_of
+from .common import byte_chunks, make_room, texts_of
 
 WORD = re.compile(r"[^\W_]+")
 WIDTH = 5
 #: Items broadcast at a time; more items make more passes over the documents.
 ITEMS_A_PASS = 20_000
 FILTER_BITS = 22
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SEED = np.uint64(0x27D4EB2F165667C5)
 
@@ -71,9 +71,7 @@ def rolled(ids: np.ndarray, width: int) -> np.ndarray:
 
 def word_ids(words: list[str], cache: dict[str, int]) -> np.ndarray:
     missing = set(words) - cache.keys()
-    if len(cache) + len(missing) > CACHE_ENTRIES:
-        cache.clear()
-        missing = set(words)
+    make_room(cache, words, len(missing), CACHE_ENTRIES)
     digest = xxhash.xxh3_64_intdigest
     cache.update((w, digest(w)) for w in missing)
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))

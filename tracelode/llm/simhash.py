@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, discard, durable, release, texts_of
+from .common import bounded_batches, byte_chunks, discard, durable, release, texts_of
 from .components import connected
 
 SEED = 42
@@ -322,7 +322,7 @@ def differences(docs: DataFrame, members: DataFrame, key: Column, width: int, le
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, centre = None, None
-        for batch in byte_chunks(batches, "s"):
+        for batch in byte_chunks(batches, "s", NODE_BYTES):
             found, bits = [], []
             for c, s, t in zip(*(batch.column(x).to_pylist() for x in ("centre", "s", "t")), strict=True):
                 if c != last:
@@ -382,7 +382,7 @@ def verified(docs: DataFrame, pairs: DataFrame, key: Column, width: int, least:
     met = pairs.select("a", "b").join(texts.withColumnsRenamed({"_key": "a", "_text": "s"}), "a").join(texts.withColumnsRenamed({"_key": "b", "_text": "t"}), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_chunks(batches, "s", NODE_BYTES):
             alike = [jaccard(shingle_set(s, width), shingle_set(t, width)) >= least for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(alike, type=pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
@@ -424,7 +424,8 @@ def similar_roots(docs: DataFrame, key: Column, width: int, least: float) -> Dat
     discard(nodes)
     release(spark)
     middles = durable(centres(met), "similar-centres")
-    none = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
+    # (empty tables of createDataFrame would be read by Python workers of their own)
+    none = (spark.range(0).select(F.col("id").alias(x), F.col("id").alias(y)) for x, y in (("a", "b"), ("node", "root")))
     tried = durable(sketched(first_pairs(met, middles, least), once, least), "similar-pairs")
     links, roots = similar_links(docs, tried, *none, key, width, least)
     more = sketched(other_pairs(docs, met, middles, roots, key, width, least).join(tried, ["a", "b"], "left_anti"), once, least)
@@ -441,7 +442,8 @@ def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> Dat
     """
     key = text_key(F.col("text"))
     prints = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key")), "similar")
-    roots = similar_roots(docs, key, width, least)
+    with bounded_batches(docs.sparkSession):
+        roots = similar_roots(docs, key, width, least)
     records = prints.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("w")
     each = durable(records.groupBy("key").agg(best), "similar-least")

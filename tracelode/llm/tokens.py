@@ -14,8 +14,10 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Chunks that one worker keeps; beyond it the cache starts anew, which changes no id.
-CACHE_ENTRIES = 600_000
+from .common import make_room
+
+#: Chunks that one worker keeps; beyond it only those in use stay, which changes no id.
+CACHE_ENTRIES = 100_000
 _UNEVEN_SPACE = re.compile(r"\s\s")
 #: Chunks of ASCII and Latin-1 letters, on which the word file's normalizer only lowers case, and their pieces by its pattern.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -148,9 +150,7 @@ class ChunkedEncoder:
         bodies = [[] if p is None else p[1:] for p in parts]
         needed = set().union(*bodies) if bodies else set()
         if missing := needed - cache.keys():
-            if len(cache) + len(missing) > CACHE_ENTRIES:
-                cache.clear()
-                missing = needed
+            make_room(cache, needed, len(missing), CACHE_ENTRIES)
             order = list(missing)
             cache.update(zip(order, self._chunks([" " + w for w in order]), strict=True))
         firsts = iter(self._chunks([p[0] for p in parts if p is not None]))

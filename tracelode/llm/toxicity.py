@@ -31,15 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import byte_chunks, texts_of
+from .common import byte_chunks, make_room, texts_of
 
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 _BREAKS = frozenset(".!?\n")
 BITS = 18
 #: A marginal from which a token belongs to an offending span.
 SPAN_AT = 0.5
-#: Words whose feature sums a worker keeps; beyond it the cache starts anew.
-CACHE_ENTRIES = 500_000
+#: Words whose feature sums a worker keeps; beyond it only those in use stay.
+CACHE_ENTRIES = 100_000
 
 
 def _bucket(name: str) -> int:
@@ -118,9 +118,7 @@ class ToxicityModel:
     def deltas(self, words: list[str], cache: dict[str, float]) -> np.ndarray:
         """Feature sums of words; NaN for breaks."""
         missing = set(words) - cache.keys()
-        if len(cache) + len(missing) > CACHE_ENTRIES:
-            cache.clear()
-            missing = set(words)
+        make_room(cache, words, len(missing), CACHE_ENTRIES)
         weights = self.field.weights
         cache.update(dict.fromkeys(_BREAKS, np.nan))
         missing -= _BREAKS
