@@ -79,6 +79,18 @@ def test_words_of_every_kind_as_the_file_encodes_them():
     assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_latin1_texts_are_divided_at_once_and_like_the_file():
+    """Words, signs and digits on either side of each other, a text with an odd one beside them, and no chunk is kept for plain ones."""
+    coder, plain = tokens.ChunkedEncoder(PATH), Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(3)
+    signs = [*"abcXYZéßÿÀ 0159.,-\"(", "\n", "then", " of ", "  "]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 90))) for _ in range(400)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not coder.cache
+    odd = [texts[0], "it's", "x\x01y", "µ ª", "\u212a \u1e9e", "漢", texts[1], "", "'", "a'"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(odd)] == [plain.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 def test_repeating_ids_take_little_room():
     x = np.tile(np.random.default_rng(0).integers(0, 49408, 200), 80).astype(np.uint32)
     assert 8 * len(idcoder.encode(x, 49408)) / len(x) < 2

@@ -27,6 +27,8 @@ from .tokens import encoder
 SEGMENT_IDS = idcoder.BLOCK * idcoder.LANES
 #: Text bytes of a task, so that its ids fill about one segment.
 TASK_BYTES = 24 << 20
+#: Text bytes whose distinct words are looked up at once.
+TEXT_BYTES = 8 << 20
 SEGMENTS = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, names_crc32 long, blocks binary"
 
 
@@ -56,7 +58,7 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(row, kinds, strict=True)], names=["part", "segment", "n_ids", "doc_ids", "lengths", "names_crc32", "blocks"])
 
-        for batch in byte_chunks(batches, "text"):
+        for batch in byte_chunks(batches, "text", TEXT_BYTES):
             for doc, own in zip(batch.column("doc_id").to_pylist(), coder.encode(texts_of(batch)), strict=True):
                 own += end
                 if held and held + len(own) // 4 > SEGMENT_IDS:

@@ -11,6 +11,7 @@ from operator import is_
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -25,12 +26,16 @@ _ODD = re.compile("[^ !-~À-ÖØ-öø-ÿ]")
 _PIECES = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _END = "\x01"
+#: Latin-1 in lower case, and what each byte of that is to the pattern: white space that divides chunks, a letter, a digit, other signs; 4 is left to the file itself.
+_LOWER = np.frombuffer(bytes(range(256)).decode("latin-1").lower().encode("latin-1"), dtype=np.uint8)
+_KINDS = np.array([0 if c in " \n" else 1 if re.match("[a-zß-öø-ÿ]", c) else 2 if "0" <= c <= "9" else 3 if "!" <= c <= "~" else 4 for c in map(chr, range(256))], dtype=np.uint8)
 
 
 class ChunkedEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    The ids equal ``Tokenizer.encode(text, add_special_tokens=False)``.  Both byte-level BPE
+    The ids equal ``Tokenizer.encode(text, add_special_tokens=False)``.  Latin-1 texts at a
+    file that drops white space are divided into its pieces as bytes, all at once.  Both byte-level BPE
     without a normalizer and pre-tokenizers that drop white space never join what a single
     space divides, so a chunk's ids can be kept and used again.  Texts for which this does
     not hold (runs of white space at a byte-level file, other kinds of file) are encoded whole.
@@ -75,6 +80,8 @@ class ChunkedEncoder:
             return None
         self.id_of = np.array([model["vocab"][name] for name in names], dtype="<u4")
         self.space = ranks[(" " + _END).encode()]
+        # the last id of a word holds its mark
+        self.closes = np.array([name.endswith("</w>") for name in names])
         return tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
 
     def _worded(self, chunks: list[str]) -> list[bytes]:
@@ -94,6 +101,36 @@ class ChunkedEncoder:
         rest = iter(self._whole([c for c, p in zip(chunks, plain, strict=True) if not p]))
         return [next(found) if p else next(rest) for p in plain]
 
+    def _pieced(self, texts: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """Ids of Latin-1 texts, whose pieces are runs of one kind of bytes, each distinct one merged once; and the texts for which this does not hold."""
+        raw = _LOWER.take(np.frombuffer(b"\n".join(texts), dtype=np.uint8))
+        kinds = _KINDS.take(raw)
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        # an apostrophe before a letter may be a piece with it
+        odd = np.flatnonzero(kinds == 4)
+        odd = np.concatenate([odd, np.flatnonzero((raw[:-1] == ord("'")) & (kinds[1:] == 1))])
+        others = set((np.searchsorted(begins, odd, side="right") - 1).tolist())
+        others.update(n for n, t in enumerate(texts) if any(s.encode() in t for s in self.specials))
+        solid = (kinds != 0) & (kinds != 4)
+        starts = solid.copy()
+        starts[1:] &= (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2)
+        starts = np.flatnonzero(starts)
+        letters = raw[solid]
+        cuts = np.append(np.cumsum(solid, dtype=np.int32)[starts] - 1, len(letters)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(letters)]).dictionary_encode()
+        distinct, which = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        got = self.words.encode_to_numpy(b"\x01".join([*distinct, b""]).decode("latin-1"))
+        ends = np.flatnonzero(self.closes[got]).astype(np.int32) + np.int32(1)
+        counts = np.diff(ends, prepend=np.int32(0))
+        many = counts[which]
+        upto = np.cumsum(many, dtype=np.int64)
+        place = np.repeat((ends[which] - upto).astype(np.int32), many)
+        place += np.arange(len(place), dtype=np.int32)
+        data = self.id_of[got][place].tobytes()
+        cut = (4 * np.append(0, upto)[np.searchsorted(starts, begins)]).tolist()
+        return [data[a:b] for a, b in zip(cut, [*cut[1:], len(data)], strict=True)], sorted(others)
+
     def _byte_merger(self, shape: dict) -> tiktoken.Encoding | None:
         """The same vocabulary in the faster merger, where merge order and ids agree; it serves chunks not seen before."""
         byte_of = self._byte_of()
@@ -122,6 +159,26 @@ class ChunkedEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.words is None:
+            return self._by_chunks(texts)
+        out: list = [None] * len(texts)
+        plain, left = {}, []
+        for n, text in enumerate(texts):
+            try:
+                plain[n] = text.encode("latin-1")
+            except UnicodeEncodeError:
+                left.append(n)
+        if plain:
+            found, others = self._pieced(list(plain.values()))
+            at = list(plain)
+            for n, ids in zip(at, found, strict=True):
+                out[n] = ids
+            left += [at[k] for k in others]
+        for n, ids in zip(left, self._by_chunks([texts[n] for n in left]), strict=True):
+            out[n] = ids
+        return out
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
         if self.drops_space:
             parts = [t.replace("\n", " ").split(" ") for t in texts]
         elif self.keeps_space:
@@ -134,8 +191,7 @@ class ChunkedEncoder:
         flat = list(chain.from_iterable(parts))
         found = list(map(cache.get, flat))
         if missing := set(compress(flat, map(is_, found, repeat(None)))):
-            if len(cache) + len(missing) > CACHE_ENTRIES:
-                cache.clear()
+            make_room(cache, (), len(missing), CACHE_ENTRIES)
             order = list(missing)
             cache.update(zip(order, self._whole(order) if self.words is None else self._worded(order), strict=True))
             at = -1
